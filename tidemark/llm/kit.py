@@ -134,6 +134,15 @@ class Words:
         return window_starts(self.first, n), window_hash(self.hash, n, window_starts(self.first, n))
 
 
+def byte_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte slices."""
+    up, down = _POWERS[0](len(buf) + 1)
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(buf) + 1, dtype=np.uint64)
+        np.cumsum(_CODE[buf] * up[:-1], out=total[1:])
+        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+
+
 def window_starts(first: np.ndarray, n: int) -> np.ndarray:
     total = int(first[-1]) if len(first) else 0
     if total < n:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from tidemark.llm.bpe import op2_byte_bpe
 from tidemark.llm.decontaminate import op8_benchmark_decontamination
 
-QUERIES = {f.__name__: f for f in (op8_benchmark_decontamination,)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op8_benchmark_decontamination)}
 
 ORACLE: dict[str, str] = {}
