@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from tidemark.llm.bpe import op2_byte_bpe
 from tidemark.llm.decontaminate import op8_benchmark_decontamination
+from tidemark.llm.secrets import op9_secret_scan
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op8_benchmark_decontamination)}
+QUERIES = {f.__name__: f for f in (op2_byte_bpe, op8_benchmark_decontamination, op9_secret_scan)}
 
 ORACLE: dict[str, str] = {}
