@@ -6,9 +6,10 @@ from tidemark.llm.bpe import op2_byte_bpe
 from tidemark.llm.decontaminate import op8_benchmark_decontamination
 from tidemark.llm.jaccard import op1_ngram_jaccard_join
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op9_secret_scan
 from tidemark.llm.substrings import op5_substring_dedup
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op5_substring_dedup, op6_language_id, op8_benchmark_decontamination, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op5_substring_dedup, op6_language_id, op7_quality_classifier, op8_benchmark_decontamination, op9_secret_scan)}
 
 ORACLE: dict[str, str] = {}
