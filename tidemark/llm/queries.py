@@ -9,7 +9,8 @@ from tidemark.llm.language import op6_language_id
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op9_secret_scan
 from tidemark.llm.substrings import op5_substring_dedup
+from tidemark.llm.winnow import op4_document_fingerprints
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op5_substring_dedup, op6_language_id, op7_quality_classifier, op8_benchmark_decontamination, op9_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op4_document_fingerprints, op5_substring_dedup, op6_language_id, op7_quality_classifier, op8_benchmark_decontamination, op9_secret_scan)}
 
 ORACLE: dict[str, str] = {}
