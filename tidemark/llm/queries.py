@@ -3,14 +3,31 @@
 from __future__ import annotations
 
 from tidemark.llm.bpe import op2_byte_bpe
+from tidemark.llm.chat import OP3_SQL, op3_chat_preferences
 from tidemark.llm.decontaminate import op8_benchmark_decontamination
 from tidemark.llm.jaccard import op1_ngram_jaccard_join
 from tidemark.llm.language import op6_language_id
+from tidemark.llm.licenses import op10_license_scan
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op9_secret_scan
 from tidemark.llm.substrings import op5_substring_dedup
 from tidemark.llm.winnow import op4_document_fingerprints
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard_join, op2_byte_bpe, op4_document_fingerprints, op5_substring_dedup, op6_language_id, op7_quality_classifier, op8_benchmark_decontamination, op9_secret_scan)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_byte_bpe,
+        op3_chat_preferences,
+        op4_document_fingerprints,
+        op5_substring_dedup,
+        op6_language_id,
+        op7_quality_classifier,
+        op8_benchmark_decontamination,
+        op9_secret_scan,
+        op10_license_scan,
+    )
+}
 
-ORACLE: dict[str, str] = {}
+#: What SQL can express at a bearable cost; the others are tested against brute force.
+ORACLE: dict[str, str] = {"op3_chat_preferences": OP3_SQL}
