@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from tidemark.plans import audits  # noqa: F401  registers its queries
+from tidemark.plans.registry import ORACLE, QUERIES
+
 FLAGSHIP = "outcome_evaluation"
+
+__all__ = ["FLAGSHIP", "ORACLE", "QUERIES"]
