@@ -26,8 +26,8 @@ PROJECTIONS = {
     "bars": """SELECT symbol, us - us % 86400000000 AS day_us, min_by(mid, us) AS open, max(mid) AS high, min(mid) AS low, max_by(mid, us) AS close, sum(ask) AS volume FROM ticks GROUP BY symbol, us - us % 86400000000""",
 }
 
-_SPARK = [(r"@us\(([^()]*)\)", r"unix_micros(CAST(\1 AS TIMESTAMP))"), (r"@p\(([^,()]*(?:\([^()]*\))?[^,()]*), ([\d.]+)\)", r"percentile(\1, \2D)"), (r"@d\(([^,]*), ([\d.]+)\)", r"percentile_disc(\2D) WITHIN GROUP (ORDER BY \1)")]
-_DUCK = [(r"@us\(([^()]*)\)", r"epoch_us(\1)"), (r"@p\(([^,()]*(?:\([^()]*\))?[^,()]*), ([\d.]+)\)", r"quantile_cont(\1, \2::double)"), (r"@d\(([^,]*), ([\d.]+)\)", r"quantile_disc(\1, \2)")]
+_SPARK = [(r"@sha\(", "sha2_hex("), (r"@words\((\w+)\)", r"filter(split(lower(\1), '[\\\\s.,!?|]+'), w -> w <> '')"), (r"@us\(([^()]*)\)", r"unix_micros(CAST(\1 AS TIMESTAMP))"), (r"@p\(([^,()]*(?:\([^()]*\))?[^,()]*), ([\d.]+)\)", r"percentile(\1, \2D)"), (r"@d\(([^,]*), ([\d.]+)\)", r"percentile_disc(\2D) WITHIN GROUP (ORDER BY \1)")]
+_DUCK = [(r"@sha\(", "sha256("), (r"@words\((\w+)\)", r"list_filter(regexp_split_to_array(lower(\1), '[\\s.,!?|]+'), lambda w: w <> '')"), (r"@us\(([^()]*)\)", r"epoch_us(\1)"), (r"@p\(([^,()]*(?:\([^()]*\))?[^,()]*), ([\d.]+)\)", r"quantile_cont(\1, \2::double)"), (r"@d\(([^,]*), ([\d.]+)\)", r"quantile_disc(\1, \2)")]
 
 
 def _replaced(text: str, rules: list[tuple[str, str]]) -> str:
@@ -37,7 +37,7 @@ def _replaced(text: str, rules: list[tuple[str, str]]) -> str:
 
 
 def spark_form(text: str) -> str:
-    return _replaced(text, _SPARK)
+    return re.sub(r"sha2_hex\(((?:[^()]|\((?:[^()]|\([^()]*\))*\))*)\)", r"sha2(CAST(\1 AS binary), 256)", _replaced(text, _SPARK))
 
 
 def duck_form(text: str) -> str:
