@@ -10,7 +10,7 @@ Equal sets are one node. Within a signature's group only a *hub* (the node most
 compared with every member; two members that are not both similar to the hub can only be similar
 if they share enough shingles of their differences from it (else their distance is too near the sum
 of both), so those that may are regrouped by (hub, shingle of the difference) until none is left. Groups
-of at most ``SMALL`` members compare directly. No pair is lost, none is capped, and a group of k
+of at most ``SMALL`` members (later ``PAIRED``) compare directly. No pair is lost, none is capped, and a group of k
 near copies costs about k comparisons instead of k * k.
 
 Shingles, sets and signatures are 64-bit hashes; the comparison itself counts shingles of both sets.
@@ -31,12 +31,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kit
-from tidemark.llm.components import components
+from tidemark.operators.components import components
 from tidemark.llm.decontaminate import ramp
 from tidemark.session import cut, prepare, table
 
 NGRAM, PERCENT = 3, 90
-SMALL = 12
+#: Members of a group that are compared directly; the same for what hubs leave.
+SMALL, PAIRED = 12, 256
+#: Most doc_ids sent to every executor (eight bytes each).
+BROADCAST_IDS = 1_000_000
 #: Cost of a chance match against that of a signature row, for the allocation.
 CHANCE = 1e4
 
@@ -133,9 +136,10 @@ def named(docs: DataFrame, n: int = NGRAM) -> DataFrame:
 
 
 def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, node, own, lead, local): one leading row for each signature and slab, others besides.
+    """(sig, node, flags): a leading row for each signature and slab, others besides.
 
-    Only leading rows need to meet those of other slabs; ``local`` counts the slab's nodes.
+    Only leading rows need to meet those of other slabs. Flags add 1 for a node in its own band, 2
+    for a leading row, 4 if the slab has several nodes of the signature, 8 if one is in its own band.
     """
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,31 +150,28 @@ def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
         node = sets.name[row]
         order = np.lexsort((~own, node, sig))
         sig, node, own = sig[order], node[order], own[order]
+        flags = np.zeros(len(sig), dtype=np.int8)
         if len(sig):
             keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
             sig, node, own = sig[keep], node[keep], own[keep]
-        lead = np.concatenate([[True], sig[1:] != sig[:-1]]) if len(sig) else np.zeros(0, bool)
-        begin = np.flatnonzero(lead)
-        local = np.diff(np.append(begin, len(sig)))
-        any_own = np.maximum.reduceat(own, begin) if len(begin) else own
-        which = np.cumsum(lead) - 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array(sig.view(np.int64)), pa.array(node), pa.array(own), pa.array(lead), pa.array(local[which].astype(np.int32)), pa.array(any_own[which])], names=["sig", "node", "own", "lead", "local", "any_own"]
-        )
+            lead = np.concatenate([[True], sig[1:] != sig[:-1]])
+            begin, which = np.flatnonzero(lead), np.cumsum(lead) - 1
+            several = (np.diff(np.append(begin, len(sig))) > 1)[which]
+            flags = (own + 2 * lead + 4 * several + 8 * np.maximum.reduceat(own, begin)[which]).astype(np.int8)
+        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(flags)], names=["sig", "node", "flags"])
 
-    return _over(docs, "sig bigint, node bigint, own boolean, lead boolean, local int, any_own boolean", make, "text")
+    return _over(docs, "sig bigint, node bigint, flags tinyint", make, "text")
 
 
 def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(gid, node, own) of all signatures that two nodes have, one of them in its own band."""
     rows = signed(docs, n, percent)
     over = Window.partitionBy("sig")
-    leads = rows.where("lead").select("sig", "node", "own", "local", "any_own")
     # a node that leads in several slabs counts once: the least and the greatest leading node differ
-    met = leads.withColumn("lo", F.min("node").over(over)).withColumn("hi", F.max("node").over(over)).withColumn("most", F.max("local").over(over)).withColumn("some", F.max("any_own").over(over))
-    met = met.where("(lo < hi or most > 1) and some")
-    rest = rows.where("not lead").select(F.col("sig").alias("gid"), "node", "own")
-    return met.select(F.col("sig").alias("gid"), "node", "own").union(rest).groupBy("gid", "node").agg(F.max("own").alias("own"))
+    met = rows.where("flags & 2 > 0").select("sig", "node", "flags", F.min("node").over(over).alias("lo"), F.max("node").over(over).alias("hi"), F.bit_or("flags").over(over).alias("all"))
+    met = met.where("(lo < hi or all & 4 > 0) and all & 8 > 0").select("sig", "node", "flags")
+    both = met.union(rows.where("flags & 2 = 0"))
+    return both.groupBy(F.col("sig").alias("gid"), "node").agg(F.max(F.expr("flags & 1 > 0")).alias("own"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -192,30 +193,63 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", "size_b", "star", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, size_b bigint, linked boolean, differ array<bigint>")
 
 
-def regrouped(done: DataFrame, percent: int) -> DataFrame:
-    """Groups (hub, shingle of the difference) in which similar pairs may be left.
+def bound(percent: int, *sizes: str) -> str:
+    """The most in which similar sets of these sizes (or a set of this size and any) differ."""
+    return f"floor(({' + '.join(sizes)}) * {100 - percent} / {100 + percent if len(sizes) > 1 else percent})"
+
+
+def pruned(tokens: DataFrame) -> DataFrame:
+    """Shingles of differences, (hub, node, e, h, own, partner, shingle), that a similar pair may share.
 
     Let E be the size of a member's difference from the hub, F how many of its shingles another
     member's has too, and H the most in which the member can differ from a similar set. A similar
     pair shares at least (E + E' - H) / 2 of them, thus neither F is less. So a member that isn't
-    similar to the hub stays only if E - H <= max(2 F' - E'), another as its partner only if
-    2 F - E >= min(E' - H'), the bounds being those of all members of the hub. ``own`` means not
-    similar to the hub: one member of each pair must be that.
+    similar to the hub (own) stays only if E - H <= max(2 F' - E'), and another as its partner only
+    if 2 F - E >= min(E' - H'), the bounds being those of the members of the hub.
     """
-    size = F.floor(F.col("size_b") * (100 - percent) / percent)
-    stars = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("node"), "linked", F.size("differ").alias("e"), size.alias("h"), "differ")
-    tokens = stars.select("hub", "node", "linked", "e", "h", F.explode("differ").alias("shingle"))
-    met = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.max(~F.col("linked")).alias("some")).where("k > 1 and some").select("hub", "shingle")
+    met = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some").select("hub", "shingle")
     tokens = tokens.join(met, ["hub", "shingle"])
-    members = tokens.groupBy("hub", "node").agg(F.first("linked").alias("linked"), F.first("e").alias("e"), F.first("h").alias("h"), F.count("*").alias("f"))
-    bounds = members.groupBy("hub").agg(F.max(F.expr("2 * f - e")).alias("most"), F.min(F.when(~F.col("linked"), F.expr("e - h"))).alias("least"))
-    judged = members.join(bounds, "hub").select("hub", "node", (~F.col("linked") & F.expr("e - h <= most")).alias("own"), F.expr("2 * f - e >= least").alias("partner"))
-    stay = judged.where("own or partner").select("hub", "node", "own")
-    left = tokens.join(stay, ["hub", "node"]).groupBy(F.xxhash64("hub", "shingle").alias("gid"), "node").agg(F.max("own").alias("own"))
-    return left
+    members = tokens.groupBy("hub", "node", "e", "h", "own", "partner").agg(F.count("*").alias("f"))
+    bounds = members.groupBy("hub").agg(F.max(F.expr("if(partner, 2 * f - e, null)")).alias("most"), F.min(F.expr("if(own, e - h, null)")).alias("least"))
+    judged = members.join(bounds, "hub").select("hub", "node", F.expr("own and coalesce(e - h <= most, false)").alias("own"), F.expr("partner and coalesce(2 * f - e >= least, false)").alias("partner"))
+    return cut(tokens.drop("own", "partner").join(judged.where("own or partner"), ["hub", "node"]))
+
+
+def prefixed(tokens: DataFrame) -> DataFrame:
+    """The rarest shingles of each difference, two of which meet in any pair that can be similar.
+
+    A member shares at least t of its F shingles with a similar one, so one of its F - t + 1 rarest:
+    t is E - H, and half of E + E' - H for the least E' it can pair with, whichever is more.
+    """
+    size = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some").select("hub", "shingle", "k")
+    tokens = tokens.join(size, ["hub", "shingle"])
+    members = tokens.groupBy("hub", "node").agg(F.count("*").alias("f"))
+    least = tokens.groupBy("hub").agg(F.min("e").alias("any_e"), F.min(F.expr("if(own, e, null)")).alias("own_e"))
+    shared = "greatest(1, e - h, ceil((e + if(own, any_e, own_e) - h) / 2))"
+    rank = F.row_number().over(Window.partitionBy("hub", "node").orderBy("k", "shingle"))
+    ranked = tokens.join(members, ["hub", "node"]).join(least, "hub").withColumn("i", rank)
+    return ranked.where(f"i <= f - {shared} + 1").select("hub", "shingle", "node", "e", "n", "own", "partner", "f")
+
 
+def remaining(done: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the members compared with hubs: pairs (a, b) left to compare, and groups too large for that.
 
-def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    A pair has a member that isn't similar to the hub, shares one of the rarest shingles, and could
+    share enough of all.
+    """
+    stars = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("node"), (~F.col("linked")).alias("own"), F.size("differ").alias("e"), F.col("size_b").alias("n"), "differ")
+    tokens = stars.select("hub", "node", "e", "n", F.expr(bound(percent, "n")).alias("h"), "own", F.lit(True).alias("partner"), F.explode("differ").alias("shingle"))
+    tokens = cut(prefixed(pruned(pruned(tokens))))
+    size = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some").select("hub", "shingle", "k")
+    tokens = cut(tokens.join(size, ["hub", "shingle"]))
+    side = lambda i: tokens.where(f"k <= {PAIRED}").select("hub", "shingle", *(F.col(c).alias(f"{c}{i}") for c in ("node", "e", "n", "f", "own", "partner")))
+    pairs = side(1).join(side(2), ["hub", "shingle"]).where("node1 < node2 and ((own1 and partner2) or (own2 and partner1))")
+    pairs = pairs.where(f"e1 + e2 - 2 * least(f1, f2) <= {bound(percent, 'n1', 'n2')}").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+    groups = tokens.where(f"k > {PAIRED}").groupBy(F.xxhash64("hub", "shingle").alias("gid"), "node").agg(F.max("own").alias("own"))
+    return cut(pairs.distinct()), cut(groups)
+
+
+def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, names: DataFrame | None = None) -> DataFrame:
     """Pairs of nodes (a, b) whose similarity passes: enough of them to connect all similar nodes.
 
     A pair that isn't named is connected through a hub that both are similar to.
@@ -223,8 +257,11 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     prepare(docs.sparkSession)
     groups = cut(grouped(docs, n, percent))
     wanted = groups.select("node").distinct()
-    first = named(docs, n).where("node is not null and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    picked = docs.join(first.join(wanted, "node", "left_semi").select("doc_id").distinct(), "doc_id", "left_semi")
+    names = named(docs, n) if names is None else names
+    first = names.where("node is not null and doc_id is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    ids = cut(first.select("doc_id").distinct())
+    # documents with a partner: where few, their ids are sent out and the texts stay in place
+    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(part.column("text"), n)
@@ -232,23 +269,24 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size, pa.int64()), data], names=["node", "size", "shingles"])
 
     sets = _over(picked, "node bigint, size bigint, shingles binary", make, "text").where("size > 0").dropDuplicates(["node"])
-    sets, found = cut(sets), []
+    sets, found, left = cut(sets), [], None
     while True:
         size = groups.groupBy("gid").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some")
         groups = groups.join(size.drop("some"), "gid")
-        if not groups.limit(1).count():
-            break
-        small = groups.where(f"k <= {SMALL}")
+        small, large = groups.where(f"k <= {SMALL}"), groups.where(f"k > {SMALL}")
         one, two = small.select("gid", F.col("node").alias("a"), F.col("own").alias("o1")), small.select("gid", F.col("node").alias("b"), F.col("own").alias("o2"))
         near = one.join(two, "gid").where("a < b and (o1 or o2)").select("a", "b", F.lit(False).alias("star"))
-        large = groups.where(f"k > {SMALL}")
+        if left is not None:
+            near = near.union(left.withColumn("star", F.lit(False)))
         weight = large.groupBy("node").agg(F.sum("k").alias("w"))
         hubs = large.join(weight, "node").groupBy("gid").agg(F.max_by("node", F.struct("w", "node")).alias("hub"))
         stars = large.join(hubs, "gid").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
         done = cut(verified(near.union(stars).groupBy("a", "b").agg(F.max("star").alias("star")), sets, percent))
         found.append(done.where("linked").select("a", "b"))
-        groups = cut(regrouped(done, percent))
-    out = found[0] if found else groups.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+        if not done.where("differ is not null").limit(1).count():
+            break
+        left, groups = remaining(done, percent)
+    out = found[0]
     for more in found[1:]:
         out = out.union(more)
     return out.distinct()
@@ -258,7 +296,7 @@ def clustered(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
     """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
     prepare(docs.sparkSession)
     names = cut(named(docs, n))
-    roots = components(links(docs, n, percent))
+    roots = components(links(docs, n, percent, names))
     rooted = names.join(roots, names.node == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", names.node).alias("root"))
     least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     out = rooted.join(least, "root", "left")
