@@ -10,7 +10,8 @@ Equal sets are one node. Within a signature's group only a *hub* (the node most
 compared with every member; two members that are not both similar to the hub can only be similar
 if they share enough shingles of their differences from it (else their distance is too near the sum
 of both), so those that may are regrouped by (hub, shingle of the difference) until none is left. Groups
-of at most ``SMALL`` members (later ``PAIRED``) compare directly. No pair is lost, none is capped, and a group of k
+of at most ``SMALL`` members compare directly; members that hubs leave meet by the rarest shingles of
+their differences, in groups of at most ``PAIRED``, and larger ones get hubs of their own. No pair is lost, none is capped, and a group of k
 near copies costs about k comparisons instead of k * k.
 
 Shingles, sets and signatures are 64-bit hashes; the comparison itself counts shingles of both sets.
