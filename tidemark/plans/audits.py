@@ -96,7 +96,7 @@ statement("replay_merge", """
     SELECT strategy, CAST(sum(n) AS bigint) AS n, round(sum(mean * n) / sum(n), 6) AS weighted_mean, round(min(factor), 6) AS least_factor FROM w GROUP BY strategy""")
 statement("account_report", """
     WITH days AS (SELECT us - us % 86400000000 AS day_us, sum(pnl) AS total FROM trades GROUP BY 1)
-    SELECT count(*) AS days, round(max(total), 2) AS best, round(min(total), 2) AS worst, CAST(sum(CASE WHEN total >= 1e3 THEN 1 ELSE 0 END) AS bigint) AS strong_days, round(sum(CASE WHEN total > 0 THEN total ELSE 0e0 END) / nullif(sum(CASE WHEN total < 0 THEN -total ELSE 0e0 END), 0), 6) AS factor FROM days""")
+    SELECT count(*) AS days, round(max(total), 4) AS best, round(min(total), 4) AS worst, CAST(sum(CASE WHEN total >= 1e3 THEN 1 ELSE 0 END) AS bigint) AS strong_days, round(sum(CASE WHEN total > 0 THEN total ELSE 0e0 END) / nullif(sum(CASE WHEN total < 0 THEN -total ELSE 0e0 END), 0), 6) AS factor FROM days""")
 statement("cost_calibration", "SELECT round(@p(slippage, 0.95), 6) AS p95_slippage, round(median(volume), 6) AS median_latency, round(@p(volume, 0.99), 6) AS p99_latency, count(*) AS n FROM trades WHERE us <= (SELECT CAST(floor(avg(us)) AS bigint) FROM trades)")
 statement("trade_summary", """
     WITH ordered AS (SELECT *, lag(pnl) OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS before_pnl FROM trades)

@@ -87,7 +87,7 @@ statement("cyclic_hours", "SELECT event_id, round(sin(2 * pi() * (us % 864000000
 statement("running_drawdown", """
     WITH c AS (SELECT strategy, trade_id, us, pnl, sum(pnl) OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity, row_number() OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS rn FROM trades),
     p AS (SELECT *, greatest(0e0, max(equity) OVER (PARTITION BY strategy ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM c)
-    SELECT strategy, round(max(peak - equity), 2) AS drawdown, round(max((peak + 1e6 - equity - 1e6) / (peak + 1e6)), 6) AS relative_drawdown FROM p GROUP BY strategy""")
+    SELECT strategy, round(max(peak - equity), 4) AS drawdown, round(max((peak + 1e6 - equity - 1e6) / (peak + 1e6)), 6) AS relative_drawdown FROM p GROUP BY strategy""")
 statement("running_excursion", """
     SELECT decision_id, us, round(max(cost) OVER (PARTITION BY decision_id ORDER BY horizon, part, us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS mfe, round(min(cost) OVER (PARTITION BY decision_id ORDER BY horizon, part, us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS mae FROM evals""")
 statement("chronological_splits", """
