@@ -50,9 +50,10 @@ def words(text: str) -> Column:
 
 
 def grams(column: str, k: int = K) -> Column:
-    """Hashes of every k consecutive words."""
+    """Every k consecutive words, with their hash."""
     parts = ", ".join(f"get({column}, i + {j})" for j in range(k))
-    return F.expr(f"if(size({column}) >= {k}, transform(sequence(0, size({column}) - {k}), i -> xxhash64({parts})), cast(array() as array<bigint>))")
+    gram = f"transform(sequence(0, size({column}) - {k}), i -> named_struct('h', xxhash64({parts}), 'ws', slice({column}, i + 1, {k})))"
+    return F.expr(f"if(size({column}) >= {k}, {gram}, cast(array() as array<struct<h:bigint,ws:array<string>>>))")
 
 
 def templates(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
@@ -66,22 +67,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def matches(docs: DataFrame, notices: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(doc_id, x, label, start, stop, share): verified spans of notices, in words, stop exclusive."""
+    """(doc_id, x, label, start, stop, share): spans of notices, in words, stop exclusive.
+
+    Each hit of a hash is verified on its words before it votes; ``share`` is that of the notice's
+    grams that a span has.
+    """
     spark = prepare(docs.sparkSession)
     known = templates(spark, notices)
-    index = known.select("template", F.posexplode(grams("body")).alias("at", "h"))
-    places = keyed(docs).select("doc_id", "x", F.posexplode(grams("w")).alias("pos", "h"))
-    votes = places.join(F.broadcast(index), "h").groupBy("doc_id", "x", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("met"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    index = known.select("template", F.posexplode(grams("body")).alias("at", "g")).select("template", "at", F.col("g.h").alias("h"), F.col("g.ws").alias("body_ws"))
+    places = keyed(docs).select("doc_id", "x", F.posexplode(grams("w")).alias("pos", "g")).select("doc_id", "x", "pos", F.col("g.h").alias("h"), F.col("g.ws").alias("ws"))
+    hits = places.join(F.broadcast(index), "h").where("ws = body_ws")
+    votes = hits.groupBy("doc_id", "x", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("met"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     line = Window.partitionBy("doc_id", "x", "template").orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR, 0).otherwise(1)
     merged = votes.withColumn("new", step).withColumn("island", F.sum("new").over(line))
     spans = merged.groupBy("doc_id", "x", "template", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("hits"), F.min("first").alias("start"), (F.max("last") + K).alias("stop"))
-    likely = spans.join(F.broadcast(known), "template").where(f"hits >= {MIN_SHARE} * size and stop - start <= 3 * (size + {K})")
-    # only rows with a likely span go back to their words
-    texts = keyed(docs).join(likely.select("doc_id", "x").distinct(), ["x"], "left_semi").dropDuplicates(["doc_id", "x"])
-    both = likely.join(texts.select(F.col("doc_id").alias("d"), F.col("x").alias("y"), "w"), (F.col("x") == F.col("y")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    share = F.expr("size(array_intersect(slice(w, start + 1, stop - start), body)) / size(array_distinct(body))")
-    return both.withColumn("share", share).where(f"share >= {MIN_SHARE}").select("doc_id", "x", "label", "start", "stop", "share")
+    likely = spans.join(F.broadcast(known), "template").withColumn("share", F.col("hits") / F.col("size"))
+    return likely.where(f"share >= {MIN_SHARE} and stop - start <= 3 * (size + {K})").select("doc_id", "x", "label", "start", "stop", "share")
 
 
 def scan(docs: DataFrame, notices: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
