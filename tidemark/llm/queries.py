@@ -10,6 +10,7 @@ from tidemark.llm.language import op6_language_id
 from tidemark.llm.licenses import op10_license_scan
 from tidemark.llm.quality import op7_quality_classifier
 from tidemark.llm.secrets import op9_secret_scan
+from tidemark.llm.statements import OP1_SQL, OP5_SQL, OP8_SQL
 from tidemark.llm.substrings import op5_substring_dedup
 from tidemark.llm.winnow import op4_document_fingerprints
 
@@ -30,4 +31,9 @@ QUERIES = {
 }
 
 #: What SQL can express at a bearable cost; the others are tested against brute force.
-ORACLE: dict[str, str] = {"op3_chat_preferences": OP3_SQL}
+ORACLE: dict[str, str] = {
+    "op1_ngram_jaccard_join": OP1_SQL,
+    "op3_chat_preferences": OP3_SQL,
+    "op5_substring_dedup": OP5_SQL,
+    "op8_benchmark_decontamination": OP8_SQL,
+}
