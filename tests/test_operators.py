@@ -172,3 +172,33 @@ def test_files(spark, tmp_path):
     assert files.manifest(back).exceptAll(files.manifest(rows)).count() == 0
     series = spark.createDataFrame([("d1", "1.5", "2024-01-01", "2024-02-01"), ("d1", "1.7", "2024-02-02", "9999"), ("d2", ".", "2024-01-01", "9999")], "date string, value string, realtime_start string, realtime_end string")
     assert {r.date: r.value for r in files.vintage(series, "2024-01-15").collect()} == {"d1": 1.5, "d2": None}
+
+
+def test_generations(spark, tmp_path):
+    root = str(tmp_path)
+    for i, name in enumerate(("g1", "g2")):
+        files.publish(spark.range(i + 1), root, name)
+        assert files.active(spark, root).count() == i + 1
+
+
+def test_greedy_keeps_what_one_pass_keeps(spark):
+    import random
+
+    from tidemark.operators import evidence
+
+    rng = random.Random(5)
+    pairs = {tuple(sorted(rng.sample(range(40), 2))) for _ in range(60)}
+    kept = []
+    for n in range(40):
+        if not any((k, n) in pairs for k in kept):
+            kept.append(n)
+    got = evidence.greedy_kept(spark.range(40).withColumnRenamed("id", "node"), spark.createDataFrame(sorted(pairs), "a bigint, b bigint"))
+    assert sorted(r.node for r in got.where("kept").collect()) == kept and got.where("kept is null").count() == 0
+
+
+def test_structured_chunks_split_tables_and_skip_headings(spark):
+    from tidemark.operators import evidence
+
+    rows = [(1, 0, "s", "HEADING", "Title"), (1, 1, "s", "PROSE", "a b"), (1, 2, "s", "PROSE", "c"), (1, 3, "s", "TABLE", "h1 h2\n1 2\n3 4\n5 6"), (1, 4, "t", "PROSE", "d"), (1, 5, "t", "PROSE", None)]
+    got = evidence.structured_chunks(spark.createDataFrame(rows, "doc bigint, position int, section string, kind string, text string"), 4).orderBy("chunk").collect()
+    assert [(r.kind, r.text) for r in got] == [("PROSE", "a b c"), ("TABLE", "h1 h2\n1 2\n3 4"), ("TABLE", "h1 h2\n5 6"), ("PROSE", "d")]

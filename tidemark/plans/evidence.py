@@ -116,3 +116,44 @@ def greedy_near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = exact.where("doc_id = kept").select("doc_id")
     pairs = corpus.shingle_pairs(docs.join(first, "doc_id", "left_semi"))
     return evidence.greedy_kept(first.withColumnRenamed("doc_id", "node"), pairs)
+
+
+# retrieval readiness, quotas, walk-forward and parameter choice
+statement("retrieval_gate", """
+    SELECT d.doc_id, CASE WHEN a.doc_id IS NULL THEN 'NO_ALIAS' WHEN d.lang NOT IN ('en', 'fr') THEN 'TYPE' WHEN d.n_chars < 100 THEN 'TOO_SHORT' ELSE 'READY' END AS gate FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels WHERE toxic = 0) a ON d.doc_id = a.doc_id""")
+statement("active_documents", "SELECT d.source, count(*) AS n, CAST(sum(CASE WHEN EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND l.quality = 1) THEN 1 ELSE 0 END) AS bigint) AS active FROM documents d GROUP BY d.source")
+statement("orphan_cleanup", """
+    SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P') AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_suppkey AND c_acctbal < 0) GROUP BY l_orderkey""")
+statement("diverse_selection", """
+    SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY in_source, n_chars DESC, doc_id) AS in_lang FROM (SELECT doc_id, lang, source, n_chars, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS in_source FROM documents) a WHERE in_source <= 2) b WHERE in_lang <= 25""")
+statement("partition_segments", """
+    WITH s AS (SELECT symbol, us - us % 86400000000 AS day_us, min(us) AS a, max(us) AS b FROM ticks GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY a, symbol) - 1 AS i, count(*) OVER () AS n FROM s),
+    c AS (SELECT max(CASE WHEN i = CAST(floor(n / 2e0) AS bigint) THEN a END) AS c1, max(CASE WHEN i = CAST(floor(3 * n / 4e0) AS bigint) THEN a END) AS c2 FROM o)
+    SELECT CASE WHEN b < c1 - 60000000 THEN 'development' WHEN a >= c1 + 60000000 AND b < c2 - 60000000 THEN 'validation' WHEN a >= c2 + 60000000 THEN 'unseen' ELSE 'guard' END AS part, count(*) AS segments FROM s CROSS JOIN c GROUP BY 1""")
+statement("parameter_grid", """
+    SELECT strategy, margin, n, expectancy FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY expectancy DESC, margin DESC) AS rn FROM (
+      SELECT strategy, g.margin, count(*) AS n, round(avg(pnl - g.margin * volume), 4) AS expectancy FROM trades CROSS JOIN (SELECT 0 AS margin UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5) g WHERE slippage <= 8e-2 - g.margin * 1e-2 GROUP BY strategy, g.margin HAVING count(*) >= 20) a) b WHERE rn = 1""")
+statement("cost_sensitivity", """
+    SELECT strategy, c.extra, count(*) AS n, round(avg(pnl - c.extra * volume), 4) AS expectancy, round(avg(CASE WHEN pnl - c.extra * volume > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate FROM trades CROSS JOIN (SELECT 0 AS extra UNION ALL SELECT 1 UNION ALL SELECT 3) c GROUP BY strategy, c.extra""")
+statement("walk_forward_summary", """
+    WITH o AS (SELECT strategy, pnl, row_number() OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM trades)
+    SELECT strategy, CAST(floor((rn - 1) * 5 / (n * 1e0)) AS bigint) AS fold, count(*) AS n, round(avg(pnl), 4) AS expectancy FROM o GROUP BY strategy, CAST(floor((rn - 1) * 5 / (n * 1e0)) AS bigint)""")
+statement("market_lifecycle", """
+    WITH e AS (SELECT symbol, us, CASE WHEN event_type = 'refund' THEN 'CLOSED' WHEN event_type = 'signup' THEN 'OPENING_VALIDATION' WHEN event_type = 'purchase' THEN 'VALID' END AS mark FROM ticks),
+    m AS (SELECT *, lag(mark) OVER (PARTITION BY symbol ORDER BY us) AS was FROM e WHERE mark IS NOT NULL)
+    SELECT symbol, us, CASE WHEN mark = 'VALID' AND was = 'OPENING_VALIDATION' THEN 'OPEN' WHEN mark = 'VALID' THEN 'DATA_ERROR' ELSE mark END AS state FROM m""")
+statement("agent_telemetry", """
+    SELECT agent % 10 AS node, count(*) AS calls, round(sum(latency), 2) AS total, round(avg(latency), 4) AS mean, round(median(latency), 4) AS median, @d(latency, 0.95) AS p95, max(latency) AS most, count(DISTINCT revision) AS models FROM runs GROUP BY agent % 10""")
+statement("last_lessons", """
+    SELECT agent, decision_id, CAST(place AS bigint) AS place, kind FROM (SELECT agent, decision_id, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS place, 'same' AS kind FROM runs WHERE agent <= 20 AND us <= 852076800000000) a WHERE place <= 5
+    UNION ALL SELECT agent, decision_id, CAST(place AS bigint), kind FROM (SELECT a.agent, r.decision_id, row_number() OVER (PARTITION BY a.agent ORDER BY r.us DESC, r.decision_id DESC) AS place, 'cross' AS kind FROM (SELECT DISTINCT agent FROM runs WHERE agent <= 20) a JOIN runs r ON r.agent <> a.agent AND r.agent <= 20 AND r.us <= 852076800000000) b WHERE place <= 3""")
+statement("news_window_flags", """
+    SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 1706572800000000 >= 1706486400000000 ELSE us >= 1704931200000000 AND us < 1705363200000000 END AS inside FROM ticks""")
+statement("fundamentals_asof", """
+    SELECT part, fiscal_us, round(v, 4) AS v FROM (SELECT part, us AS fiscal_us, cost AS v, row_number() OVER (PARTITION BY part ORDER BY us DESC, decision_id DESC, horizon DESC) AS rn FROM evals WHERE us <= 820454400000000) q WHERE rn <= 4""")
+statement("macro_vintage", """
+    SELECT decision_id, horizon, round(cost, 4) AS v FROM evals WHERE us <= 820454400000000 AND us + lag * 86400000000 >= 820454400000000""")
+statement("prediction_markets", """
+    SELECT page_id, CAST(n AS bigint) AS n FROM (SELECT page_id, length(html) AS n, row_number() OVER (ORDER BY length(html) DESC, page_id) AS rn FROM pages WHERE url LIKE 'http%') q WHERE rn <= 10""")
+statement("sentiment_tallies", """
+    SELECT source, count(*) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS bigint) AS bullish, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bigint) AS bearish, round(1e2 * sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / nullif(count(quality), 0), 6) AS bullish_pct FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source""")

@@ -66,7 +66,7 @@ def outcome_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
 statement("evaluations_left_decisions", "SELECT e.decision_id, e.horizon, e.part, round(e.cost, 4) AS cost, r.status FROM evals e LEFT JOIN runs r ON e.decision_id = r.decision_id AND r.status <> 'PENDING'")
 statement("exists_semi_join", "SELECT r.decision_id, r.status FROM runs r WHERE EXISTS (SELECT 1 FROM evals e WHERE e.decision_id = r.decision_id AND e.flag = 'R' AND e.cost > 0)")
 statement("double_semi_join", "SELECT r.decision_id FROM runs r WHERE EXISTS (SELECT 1 FROM evals e WHERE e.decision_id = r.decision_id AND e.flag = 'R') AND EXISTS (SELECT 1 FROM evals e WHERE e.decision_id = r.decision_id AND e.flag = 'N')")
-statement("orphan_anti_join", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+statement("orphan_anti_join", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 statement("latest_run_per_agent", "SELECT agent, decision_id, status FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS rn FROM runs) q WHERE rn = 1")
 statement("composite_left_join", "SELECT a.decision_id, a.horizon, count(b.decision_id) AS later FROM evals a LEFT JOIN evals b ON a.decision_id = b.decision_id AND b.horizon = a.horizon + 1 GROUP BY a.decision_id, a.horizon")
 statement("fill_chain", """

@@ -74,3 +74,15 @@ def manifest(rows: DataFrame, split: str = "split") -> DataFrame:
     columns = sorted(c for c in rows.columns if c != split)
     h = F.xxhash64(F.to_json(F.struct(*columns)))
     return rows.groupBy(split).agg(F.count("*").alias("n"), F.sum((h % (1 << 40)).cast("decimal(38,0)")).alias("hash"))
+
+
+def publish(rows: DataFrame, root: str, generation: str) -> None:
+    """A new generation beside the others, then the one-row pointer that makes it the active one."""
+    rows.write.mode("errorifexists").parquet(f"{root}/{generation}")
+    spark = rows.sparkSession
+    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").parquet(f"{root}/active")
+
+
+def active(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the active generation."""
+    return spark.read.parquet(f"{root}/{spark.read.parquet(f'{root}/active').first().generation}")
