@@ -189,10 +189,10 @@ def test_decontamination_either_way(spark, docs):
     for bound in (decontaminate.BROADCAST_BYTES, 0):
         got = decontaminate.digest(decontaminate.scan(docs, bench, broadcast_bytes=bound))
         assert key(tuple(r) for r in got.collect()) == key(want)
-    clean = decontaminate.without_spans(docs, bench)
-    assert clean.columns == docs.columns
-    assert decontaminate.digest(decontaminate.scan(clean, bench)).where("contaminated").count() == 0
-    assert clean.where("doc_id in (0, 1, 2, 6, 12)").count() == 5
+        clean = decontaminate.without_spans(docs, bench, broadcast_bytes=bound)
+        assert clean.columns == docs.columns
+        assert decontaminate.digest(decontaminate.scan(clean, bench)).where("contaminated").count() == 0
+        assert clean.where("doc_id in (0, 1, 2, 6, 12)").count() == 5
     assert decontaminate.digest(decontaminate.scan(docs, bench.limit(0))).where("contaminated").count() == 0
 
 

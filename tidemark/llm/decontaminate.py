@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +168,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     if measured(benchmark) > broadcast_bytes:
-        return _scan_shuffled(docs, benchmark, window)
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, index in _rows_found(batches):
+                words = kit.Words(part.column("text"), kit.ALNUM, lower=True)
+                yield report(part, words, index, *hits_of(words, index))
+
+        return _with_found(docs, benchmark, window).mapInArrow(each, SCAN)
     sent = docs.sparkSession.sparkContext.broadcast(build([tuple(r) for r in benchmark.select("item_id", "text").collect()], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,11 +185,12 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     return docs.mapInArrow(run, SCAN)
 
 
-def _scan_shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The way beyond the broadcast bound: windows meet by hash, and hits return to their row.
+def _with_found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+    """The documents with ``_found``, the benchmark windows that may be in each: the way beyond the
+    broadcast bound. Windows meet by hash, and what was met goes back to its row.
 
     A row is named by doc_id and the hash of its text, so repeated rows share their hits. Windows
-    repeated in a slab are sent once each per row; Spark splits what is left of a skewed hash.
+    repeated in a row are sent once; Spark splits what is left of a skewed hash.
     """
 
     def windows_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -197,7 +204,7 @@ def _scan_shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFr
                     yield pa.RecordBatch.from_arrays([pa.array(index.hash.view(np.int64)), pa.array([item] * len(index.hash), pa.int64()), pa.array([b" ".join(full[a : a + n]).decode() for a, n in zip(index.at.tolist(), index.size.tolist(), strict=True)])], names=["h", "item_id", "words"])
 
     entries = benchmark.select("item_id", "text").mapInArrow(windows_of_items, "h bigint, item_id bigint, words string").distinct()
-    keyed = docs.withColumn("key", F.struct("doc_id", F.xxhash64("text").alias("x")))
+    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("x")))
 
     def windows_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,26 +214,18 @@ def _scan_shuffled(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFr
                 for size in range(1, window + 1):
                     starts = kit.window_starts(words.first, size)
                     both = np.unique(np.stack([row[starts], kit.window_hash(words.hash, size, starts).view(np.int64)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(both[0])), pa.array(both[1])], names=["key", "h"])
-
-    pairs = keyed.mapInArrow(windows_of_docs, "key struct<doc_id:bigint,x:bigint>, h bigint").join(entries, "h")
-    found = pairs.groupBy("key").agg(F.collect_set(F.struct("item_id", "words")).alias("found"))
-    both = keyed.join(found, "key", "left").select("doc_id", "text", "found")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, found_here in enumerate(batch.column("found").to_pylist()):
-                part = batch.slice(i, 1)
-                index = build_windows([(x["item_id"], x["words"]) for x in found_here or []])
-                words = kit.Words(part.column("text"), kit.ALNUM, lower=True)
-                yield report(part, words, index, *hits_of(words, index))
+                    yield pa.RecordBatch.from_arrays([part.column("_key").take(pa.array(both[0])), pa.array(both[1])], names=["_key", "h"])
 
-    return both.mapInArrow(run, SCAN)
+    pairs = keyed.select("_key", "text").mapInArrow(windows_of_docs, "_key struct<doc_id:bigint,x:bigint>, h bigint").join(entries, "h")
+    found = pairs.groupBy("_key").agg(F.collect_set(F.struct("item_id", "words")).alias("_found"))
+    return keyed.join(found, keyed["_key"].eqNullSafe(found["_key"]), "left").select(*[keyed[c] for c in docs.columns], "_found")
 
 
-def build_windows(found: list[tuple[int, str]]) -> Index:
-    """An index of given windows, each whole."""
-    return build(found, 1 << 30)
+def _rows_found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Index]]:
+    """Each row of ``_with_found`` with an index of its own windows, each whole."""
+    for batch in batches:
+        for i, found in enumerate(batch.column("_found").to_pylist()):
+            yield batch.slice(i, 1), build([(x["item_id"], x["words"]) for x in found or []], 1 << 30)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -237,42 +236,51 @@ def digest(scanned: DataFrame) -> DataFrame:
     )
 
 
-def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def cleaned(part: pa.RecordBatch, index: Index) -> pa.RecordBatch:
+    """The rows of a slab without hit spans, less those that lost all their words."""
+    words = kit.Words(part.column("text"), kit.ALNUM, lower=True)
+    at, window = hits_of(words, index)
+    if not len(at):
+        return part
+    hit = kit.covered(int(words.first[-1]), at, at + index.size[window])
+    a, b = kit.runs(hit, words.first)
+    cut = kit.covered(len(words.buf), words.start[a], words.end[b - 1])
+    kept = np.concatenate([[0], np.cumsum(~hit)])
+    left = kept[words.first[1:]] - kept[words.first[:-1]]
+    touched = np.bincount(np.searchsorted(words.first, a, side="right") - 1, minlength=part.num_rows) > 0
+    size = np.zeros(len(words.buf) + 1, dtype=np.int64)
+    np.cumsum(~cut, out=size[1:])
+    old = part.column("text").cast(pa.string())
+    text = pc.if_else(pa.array(touched), kit.binaries(words.buf[~cut], size[words.offsets]).cast(pa.string()), old)
+    columns = list(part.columns)
+    columns[part.schema.names.index("text")] = text
+    if "n_chars" in part.schema.names:
+        i = part.schema.names.index("n_chars")
+        columns[i] = pc.if_else(pa.array(touched), pc.utf8_length(text).cast(columns[i].type), columns[i])
+    return pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(~touched | (left > 0)))
+
+
+def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """The documents, in their columns, without the words of any benchmark window.
 
     A run of hit words goes with what stands between its words; the rest of the text stays as it is.
-    A document left without a word goes too, if it lost one. ``n_chars`` follows the text.
+    A document left without a word goes too, if it lost one. ``n_chars``, if there, follows the text.
     """
     prepare(docs.sparkSession)
-    if measured(benchmark) > BROADCAST_BYTES:
-        spans = _scan_shuffled(docs.select("doc_id", "text"), benchmark, window).where("n_hit > 0").dropDuplicates(["doc_id", "spans"])
-        raise_on = spans.select("doc_id", F.col("n_words").alias("w_"), F.col("n_hit").alias("h_"), F.col("spans").alias("s_"))
-        joined = docs.join(raise_on, "doc_id", "left")
-        kept = F.aggregate(F.sequence(F.size("s_"), F.lit(1), F.lit(-1)), F.col("text"), lambda t, i: F.concat(F.substring(t, F.lit(1), F.col("s_")[i - 1]["start"]), F.substring(t, F.col("s_")[i - 1]["stop"] + 1, F.length(t))))
-        out = joined.where("h_ is null or h_ < w_").withColumn("text", F.when(F.col("h_").isNull(), F.col("text")).otherwise(kept))
-        return out.withColumn("n_chars", F.when(F.col("h_").isNull(), F.col("n_chars")).otherwise(F.length("text"))).select(docs.columns)
+    if measured(benchmark) > broadcast_bytes:
+        columns = docs.columns
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part, index in _rows_found(batches):
+                yield cleaned(part.select(columns), index)
+
+        return _with_found(docs, benchmark, window).mapInArrow(each, docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(build([tuple(r) for r in benchmark.select("item_id", "text").collect()], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kit.slabs(batch):
-                words = kit.Words(part.column("text"), kit.ALNUM, lower=True)
-                at, win = hits_of(words, sent.value)
-                if not len(at):
-                    yield part
-                    continue
-                hit = kit.covered(int(words.first[-1]), at, at + sent.value.size[win])
-                a, b = kit.runs(hit, words.first)
-                cut = kit.covered(len(words.buf), words.start[a], words.end[b - 1])
-                left = np.add.reduceat(np.concatenate([~hit, [False]]).astype(np.int64), np.minimum(words.first[:-1], len(hit))) * (words.count > 0)
-                touched = np.bincount(np.searchsorted(words.first, a, side="right") - 1, minlength=part.num_rows) > 0
-                size = np.zeros(len(words.buf) + 1, dtype=np.int64)
-                np.cumsum(~cut, out=size[1:])
-                text = kit.binaries(words.buf[~cut], size[words.offsets]).cast(pa.string())
-                old = part.column("text")
-                text = pa.compute.if_else(pa.array(touched), text, old.cast(pa.string()))
-                columns = [text if name == "text" else pa.compute.if_else(pa.array(touched), pa.compute.utf8_length(text).cast(pa.int64()), c) if name == "n_chars" else c for name, c in zip(part.schema.names, part.columns, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names).filter(pa.array(~touched | (left > 0)))
+                yield cleaned(part, sent.value)
 
     return docs.mapInArrow(run, docs.schema)
 
