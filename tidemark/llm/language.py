@@ -117,9 +117,11 @@ def fit(rows: list[tuple[str, str]]) -> Model:
     counts = np.full((BUCKETS, len(languages)), 0.2)
     scripts = np.zeros((len(NAMES), len(languages)))
     for k, lang in enumerate(languages):
-        text = Letters(pa.array([t for t, name in rows if name == lang], pa.string()))
-        counts[:, k] += np.bincount(text.bucket, minlength=BUCKETS)
-        scripts[:, k] += np.bincount(text.script, minlength=len(NAMES))
+        own = [t for t, name in rows if name == lang]
+        for i in range(0, len(own), 100):  # in parts, for the driver's memory
+            text = Letters(pa.array(own[i : i + 100], pa.string()))
+            counts[:, k] += np.bincount(text.bucket, minlength=BUCKETS)
+            scripts[:, k] += np.bincount(text.script, minlength=len(NAMES))
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
     return Model(languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), share > 0.001)
 
@@ -128,9 +130,9 @@ def learn(docs: DataFrame) -> Model:
     """A model of the rows given, from the bounded sample."""
     usable = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
     n = usable.count()
-    share = min(1.0, 4 * FIT_DOCUMENTS / max(n, 1))
+    share = min(1.0, 1.25 * FIT_DOCUMENTS / max(n, 1))  # a little more than is taken, at any size
     some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    rows = some.select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "text").limit(FIT_DOCUMENTS).collect()
+    rows = some.select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id", "lang", "text").limit(FIT_DOCUMENTS).collect()
     return fit([(r.text, r.lang) for r in rows])
 
 
