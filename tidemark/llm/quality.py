@@ -112,7 +112,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
 def _sample(docs: DataFrame, rows: int) -> np.ndarray:
     """Features of a bounded sample, computed where the rows are."""
     n = docs.count()
-    share = min(1.0, 4 * rows / max(n, 1))
+    share = min(1.0, 1.25 * rows / max(n, 1))  # a little more than is taken, at any size
     some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +120,7 @@ def _sample(docs: DataFrame, rows: int) -> np.ndarray:
             for part in kit.slabs(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([kit.blob(x) for x in features(part.column("text"))], pa.binary())], names=["doc_id", "x"])
 
-    found = some.mapInArrow(run, "doc_id bigint, x binary").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id", "x").limit(rows).collect()
+    found = some.mapInArrow(run, "doc_id bigint, x binary").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)), "doc_id", "x").limit(rows).collect()
     width = features(pa.array([""])).shape[1]
     return np.array([np.frombuffer(r.x) for r in found]).reshape(-1, width)
 
