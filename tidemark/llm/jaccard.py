@@ -40,7 +40,7 @@ NGRAM, PERCENT = 3, 90
 #: Members of a group that are compared directly; the same for what hubs leave.
 SMALL, PAIRED = 12, 256
 #: Most doc_ids sent to every executor (eight bytes each).
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 2_000_000
 #: Cost of a chance match against that of a signature row, for the allocation.
 CHANCE = 1e4
 
@@ -120,7 +120,7 @@ class Sets:
 def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in kit.slabs(batch, limit=4 * kit.SLAB):
+            for part in kit.slabs(batch, limit=2 * kit.SLAB):
                 yield make(part)
 
     return docs.select(*columns).mapInArrow(run, schema)
@@ -260,9 +260,9 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, names: DataFr
     wanted = groups.select("node").distinct()
     names = named(docs, n) if names is None else names
     first = names.where("node is not null and doc_id is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = cut(first.select("doc_id").distinct())
+    ids = first.select("doc_id").distinct()
     # documents with a partner: where few, their ids are sent out and the texts stay in place
-    picked = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    picked = docs.join(_sent(ids), "doc_id", "left_semi")
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(part.column("text"), n)
@@ -304,13 +304,27 @@ def clustered(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFr
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """Ids to be joined with: sent to every executor where they are few."""
+    ids = cut(ids)
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def first_of_each(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """One document of each component, that of the least doc_id, in the columns given.
 
-    Rows with a null doc_id, or without words, are kept; of repeated rows one stays.
+    Rows with a null doc_id, or without words, are kept; of repeated rows one stays. Texts stay in
+    place unless the ids to drop are too many to send; only rows of repeated ids meet.
     """
-    kept = clustered(docs, n, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    rows = clustered(docs, n, percent).where("doc_id is not null")
+    ids = cut(rows.groupBy("doc_id").agg(F.count("*").alias("k"), F.bool_or(F.col("component_id") == F.col("doc_id")).alias("first")))
+    kept = docs.join(_sent(ids.where("not first").select("doc_id")), "doc_id", "left_anti")
+    twice = ids.where("first and k > 1").select("doc_id")
+    if twice.limit(1).count():
+        twice = _sent(twice)
+        once = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(twice, "doc_id", "left_anti").unionByName(once)
+    return kept.select(docs.columns)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
