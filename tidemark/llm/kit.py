@@ -46,7 +46,7 @@ class _Powers:
 
     def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if n > len(self.up):
-            size = max(n, 2 * len(self.up), 1 << 16)
+            size = -(-n // (1 << 17)) * (1 << 17)  # not doubled: workers keep them
             with np.errstate(over="ignore"):
                 self.up, self.down = (np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (self.base, self.inverse))
         return self.up[:n], self.down[:n]
