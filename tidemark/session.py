@@ -8,6 +8,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch at most: whole texts are long, and both sides of the pipe hold a batch.
+ARROW_ROWS = 1000
+
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -27,6 +30,8 @@ def local_session(name: str = "tidemark", cores: str = "*") -> SparkSession:
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on (UTC) and let Python workers import this package."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in paths:
