@@ -1,0 +1,30 @@
+"""Operators that once did less than their whole job, against brute force over small inputs."""
+
+import random
+
+import corpus_pipeline
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_pipeline_drops_near_copies_at_five_words_and_four_fifths(spark, sf):
+    rng = random.Random(5)
+    texts = []
+    for g in range(4):
+        base = [f"g{g}w{i}" for i in range(200)]
+        texts.append(base)
+        for size in (5, 20, 45, 80):
+            at = rng.randrange(20, 180)
+            texts.append(base[:at] + [f"x{g}s{size}n{j}" for j in range(size)] + base[at:])
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    rows = [(i, " ".join(texts[t]), "en", "s", 0) for i, t in enumerate(order)]
+    sets = {i: {tuple(texts[t][j : j + 5]) for j in range(len(texts[t]) - 4)} for i, t in enumerate(order)}
+    root = {i: i for i in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    kept = corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, DOCS), sf)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if root[i] == i)
