@@ -8,10 +8,18 @@ from pyspark.sql import functions as F
 CLIP, EPSILON = 8.0, 1e-9
 
 
+def dot(a: str, b: str) -> Column:
+    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x)")
+
+
+def norm(v: str) -> Column:
+    """Length of an array; zero counts as one."""
+    return F.expr(f"if(aggregate({v}, 0D, (s, x) -> s + x * x) = 0, 1D, sqrt(aggregate({v}, 0D, (s, x) -> s + x * x)))")
+
+
 def cosine(a: str, b: str) -> Column:
     """Cosine of two arrays; a zero norm counts as one."""
-    norm = lambda v: f"if(aggregate({v}, 0D, (s, x) -> s + x * x) = 0, 1D, sqrt(aggregate({v}, 0D, (s, x) -> s + x * x)))"
-    return F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> x * y), 0D, (s, x) -> s + x) / ({norm(a)} * {norm(b)})")
+    return dot(a, b) / (norm(a) * norm(b))
 
 
 def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
