@@ -1,6 +1,9 @@
 """Operators that once did less than their whole job, against brute force over small inputs."""
 
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 
@@ -62,3 +65,48 @@ def test_dense_search_asks_every_fiftieth_vector(spark, sf):
     queries = {q for q, _ in best}
     assert found.n == len(queries)
     assert abs(found.precision_at_10 - sum(label[q] == label[d] for q, d in best) / 10 / len(queries)) < 1e-6
+
+
+def split(text):
+    return [w for w in re.split(r"[\s.,!?|]+", (text or "").lower()) if w]
+
+
+def lexical(docs, items):
+    """{(query_id, doc_id): (score, rank)} of the ten best documents with all tokens of an item."""
+    words = {d: split(t) for d, t in docs}
+    counts, mean = {d: Counter(w) for d, w in words.items()}, sum(map(len, words.values())) / len(words)
+    df, best = Counter(w for c in counts.values() for w in c), {}
+    for q, text in items:
+        terms, scored = set(split(text)), []
+        for d, c in counts.items():
+            if terms and terms <= c.keys():
+                parts = [math.log(1 + (len(words) - df[t] + 0.5) / (df[t] + 0.5)) * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(words[d]) / mean)) for t in terms]
+                scored.append((-round(sum(parts), 6), d))
+        best |= {(q, d): (-x, k) for k, (x, d) in enumerate(sorted(scored)[:10], 1)}
+    return best
+
+
+def test_lexical_search_takes_whole_items(spark, tmp_path, sf):
+    rng = random.Random(6)
+    vocab = [f"v{i}" for i in range(30)]
+    docs = [(i, " ".join(rng.choice(vocab) for _ in range(60)), "en", f"s{i % 2}", 0) for i in range(40)]
+    items = [(q, " ".join(rng.choice(vocab) for _ in range(n))) for q, n in enumerate([1, 2, 3, 4, 5, 6, 8] * 3)] + [(90, "v1 v2 nowhere"), (91, "... !"), (92, None)]
+    spark.createDataFrame(docs, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table(spark, sf, "embeddings").write.parquet(f"{tmp_path}/embeddings.parquet")
+    best = lexical([d[:2] for d in docs], items)
+    got = {(r.query_id, r.doc_id): (r.score, r.rank) for r in catalog.QUERIES["bm25_topk"](spark, str(tmp_path)).collect()}
+    assert got.keys() == best.keys() and all(abs(got[k][0] - best[k][0]) < 2e-6 and got[k][1] == best[k][1] for k in best)
+    fused = {(r.query_id, r.doc_id): r for r in catalog.QUERIES["rrf_full_outer"](spark, str(tmp_path)).collect()}
+    assert {k for k, r in fused.items() if r.lexical is not None} == best.keys()
+    words, first = {d[0]: set(split(d[1])) for d in docs}, {}
+    rows = sorted(fused.values(), key=lambda r: (-r.fused, -(r.semantic if r.semantic is not None else -9), r.doc_id))
+    for r in rows:
+        if r.doc_id in words:
+            first.setdefault((r.query_id, r.doc_id % 2), r.doc_id)
+    reranked = {(r.query_id, r.doc_id): r.rerank for r in catalog.QUERIES["rerank_features"](spark, str(tmp_path)).collect()}
+    terms = {q: set(split(t)) for q, t in items}
+    for (q, d), x in reranked.items():
+        want = fused[q, d].fused + 0.35 * len(terms[q] & words[d]) / len(terms[q]) + 0.05 * (first[q, d % 2] == d)
+        assert abs(x - want) < 2e-9
+    assert best.keys() <= reranked.keys()

@@ -25,7 +25,8 @@ def chunks(docs: DataFrame, size: int = 64, overlap: int = 16) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, doc_id, score, rank): documents with all distinct terms of a query.
 
-    Only postings of query terms are shuffled; document lengths ride along with the postings.
+    Only postings of query terms are shuffled; document lengths ride along with the postings. As all
+    terms must be met, only documents with a query's rarest term are scored for it.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("need"))
@@ -34,7 +35,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     posts = split.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
     tf = posts.groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    hits = tf.join(df, "term").join(terms, "term").crossJoin(F.broadcast(stats))
+    rarest = terms.join(df, "term").groupBy("query_id").agg(F.min_by("term", F.struct("df", "term")).alias("term"))
+    asked = tf.select("term", "doc_id").distinct().join(rarest, "term").select("query_id", "doc_id")
+    hits = asked.join(terms, "query_id").join(tf, ["term", "doc_id"]).join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean")))
     scored = hits.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"), F.count("*").alias("met")).join(wanted, "query_id").where("met = need")
