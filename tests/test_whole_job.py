@@ -110,3 +110,13 @@ def test_lexical_search_takes_whole_items(spark, tmp_path, sf):
         want = fused[q, d].fused + 0.35 * len(terms[q] & words[d]) / len(terms[q]) + 0.05 * (first[q, d % 2] == d)
         assert abs(x - want) < 2e-9
     assert best.keys() <= reranked.keys()
+
+
+def test_offsets_hold_for_all_decisions(spark, sf):
+    least, shifts = {}, set()
+    for r in table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").collect():
+        least[r.l_orderkey] = min(least.get(r.l_orderkey, r.l_quantity), r.l_quantity)
+        shifts.add(r.l_linenumber)
+    want = {h: (len(least), (valid := sum(x >= h for x in least.values())), valid == len(least)) for h in shifts}
+    got = {r["shift"]: (r.n, r.valid, r.holds_for_all) for r in catalog.QUERIES["relational_division"](spark, sf).collect()}
+    assert max(least) >= 200 and got == want

@@ -6,7 +6,10 @@ Medians and percentiles follow five definitions that must not be mixed: nearest
 
 from __future__ import annotations
 
-from tidemark.plans.registry import statement
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.plans.registry import projection, query, statement
 
 R = "round"
 
@@ -63,9 +66,19 @@ statement("status_lattice", """
     SELECT decision_id, CASE WHEN bool_or(flag = 'R' AND state = 'O') THEN 'INELIGIBLE' WHEN bool_or(state = 'O') AND bool_or(state = 'F') THEN 'PARTIAL' WHEN bool_or(state = 'O') THEN 'PENDING' WHEN bool_and(state = 'F') THEN 'COMPLETE' ELSE 'UNAVAILABLE' END AS status
     FROM evals GROUP BY decision_id""")
 statement("distinct_sets", "SELECT count(DISTINCT symbol) AS symbols, count(DISTINCT action) AS actions, count(DISTINCT symbol * 10 + length(action)) AS pairs FROM decisions")
-statement("relational_division", """
+
+@query("""
     WITH candidates AS (SELECT DISTINCT horizon AS shift FROM evals), samples AS (SELECT decision_id, min(lag) AS lag FROM evals WHERE decision_id < 200 GROUP BY decision_id)
     SELECT shift, count(*) AS n, CAST(sum(CASE WHEN lag - shift >= 0 THEN 1 ELSE 0 END) AS bigint) AS valid, sum(CASE WHEN lag - shift >= 0 THEN 1 ELSE 0 END) = count(*) AS holds_for_all FROM samples CROSS JOIN candidates GROUP BY shift""")
+def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which offsets hold for all decisions, by counts of their least lags; the oracle's SQL still takes ids below 200."""
+    evals = projection(spark, sf_dir, "evals")
+    lags = evals.groupBy("decision_id").agg(F.min("lag").alias("lag")).groupBy("lag").agg(F.count("*").alias("k"))
+    each = lags.crossJoin(evals.select(F.col("horizon").alias("shift")).distinct()).groupBy("shift")
+    out = each.agg(F.sum("k").alias("n"), F.sum(F.when(F.col("lag") >= F.col("shift"), F.col("k")).otherwise(0)).alias("valid"))
+    return out.withColumn("holds_for_all", F.col("valid") == F.col("n"))
+
+
 statement("series_summary", """
     SELECT symbol, round(min_by(close, day_us), 6) AS first_close, round(max_by(close, day_us), 6) AS last_close, round(max_by(close, day_us) - min_by(close, day_us), 6) AS delta,
       round(1e2 * (max_by(close, day_us) - min_by(close, day_us)) / nullif(min_by(close, day_us), 0), 6) AS pct, count(*) AS n FROM bars GROUP BY symbol""")
