@@ -9,6 +9,7 @@ import numpy as np
 
 import corpus_pipeline
 from tidemark import catalog
+from tidemark.plans.registry import projection
 from tidemark.session import table
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -120,3 +121,14 @@ def test_offsets_hold_for_all_decisions(spark, sf):
     want = {h: (len(least), (valid := sum(x >= h for x in least.values())), valid == len(least)) for h in shifts}
     got = {r["shift"]: (r.n, r.valid, r.holds_for_all) for r in catalog.QUERIES["relational_division"](spark, sf).collect()}
     assert max(least) >= 200 and got == want
+
+
+def test_lessons_of_every_agent(spark, sf):
+    rows = projection(spark, sf, "runs").collect()
+    known = sorted((r for r in rows if r.us <= 852076800000000), key=lambda r: (-r.us, -r.decision_id))
+    want = set()
+    for a in {r.agent for r in rows}:
+        want |= {(a, r.decision_id, k, "same") for k, r in enumerate([r for r in known if r.agent == a][:5], 1)}
+        want |= {(a, r.decision_id, k, "cross") for k, r in enumerate([r for r in known if r.agent != a][:3], 1)}
+    got = [tuple(r) for r in catalog.QUERIES["last_lessons"](spark, sf).select("agent", "decision_id", "place", "kind").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and max(a for a, *_ in want) > 20

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import corpus, evidence
+from tidemark.operators import corpus, evidence, similarity
 from tidemark.operators.asof import asof
 from tidemark.plans.registry import projection, query, statement
 from tidemark.session import table
@@ -144,9 +144,26 @@ statement("market_lifecycle", """
     SELECT symbol, us, CASE WHEN mark = 'VALID' AND was = 'OPENING_VALIDATION' THEN 'OPEN' WHEN mark = 'VALID' THEN 'DATA_ERROR' ELSE mark END AS state FROM m""")
 statement("agent_telemetry", """
     SELECT agent % 10 AS node, count(*) AS calls, round(sum(latency), 2) AS total, round(avg(latency), 4) AS mean, round(median(latency), 4) AS median, @d(latency, 0.95) AS p95, max(latency) AS most, count(DISTINCT revision) AS models FROM runs GROUP BY agent % 10""")
-statement("last_lessons", """
+
+
+@query("""
     SELECT agent, decision_id, CAST(place AS bigint) AS place, kind FROM (SELECT agent, decision_id, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS place, 'same' AS kind FROM runs WHERE agent <= 20 AND us <= 852076800000000) a WHERE place <= 5
     UNION ALL SELECT agent, decision_id, CAST(place AS bigint), kind FROM (SELECT a.agent, r.decision_id, row_number() OVER (PARTITION BY a.agent ORDER BY r.us DESC, r.decision_id DESC) AS place, 'cross' AS kind FROM (SELECT DISTINCT agent FROM runs WHERE agent <= 20) a JOIN runs r ON r.agent <> a.agent AND r.agent <= 20 AND r.us <= 852076800000000) b WHERE place <= 3""")
+def last_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each agent's last five runs and the last three of others; the oracle's SQL still takes agents up to 20.
+
+    At most three runs of each agent can be among the last three of others, and of the six latest of
+    those at most three are an agent's own: so every agent meets these six only.
+    """
+    runs = projection(spark, sf_dir, "runs").where("agent is not null")
+    known = similarity.top_k(runs.where("us <= 852076800000000"), ["agent"], [F.desc("us"), F.desc("decision_id")], 5)
+    same = known.select("agent", "decision_id", F.col("rank").cast("bigint").alias("place"), F.lit("same").alias("kind"))
+    six = known.where("rank <= 3").orderBy(F.desc("us"), F.desc("decision_id")).limit(6).select(F.col("agent").alias("other"), "decision_id", "us")
+    met = runs.select("agent").distinct().join(F.broadcast(six), F.col("agent") != F.col("other"))
+    cross = similarity.top_k(met, ["agent"], [F.desc("us"), F.desc("decision_id")], 3)
+    return same.union(cross.select("agent", "decision_id", F.col("rank").cast("bigint").alias("place"), F.lit("cross").alias("kind")))
+
+
 statement("news_window_flags", """
     SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 1706572800000000 >= 1706486400000000 ELSE us >= 1704931200000000 AND us < 1705363200000000 END AS inside FROM ticks""")
 statement("fundamentals_asof", """
