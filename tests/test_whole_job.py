@@ -132,3 +132,12 @@ def test_lessons_of_every_agent(spark, sf):
         want |= {(a, r.decision_id, k, "cross") for k, r in enumerate([r for r in known if r.agent != a][:3], 1)}
     got = [tuple(r) for r in catalog.QUERIES["last_lessons"](spark, sf).select("agent", "decision_id", "place", "kind").collect()]
     assert len(got) == len(set(got)) and set(got) == want and max(a for a, *_ in want) > 20
+
+
+def test_six_variants_of_every_part(spark, sf):
+    factors = {"tighter_stop": (0.8, 1), "wider_stop": (1.2, 1), "nearer_target": (1, 0.8), "further_target": (1, 1.2), "both_tight": (0.8, 0.8), "both_wide": (1.2, 1.2)}
+    want = {(r.p_partkey, n): (float(r.p_retailprice) * a, float(r.p_retailprice) * b) for r in table(spark, sf, "part").collect() for n, (a, b) in factors.items()}
+    rows = catalog.QUERIES["candidate_variants"](spark, sf).collect()
+    got = {(r.p_partkey, r.name): (float(r.stop), float(r.target)) for r in rows}
+    assert len(rows) == len(want) and got.keys() == want.keys()
+    assert all(abs(x - y) < 1e-4 for k in want for x, y in zip(got[k], want[k], strict=True))

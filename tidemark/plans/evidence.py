@@ -27,9 +27,19 @@ statement("reconciled_positions", """
     FROM orders LEFT JOIN (SELECT l_orderkey, sum(l_extendedprice) AS deals FROM lineitem GROUP BY l_orderkey) d ON o_orderkey = l_orderkey""")
 statement("concept_conflicts", "SELECT p_brand, count(*) AS rules, count(DISTINCT p_type) AS signatures, count(DISTINCT p_type) > 1 AS conflicting, min(p_partkey) AS anchor FROM part GROUP BY p_brand")
 statement("specs_by_semantic_key", "SELECT p_type, p_size, p_partkey, evidence FROM (SELECT p_type, p_size, p_partkey, count(*) OVER (PARTITION BY p_type, p_size) AS evidence, row_number() OVER (PARTITION BY p_type, p_size ORDER BY p_retailprice DESC, p_partkey) AS rn FROM part) q WHERE rn = 1")
-statement("candidate_variants", """
+
+
+@query("""
     SELECT p.p_partkey, v.name, round(p.p_retailprice * v.stop, 4) AS stop, round(p.p_retailprice * v.target, 4) AS target FROM (SELECT * FROM part WHERE p_size <= 10) p
     CROSS JOIN (SELECT 'tighter_stop' AS name, 8e-1 AS stop, 1e0 AS target UNION ALL SELECT 'wider_stop', 12e-1, 1e0 UNION ALL SELECT 'nearer_target', 1e0, 8e-1 UNION ALL SELECT 'further_target', 1e0, 12e-1 UNION ALL SELECT 'both_tight', 8e-1, 8e-1 UNION ALL SELECT 'both_wide', 12e-1, 12e-1) v""")
+def candidate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six variants of every part; the oracle's SQL still takes sizes up to 10 only."""
+    factors = [("tighter_stop", 0.8, 1.0), ("wider_stop", 1.2, 1.0), ("nearer_target", 1.0, 0.8), ("further_target", 1.0, 1.2), ("both_tight", 0.8, 0.8), ("both_wide", 1.2, 1.2)]
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("stop"), F.lit(b).alias("target")) for n, a, b in factors)))
+    parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", each.alias("v"))
+    return parts.select("p_partkey", "v.name", *(F.round(F.col("p_retailprice") * F.col(f"v.{c}"), 4).alias(c) for c in ("stop", "target")))
+
+
 statement("multi_timeframe_snapshot", """
     SELECT symbol, 'M15' AS frame, count(DISTINCT us - us % 900000000) AS bars, max_by(mid, us) AS last_mid FROM ticks GROUP BY symbol UNION ALL SELECT symbol, 'H1', count(DISTINCT us - us % 3600000000), max_by(mid, us) FROM ticks GROUP BY symbol
     UNION ALL SELECT symbol, 'D1', count(DISTINCT us - us % 86400000000), max_by(mid, us) FROM ticks GROUP BY symbol""")
