@@ -6,9 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from tidemark import catalog
+from tidemark.llm import secrets
 from tidemark.plans.registry import projection
 from tidemark.session import table
 
@@ -141,3 +143,26 @@ def test_six_variants_of_every_part(spark, sf):
     got = {(r.p_partkey, r.name): (float(r.stop), float(r.target)) for r in rows}
     assert len(rows) == len(want) and got.keys() == want.keys()
     assert all(abs(x - y) < 1e-4 for k in want for x, y in zip(got[k], want[k], strict=True))
+
+
+def test_secrets_score_all_runs_and_what_patterns_leave(spark, sf):
+    ratio = secrets.fit(table(spark, sf, "documents"))
+    score = lambda t: float(ratio[(x := secrets.SYMBOL[np.frombuffer(t.encode(), np.uint8)])[:-2], x[1:-1], x[2:]].mean())
+    found = lambda t: secrets.spans_of(pa.array([t]), ratio)[0]
+    rng = random.Random(8)
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
+    hits = 0
+    for text in [key(letters, 16 + i) for i in range(30)] + [key(digits, 20 + i % 10) for i in range(30)]:  # no digit, or digits alone
+        want = [(3, 4, 4 + len(text))] if score(text) >= secrets.MIN_RATIO else []
+        assert found(f"see {text} there") == want
+        hits += bool(want)
+    assert hits > 20
+    access = "AKIA" + key(letters[:26], 16)
+    for i in range(20):
+        rest = key(letters + digits, 40)
+        for text, at, piece in ((f"{access}/{rest} x", len(access), "/" + rest), (f"x {rest}/{access}", 2, rest + "/"), (f"{rest}-{access}-{rest}", 0, rest + "-")):
+            spans = found(text)
+            assert 1 in [k for k, *_ in spans]
+            assert ((3, at, at + len(piece)) in spans) == (score(piece) >= secrets.MIN_RATIO)
+    assert (3, len(access), len(access) + len(rest) + 1) in found(f"{access}/{rest}") or score("/" + rest) < secrets.MIN_RATIO

@@ -35,7 +35,6 @@ ASSIGN_HINTS = (b"passw", b"secret", b"token", b"api")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = ~kit.table_of([(0x30, 0x39), (0x61, 0x66)])
 RUN = ~kit.table_of([(0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x2B, 0x2B), (0x2F, 0x2F), (0x5F, 0x5F), (0x3D, 0x3D), (0x2D, 0x2D)])
-DIGIT = ~kit.table_of([(0x30, 0x39)])
 ALPHABET = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz+/_=-"
 SYMBOL = np.full(256, len(ALPHABET), dtype=np.int64)
 SYMBOL[list(ALPHABET)] = np.arange(len(ALPHABET))
@@ -140,6 +139,22 @@ def _split(starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> dict[in
     return out
 
 
+def _left(runs: list[tuple[int, int]], fixed: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans (sorted) leave of runs (in order), in pieces of MIN_RUN or more."""
+    k = 0
+    for s, e in runs:
+        while k < len(fixed) and fixed[k][1] <= s:
+            k += 1
+        j = k
+        while j < len(fixed) and fixed[j][0] < e:
+            if fixed[j][0] - s >= MIN_RUN:
+                yield s, fixed[j][0]
+            s = max(s, fixed[j][1])
+            j += 1
+        if e - s >= MIN_RUN:
+            yield s, e
+
+
 def spans_of(column: pa.Array, ratio: np.ndarray) -> list[list[tuple[int, int, int]]]:
     """For each text (kind, start, end), in code points, sorted."""
     buf, offsets = kit.raw(column)
@@ -148,19 +163,13 @@ def spans_of(column: pa.Array, ratio: np.ndarray) -> list[list[tuple[int, int, i
     hexes = _split(a[keep], b[keep], offsets)
     a, b = kit.runs(RUN[buf], offsets)
     keep = b - a >= MIN_RUN
-    a, b = a[keep], b[keep]
-    digits = np.concatenate([[0], np.cumsum(DIGIT[buf])])
-    n = digits[b] - digits[a]
-    keep = (n > 0) & (n < b - a)
     scored = _split(a[keep], b[keep], offsets)
     whole, out = buf.tobytes(), []
     for i in range(len(offsets) - 1):
         text = whole[offsets[i] : offsets[i + 1]]
         found = base(text, hexes.get(i, []))
-        fixed = list(found)
-        for s, e in scored.get(i, []):
-            if any(s < y and x < e for _, x, y in fixed):
-                continue
+        fixed = sorted((s, e) for _, s, e in found)
+        for s, e in _left(scored.get(i, []), fixed):
             x = SYMBOL[np.frombuffer(text[s:e], dtype=np.uint8)]
             if ratio[x[:-2], x[1:-1], x[2:]].mean() >= MIN_RATIO:
                 found.append((3, s, e))
