@@ -10,7 +10,7 @@ import pyarrow as pa
 
 import corpus_pipeline
 from tidemark import catalog
-from tidemark.llm import secrets
+from tidemark.llm import jaccard, secrets
 from tidemark.plans.registry import projection
 from tidemark.session import table
 
@@ -166,3 +166,14 @@ def test_secrets_score_all_runs_and_what_patterns_leave(spark, sf):
             assert 1 in [k for k, *_ in spans]
             assert ((3, at, at + len(piece)) in spans) == (score(piece) >= secrets.MIN_RATIO)
     assert (3, len(access), len(access) + len(rest) + 1) in found(f"{access}/{rest}") or score("/" + rest) < secrets.MIN_RATIO
+
+
+def test_rows_without_id_are_no_hubs(spark):
+    base = [f"t{i}" for i in range(200)]
+    rows = [(None, " ".join(base), "en", "s", 0)]
+    for i in range(30):
+        rows.append((i, " ".join(base[: 6 * i + 5] + [f"x{i}"] + base[6 * i + 6 :]), "en", "s", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r.doc_id: r.component_id for r in jaccard.clustered(docs).collect()}
+    assert got == {None: None} | {i: 0 for i in range(30)}  # any two share 192 of 204 shingles
+    assert {r.doc_id for r in jaccard.first_of_each(docs).collect()} == {None, 0}

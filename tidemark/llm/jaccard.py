@@ -256,6 +256,7 @@ def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, names: DataFr
     A pair that isn't named is connected through a hub that both are similar to.
     """
     prepare(docs.sparkSession)
+    docs = docs.where("doc_id is not null")  # a hub of groups must have a set, and only named rows are fetched
     groups = cut(grouped(docs, n, percent))
     wanted = groups.select("node").distinct()
     names = named(docs, n) if names is None else names
