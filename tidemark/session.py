@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that the cluster names.
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints, set if it is not.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests) is a folder of our own used.
+    Only a local session (tests) gets one of its own: on a cluster a folder of this machine would be
+    another one on each executor.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-cp-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidemark-cp-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the folder that the cluster names."""
+    _folder(df.sparkSession)
     return df.checkpoint()
+
+
+class Scratch:
+    """Tables written in the checkpoint folder, which go when the block ends."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.top = spark, f"{_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.top)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def written(self, df: DataFrame, *by: str) -> DataFrame:
+        """The rows, from a table written once; readers of some values of ``by`` read only those."""
+        path = f"{self.top}/{uuid.uuid4().hex}"
+        df.write.partitionBy(*by).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
