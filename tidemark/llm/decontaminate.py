@@ -29,8 +29,6 @@ from tidemark.session import prepare, table
 WINDOW = 10
 #: Most bytes of benchmark text that are sent to every executor.
 BROADCAST_BYTES = 8 << 20
-FOLD = np.arange(256, dtype=np.uint8)
-FOLD[65:91] += 32
 
 SCAN = "doc_id bigint, n_words bigint, n_hit bigint, items array<bigint>, spans array<struct<start:bigint,stop:bigint>>"
 
@@ -65,7 +63,7 @@ def ramp(n: np.ndarray) -> np.ndarray:
 def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> Index:
     items = sorted({(i, t) for i, t in items if i is not None and t})
     words = kit.Words(pa.array([t for _, t in items], pa.string()), kit.ALNUM, lower=True)
-    buf = FOLD[words.buf]
+    buf = kit.FOLD[words.buf]
     known: dict[bytes, tuple[int, int, int, set[int]]] = {}
     for row, (item, _) in enumerate(items):
         a, b = int(words.first[row]), int(words.first[row + 1])
@@ -111,7 +109,7 @@ def verified(words: kit.Words, folded: np.ndarray, index: Index, at: np.ndarray,
 
 def hits_of(words: kit.Words, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """All verified occurrences in a slab: first word and window."""
-    folded, found = FOLD[words.buf], []
+    folded, found = kit.FOLD[words.buf], []
     for size in np.unique(index.size).tolist():
         starts = kit.window_starts(words.first, size)
         place, window = index.find(kit.window_hash(words.hash, size, starts))

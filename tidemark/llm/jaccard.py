@@ -6,18 +6,31 @@ one-deletion neighbourhood count two and the sum passes H, similar sets share a
 segments are of which kind is the cheapest allocation under a cost of rows and of chance matches.
 A set is signed for its own band and, as the smaller partner, for the next.
 
-Equal sets are one node. Within a signature's group only a *hub* (the node most often met) is
-compared with every member; two members that are not both similar to the hub can only be similar
+Where all segments are exact there are some more of them than H + 1, so a similar pair shares a
+subset of several: each set may then leave out that many of its signatures but for one. It leaves
+out those of empty segments, and of the others the ones that most sets have, by one order for all
+sets. Two similar sets still meet, and a line that a third of all documents share brings none together.
+
+Signatures travel as sorted hashes in packs by bucket. A bucket gives the pairs of small groups and
+the rows of groups of more than ``SMALL``. There only a *hub* (the set most often met) is compared
+with every member; two members that are not both similar to the hub can only be similar
 if they share enough shingles of their differences from it (else their distance is too near the sum
-of both), so those that may are regrouped by (hub, shingle of the difference) until none is left. Groups
-of at most ``SMALL`` members compare directly; members that hubs leave meet by the rarest shingles of
-their differences, in groups of at most ``PAIRED``, and larger ones get hubs of their own. No pair is lost, none is capped, and a group of k
+of both), so those that may are regrouped by (hub, shingle of the difference) until none is left.
+Members that hubs leave meet by the rarest shingles of their differences, in groups of at most
+``PAIRED``, and larger ones get hubs of their own. No pair is lost, none is capped, and a group of k
 near copies costs about k comparisons instead of k * k.
 
-Shingles, sets and signatures are 64-bit hashes; the comparison itself counts shingles of both sets.
+Equal sets are one class, named by two 64-bit hashes and the size; its id is the least doc_id. The
+hashes of nodes and signatures in packs only filter. A sketch (how many shingles fall in each of some
+counters) rules out pairs whose counts differ too much; all others are compared by their whole sets
+of 64-bit shingle hashes.
+
 Edge cases: null, empty and wordless texts have empty sets and link with nothing; a text of fewer
 words than n is one shingle; rows with a null doc_id are returned but name no component; repeated
-rows have equal sets and so one component; an empty table gives an empty result.
+rows, and different texts of one doc_id, are rows of their own (equal ones in one component); a very
+long text is a slab by itself; ties of hubs go to the greater id, of signatures to the lesser hash;
+columns besides doc_id and text are ignored, whatever their names; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -25,6 +38,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from functools import cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,17 +46,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import kit
-from tidemark.operators.components import components
 from tidemark.llm.decontaminate import ramp
-from tidemark.session import cut, prepare, table
+from tidemark.llm.substrings import packed, unpacked
+from tidemark.operators.components import components
+from tidemark.session import Scratch, cut, prepare, table
 
 NGRAM, PERCENT = 3, 90
 #: Members of a group that are compared directly; the same for what hubs leave.
-SMALL, PAIRED = 12, 256
-#: Most doc_ids sent to every executor (eight bytes each).
-BROADCAST_IDS = 2_000_000
-#: Cost of a chance match against that of a signature row, for the allocation.
-CHANCE = 1e4
+SMALL, PAIRED = 8, 256
+#: Most doc_ids sent to every executor (24 bytes each).
+BROADCAST_IDS = 500_000
+#: Cost of a hot signature that means nothing against that of a row, for the allocation.
+CHANCE = 1e3
+#: Signatures that a Python worker packs at a time, and bytes of a bucket of packs.
+FLUSH, BUCKET_BYTES = 1 << 20, 8 << 20
+#: Bits of a node's hash in a pack, beside one for whether it is in its own band.
+NODE_BITS = 39
 
 
 @cache
@@ -54,18 +73,46 @@ def bands(percent: int) -> np.ndarray:
     return np.array(out, dtype=np.int64)
 
 
+class Allocation(NamedTuple):
+    """Segments of a band, and how many signatures a set may leave out: empty and frequent ones."""
+
+    exact: int
+    deleted: int
+    empties: int
+    frequent: int
+
+
+def _more_than(k: int, mean: float) -> float:
+    """The chance that a Poisson variable exceeds k."""
+    return min(1.0, sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k + 1, k + 200))) if mean > 0 else 0.0
+
+
 @cache
-def allocation(band: int, percent: int) -> tuple[int, int]:
-    """Numbers of exact segments and of segments with one-deletion neighbourhoods for a band."""
+def allocation(band: int, percent: int) -> Allocation:
+    """The cheapest allocation for a band; no segments where only equal sets are similar.
+
+    With m exact segments and most differences H, a similar pair shares m - H signatures. One more
+    than ``empties + frequent`` would do; another allows for two signatures of a set that collide.
+    """
     lo, hi = int(bands(percent)[band]), int(bands(percent)[band + 1]) - 1
     most = 2 * hi * (100 - percent) // (100 + percent)
-
-    def cost(exact: int, deleted: int) -> float:
-        each = lo / (exact + deleted)
-        return exact * (1 + CHANCE * math.exp(-each)) + deleted * (1 + each) * (1 + CHANCE * math.exp(1 - each))
-
-    steps = sorted({round(most / 2 * i / 16) for i in range(17)} | {(most + 2) // 2})
-    return min(((max(most + 1 - 2 * d, 0), d) for d in steps if max(most + 1 - 2 * d, 0) + d > 0), key=lambda x: cost(*x))
+    if not most:
+        return Allocation(0, 0, 0, 0)
+    found = []
+    for d in sorted({round(most / 2 * i / 16) for i in range(17)} | {(most + 2) // 2}):
+        e = max(most + 1 - 2 * d, 0)
+        if e + d:
+            each = lo / (e + d)
+            rows = e + d * (1 + each)
+            found.append((rows + CHANCE * (e * math.exp(-each) + d * (1 + each) * math.exp(-each)), Allocation(e, d, 0, 0)))
+    empties = 0
+    while empties <= most + 8:
+        m = most + 2 + empties
+        frequent = 2 + m // 32
+        m += frequent
+        found.append((m + CHANCE * _more_than(empties, m * math.exp(-lo / m)), Allocation(m, 0, empties, frequent)))
+        empties += 1 + empties // 8
+    return min(found)[1]
 
 
 class Sets:
@@ -78,7 +125,11 @@ class Sets:
         short = np.flatnonzero((words.count > 0) & (words.count < n))
         h = np.concatenate([kit.window_hash(words.hash, n, starts), kit.span_hash(words.hash, words.first[short], words.first[short + 1])])
         row = np.concatenate([row, short])
-        order = np.lexsort((h, row))
+        bits = np.uint64(max(1, len(words.count).bit_length()))
+        key = row.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits
+        order = np.argsort(key)
+        if len(h) and ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
+            order = np.lexsort((h, row))  # hashes of a row that differ only in the bits left out
         h, row = h[order], row[order]
         if len(h):
             keep = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
@@ -86,10 +137,20 @@ class Sets:
         self.shingle, self.row = h, row
         self.first = np.searchsorted(row, np.arange(len(words.count) + 1))
         self.size = np.diff(self.first)
-        total = np.zeros(len(h) + 1, dtype=np.uint64)
+        self.name, self.name2 = (self._name(salt) for salt in (np.uint64(0xA5A5), np.uint64(0x3C3C << 32)))
+
+    def _name(self, salt: np.uint64) -> np.ndarray:
+        total = np.zeros(len(self.shingle) + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(kit.mix(h ^ np.uint64(0xA5A5)), out=total[1:])
-            self.name = kit.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.size.astype(np.uint64)).view(np.int64)
+            np.cumsum(kit.mix(kit.mix(self.shingle ^ salt) + kit.STEP), out=total[1:])
+            return kit.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.size.astype(np.uint64)).view(np.int64)
+
+    def sketches(self) -> pa.Array:
+        """For each row how many shingles fall in each of a power of two of counters, 255 at most."""
+        width = 1 << np.maximum(3, np.log2(np.maximum(self.size, 1)).astype(np.int64) - 1)
+        bounds = np.concatenate([[0], np.cumsum(width)])
+        place = bounds[self.row] + (kit.mix(self.shingle ^ np.uint64(0x5C)) & (width[self.row] - 1).astype(np.uint64)).astype(np.int64)
+        return kit.binaries(np.minimum(np.bincount(place, minlength=int(bounds[-1])), 255).astype(np.uint8), bounds)
 
     def signatures(self, rows: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Signatures of the given rows (with non-empty sets), their rows, and whether of the own band."""
@@ -97,17 +158,20 @@ class Sets:
         own = np.searchsorted(bands(percent), self.size[rows], side="right") - 1
         for step in (0, 1):
             for band in np.unique(own).tolist():
-                exact, deleted = allocation(band + step, percent)
+                exact, deleted, empties, _ = allocation(band + step, percent)
+                if not (m := exact + deleted):
+                    continue
                 some = rows[own == band]
                 at = np.repeat(self.first[some], self.size[some]) + ramp(self.size[some])
                 token = kit.mix(self.shingle[at])
-                m = exact + deleted
                 segment = (kit.mix(self.shingle[at] ^ np.uint64(band + step + 1)) % np.uint64(m)).astype(np.int64)
                 place = np.repeat(np.arange(len(some)), self.size[some]) * m + segment
                 total = np.zeros(len(some) * m, dtype=np.uint64)
                 np.add.at(total, place, token)
                 salt = kit.mix(np.arange(m, dtype=np.uint64) + np.uint64((band + step) << 32))
-                out.append((kit.mix(total.reshape(-1, m) ^ salt).ravel(), np.repeat(some, m), step == 0))
+                empty = np.bincount(place, minlength=len(total)).reshape(-1, m) == 0
+                used = (~empty | (np.cumsum(empty, axis=1) > empties)).ravel()
+                out.append((kit.mix(total.reshape(-1, m) ^ salt).ravel()[used], np.repeat(some, m)[used], step == 0))
                 if deleted:
                     near = segment < deleted
                     with np.errstate(over="ignore"):
@@ -117,6 +181,17 @@ class Sets:
         return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out]), np.repeat([x[2] for x in out], [len(x[0]) for x in out])
 
 
+class Deal:
+    """How signatures of ``size`` bytes of text are dealt: bits of a key, buckets, partitions."""
+
+    def __init__(self, docs: DataFrame) -> None:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        self.bits = min(63, max(36, size.bit_length() + 8))
+        self.bucket_bits = (max(least, size // BUCKET_BYTES) - 1).bit_length()
+        self.parts = max(least, size // (2 * BUCKET_BYTES))
+
+
 def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.RecordBatch], *columns: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,53 +201,142 @@ def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.Reco
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-def named(docs: DataFrame, n: int = NGRAM) -> DataFrame:
-    """doc_id, n_shingles and the set's name, null for an empty set."""
+NAMES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, own_out int, next_out int, sketch binary"
+PACK = "bucket bigint, keys binary, nodes binary"
+MET = f"kind string, gid bigint, a bigint, b bigint, own boolean, k bigint, {NAMES}"
 
-    def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = Sets(part.column("text"), n)
-        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.size, pa.int64()), pa.array(sets.name, mask=sets.size == 0)], names=["doc_id", "n_shingles", "node"])
 
-    return _over(docs, "doc_id bigint, n_shingles bigint, node bigint", make, "doc_id", "text")
+def _names(part: pa.RecordBatch, sets: Sets, percent: int) -> pa.RecordBatch:
+    """A row for each text: its set's names and sketch, and how many frequent signatures it leaves out."""
+    band = np.searchsorted(bands(percent), np.maximum(sets.size, 1), side="right") - 1
+    out = [np.array([allocation(b + step, percent).frequent for b in band.tolist()], dtype=np.int32) for step in (0, 1)]
+    void = sets.size == 0
+    columns = [part.column("doc_id"), pa.array(sets.size, pa.int64()), pa.array(sets.name, mask=void), pa.array(sets.name2, mask=void), *map(pa.array, out), sets.sketches()]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "own_out", "next_out", "sketch"])
 
 
-def signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(sig, node, flags): a leading row for each signature and slab, others besides.
+def _node(name: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The part of a name that travels, above a bit for the own band."""
+    return (name.view(np.uint64) >> np.uint64(64 - NODE_BITS)) << np.uint64(1) | own.astype(np.uint64)
 
-    Only leading rows need to meet those of other slabs. Flags add 1 for a node in its own band, 2
-    for a leading row, 4 if the slab has several nodes of the signature, 8 if one is in its own band.
-    """
 
-    def make(part: pa.RecordBatch) -> pa.RecordBatch:
-        sets = Sets(part.column("text"), n)
-        filled = np.flatnonzero(sets.size)
-        rows = filled[np.unique(sets.name[filled], return_index=True)[1]]
-        sig, row, own = sets.signatures(rows, percent)
-        node = sets.name[row]
-        order = np.lexsort((~own, node, sig))
-        sig, node, own = sig[order], node[order], own[order]
-        flags = np.zeros(len(sig), dtype=np.int8)
-        if len(sig):
-            keep = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-            sig, node, own = sig[keep], node[keep], own[keep]
-            lead = np.concatenate([[True], sig[1:] != sig[:-1]])
-            begin, which = np.flatnonzero(lead), np.cumsum(lead) - 1
-            several = (np.diff(np.append(begin, len(sig))) > 1)[which]
-            flags = (own + 2 * lead + 4 * several + 8 * np.maximum.reduceat(own, begin)[which]).astype(np.int8)
-        return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(node), pa.array(flags)], names=["sig", "node", "flags"])
-
-    return _over(docs, "sig bigint, node bigint, flags tinyint", make, "text")
-
-
-def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(gid, node, own) of all signatures that two nodes have, one of them in its own band."""
-    rows = signed(docs, n, percent)
-    over = Window.partitionBy("sig")
-    # a node that leads in several slabs counts once: the least and the greatest leading node differ
-    met = rows.where("flags & 2 > 0").select("sig", "node", "flags", F.min("node").over(over).alias("lo"), F.max("node").over(over).alias("hi"), F.bit_or("flags").over(over).alias("all"))
-    met = met.where("(lo < hi or all & 4 > 0) and all & 8 > 0").select("sig", "node", "flags")
-    both = met.union(rows.where("flags & 2 = 0"))
-    return both.groupBy(F.col("sig").alias("gid"), "node").agg(F.max(F.expr("flags & 1 > 0")).alias("own"))
+def _distinct(key: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows sorted by key and node, one for each; in its own band if one of them is."""
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    last = np.ones(len(key), dtype=bool)
+    last[:-1] = (key[1:] != key[:-1]) | (node[1:] >> np.uint64(1) != node[:-1] >> np.uint64(1))
+    return key[last], node[last]
+
+
+def signed(docs: DataFrame, n: int, percent: int, deal: Deal) -> DataFrame:
+    """Packs of signatures by bucket, and the names of all texts (packs without nodes)."""
+
+    def flush(key: list[np.ndarray], node: list[np.ndarray]) -> pa.RecordBatch:
+        k, v = _distinct(np.concatenate(key), np.concatenate(node))
+        bucket = k >> np.uint64(deal.bits - deal.bucket_bits)
+        begin = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(k) else np.zeros(0, np.int64)
+        stop = np.append(begin[1:], len(k))
+        keys = [packed(k[a:b]) for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+        low, high = v.astype(np.uint32), (v >> np.uint64(32)).astype(np.uint8)
+        nodes = [low[a:b].tobytes() + high[a:b].tobytes() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(bucket[begin].astype(np.int64)), pa.array(keys, pa.binary()), pa.array(nodes, pa.binary())], names=["bucket", "keys", "nodes"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, node, held = [], [], 0
+        for batch in batches:
+            for part in kit.slabs(batch, limit=2 * kit.SLAB):
+                sets = Sets(part.column("text"), n)
+                names = _names(part, sets, percent)
+                at = int(sets.name.view(np.uint64).sum() >> np.uint64(64 - deal.bucket_bits)) if deal.bucket_bits else 0
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([bytes(names.serialize())]), pa.array([None], pa.binary())], names=["bucket", "keys", "nodes"])
+                rows = np.flatnonzero((sets.size > 0) & part.column("doc_id").is_valid().to_numpy(zero_copy_only=False))
+                rows = rows[np.unique(sets.name[rows], return_index=True)[1]]
+                sig, row, own = sets.signatures(rows, percent)
+                key.append(sig >> np.uint64(64 - deal.bits))
+                node.append(_node(sets.name[row], own))
+                held += len(sig)
+                if held >= FLUSH:
+                    yield flush(key, node)
+                    key, node, held = [], [], 0
+        if held:
+            yield flush(key, node)
+
+    return docs.select("doc_id", "text").mapInArrow(run, PACK)
+
+
+def _pairs(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs of the members of groups, one of each in its own band."""
+    out = []
+    for k in np.unique(size).tolist():
+        members = node[begin[size == k][:, None] + np.arange(k)]
+        for i in range(k):
+            for j in range(i + 1, k):
+                a, b = members[:, i], members[:, j]
+                met = (a | b) & np.uint64(1) > 0
+                out.append(np.stack([a[met], b[met]], axis=1) >> np.uint64(1))
+    both = np.unique(np.concatenate(out), axis=0).view(np.int64) if out else np.zeros((0, 2), np.int64)
+    return both[:, 0], both[:, 1]
+
+
+def _meet(rows: pa.Table) -> pa.Table:
+    """Of a bucket the pairs of small groups, the rows of large ones, and the names that came along."""
+    names_schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own_out", pa.int32()), ("next_out", pa.int32()), ("sketch", pa.binary())])
+    keys, nodes = rows["keys"].to_pylist(), rows["nodes"].to_pylist()
+    names = [pa.ipc.read_record_batch(pa.py_buffer(x), names_schema) for x, y in zip(keys, nodes, strict=True) if y is None]
+    some = pa.Table.from_batches(names, names_schema)
+    keys, nodes = [unpacked(x) for x, y in zip(keys, nodes, strict=True) if y is not None], [y for y in nodes if y is not None]
+    if keys:
+        low = np.concatenate([np.frombuffer(x, dtype=np.uint32, count=len(x) // 5) for x in nodes])
+        high = np.concatenate([np.frombuffer(x, dtype=np.uint8, offset=len(x) // 5 * 4) for x in nodes])
+        key, node = _distinct(np.concatenate(keys), low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32))
+    else:
+        key, node = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(key)))
+    own = np.maximum.reduceat(node & np.uint64(1), begin) > 0 if len(key) else np.zeros(0, bool)
+    small, large = own & (size > 1) & (size <= SMALL), own & (size > SMALL)
+    a, b = _pairs(node, begin[small], size[small])
+    at = np.repeat(begin[large], size[large]) + ramp(size[large])
+    no = lambda t, n: pa.nulls(n, t)
+    columns = {
+        "kind": pa.concat_arrays([pa.array([x] * n, pa.string()) for x, n in (("pair", len(a)), ("large", len(at)), ("name", len(some)))]),
+        "gid": pa.concat_arrays([no(pa.int64(), len(a)), pa.array(key[at].astype(np.int64)), no(pa.int64(), len(some))]),
+        "a": pa.concat_arrays([pa.array(a), pa.array((node[at] >> np.uint64(1)).astype(np.int64)), no(pa.int64(), len(some))]),
+        "b": pa.concat_arrays([pa.array(b), no(pa.int64(), len(at) + len(some))]),
+        "own": pa.concat_arrays([no(pa.bool_(), len(a)), pa.array((node[at] & np.uint64(1)) > 0), no(pa.bool_(), len(some))]),
+        "k": pa.concat_arrays([no(pa.int64(), len(a)), pa.array(np.repeat(size[large], size[large])), no(pa.int64(), len(some))]),
+    }
+    for field in names_schema:
+        columns[field.name] = pa.concat_arrays([no(field.type, len(a) + len(at)), *some[field.name].chunks])
+    return pa.table(columns)
+
+
+def met(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The rows of MET, by kind: pairs (a, b) of nodes, rows (gid, a, own, k) of large groups, names."""
+    deal = Deal(docs)
+    return signed(docs, n, percent, deal).repartition(deal.parts, "bucket").groupBy("bucket").applyInArrow(_meet, MET)
+
+
+def possible(pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, star) whose sizes and sketches don't rule out that they are similar; all stars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = np.ones(batch.num_rows, dtype=bool)
+            n = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
+            width = [batch.column(f"sketch_{x}").cast(pa.large_binary()) for x in "ab"]
+            width = [np.diff(np.frombuffer(w.buffers()[1], dtype=np.int64)[w.offset : w.offset + len(w) + 1]) for w in width]
+            data = [np.frombuffer(b"".join(batch.column(f"sketch_{x}").to_pylist()), dtype=np.uint8).astype(np.int16) for x in "ab"]
+            at = [np.cumsum(w) - w for w in width]
+            for wa, wb in np.unique(np.stack(width, axis=1), axis=0).tolist():
+                rows = np.flatnonzero((width[0] == wa) & (width[1] == wb))
+                w = min(wa, wb)  # the wider one is folded
+                folded = [data[i][at[i][rows][:, None] + np.arange(v)].reshape(len(rows), -1, w).sum(axis=1) for i, v in ((0, wa), (1, wb))]
+                keep[rows] = np.abs(folded[0] - folded[1]).sum(axis=1) <= (n[0] + n[1])[rows] * (100 - percent) // (100 + percent)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("star")], names=["a", "b", "star"]).filter(pa.array(keep))
+
+    return pairs.select("a", "b", "star", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint, star boolean")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -189,7 +353,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 differ.append(rest.view(np.int64) if star else None)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("size_b"), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int64()))], names=["a", "b", "size_b", "linked", "differ"])
 
-    a, b = (sets.select(F.col("node").alias(k), F.col("shingles").alias(f"set_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
+    a, b = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
     both = pairs.join(b, "b").join(a, "a").where(f"star or 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
     return both.select("a", "b", "size_b", "star", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, size_b bigint, linked boolean, differ array<bigint>")
 
@@ -250,58 +414,74 @@ def remaining(done: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return cut(pairs.distinct()), cut(groups)
 
 
-def links(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT, names: DataFrame | None = None) -> DataFrame:
-    """Pairs of nodes (a, b) whose similarity passes: enough of them to connect all similar nodes.
+def candidates(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """From the rows of MET: the classes (id, h1, h2), the pairs to compare, and the large groups.
 
-    A pair that isn't named is connected through a hub that both are similar to.
+    Ids of a node are joined to it here; two classes that share a node become a pair.
+    """
+    names = found.where("kind = 'name' and doc_id is not null and n_shingles > 0")
+    node = F.shiftrightunsigned("h1", 64 - NODE_BITS).alias("node")
+    classes = cut(names.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("own_out").alias("own_out"), F.first("next_out").alias("next_out"), F.first("sketch").alias("sketch")).select(node, "id", "h1", "h2", "n", "own_out", "next_out", "sketch"))
+    side = lambda k: classes.select(F.col("node").alias(f"node_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    pairs = found.where("kind = 'pair'").select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).distinct()
+    same = classes.groupBy(F.col("node").alias("node_a")).agg(F.count("*").alias("k")).where("k > 1").select("node_a", F.col("node_a").alias("node_b"))
+    pairs = pairs.union(same).join(side("a"), "node_a").join(side("b"), "node_b").where(f"(node_a <> node_b or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = possible(pairs.withColumn("star", F.lit(False)), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    large = found.where("kind = 'large'").select("gid", F.col("a").alias("node"), "own", "k").join(classes.select("node", "id", F.col("own_out"), F.col("next_out")), "node")
+    rank = F.row_number().over(Window.partitionBy("id", "own").orderBy(F.col("k").desc(), "gid"))
+    large = large.withColumn("i", rank).where("i > if(own, own_out, next_out)").select("gid", F.col("id").alias("node"), "own")
+    return classes.select("id", "h1", "h2"), cut(pairs.distinct()), cut(large)
+
+
+def links(docs: DataFrame, found: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """Pairs of class ids (a, b) whose similarity passes: enough of them to connect all similar classes.
+
+    ``found`` is what ``met`` gives. A pair that isn't named is connected through a hub that both are
+    similar to.
     """
-    prepare(docs.sparkSession)
-    docs = docs.where("doc_id is not null")  # a hub of groups must have a set, and only named rows are fetched
-    groups = cut(grouped(docs, n, percent))
-    wanted = groups.select("node").distinct()
-    names = named(docs, n) if names is None else names
-    first = names.where("node is not null and doc_id is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    ids = first.select("doc_id").distinct()
+    classes, left, groups = candidates(found, percent)
+    wanted = left.select(F.col("a").alias("id")).union(left.select("b")).union(groups.select("node")).distinct()
+    ids = _sent(classes.join(wanted, "id", "left_semi"))
     # documents with a partner: where few, their ids are sent out and the texts stay in place
-    picked = docs.join(_sent(ids), "doc_id", "left_semi")
+    picked = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
     def make(part: pa.RecordBatch) -> pa.RecordBatch:
         sets = Sets(part.column("text"), n)
         data = kit.binaries(sets.shingle.view(np.uint8), sets.first * 8)
-        return pa.RecordBatch.from_arrays([pa.array(sets.name), pa.array(sets.size, pa.int64()), data], names=["node", "size", "shingles"])
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sets.name), pa.array(sets.name2), pa.array(sets.size, pa.int64()), data], names=["id", "h1", "h2", "size", "shingles"])
 
-    sets = _over(picked, "node bigint, size bigint, shingles binary", make, "text").where("size > 0").dropDuplicates(["node"])
-    sets, found, left = cut(sets), [], None
+    sets = _over(picked, "id bigint, h1 bigint, h2 bigint, size bigint, shingles binary", make, "doc_id", "text")
+    sets, out = cut(sets.join(ids, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])), []
     while True:
         size = groups.groupBy("gid").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some")
         groups = groups.join(size.drop("some"), "gid")
         small, large = groups.where(f"k <= {SMALL}"), groups.where(f"k > {SMALL}")
         one, two = small.select("gid", F.col("node").alias("a"), F.col("own").alias("o1")), small.select("gid", F.col("node").alias("b"), F.col("own").alias("o2"))
         near = one.join(two, "gid").where("a < b and (o1 or o2)").select("a", "b", F.lit(False).alias("star"))
-        if left is not None:
-            near = near.union(left.withColumn("star", F.lit(False)))
+        near = near.union(left.select("a", "b", F.lit(False)))
         weight = large.groupBy("node").agg(F.sum("k").alias("w"))
         hubs = large.join(weight, "node").groupBy("gid").agg(F.max_by("node", F.struct("w", "node")).alias("hub"))
         stars = large.join(hubs, "gid").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
         done = cut(verified(near.union(stars).groupBy("a", "b").agg(F.max("star").alias("star")), sets, percent))
-        found.append(done.where("linked").select("a", "b"))
+        out.append(done.where("linked").select("a", "b"))
         if not done.where("differ is not null").limit(1).count():
             break
         left, groups = remaining(done, percent)
-    out = found[0]
-    for more in found[1:]:
-        out = out.union(more)
-    return out.distinct()
+    both = out[0]
+    for more in out[1:]:
+        both = both.union(more)
+    return both.distinct()
 
 
 def clustered(docs: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
     """Per document: doc_id, n_shingles and component_id, the least doc_id reachable by links."""
-    prepare(docs.sparkSession)
-    names = cut(named(docs, n))
-    roots = components(links(docs, n, percent, names))
-    rooted = names.join(roots, names.node == roots.node, "left").select("doc_id", "n_shingles", F.coalesce("root", names.node).alias("root"))
-    least = rooted.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
-    out = rooted.join(least, "root", "left")
+    with Scratch(prepare(docs.sparkSession)) as scratch:
+        found = scratch.written(met(docs, n, percent), "kind")
+        names = cut(found.where("kind = 'name'").select("doc_id", "n_shingles", "h1", "h2"))
+        roots = components(links(docs, found, n, percent))
+    classes = names.where("doc_id is not null and n_shingles > 0").groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("id"))
+    rooted = classes.join(roots, classes.id == roots.node, "left").select("h1", "h2", "n_shingles", F.coalesce("root", "id").alias("least"))
+    out = names.join(rooted, ["h1", "h2", "n_shingles"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")).alias("component_id"))
 
 

@@ -7,6 +7,7 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,30 +30,14 @@ def table_of(ranges: list[tuple[int, int]]) -> np.ndarray:
 SPACED = table_of([(0x20, 0x20), (0x09, 0x0D)])
 ALNUM = table_of([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
-_rng = np.random.default_rng(20240229)
-_CODE = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)
-_LOWER = _CODE.copy()
-_LOWER[65:91] = _CODE[97:123]
-_CODE2 = _rng.integers(1, 2**63, size=256, dtype=np.uint64) * U64(2) + U64(1)
-_BASES = [0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F]
+#: ASCII letters in lower case, other bytes as they are.
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
 
-
-class _Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, grown on demand."""
-
-    def __init__(self, base: int) -> None:
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def __call__(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            size = -(-n // (1 << 17)) * (1 << 17)  # not doubled: workers keep them
-            with np.errstate(over="ignore"):
-                self.up, self.down = (np.cumprod(np.concatenate([[U64(1)], np.full(size - 1, b, dtype=np.uint64)]), dtype=np.uint64) for b in (self.base, self.inverse))
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = [_Powers(b) for b in _BASES]
+STEP, SEEDS = U64(0x9E3779B97F4A7C15), (0x243F6A8885A308D3, 0x13198A2E03707344)
+#: Slices of more bytes than this are hashed one by one by a cryptographic hash.
+LONG = 256
+_MASKS = np.array([(1 << (8 * i)) - 1 for i in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -115,32 +100,57 @@ class Words:
         self.start, self.end = runs(inside[self.buf], self.offsets)
         self.first = np.searchsorted(self.start, self.offsets)
         self.count = np.diff(self.first)
-        self.hash = self._hash(_LOWER if lower else _CODE, 0)
-        self.hash2 = self._hash(_CODE2, 1) if second else None
-
-    def _hash(self, code: np.ndarray, which: int) -> np.ndarray:
-        up, down = _POWERS[which](len(self.buf) + 1)
-        with np.errstate(over="ignore"):
-            total = np.zeros(len(self.buf) + 1, dtype=np.uint64)
-            np.cumsum(code[self.buf] * up[:-1], out=total[1:])
-            return mix((total[self.end] - total[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        buf = FOLD[self.buf] if lower else self.buf
+        self.hash = byte_hash(buf, self.start, self.end)
+        self.hash2 = byte_hash(buf, self.start, self.end, 1) if second else None
 
     def row(self) -> np.ndarray:
         """The row of each word."""
         return np.repeat(np.arange(len(self.count)), self.count)
 
-    def windows(self, n: int, short: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Starts (word indices) of the windows of ``n`` words inside a row, and their hashes."""
-        return window_starts(self.first, n), window_hash(self.hash, n, window_starts(self.first, n))
 
+def lanes(buf: np.ndarray) -> np.ndarray:
+    """For each byte the eight from it on, as one number; zeros follow the last."""
+    padded = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, dtype="<u8", buffer=padded, strides=(1,))
 
-def byte_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte slices."""
-    up, down = _POWERS[0](len(buf) + 1)
+
+def byte_hash(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """Hashes of byte slices: eight bytes at a time go through a mixing function.
+
+    No sum of powers, which Thue-Morse strings defeat whatever the base; slices of more than
+    ``LONG`` bytes are hashed by BLAKE2.
+    """
+    size = end - start
     with np.errstate(over="ignore"):
-        total = np.zeros(len(buf) + 1, dtype=np.uint64)
-        np.cumsum(_CODE[buf] * up[:-1], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        h = mix(size.astype(np.uint64) * STEP ^ U64(SEEDS[which]))
+        data, at = lanes(buf), np.flatnonzero((size > 0) & (size <= LONG))
+        done = 0
+        while len(at):
+            left = size[at] - done
+            h[at] = mix((h[at] * STEP) ^ (data[start[at] + done] & _MASKS[np.minimum(left, 8)]))
+            done += 8
+            at = at[left > 8]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(buf[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([which])).digest(), "little")
+    return h
+
+
+def same_bytes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which slices have the bytes of the slice that ``other`` names, by its place among them."""
+    size = end - start
+    same = size == size[other]
+    data, done, at = lanes(buf), 0, np.flatnonzero(same & (size > 0) & (size <= LONG))
+    while len(at):
+        left = size[at] - done
+        equal = ((data[start[at] + done] ^ data[start[other[at]] + done]) & _MASKS[np.minimum(left, 8)]) == 0
+        same[at[~equal]] = False
+        done += 8
+        at = at[equal & (left > 8)]
+    for i in np.flatnonzero(same & (size > LONG)).tolist():
+        j = int(other[i])
+        same[i] = np.array_equal(buf[start[i] : end[i]], buf[start[j] : end[j]])
+    return same
 
 
 def window_starts(first: np.ndarray, n: int) -> np.ndarray:
@@ -151,22 +161,27 @@ def window_starts(first: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero(left >= n)
 
 
-def window_hash(h: np.ndarray, n: int, starts: np.ndarray, which: int = 2) -> np.ndarray:
-    """Hashes of ``h[s:s+n]`` for each start, by prefix sums, so any n costs the same."""
-    up, down = _POWERS[which](len(h) + 1)
+def window_hash(h: np.ndarray, n: int, starts: np.ndarray) -> np.ndarray:
+    """Hashes of ``h[s:s+n]`` for each start: halves are joined by a mixing function, log n times."""
     with np.errstate(over="ignore"):
-        total = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * up[:-1], out=total[1:])
-        return mix((total[starts + n] - total[starts]) * down[starts] + U64(n))
+        level, width, out, done = h, 1, np.full(len(starts), U64(n), dtype=np.uint64), 0
+        while width <= n:
+            if n & width:
+                out = mix((out * STEP) ^ level[starts + done])
+                done += width
+            width *= 2
+            if width <= n:
+                level = mix((level[: -(width // 2)] * STEP) + mix(level[width // 2 :] ^ STEP)) if len(level) > width // 2 else level[:0]
+    return out
 
 
-def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 2) -> np.ndarray:
+def span_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """As window_hash, with a length for each start."""
-    up, down = _POWERS[which](len(h) + 1)
-    with np.errstate(over="ignore"):
-        total = np.zeros(len(h) + 1, dtype=np.uint64)
-        np.cumsum(h * up[:-1], out=total[1:])
-        return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for n in np.unique(ends - starts).tolist():
+        of = np.flatnonzero(ends - starts == n)
+        out[of] = window_hash(h, n, starts[of])
+    return out
 
 
 def covered(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

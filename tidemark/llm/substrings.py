@@ -103,7 +103,7 @@ class Slab:
 
     def names(self, window: int, starts: np.ndarray) -> np.ndarray:
         """Hashes of each window, of 64 and of 32 bits, as rows."""
-        first, second = kit.window_hash(self.words.hash, window, starts), kit.window_hash(self.words.hash2, window, starts, 0)
+        first, second = kit.window_hash(self.words.hash, window, starts), kit.window_hash(self.words.hash2, window, starts)
         return np.stack([first, second >> np.uint64(32)], axis=1).view(np.int64)
 
 
