@@ -13,6 +13,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 SLAB = 1 << 20
 U64 = np.uint64
@@ -197,3 +199,19 @@ def blob(values: np.ndarray) -> bytes:
 def binaries(buf: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary array whose i-th value is ``buf[offsets[i]:offsets[i+1]]``."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, dtype=np.int64)), pa.py_buffer(np.ascontiguousarray(buf))]).cast(pa.binary())
+
+
+def sample(docs: DataFrame, rows: int, salt: int = 0) -> DataFrame:
+    """At most ``rows`` of the rows, those first by a hash of doc_id; all if there are no more.
+
+    The choice reads doc_id only and brings ``rows + 1`` hashes to the driver; the rows stay where
+    they are. Rows whose hash ties with the first one left out are left out too.
+    """
+    point = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40))
+    n = docs.count()
+    if n <= rows:
+        return docs
+    share = min(1.0, 1.25 * rows / n + 100 / n)  # a little more than is taken, at any size
+    few = docs.where(point < F.lit(int(share * (1 << 40)) + 1))
+    first = few.select(point.alias("at")).orderBy("at").limit(rows + 1).collect()
+    return few if len(first) <= rows else docs.where(point < F.lit(first[-1]["at"]))

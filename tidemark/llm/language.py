@@ -6,12 +6,15 @@ texts. Words of a text then get the sequence of languages of greatest total scor
 costs a penalty; sequences are found for all texts of a slab at once by composing blocks of words in
 the (max, +) semiring, so a very long text takes no longer than many short ones.
 
-Training takes a bounded sample (``FIT_DOCUMENTS`` documents, those first by a hash of doc_id, and
-``FIT_CHARS`` of each) of rows with text and language; the model has a fixed size. Prediction covers
-whole texts of all rows and sees nothing but the text.
+Training takes the whole texts of a bounded sample (``FIT_DOCUMENTS`` documents, those first by a
+hash of doc_id) of rows with text and language. Trigrams are counted where the texts are; the model
+has a fixed size for each language. Prediction covers whole texts of all rows and sees nothing but
+the text.
 
 Edge cases: a text that is null or has no letter is ``und`` with score 0; so is every text if there
-is nothing to learn from. Ties go to the language first by name. Repeated rows are predicted alike.
+is nothing to learn from. Ties go to the language first by name. Repeated rows are predicted alike
+and each is returned. A very long text is a slab by itself, found in blocks. Columns besides doc_id,
+text and (for learning) lang are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,13 +26,15 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import kit
 from tidemark.session import prepare, table
 
-FIT_DOCUMENTS, FIT_CHARS = 6000, 3000
+#: Labelled documents that the model is fitted on at most.
+FIT_DOCUMENTS = 6000
 BUCKETS = 1 << 15
 SWITCH = 6.0
 BLOCK = 64
@@ -111,29 +116,43 @@ class Model:
         return np.where(allowed | ~some[:, None], total, low).astype(np.float32)
 
 
-def fit(rows: list[tuple[str, str]]) -> Model:
-    """Trigram log probabilities by language from labelled texts."""
-    languages = sorted({lang for _, lang in rows})
-    counts = np.full((BUCKETS, len(languages)), 0.2)
-    scripts = np.zeros((len(NAMES), len(languages)))
-    for k, lang in enumerate(languages):
-        own = [t for t, name in rows if name == lang]
-        for i in range(0, len(own), 100):  # in parts, for the driver's memory
-            text = Letters(pa.array(own[i : i + 100], pa.string()))
-            counts[:, k] += np.bincount(text.bucket, minlength=BUCKETS)
-            scripts[:, k] += np.bincount(text.script, minlength=len(NAMES))
+def tallies(texts: pa.Array) -> np.ndarray:
+    """How often each trigram bucket and, after them, each script occurs."""
+    text = Letters(texts)
+    return np.concatenate([np.bincount(text.bucket, minlength=BUCKETS), np.bincount(text.script, minlength=len(NAMES))])
+
+
+def fit(counts: dict[str, np.ndarray]) -> Model:
+    """Trigram log probabilities by language from the tallies of labelled texts."""
+    languages = sorted(counts)
+    both = np.array([counts[x] for x in languages], dtype=np.float64).reshape(len(languages), BUCKETS + len(NAMES)).T
+    trigrams, scripts = both[:BUCKETS] + 0.2, both[BUCKETS:]
     share = scripts / np.maximum(scripts.sum(axis=0, keepdims=True), 1)
-    return Model(languages, np.log(counts / counts.sum(axis=0, keepdims=True)).astype(np.float32), share > 0.001)
+    return Model(languages, np.log(trigrams / trigrams.sum(axis=0, keepdims=True)).astype(np.float32), share > 0.001)
 
 
 def learn(docs: DataFrame) -> Model:
     """A model of the rows given, from the bounded sample."""
-    usable = docs.where("text is not null and lang is not null").select("doc_id", "lang", "text")
-    n = usable.count()
-    share = min(1.0, 1.25 * FIT_DOCUMENTS / max(n, 1))  # a little more than is taken, at any size
-    some = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    rows = some.select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text")).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id", "lang", "text").limit(FIT_DOCUMENTS).collect()
-    return fit([(r.text, r.lang) for r in rows])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, np.ndarray] = {}
+        for batch in batches:
+            for part in kit.slabs(batch):
+                for lang in pc.unique(part.column("lang")).to_pylist():
+                    one = tallies(part.filter(pc.equal(part.column("lang"), lang)).column("text"))
+                    own[lang] = own[lang] + one if lang in own else one
+        for lang, one in own.items():
+            at = np.flatnonzero(one)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(one[at])], names=["lang", "place", "n"])
+
+    usable = docs.where("lang is not null").select("doc_id", "lang", "text")
+    rows = kit.sample(usable, FIT_DOCUMENTS).where("text is not null").select("lang", "text").mapInArrow(run, "lang string, place bigint, n bigint")
+    found = rows.groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    counts = {lang: np.zeros(BUCKETS + len(NAMES)) for lang in pc.unique(found["lang"]).to_pylist()}
+    for lang, one in counts.items():
+        mine = found.filter(pc.equal(found["lang"], lang))
+        one[mine["place"].to_numpy()] = mine["n"].to_numpy()
+    return fit(counts)
 
 
 def viterbi(score: np.ndarray, first: np.ndarray, penalty: float = SWITCH) -> np.ndarray:

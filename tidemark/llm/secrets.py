@@ -1,12 +1,16 @@
 """Secret scans: fixed patterns, and character Markov models of random strings against identifiers.
 
-Runs of identifier characters that the patterns leave are scored by the log-likelihood ratio of two
-second-order character models. Both are fitted on labelled samples: random strings are pattern
+Every run of identifier characters, and what the patterns leave of one, is scored by the
+log-likelihood ratio of two second-order character models; runs of fewer than ``MIN_RUN`` characters
+are too short to tell. Both models are fitted on labelled samples: random strings are pattern
 matches in a bounded sample of documents and seeded draws from usual alphabets; ordinary
-identifiers are the words of the same sample, alone and joined as programs join them.
+identifiers are the words of the same sample, alone and joined as programs join them, numbers and
+dates, and rulers (one character again and again). Counting takes place where the texts are.
 
 Edge cases: null and empty texts have no spans; repeated rows are each reported; ties are ordered
-by start, then by kind as listed in ``KINDS``; an empty table fits on the drawn strings alone.
+by start, then by kind as listed in ``KINDS``; a text full of hits costs as much as its length; an
+empty table fits on the drawn strings alone and gives an empty result; columns besides doc_id and
+text are ignored (``masked`` keeps them), whatever their names.
 """
 
 from __future__ import annotations
@@ -23,8 +27,8 @@ from tidemark.llm import kit
 from tidemark.llm.decontaminate import characters
 from tidemark.session import prepare, table
 
-#: Documents, and bytes of each, that the models are fitted on at most (a sample of labelled rows).
-FIT_DOCUMENTS, FIT_BYTES = 2000, 4000
+#: Documents that the models are fitted on at most, and identifiers made of the words of each.
+FIT_DOCUMENTS, IDENTIFIERS = 2000, 4
 MIN_RUN, MIN_RATIO = 16, 0.75
 KINDS = ("assign", "access", "hex", "random")
 MASK = "[SECRET]"
@@ -52,9 +56,8 @@ def _counts(strings: list[bytes]) -> np.ndarray:
     return out
 
 
-def _model(strings: list[bytes]) -> np.ndarray:
+def _model(three: np.ndarray) -> np.ndarray:
     """Log probabilities of a character after two, smoothed by those after one, and after none."""
-    three = _counts(strings)
     two, one = three.sum(0), three.sum((0, 1))
     p1 = (one + 1) / (one.sum() + SIZE)
     p2 = (two + 4 * p1) / (two.sum(1, keepdims=True) + 4)
@@ -68,16 +71,18 @@ def drawn(seed: int = 11, n: int = 4000) -> list[bytes]:
     return [bytes(rng.choice(list(alphabets[i % len(alphabets)]), size=int(rng.integers(16, 64))).astype(np.uint8)) for i in range(n)]
 
 
+#: Ordinary words besides those of the sample.
+COMMON = [b"value", b"index", b"count", b"parameter", b"document", b"version", b"identifier", b"configuration", b"description", b"management"]
+
+
 def joined(words: list[bytes], seed: int = 12, n: int = 8000) -> list[bytes]:
     """Labelled ordinary identifiers: words alone and joined as in programs and paths."""
     rng = np.random.default_rng(seed)
-    if not words:
-        words = [b"value", b"index", b"count", b"parameter", b"document", b"version", b"identifier", b"configuration", b"description", b"management"]
-    out = []
+    words, out = words or COMMON, []
     for i in range(n):
         pick = [words[int(k)] for k in rng.integers(0, len(words), size=int(rng.integers(1, 5)))]
         tail = b"%d" % rng.integers(0, 3000) if rng.random() < 0.3 else b""
-        style = i % 6
+        style = (i + seed) % 6
         if style == 0:
             out.append(b"_".join(pick) + tail)
         elif style == 1:
@@ -93,24 +98,38 @@ def joined(words: list[bytes], seed: int = 12, n: int = 8000) -> list[bytes]:
     return out
 
 
+def rulers(seed: int = 13) -> list[bytes]:
+    """Labelled ordinary runs that are no words: one character again and again, counts and dates."""
+    rng = np.random.default_rng(seed)
+    dates = [b"%d-%02d-%02d/%02d" % (rng.integers(1970, 2040), rng.integers(1, 13), rng.integers(1, 29), rng.integers(0, 24)) for _ in range(200)]
+    return [bytes([c]) * 24 for c in ALPHABET for _ in range(8)] + [b"0123456789", b"1234567890", ALPHABET[36:62], ALPHABET[10:36]] * 8 + dates
+
+
 def fit(docs: DataFrame) -> np.ndarray:
     """The log-likelihood ratio of each character after two others.
 
-    The labelled sample is FIT_DOCUMENTS documents (those first by a hash of doc_id) and FIT_BYTES
-    of each; everything else about the operator covers all rows.
+    The labelled sample is the whole texts of FIT_DOCUMENTS documents (those first by a hash of
+    doc_id); everything else about the operator covers all rows.
     """
-    known = docs.where("text is not null").select("doc_id", "text")
-    share = min(1.0, 1.25 * FIT_DOCUMENTS / max(known.count(), 1))  # a little more than is taken, at any size
-    some = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
-    rows = some.select("doc_id", F.substring("text", 1, FIT_BYTES).alias("text")).orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), "doc_id", "text").limit(FIT_DOCUMENTS).collect()
-    random, words = drawn(), []
-    for r in rows:
-        text = r.text.encode()
-        spans = base(text, _hex_runs(text))
-        random += [text[a:b] for _, a, b in spans]
-        for w in re.findall(rb"[A-Za-z]+", text):
-            words.append(w)
-    return (_model(random) - _model(joined(sorted(set(words))))).astype(np.float32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, SIZE, SIZE, SIZE))
+        for batch in batches:
+            for i, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = text.encode()
+                words = sorted(set(re.findall(rb"[A-Za-z]+", text)))
+                counts[0] += _counts([text[a:b] for _, a, b in base(text, _hex_runs(text))])
+                if words:
+                    counts[1] += _counts(words + joined(words, (i or 0) % (1 << 32), IDENTIFIERS))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts.ravel()[at].astype(np.int64))], names=["place", "n"])
+
+    rows = kit.sample(docs.select("doc_id", "text"), FIT_DOCUMENTS).where("text is not null")
+    found = rows.mapInArrow(run, "place bigint, n bigint").groupBy("place").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(2 * SIZE**3)
+    counts[found["place"].to_numpy()] = found["n"].to_numpy()
+    random, ordinary = counts.reshape(2, SIZE, SIZE, SIZE)
+    return (_model(random + _counts(drawn())) - _model(ordinary + _counts(joined([]) + rulers()))).astype(np.float32)
 
 
 def _hex_runs(text: bytes) -> list[tuple[int, int]]:
