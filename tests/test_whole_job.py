@@ -6,39 +6,11 @@ import re
 from collections import Counter
 
 import numpy as np
-import pyarrow as pa
 
-import corpus_pipeline
 from tidemark import catalog
-from tidemark.llm import jaccard, secrets
 from tidemark.plans.registry import projection
 from tidemark.session import table
 
-DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
-
-
-def test_pipeline_drops_near_copies_at_five_words_and_four_fifths(spark, sf):
-    rng = random.Random(5)
-    texts = []
-    for g in range(4):
-        base = [f"g{g}w{i}" for i in range(200)]
-        texts.append(base)
-        for size in (5, 20, 45, 80):
-            at = rng.randrange(20, 180)
-            texts.append(base[:at] + [f"x{g}s{size}n{j}" for j in range(size)] + base[at:])
-    order = list(range(len(texts)))
-    rng.shuffle(order)
-    rows = [(i, " ".join(texts[t]), "en", "s", 0) for i, t in enumerate(order)]
-    sets = {i: {tuple(texts[t][j : j + 5]) for j in range(len(texts[t]) - 4)} for i, t in enumerate(order)}
-    root = {i: i for i in sets}
-    for _ in sets:
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
-                    root[a] = root[b] = min(root[a], root[b])
-    kept = corpus_pipeline.deduplicated(spark, spark.createDataFrame(rows, DOCS), sf)
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i in root if root[i] == i)
-
 
 def nearest(spark, sf):
     """{(query_id, doc_id): (score, rank)} of the ten best for every fiftieth vector, and labels."""
@@ -143,37 +115,3 @@ def test_six_variants_of_every_part(spark, sf):
     got = {(r.p_partkey, r.name): (float(r.stop), float(r.target)) for r in rows}
     assert len(rows) == len(want) and got.keys() == want.keys()
     assert all(abs(x - y) < 1e-4 for k in want for x, y in zip(got[k], want[k], strict=True))
-
-
-def test_secrets_score_all_runs_and_what_patterns_leave(spark, sf):
-    ratio = secrets.fit(table(spark, sf, "documents"))
-    score = lambda t: float(ratio[(x := secrets.SYMBOL[np.frombuffer(t.encode(), np.uint8)])[:-2], x[1:-1], x[2:]].mean())
-    found = lambda t: secrets.spans_of(pa.array([t]), ratio)[0]
-    rng = random.Random(8)
-    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
-    letters, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0123456789"
-    hits = 0
-    for text in [key(letters, 16 + i) for i in range(30)] + [key(digits, 20 + i % 10) for i in range(30)]:  # no digit, or digits alone
-        want = [(3, 4, 4 + len(text))] if score(text) >= secrets.MIN_RATIO else []
-        assert found(f"see {text} there") == want
-        hits += bool(want)
-    assert hits > 20
-    access = "AKIA" + key(letters[:26], 16)
-    for i in range(20):
-        rest = key(letters + digits, 40)
-        for text, at, piece in ((f"{access}/{rest} x", len(access), "/" + rest), (f"x {rest}/{access}", 2, rest + "/"), (f"{rest}-{access}-{rest}", 0, rest + "-")):
-            spans = found(text)
-            assert 1 in [k for k, *_ in spans]
-            assert ((3, at, at + len(piece)) in spans) == (score(piece) >= secrets.MIN_RATIO)
-    assert (3, len(access), len(access) + len(rest) + 1) in found(f"{access}/{rest}") or score("/" + rest) < secrets.MIN_RATIO
-
-
-def test_rows_without_id_are_no_hubs(spark):
-    base = [f"t{i}" for i in range(200)]
-    rows = [(None, " ".join(base), "en", "s", 0)]
-    for i in range(30):
-        rows.append((i, " ".join(base[: 6 * i + 5] + [f"x{i}"] + base[6 * i + 6 :]), "en", "s", 0))
-    docs = spark.createDataFrame(rows, DOCS)
-    got = {r.doc_id: r.component_id for r in jaccard.clustered(docs).collect()}
-    assert got == {None: None} | {i: 0 for i in range(30)}  # any two share 192 of 204 shingles
-    assert {r.doc_id for r in jaccard.first_of_each(docs).collect()} == {None, 0}
