@@ -8,23 +8,26 @@ Either way, each hit is verified word by word on the bytes, so a hash collision
 
 Edge cases: null or wordless texts have no words and no hits; null item texts have no windows; an
 empty benchmark hits nothing; repeated document rows are each reported; repeated items count once
-per item_id (null item_ids are ignored); columns other than those named are kept or ignored.
+per item_id (null item_ids are ignored); ties need no order, items being a sorted set; a very long
+text is a slab by itself; columns other than those named are kept (``without_spans``) or ignored,
+whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.llm import kit
-from tidemark.session import prepare, table
+from tidemark.session import cut, prepare, table
 
 WINDOW = 10
 #: Most bytes of benchmark text that are sent to every executor.
@@ -63,32 +66,35 @@ def ramp(n: np.ndarray) -> np.ndarray:
 def build(items: list[tuple[int, str | None]], window: int = WINDOW) -> Index:
     items = sorted({(i, t) for i, t in items if i is not None and t})
     words = kit.Words(pa.array([t for _, t in items], pa.string()), kit.ALNUM, lower=True)
-    buf = kit.FOLD[words.buf]
-    known: dict[bytes, tuple[int, int, int, set[int]]] = {}
-    for row, (item, _) in enumerate(items):
-        a, b = int(words.first[row]), int(words.first[row + 1])
-        if a == b:
-            continue
-        size = min(window, b - a)
-        starts = np.arange(a, b - size + 1)
-        for at, h in zip(starts, kit.window_hash(words.hash, size, starts), strict=True):
-            key = b" ".join(bytes(buf[s:e]) for s, e in zip(words.start[at : at + size], words.end[at : at + size], strict=True))
-            known.setdefault(key, (int(h), size, int(at), set()))[3].add(item)
-    found = sorted(known.values(), key=lambda x: x[0])
-    sieve = np.zeros(1 << 20, dtype=bool)
-    hashes = np.array([x[0] for x in found], dtype=np.uint64)
-    sieve[(hashes >> np.uint64(44)).astype(np.int64)] = True
-    return Index(
-        hashes,
-        np.array([x[1] for x in found], dtype=np.int64),
-        np.array([x[2] for x in found], dtype=np.int64),
-        np.array([i for x in found for i in sorted(x[3])], dtype=np.int64),
-        np.cumsum([0] + [len(x[3]) for x in found]),
-        buf,
-        words.start,
-        words.end,
-        sieve,
-    )
+    owner = np.array([i for i, _ in items], dtype=np.int64)
+    size = np.minimum(words.count, window)
+    parts = []
+    for n in np.unique(size[size > 0]).tolist():  # items of fewer words are one window each
+        at = kit.window_starts(words.first, n)
+        row = np.searchsorted(words.first, at, side="right") - 1
+        at, row = at[size[row] == n], row[size[row] == n]
+        parts.append((kit.window_hash(words.hash, n, at), np.full(len(at), n), at, owner[row]))
+    h, n, at, item = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    order = np.lexsort((item, n, h))
+    h, n, at, item = h[order], n[order], at[order], item[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (n[1:] != n[:-1])
+    index = Index(h, n, at, item, np.arange(len(h) + 1), kit.FOLD[words.buf], words.start, words.end, np.zeros(1 << 20, dtype=bool))
+    head, group = np.flatnonzero(new), np.cumsum(new) - 1
+    for k in np.unique(n).tolist():  # windows of one hash and other words than the first of them stay by themselves
+        of = np.flatnonzero((n == k) & ~new)
+        other = of[~verified(words, index.buf, index, at[of], head[group[of]], k)]
+        group[other] = len(head) + np.arange(len(other))
+        head = np.concatenate([head, other])
+    order = np.argsort(h[head], kind="stable")
+    place = np.empty(len(head), dtype=np.int64)
+    place[order] = np.arange(len(head))
+    pairs = np.unique(np.stack([place[group], item]), axis=1)
+    head = head[order]
+    index.sieve[(h >> np.uint64(44)).astype(np.int64)] = True
+    index.hash, index.size, index.at, index.owner = h[head], n[head], at[head], pairs[1]
+    index.bounds = np.searchsorted(pairs[0], np.arange(len(head) + 1))
+    return index
 
 
 def verified(words: kit.Words, folded: np.ndarray, index: Index, at: np.ndarray, window: np.ndarray, size: int) -> np.ndarray:
@@ -166,12 +172,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     prepare(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     if measured(benchmark) > broadcast_bytes:
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, index in _rows_found(batches):
-                words = kit.Words(part.column("text"), kit.ALNUM, lower=True)
-                yield report(part, words, index, *hits_of(words, index))
-
-        return _with_found(docs, benchmark, window).mapInArrow(each, SCAN)
+        return _beyond(docs, benchmark, window, lambda part, index: report(part, words := kit.Words(part.column("text"), kit.ALNUM, lower=True), index, *hits_of(words, index)), SCAN)
     sent = docs.sparkSession.sparkContext.broadcast(build([tuple(r) for r in benchmark.select("item_id", "text").collect()], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,47 +184,54 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_
     return docs.mapInArrow(run, SCAN)
 
 
-def _with_found(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
-    """The documents with ``_found``, the benchmark windows that may be in each: the way beyond the
-    broadcast bound. Windows meet by hash, and what was met goes back to its row.
+def _beyond(docs: DataFrame, benchmark: DataFrame, window: int, each: Callable[[pa.RecordBatch, Index], pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """``each`` over slabs of the documents and an index of the windows that may be in them: the way
+    beyond the broadcast bound. Windows meet by hash, and what was met goes back to its row.
 
     A row is named by doc_id and the hash of its text, so repeated rows share their hits. Windows
-    repeated in a row are sent once; Spark splits what is left of a skewed hash.
+    repeated in a row are sent once, of the sizes that occur; Spark splits what is left of a skewed
+    hash. Columns added on the way have names that the documents don't have.
     """
+    columns = docs.columns
+    taken = {c.lower() for c in columns}
+    row_name, found_name = (next(x for i in count() if (x := f"{stem}{i}") not in taken) for stem in ("row", "found"))
 
     def windows_of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kit.slabs(batch):
-                for item, text in zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    index = build([(item, text)], window)
-                    if not len(index.hash):
-                        continue
-                    full = [bytes(index.buf[s:e]) for s, e in zip(index.start, index.end, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(index.hash.view(np.int64)), pa.array([item] * len(index.hash), pa.int64()), pa.array([b" ".join(full[a : a + n]).decode() for a, n in zip(index.at.tolist(), index.size.tolist(), strict=True)])], names=["h", "item_id", "words"])
+                index = build(list(zip(part.column("item_id").to_pylist(), part.column("text").to_pylist(), strict=True)), window)
+                n = np.diff(index.bounds)
+                full = [bytes(index.buf[s:e]) for s, e in zip(index.start, index.end, strict=True)]
+                texts = [b" ".join(full[a : a + k]).decode() for a, k in zip(index.at.tolist(), index.size.tolist(), strict=True)]
+                of = np.repeat(np.arange(len(texts)), n)
+                yield pa.RecordBatch.from_arrays([pa.array(index.hash[of].view(np.int64)), pa.array(index.size[of].astype(np.int32)), pa.array(index.owner), pa.array(texts, pa.string()).take(pa.array(of))], names=["h", "n", "item_id", "words"])
 
-    entries = benchmark.select("item_id", "text").mapInArrow(windows_of_items, "h bigint, item_id bigint, words string").distinct()
-    keyed = docs.withColumn("_key", F.struct("doc_id", F.xxhash64("text").alias("x")))
+    entries = cut(benchmark.select("item_id", "text").mapInArrow(windows_of_items, "h bigint, n int, item_id bigint, words string").distinct())
+    sizes = [r.n for r in entries.select("n").distinct().collect()]  # ``window`` of them at most
+    keyed = docs.withColumn(row_name, F.struct("doc_id", F.xxhash64("text").alias("x")))
 
     def windows_of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kit.slabs(batch):
                 words = kit.Words(part.column("text"), kit.ALNUM, lower=True)
                 row = words.row()
-                for size in range(1, window + 1):
+                for size in sizes:
                     starts = kit.window_starts(words.first, size)
                     both = np.unique(np.stack([row[starts], kit.window_hash(words.hash, size, starts).view(np.int64)]), axis=1)
-                    yield pa.RecordBatch.from_arrays([part.column("_key").take(pa.array(both[0])), pa.array(both[1])], names=["_key", "h"])
+                    yield pa.RecordBatch.from_arrays([part.column("of").take(pa.array(both[0])), pa.array(both[1])], names=["of", "h"])
 
-    pairs = keyed.select("_key", "text").mapInArrow(windows_of_docs, "_key struct<doc_id:bigint,x:bigint>, h bigint").join(entries, "h")
-    found = pairs.groupBy("_key").agg(F.collect_set(F.struct("item_id", "words")).alias("_found"))
-    return keyed.join(found, keyed["_key"].eqNullSafe(found["_key"]), "left").select(*[keyed[c] for c in docs.columns], "_found")
+    pairs = keyed.select(F.col(row_name).alias("of"), "text").mapInArrow(windows_of_docs, "of struct<doc_id:bigint,x:bigint>, h bigint").join(entries, "h")
+    found = pairs.groupBy("of").agg(F.collect_set(F.struct("item_id", "words")).alias(found_name))
+    both = keyed.join(found, keyed[row_name].eqNullSafe(found["of"]), "left").select(*[keyed[c] for c in docs.columns], found_name)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in kit.slabs(batch):
+                met = {(x["item_id"], x["words"]) for found in part.column(found_name).to_pylist() for x in found or []}
+                # each window whole; one that was met by another row of the slab is verified like any other
+                yield each(part.select(columns), build(list(met), 1 << 30))
 
-def _rows_found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Index]]:
-    """Each row of ``_with_found`` with an index of its own windows, each whole."""
-    for batch in batches:
-        for i, found in enumerate(batch.column("_found").to_pylist()):
-            yield batch.slice(i, 1), build([(x["item_id"], x["words"]) for x in found or []], 1 << 30)
+    return both.mapInArrow(run, schema)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
@@ -266,13 +274,7 @@ def without_spans(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     """
     prepare(docs.sparkSession)
     if measured(benchmark) > broadcast_bytes:
-        columns = docs.columns
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, index in _rows_found(batches):
-                yield cleaned(part.select(columns), index)
-
-        return _with_found(docs, benchmark, window).mapInArrow(each, docs.schema)
+        return _beyond(docs, benchmark, window, cleaned, docs.schema)
     sent = docs.sparkSession.sparkContext.broadcast(build([tuple(r) for r in benchmark.select("item_id", "text").collect()], window))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

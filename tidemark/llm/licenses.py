@@ -1,15 +1,21 @@
 """License scans by diagonal voting, with DataFrame and SQL functions only.
 
 All rolling hashes of k words of every text are joined with the positions of the same hashes in
-templates of license notices. Hits vote for (template, position in the text minus position in the
-template); neighbouring diagonals, as insertions and deletions leave them, are merged; spans in which
-enough of a template was hit are verified on the words themselves. Fixed phrases are found besides.
+templates of license notices. Hits that agree word by word vote for (template, position in the text
+minus position in the template); neighbouring diagonals, as insertions and deletions leave them, are
+merged. A merged span is then verified on its words: the longest common subsequence of the template
+and the words of the span's hits, in the order of the text, must hold ``MIN_SHARE`` of the template.
+It is found bit by bit (a set of template positions in one long), so a span costs as much as its
+words. Fixed phrases are found besides.
 
-The templates are a fixed list, so the side that is broadcast doesn't grow with the data.
+The templates are a fixed list of notices of at most ``LONGEST`` words, so the side that is broadcast
+doesn't grow with the data.
 
 Edge cases: null texts count as empty; without words counts are 0, places null and labels empty;
 a row is named by doc_id and a hash of its text, so repeated rows are reported alike; overlapping
-places of phrases all count; other columns are ignored.
+places of phrases all count; spans may have any length, and very long texts are scanned whole; equal
+shares need no order, labels being sorted; other columns are ignored, whatever their names; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,6 +26,10 @@ from pyspark.sql import functions as F
 from tidemark.session import prepare, table
 
 K, NEAR, MIN_SHARE = 3, 3, 0.6
+#: Most words of a template: positions are bits of a long, with one to spare for a carry.
+LONGEST = 61
+#: ASCII capitals and what they become.
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Phrases with their labels, and license notices with theirs.
 PHRASES = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
@@ -46,7 +56,7 @@ BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def words(text: str) -> Column:
     """Lower-case words: runs of digits, ASCII letters and characters beyond ASCII."""
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), BREAK), lambda w: w != "")
+    return F.filter(F.split(F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER), BREAK), lambda w: w != "")
 
 
 def grams(column: str, k: int = K) -> Column:
@@ -57,9 +67,23 @@ def grams(column: str, k: int = K) -> Column:
 
 
 def templates(spark: SparkSession, notices: list[tuple[str, str]]) -> DataFrame:
-    """(template, label, body, size): the words of each notice and how many grams it has."""
+    """(template, label, body, places): the words of each notice, and for each word a bit set of its positions."""
     rows = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(notices)], "template int, label string, text string")
-    return rows.select("template", "label", words("text").alias("body")).withColumn("size", F.size(grams("body")))
+    rows = rows.select("template", "label", words("text").alias("body"))
+    rows = rows.withColumn("body", F.expr(f"if(size(body) <= {LONGEST}, body, raise_error('a notice has too many words; give it in parts'))"))
+    bits = "aggregate(sequence(0, size(body) - 1), 0L, (b, i) -> b | if(get(body, i) = w, shiftleft(1L, i), 0L))"
+    return rows.where("size(body) > 0").withColumn("places", F.expr(f"map_from_arrays(array_distinct(body), transform(array_distinct(body), w -> {bits}))"))
+
+
+def common(span: str) -> Column:
+    """The length of the longest common subsequence of a template and words in order.
+
+    ``v`` has a bit for each template position; a word clears those where the subsequence grows
+    (row by row of the usual table, all columns at once).
+    """
+    full = "(shiftleft(1L, size(body)) - 1L)"
+    step = f"((v + (v & m)) | (v - (v & m))) & {full}"
+    return F.expr(f"size(body) - bit_count(aggregate(transform({span}, w -> coalesce(element_at(places, w), 0L)), {full}, (v, m) -> {step}))")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,21 +93,23 @@ def keyed(docs: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, notices: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(doc_id, x, label, start, stop, share): spans of notices, in words, stop exclusive.
 
-    Each hit of a hash is verified on its words before it votes; ``share`` is that of the notice's
-    grams that a span has.
+    ``share`` is that of the notice's words that a span has in order.
     """
     spark = prepare(docs.sparkSession)
     known = templates(spark, notices)
     index = known.select("template", F.posexplode(grams("body")).alias("at", "g")).select("template", "at", F.col("g.h").alias("h"), F.col("g.ws").alias("body_ws"))
     places = keyed(docs).select("doc_id", "x", F.posexplode(grams("w")).alias("pos", "g")).select("doc_id", "x", "pos", F.col("g.h").alias("h"), F.col("g.ws").alias("ws"))
     hits = places.join(F.broadcast(index), "h").where("ws = body_ws")
-    votes = hits.groupBy("doc_id", "x", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("met"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    votes = hits.groupBy("doc_id", "x", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set(F.struct("pos", "ws")).alias("met"))
     line = Window.partitionBy("doc_id", "x", "template").orderBy("diagonal")
     step = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= NEAR, 0).otherwise(1)
     merged = votes.withColumn("new", step).withColumn("island", F.sum("new").over(line))
-    spans = merged.groupBy("doc_id", "x", "template", "island").agg(F.size(F.array_distinct(F.flatten(F.collect_list("met")))).alias("hits"), F.min("first").alias("start"), (F.max("last") + K).alias("stop"))
-    likely = spans.join(F.broadcast(known), "template").withColumn("share", F.col("hits") / F.col("size"))
-    return likely.where(f"share >= {MIN_SHARE} and stop - start <= 3 * (size + {K})").select("doc_id", "x", "label", "start", "stop", "share")
+    spans = merged.groupBy("doc_id", "x", "template", "island").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("met")))).alias("met"))
+    # each hit gives the words that the one before it hasn't given
+    fresh = f"flatten(transform(met, (e, i) -> slice(e.ws, {K} + 1 - least({K}, e.pos - coalesce(get(met, i - 1).pos, e.pos - {K})), {K})))"
+    spans = spans.withColumn("span", F.expr(fresh)).withColumn("start", F.expr("met[0].pos")).withColumn("stop", F.expr(f"element_at(met, -1).pos + {K}"))
+    likely = spans.join(F.broadcast(known), "template").withColumn("share", common("span") / F.size("body"))
+    return likely.where(f"share >= {MIN_SHARE}").select("doc_id", "x", "label", "start", "stop", "share")
 
 
 def scan(docs: DataFrame, notices: list[tuple[str, str]] = TEMPLATES) -> DataFrame:

@@ -3,13 +3,18 @@
 Features of a whole text (shares of character classes, word shapes, repetition, hashed character
 bigrams) feed a linear model. It minimises the non-negative unbiased risk: trusted positives give
 the positive part and, weighted by the class prior, what is taken off the risk of unlabelled web
-text, which is never let below zero. The prior is estimated as the share of positives among labelled
-rows. Positives and unlabelled texts are bounded samples (``FIT_POSITIVE``, ``FIT_UNLABELLED`` rows,
-those first by a hash of doc_id) of the rows that may be learnt from; scoring covers all rows.
-
-Edge cases: null texts count as empty and are scored like empty ones; without any label the prior is
-one half and scores say only how a text compares; repeated rows are scored alike; repeated labels
-of a document count once, the greatest quality winning; other columns are ignored.
+text, which is never let below zero. The prior is estimated from the same two samples: a model that
+tells positives from unlabelled texts is fitted on one half of each, and on the other half the least
+ratio of the share of unlabelled texts above a score to the share of positives above it bounds the
+share of positives among unlabelled texts; no negative label is used. Positives and unlabelled texts
+are bounded samples (``FIT_POSITIVE``, ``FIT_UNLABELLED`` rows, those first by a hash of doc_id) of
+the rows that may be learnt from; scoring covers whole texts of all rows.
+
+Edge cases: null texts count as empty and are scored like empty ones; without any positive or
+unlabelled row the prior is one half and scores say only how a text compares; repeated rows are
+scored alike and each is returned; repeated labels of a document count once, the greatest quality
+winning; equal scores are equal, no order is given; a very long text is a slab by itself; other
+columns are ignored, whatever their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -109,30 +114,44 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> Model:
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The share of positives among unlabelled texts, by the best bin of held-out scores.
+
+    Of all thresholds the one is taken whose upper confidence bound of the ratio is least.
+    """
+    if len(positive) < 8 or len(unlabelled) < 8:
+        return 0.5
+    model = fit(positive[::2], unlabelled[::2], 0.5)
+    at = lambda x: np.sort(np.clip((x - model.mean) / model.scale, -6, 6) @ model.weight)
+    p, u = at(positive[1::2]), at(unlabelled[1::2])
+    cuts = np.unique(p)
+    above_p, above_u = ((len(x) - np.searchsorted(x, cuts)) / len(x) for x in (p, u))
+    slack = np.sqrt(np.log(40) / (2 * len(u))) + np.sqrt(np.log(40) / (2 * len(p)))
+    best = int(np.argmin((above_u + slack) / above_p))
+    return float(min(0.97, max(0.03, above_u[best] / above_p[best])))
+
+
 def _sample(docs: DataFrame, rows: int) -> np.ndarray:
     """Features of a bounded sample, computed where the rows are."""
-    n = docs.count()
-    share = min(1.0, 1.25 * rows / max(n, 1))  # a little more than is taken, at any size
-    some = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)) + 1))
+    some = kit.sample(docs, rows, 7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in kit.slabs(batch):
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([kit.blob(x) for x in features(part.column("text"))], pa.binary())], names=["doc_id", "x"])
 
-    found = some.mapInArrow(run, "doc_id bigint, x binary").orderBy(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)), "doc_id", "x").limit(rows).collect()
+    found = some.mapInArrow(run, "doc_id bigint, x binary").orderBy("doc_id", "x").collect()
     width = features(pa.array([""])).shape[1]
-    return np.array([np.frombuffer(r.x) for r in found]).reshape(-1, width)
+    out = np.array([np.frombuffer(r.x) for r in found]).reshape(-1, width)
+    return out[np.random.default_rng(5).permutation(len(out))]  # halves of it are as good as each other
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model of the rows given: their positives, their texts, and the prior of their labels."""
+    """A model of the rows given: their positives, their texts, and the prior that both show."""
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    good = known.where("quality = 1").select("doc_id")
-    n, k = known.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality = 1").select("doc_id")
     positive, unlabelled = _sample(docs.join(good, "doc_id", "left_semi"), FIT_POSITIVE), _sample(docs, FIT_UNLABELLED)
-    prior = min(0.97, max(0.03, (k + 1) / (n + 2)))
+    prior = estimated_prior(positive, unlabelled)
     if not len(unlabelled):
         unlabelled = np.zeros((1, features(pa.array([""])).shape[1]))
     return fit(positive if len(positive) else unlabelled, unlabelled, prior)
