@@ -7,13 +7,14 @@ segments are of which kind is the cheapest allocation under a cost of rows and o
 A set is signed for its own band and, as the smaller partner, for the next.
 
 Where all segments are exact there are some more of them than H + 1, so a similar pair shares a
-subset of several: each set may then leave out that many of its signatures but for one. It leaves
-out those of empty segments, and of the others the ones that most sets have, by one order for all
-sets. Two similar sets still meet, and a line that a third of all documents share brings none together.
+subset of several. A set may then leave out a number of those of empty segments, and of the others
+as many of the ones that most sets have, by one order for all sets; similar pairs still share
+``common`` of what is left, and pairs that share fewer are let go. So a line that a third of all
+documents share brings none of them together.
 
 Signatures travel as sorted hashes in packs by bucket. A bucket gives the pairs of small groups and
-the rows of groups of more than ``SMALL``. There only a *hub* (the set most often met) is compared
-with every member; two members that are not both similar to the hub can only be similar
+the rows of groups of more than ``SMALL``. There only a *hub* (the set most often met; for hubs that are alike, the one met most of
+them) is compared with every member; two members that are not both similar to the hub can only be similar
 if they share enough shingles of their differences from it (else their distance is too near the sum
 of both), so those that may are regrouped by (hub, shingle of the difference) until none is left.
 Members that hubs leave meet by the rarest shingles of their differences, in groups of at most
@@ -56,8 +57,8 @@ NGRAM, PERCENT = 3, 90
 SMALL, PAIRED = 8, 256
 #: Most doc_ids sent to every executor (24 bytes each).
 BROADCAST_IDS = 500_000
-#: Cost of a hot signature that means nothing against that of a row, for the allocation.
-CHANCE = 1e3
+#: For the allocation: the cost of a hot signature against that of a row, and the share of hot shingles.
+CHANCE, HOT = 1e3, 0.2
 #: Signatures that a Python worker packs at a time, and bytes of a bucket of packs.
 FLUSH, BUCKET_BYTES = 1 << 20, 8 << 20
 #: Bits of a node's hash in a pack, beside one for whether it is in its own band.
@@ -74,44 +75,52 @@ def bands(percent: int) -> np.ndarray:
 
 
 class Allocation(NamedTuple):
-    """Segments of a band, and how many signatures a set may leave out: empty and frequent ones."""
+    """Segments of a band, how many signatures a set may leave out (empty and frequent ones), and how
+    many a similar pair shares of the others."""
 
     exact: int
     deleted: int
     empties: int
     frequent: int
+    common: int
 
 
-def _more_than(k: int, mean: float) -> float:
-    """The chance that a Poisson variable exceeds k."""
-    return min(1.0, sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k + 1, k + 200))) if mean > 0 else 0.0
+def _exceeds(k: int, mean: float, variance: float) -> float:
+    """The chance that a count of this mean and variance exceeds k."""
+    return 0.5 * math.erfc((k + 0.5 - mean) / math.sqrt(2 * variance)) if variance > 0 else float(mean > k)
 
 
 @cache
 def allocation(band: int, percent: int) -> Allocation:
     """The cheapest allocation for a band; no segments where only equal sets are similar.
 
-    With m exact segments and most differences H, a similar pair shares m - H signatures. One more
-    than ``empties + frequent`` would do; another allows for two signatures of a set that collide.
+    With m exact segments and most differences H, a similar pair shares m - H signatures; one of
+    them is spared for two signatures of a set that collide. The cost takes ``HOT`` of the shingles
+    for ones that many sets have, and a segment of such alone for a hot one.
     """
     lo, hi = int(bands(percent)[band]), int(bands(percent)[band + 1]) - 1
     most = 2 * hi * (100 - percent) // (100 + percent)
     if not most:
-        return Allocation(0, 0, 0, 0)
+        return Allocation(0, 0, 0, 0, 0)
     found = []
     for d in sorted({round(most / 2 * i / 16) for i in range(17)} | {(most + 2) // 2}):
         e = max(most + 1 - 2 * d, 0)
         if e + d:
             each = lo / (e + d)
-            rows = e + d * (1 + each)
-            found.append((rows + CHANCE * (e * math.exp(-each) + d * (1 + each) * math.exp(-each)), Allocation(e, d, 0, 0)))
+            found.append((e + d * (1 + each) + CHANCE * (e * math.exp(-each) + d * (1 + each) * math.exp(-each)), Allocation(e, d, 0, 0, 1)))
+    common = 2 + most // 12
     empties = 0
-    while empties <= most + 8:
-        m = most + 2 + empties
-        frequent = 2 + m // 32
-        m += frequent
-        found.append((m + CHANCE * _more_than(empties, m * math.exp(-lo / m)), Allocation(m, 0, empties, frequent)))
-        empties += 1 + empties // 8
+    while empties <= 4 * lo:
+        frequent = 0
+        while frequent <= most + 2:
+            m = most + 1 + empties + frequent + common
+            each = lo / m
+            void = math.exp(-each)
+            mean, hot = m * void, m * (math.exp(-each * (1 - HOT)) - void)
+            cost = m - mean + CHANCE * (_exceeds(empties, mean, mean * (1 - (1 + each) * void)) + _exceeds(frequent, hot, hot))
+            found.append((cost, Allocation(m, 0, empties, frequent, common)))
+            frequent += 1 + frequent // 6
+        empties += 1 + empties // 6
     return min(found)[1]
 
 
@@ -158,7 +167,7 @@ class Sets:
         own = np.searchsorted(bands(percent), self.size[rows], side="right") - 1
         for step in (0, 1):
             for band in np.unique(own).tolist():
-                exact, deleted, empties, _ = allocation(band + step, percent)
+                exact, deleted, empties, *_ = allocation(band + step, percent)
                 if not (m := exact + deleted):
                     continue
                 some = rows[own == band]
@@ -201,18 +210,20 @@ def _over(docs: DataFrame, schema: str, make: Callable[[pa.RecordBatch], pa.Reco
     return docs.select(*columns).mapInArrow(run, schema)
 
 
-NAMES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, own_out int, next_out int, sketch binary"
+NAMES = "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, own_out int, next_out int, own_common int, next_common int, sketch binary"
+NAME_COLUMNS = [c.split()[0] for c in NAMES.split(", ")]
 PACK = "bucket bigint, keys binary, nodes binary"
 MET = f"kind string, gid bigint, a bigint, b bigint, own boolean, k bigint, {NAMES}"
 
 
 def _names(part: pa.RecordBatch, sets: Sets, percent: int) -> pa.RecordBatch:
-    """A row for each text: its set's names and sketch, and how many frequent signatures it leaves out."""
+    """A row for each text: its set's names and sketch, and what its bands leave out and have in common."""
     band = np.searchsorted(bands(percent), np.maximum(sets.size, 1), side="right") - 1
-    out = [np.array([allocation(b + step, percent).frequent for b in band.tolist()], dtype=np.int32) for step in (0, 1)]
+    plans = [[allocation(b + step, percent) for b in band.tolist()] for step in (0, 1)]
+    out = [np.array([getattr(a, what) for a in plan], dtype=np.int32) for what in ("frequent", "common") for plan in plans]
     void = sets.size == 0
     columns = [part.column("doc_id"), pa.array(sets.size, pa.int64()), pa.array(sets.name, mask=void), pa.array(sets.name2, mask=void), *map(pa.array, out), sets.sketches()]
-    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "h1", "h2", "own_out", "next_out", "sketch"])
+    return pa.RecordBatch.from_arrays(columns, names=NAME_COLUMNS)
 
 
 def _node(name: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -265,8 +276,8 @@ def signed(docs: DataFrame, n: int, percent: int, deal: Deal) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, PACK)
 
 
-def _pairs(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs of the members of groups, one of each in its own band."""
+def _pairs(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of the members of groups, one of each in its own band, and in how many they met."""
     out = []
     for k in np.unique(size).tolist():
         members = node[begin[size == k][:, None] + np.arange(k)]
@@ -275,13 +286,15 @@ def _pairs(node: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.nd
                 a, b = members[:, i], members[:, j]
                 met = (a | b) & np.uint64(1) > 0
                 out.append(np.stack([a[met], b[met]], axis=1) >> np.uint64(1))
-    both = np.unique(np.concatenate(out), axis=0).view(np.int64) if out else np.zeros((0, 2), np.int64)
-    return both[:, 0], both[:, 1]
+    both, times = np.unique(np.concatenate(out), axis=0, return_counts=True) if out else (np.zeros((0, 2), np.uint64), np.zeros(0, np.int64))
+    both = both.view(np.int64)
+    return both[:, 0], both[:, 1], times
 
 
 def _meet(rows: pa.Table) -> pa.Table:
     """Of a bucket the pairs of small groups, the rows of large ones, and the names that came along."""
-    names_schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("own_out", pa.int32()), ("next_out", pa.int32()), ("sketch", pa.binary())])
+    kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
+    names_schema = pa.schema(list(zip(NAME_COLUMNS, kinds, strict=True)))
     keys, nodes = rows["keys"].to_pylist(), rows["nodes"].to_pylist()
     names = [pa.ipc.read_record_batch(pa.py_buffer(x), names_schema) for x, y in zip(keys, nodes, strict=True) if y is None]
     some = pa.Table.from_batches(names, names_schema)
@@ -296,7 +309,7 @@ def _meet(rows: pa.Table) -> pa.Table:
     size = np.diff(np.append(begin, len(key)))
     own = np.maximum.reduceat(node & np.uint64(1), begin) > 0 if len(key) else np.zeros(0, bool)
     small, large = own & (size > 1) & (size <= SMALL), own & (size > SMALL)
-    a, b = _pairs(node, begin[small], size[small])
+    a, b, times = _pairs(node, begin[small], size[small])
     at = np.repeat(begin[large], size[large]) + ramp(size[large])
     no = lambda t, n: pa.nulls(n, t)
     columns = {
@@ -305,7 +318,7 @@ def _meet(rows: pa.Table) -> pa.Table:
         "a": pa.concat_arrays([pa.array(a), pa.array((node[at] >> np.uint64(1)).astype(np.int64)), no(pa.int64(), len(some))]),
         "b": pa.concat_arrays([pa.array(b), no(pa.int64(), len(at) + len(some))]),
         "own": pa.concat_arrays([no(pa.bool_(), len(a)), pa.array((node[at] & np.uint64(1)) > 0), no(pa.bool_(), len(some))]),
-        "k": pa.concat_arrays([no(pa.int64(), len(a)), pa.array(np.repeat(size[large], size[large])), no(pa.int64(), len(some))]),
+        "k": pa.concat_arrays([pa.array(times, pa.int64()), pa.array(np.repeat(size[large], size[large])), no(pa.int64(), len(some))]),
     }
     for field in names_schema:
         columns[field.name] = pa.concat_arrays([no(field.type, len(a) + len(at)), *some[field.name].chunks])
@@ -313,7 +326,7 @@ def _meet(rows: pa.Table) -> pa.Table:
 
 
 def met(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The rows of MET, by kind: pairs (a, b) of nodes, rows (gid, a, own, k) of large groups, names."""
+    """The rows of MET, by kind: pairs (a, b) of nodes that met k times, rows (gid, a, own, k) of large groups, names."""
     deal = Deal(docs)
     return signed(docs, n, percent, deal).repartition(deal.parts, "bucket").groupBy("bucket").applyInArrow(_meet, MET)
 
@@ -351,11 +364,11 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 both = (len(x) + len(y) - len(rest)) // 2
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
                 differ.append(rest.view(np.int64) if star else None)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("size_b"), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int64()))], names=["a", "b", "size_b", "linked", "differ"])
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("size_a"), batch.column("size_b"), pa.array(linked, pa.bool_()), pa.array(differ, pa.list_(pa.int64()))], names=["a", "b", "size_a", "size_b", "linked", "differ"])
 
     a, b = (sets.select(F.col("id").alias(k), F.col("shingles").alias(f"set_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab")
     both = pairs.join(b, "b").join(a, "a").where(f"star or 100 * least(size_a, size_b) >= {percent} * greatest(size_a, size_b)")
-    return both.select("a", "b", "size_b", "star", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, size_b bigint, linked boolean, differ array<bigint>")
+    return both.select("a", "b", "size_a", "size_b", "star", "set_a", "set_b").mapInArrow(run, "a bigint, b bigint, size_a bigint, size_b bigint, linked boolean, differ array<bigint>")
 
 
 def bound(percent: int, *sizes: str) -> str:
@@ -417,20 +430,50 @@ def remaining(done: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
 def candidates(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """From the rows of MET: the classes (id, h1, h2), the pairs to compare, and the large groups.
 
-    Ids of a node are joined to it here; two classes that share a node become a pair.
+    Ids of a node are joined to it here; two classes that share a node become a pair. Frequent
+    signatures are left out, then pairs and members that can't share ``common`` of what is left.
     """
     names = found.where("kind = 'name' and doc_id is not null and n_shingles > 0")
     node = F.shiftrightunsigned("h1", 64 - NODE_BITS).alias("node")
-    classes = cut(names.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), F.first("own_out").alias("own_out"), F.first("next_out").alias("next_out"), F.first("sketch").alias("sketch")).select(node, "id", "h1", "h2", "n", "own_out", "next_out", "sketch"))
-    side = lambda k: classes.select(F.col("node").alias(f"node_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
-    pairs = found.where("kind = 'pair'").select(F.col("a").alias("node_a"), F.col("b").alias("node_b")).distinct()
-    same = classes.groupBy(F.col("node").alias("node_a")).agg(F.count("*").alias("k")).where("k > 1").select("node_a", F.col("node_a").alias("node_b"))
-    pairs = pairs.union(same).join(side("a"), "node_a").join(side("b"), "node_b").where(f"(node_a <> node_b or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    pairs = possible(pairs.withColumn("star", F.lit(False)), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    large = found.where("kind = 'large'").select("gid", F.col("a").alias("node"), "own", "k").join(classes.select("node", "id", F.col("own_out"), F.col("next_out")), "node")
+    plan = ["own_out", "next_out", "own_common", "next_common"]
+    classes = names.groupBy("h1", "h2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("id"), *[F.first(c).alias(c) for c in (*plan, "sketch")])
+    classes = cut(classes.select(node, "id", "h1", "h2", "n", *plan, "sketch"))
+    large = found.where("kind = 'large'").select("gid", F.col("a").alias("node"), "own", "k").join(classes.select("node", "id", *plan), "node")
     rank = F.row_number().over(Window.partitionBy("id", "own").orderBy(F.col("k").desc(), "gid"))
-    large = large.withColumn("i", rank).where("i > if(own, own_out, next_out)").select("gid", F.col("id").alias("node"), "own")
-    return classes.select("id", "h1", "h2"), cut(pairs.distinct()), cut(large)
+    large = cut(large.withColumn("i", rank).where("i > if(own, own_out, next_out)").select("gid", "id", "own", F.expr("if(own, own_common, next_common)").alias("common")))
+    left = large.groupBy("id", "own").agg(F.count("*").alias("kept"))
+    most = left.groupBy("id").agg(F.max("kept").alias("kept"))
+    side = lambda k: classes.select(F.col("node").alias(f"node_{k}"), F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("own_common").alias(f"common_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    met_in = lambda k: most.select(F.col("id").alias(k), F.col("kept").alias(f"kept_{k}"))
+    pairs = found.where("kind = 'pair'").groupBy(F.col("a").alias("node_a"), F.col("b").alias("node_b")).agg(F.sum("k").alias("k"))
+    same = classes.groupBy(F.col("node").alias("node_a")).agg(F.count("*").alias("c")).where("c > 1").select("node_a", F.col("node_a").alias("node_b"), F.lit(1 << 40).alias("k"))
+    pairs = pairs.union(same).join(side("a"), "node_a").join(side("b"), "node_b").where(f"(node_a <> node_b or a < b) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    pairs = pairs.join(met_in("a"), "a", "left").join(met_in("b"), "b", "left").fillna(0, ["kept_a", "kept_b"])
+    pairs = cut(pairs.where("k + least(kept_a, kept_b) >= if(n_a > n_b, common_a, common_b)").select("a", "b", "k", "n_a", "n_b", "sketch_a", "sketch_b", F.lit(False).alias("star")))
+    times = pairs.select(F.col("a").alias("id"), "k").union(pairs.select("b", "k")).groupBy("id").agg(F.max("k").alias("times"))
+    large = large.join(left, ["id", "own"]).join(times, "id", "left").where("kept + coalesce(times, 0) >= common").select("gid", "id", "own")
+    size = large.groupBy("gid").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some").select("gid", "k")
+    large = cut(large.join(size, "gid"))
+    one, two = (large.where(f"k <= {SMALL}").select("gid", F.col("id").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
+    few = one.join(two, "gid").where("a < b and (own_a or own_b)").select("a", "b").distinct()
+    sized = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
+    few = few.join(sized("a"), "a").join(sized("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").withColumn("star", F.lit(False))
+    pairs = possible(pairs.drop("k").unionByName(few), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return classes.select("id", "h1", "h2"), cut(pairs), cut(large.where(f"k > {SMALL}").select("gid", F.col("id").alias("node"), "own"))
+
+
+def hubs_of(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(gid, hub): the member that most groups have, or a heavier hub of its groups that is like it.
+
+    A hub need not be of the group: what it leaves is found by the differences from it. So the
+    groups of one cluster mostly get one hub, and a member is compared with few.
+    """
+    weight = large.groupBy("node").agg(F.sum("k").alias("w"))
+    hubs = cut(large.join(weight, "node").groupBy("gid").agg(F.max(F.struct("w", "node")).alias("h")).select("gid", F.col("h.w").alias("w"), F.col("h.node").alias("hub")))
+    own = hubs.select(F.col("hub").alias("node")).distinct()
+    above = large.join(own, "node", "left_semi").join(hubs, "gid").groupBy("node").agg(F.max(F.struct("w", "hub")).alias("h")).select(F.col("h.hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star")).where("a <> b")
+    alike = verified(above, sets, percent).where("size(differ) <= (size_a + size_b) / 3").select(F.col("b").alias("hub"), F.col("a").alias("above"))
+    return hubs.join(alike, "hub", "left").select("gid", F.coalesce("above", "hub").alias("hub"))
 
 
 def links(docs: DataFrame, found: DataFrame, n: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -454,14 +497,12 @@ def links(docs: DataFrame, found: DataFrame, n: int = NGRAM, percent: int = PERC
     sets, out = cut(sets.join(ids, ["id", "h1", "h2"], "left_semi").dropDuplicates(["id"])), []
     while True:
         size = groups.groupBy("gid").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some")
-        groups = groups.join(size.drop("some"), "gid")
+        groups = cut(groups.join(size.drop("some"), "gid"))
         small, large = groups.where(f"k <= {SMALL}"), groups.where(f"k > {SMALL}")
         one, two = small.select("gid", F.col("node").alias("a"), F.col("own").alias("o1")), small.select("gid", F.col("node").alias("b"), F.col("own").alias("o2"))
         near = one.join(two, "gid").where("a < b and (o1 or o2)").select("a", "b", F.lit(False).alias("star"))
         near = near.union(left.select("a", "b", F.lit(False)))
-        weight = large.groupBy("node").agg(F.sum("k").alias("w"))
-        hubs = large.join(weight, "node").groupBy("gid").agg(F.max_by("node", F.struct("w", "node")).alias("hub"))
-        stars = large.join(hubs, "gid").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
+        stars = large.join(hubs_of(large, sets, percent), "gid").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.lit(True).alias("star"))
         done = cut(verified(near.union(stars).groupBy("a", "b").agg(F.max("star").alias("star")), sets, percent))
         out.append(done.where("linked").select("a", "b"))
         if not done.where("differ is not null").limit(1).count():
