@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 EXITS = ("STOP", "TARGET", "TRAILING", "GIVE_BACK", "MAX_HOLD", "SEGMENT_END")
+#: The chance of at most 0, 1, ... 6 events where one is expected.
+POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 TRADES = "candidate string, symbol bigint, segment bigint, direction string, entry_us bigint, exit_us bigint, entry_fill double, exit_fill double, pnl double, mfe double, mae double, exit_reason string"
 
 
@@ -85,20 +87,26 @@ def replay(ticks: DataFrame, policies: list[Policy], gap_us: int) -> DataFrame:
     return rows.groupBy("symbol", "segment").applyInPandas(run, TRADES)
 
 
-def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, by: str, draws: int = 400, seed: int = 14) -> DataFrame:
-    """(by, mean, lower, upper): a 95 % interval of the mean, resampling whole clusters.
+def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, by: str, trials: int = 1, draws: int = 4000, least: int = 20, seed: int = 14) -> DataFrame:
+    """(by, clusters, status, mean, lower, upper): an interval of the mean, resampling whole clusters.
 
-    Clusters are first summed where they are; a draw weights each by a Poisson count from a hash of
-    (seed, draw, cluster), so no group is collected and the result doesn't depend on partitions.
+    Its tails are 2.5 % divided by the number of trials (Bonferroni). Fewer than ``least`` clusters
+    give no interval but the status INSUFFICIENT_CLUSTERS. Clusters are first summed where they are;
+    a draw weights each by a Poisson count from a hash of (seed, draw, cluster), so no group is
+    collected and the result doesn't depend on partitions.
     """
+    if trials < 1 or draws < 1000 or least < 2:
+        raise ValueError("at least one trial, 1000 draws and two clusters are needed")
     sums = rows.groupBy(by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    drawn = sums.select(by, cluster, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "draw", F.col(cluster)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
-    steps = np.cumsum([0.36787944, 0.36787944, 0.18393972, 0.06131324, 0.01532831, 0.00306566])
-    weight = sum(F.when(u > float(x), 1).otherwise(0) for x in steps)
+    whole = sums.groupBy(by).agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean"))
+    drawn = sums.join(F.broadcast(whole.where(F.col("clusters") >= least).select(by)), by, "left_semi").select(by, cluster, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(cluster).cast("string")).cast("binary"))
+    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
+    weight = sum(F.when(u >= int(x * (1 << 32)), 1).otherwise(0) for x in POISSON)
     means = drawn.withColumn("w", weight).groupBy(by, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
-    ends = means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("lower"), F.percentile("m", F.lit(0.975)).alias("upper"))
-    return sums.groupBy(by).agg((F.sum("s") / F.sum("n")).alias("mean")).join(ends, by)
+    tail = 0.025 / trials
+    ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
+    return whole.join(ends, by, "left").select(by, "clusters", F.when(F.col("clusters") >= least, "ESTIMATED").otherwise("INSUFFICIENT_CLUSTERS").alias("status"), "mean", "lower", "upper")
 
 
 def blocks_of_pages(pages: DataFrame) -> DataFrame:

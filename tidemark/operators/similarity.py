@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CLIP, EPSILON = 8.0, 1e-9
+#: Vectors in a block of rows and in one of queries: a product of two blocks bounds a worker's memory.
+ROWS, ASKED = 16384, 256
 
 
 def dot(a: str, b: str) -> Column:
@@ -27,6 +33,64 @@ def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int) -> Data
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("rank") <= k)
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """(ids, data, dims): vectors of length one in blocks of at most ``size``, those of zero as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+
+        def block() -> pa.RecordBatch:
+            x, e = np.concatenate(ids), np.concatenate(held)
+            order = np.argsort(x, kind="stable")
+            return pa.RecordBatch.from_arrays([pa.array([x[order].tobytes()]), pa.array([e[order].tobytes()]), pa.array([e.shape[1]], pa.int32())], names=["ids", "data", "dims"])
+
+        for batch in batches:
+            batch = batch.filter(pa.array([a is not None and v is not None for a, v in zip(batch.column("id").to_pylist(), batch.column("v"), strict=True)], pa.bool_())) if batch.column("id").null_count + batch.column("v").null_count else batch
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                e = np.array(part.column("v").to_pylist(), dtype=np.float64)
+                n = np.sqrt((e * e).sum(axis=1, keepdims=True))
+                ids.append(part.column("id").to_numpy())
+                held.append(e / np.where(n == 0, 1, n))
+                if sum(map(len, ids)) >= size:
+                    yield block()
+                    ids, held = [], []
+        if ids:
+            yield block()
+
+    return rows.select(F.col("id").cast("bigint").alias("id"), F.col("v").cast("array<double>").alias("v")).mapInArrow(run, "ids binary, data binary, dims int")
+
+
+def nearest(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k rows (id, v) most like each asked one, itself left out.
+
+    The cosine is rounded to six digits, ties go to the lesser id; a zero vector is like nothing (0);
+    rows without id or vector are neither found nor asked. Every row is compared: blocks of rows meet
+    blocks of queries in one matrix product, which leaves k rows for each query, whatever the ties.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, mine = (np.frombuffer(r[c], dtype=np.int64) for c in ("ids", "asked_ids"))
+                e, q = (np.frombuffer(r[c], dtype=np.float64).reshape(-1, r["dims"]) for c in ("data", "asked_data"))
+                score = np.round(q @ e.T, 6) + 0.0
+                score[mine[:, None] == ids[None, :]] = -np.inf
+                n = min(k, len(ids))
+                least = np.partition(score, len(ids) - n, axis=1)[:, len(ids) - n, None]
+                over, tie = score > least, score == least
+                keep = (over | (tie & (np.cumsum(tie, axis=1) <= n - over.sum(axis=1, keepdims=True)))) & np.isfinite(score)
+                a, b = np.nonzero(keep)
+                yield pa.RecordBatch.from_arrays([pa.array(mine[a]), pa.array(ids[b]), pa.array(score[a, b])], names=["query_id", "doc_id", "score"])
+
+    blocks = _blocks(rows, ROWS)
+    queries = _blocks(asked, ASKED).select(F.col("ids").alias("asked_ids"), F.col("data").alias("asked_data"), F.col("dims").alias("asked_dims"))
+    pairs = blocks.join(queries, F.col("dims") == F.col("asked_dims"))
+    found = pairs.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    return top_k(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
+
+
 def robust_profile(vectors: DataFrame, cohort: str, values: str) -> DataFrame:
     """(cohort, dim, median, scale): the interquartile range, else 1.4826 MAD, else one."""
     long = vectors.select(cohort, F.posexplode(values).alias("dim", "x")).where("x is not null")

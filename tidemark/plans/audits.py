@@ -68,10 +68,10 @@ statement("status_lattice", """
 statement("distinct_sets", "SELECT count(DISTINCT symbol) AS symbols, count(DISTINCT action) AS actions, count(DISTINCT symbol * 10 + length(action)) AS pairs FROM decisions")
 
 @query("""
-    WITH candidates AS (SELECT DISTINCT horizon AS shift FROM evals), samples AS (SELECT decision_id, min(lag) AS lag FROM evals WHERE decision_id < 200 GROUP BY decision_id)
+    WITH candidates AS (SELECT DISTINCT horizon AS shift FROM evals), samples AS (SELECT decision_id, min(lag) AS lag FROM evals GROUP BY decision_id)
     SELECT shift, count(*) AS n, CAST(sum(CASE WHEN lag - shift >= 0 THEN 1 ELSE 0 END) AS bigint) AS valid, sum(CASE WHEN lag - shift >= 0 THEN 1 ELSE 0 END) = count(*) AS holds_for_all FROM samples CROSS JOIN candidates GROUP BY shift""")
 def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which offsets hold for all decisions, by counts of their least lags; the oracle's SQL still takes ids below 200."""
+    """Which offsets hold for all decisions, by counts of their least lags."""
     evals = projection(spark, sf_dir, "evals")
     lags = evals.groupBy("decision_id").agg(F.min("lag").alias("lag")).groupBy("lag").agg(F.count("*").alias("k"))
     each = lags.crossJoin(evals.select(F.col("horizon").alias("shift")).distinct()).groupBy("shift")
@@ -85,7 +85,6 @@ statement("series_summary", """
 statement("benchmark_comparison", """
     WITH a AS (SELECT agent, count(*) AS n, avg(latency) AS v FROM runs WHERE revision = '1-URGENT' GROUP BY agent), b AS (SELECT agent, count(*) AS n, avg(latency) AS v FROM runs WHERE revision = '5-LOW' GROUP BY agent)
     SELECT a.agent, a.n AS before_n, b.n AS after_n, round(b.v - a.v, 4) AS delta, round(1e2 * (b.v - a.v) / nullif(a.v, 0), 6) AS pct FROM a JOIN b ON a.agent = b.agent""")
-statement("json_map_rollup", "SELECT event_type, count(*) AS n, count(DISTINCT symbol) AS symbols, round(avg(mid), 6) AS mean_mid, round(@d(mid, 0.5), 6) AS median_mid, round(@d(mid, 0.95), 6) AS p95_mid, max(mid) AS most FROM ticks GROUP BY event_type")
 statement("nearest_rank_percentiles", "SELECT strategy, session, @d(pnl, 0.5) AS p50, @d(pnl, 0.9) AS p90, @d(pnl, 0.95) AS p95, @d(pnl, 0.99) AS p99 FROM trades GROUP BY strategy, session")
 statement("inclusive_quantiles", "SELECT strategy, round(@p(pnl, 0.05), 6) AS p05, round(@p(pnl, 0.25), 6) AS p25, round(@p(pnl, 0.75), 6) AS p75, round(@p(pnl, 0.95), 6) AS p95, round(median(pnl), 6) AS median FROM trades GROUP BY strategy")
 statement("upper_median", """
@@ -96,8 +95,6 @@ statement("exclusion_reason_counts", """
 statement("collected_reasons", """
     SELECT decision_id, CASE WHEN anchor_us IS NULL THEN 'MISSING_ANCHOR;' ELSE '' END || CASE WHEN symbol = 7 THEN 'SYMBOL;' ELSE '' END || CASE WHEN ask - bid > 45e-3 THEN 'SPREAD;' ELSE '' END || CASE WHEN action = 'HOLD' THEN 'NON_DIRECTIONAL;' ELSE '' END AS reasons,
       anchor_us IS NOT NULL AND symbol <> 7 AND ask - bid <= 45e-3 AND action <> 'HOLD' AS eligible FROM decisions""")
-statement("trust_tiers", """
-    SELECT CASE WHEN toxic = 1 THEN 'C' WHEN quality = 1 THEN 'A' ELSE 'B' END AS tier, count(*) AS n, min(labels.doc_id) AS first_doc FROM labels JOIN documents ON labels.doc_id = documents.doc_id GROUP BY 1""")
 statement("hourly_clusters", """
     WITH hours AS (SELECT strategy, us - us % 3600000000 AS hour_us, sum(pnl) AS total, count(*) AS n FROM trades GROUP BY strategy, us - us % 3600000000)
     SELECT strategy, count(*) AS clusters, round(sum(total) / sum(n), 6) AS mean, round(stddev_samp(total / n), 4) AS spread FROM hours GROUP BY strategy""")

@@ -17,8 +17,6 @@ statement("trade_evidence_assembly", """
 statement("exclusion_audit", """
     WITH r AS (SELECT decision_id, symbol, 'MISSING_ANCHOR' AS reason FROM decisions WHERE anchor_us IS NULL UNION ALL SELECT decision_id, symbol, 'SYMBOL' FROM decisions WHERE symbol = 7 UNION ALL SELECT decision_id, symbol, 'SPREAD' FROM decisions WHERE ask - bid > 45e-3 UNION ALL SELECT decision_id, symbol, 'NON_DIRECTIONAL' FROM decisions WHERE action = 'HOLD')
     SELECT reason, symbol, count(*) AS n, count(DISTINCT decision_id) AS decisions FROM r GROUP BY reason, symbol""")
-statement("similarity_gate", """
-    SELECT reason, count(*) AS n FROM (SELECT CASE WHEN anchor_us IS NULL THEN 'tombstone' WHEN symbol <> 3 THEN 'symbol' WHEN spread_points > 4 THEN 'profile' WHEN action = 'HOLD' THEN 'action' WHEN us >= 1705276800000000 THEN 'as_of' ELSE 'accepted' END AS reason FROM (SELECT *, (ask - bid) / point AS spread_points FROM decisions) d) q GROUP BY reason""")
 statement("context_integrity", """
     SELECT c.conv_id, r.role AS required_role, count(t.turn) AS turns, CAST(coalesce(sum(length(t.text)), 0) AS bigint) AS chars FROM (SELECT DISTINCT conv_id FROM conversations) c CROSS JOIN (SELECT 'user' AS role UNION ALL SELECT 'assistant' UNION ALL SELECT 'system') r
     LEFT JOIN conversations t ON t.conv_id = c.conv_id AND t.role = r.role GROUP BY c.conv_id, r.role""")
@@ -30,10 +28,10 @@ statement("specs_by_semantic_key", "SELECT p_type, p_size, p_partkey, evidence F
 
 
 @query("""
-    SELECT p.p_partkey, v.name, round(p.p_retailprice * v.stop, 4) AS stop, round(p.p_retailprice * v.target, 4) AS target FROM (SELECT * FROM part WHERE p_size <= 10) p
+    SELECT p.p_partkey, v.name, round(p.p_retailprice * v.stop, 4) AS stop, round(p.p_retailprice * v.target, 4) AS target FROM part p
     CROSS JOIN (SELECT 'tighter_stop' AS name, 8e-1 AS stop, 1e0 AS target UNION ALL SELECT 'wider_stop', 12e-1, 1e0 UNION ALL SELECT 'nearer_target', 1e0, 8e-1 UNION ALL SELECT 'further_target', 1e0, 12e-1 UNION ALL SELECT 'both_tight', 8e-1, 8e-1 UNION ALL SELECT 'both_wide', 12e-1, 12e-1) v""")
 def candidate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six variants of every part; the oracle's SQL still takes sizes up to 10 only."""
+    """Six variants of every part."""
     factors = [("tighter_stop", 0.8, 1.0), ("wider_stop", 1.2, 1.0), ("nearer_target", 1.0, 0.8), ("further_target", 1.0, 1.2), ("both_tight", 0.8, 0.8), ("both_wide", 1.2, 1.2)]
     each = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("stop"), F.lit(b).alias("target")) for n, a, b in factors)))
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_retailprice", each.alias("v"))
@@ -43,7 +41,7 @@ def candidate_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 statement("multi_timeframe_snapshot", """
     SELECT symbol, 'M15' AS frame, count(DISTINCT us - us % 900000000) AS bars, max_by(mid, us) AS last_mid FROM ticks GROUP BY symbol UNION ALL SELECT symbol, 'H1', count(DISTINCT us - us % 3600000000), max_by(mid, us) FROM ticks GROUP BY symbol
     UNION ALL SELECT symbol, 'D1', count(DISTINCT us - us % 86400000000), max_by(mid, us) FROM ticks GROUP BY symbol""")
-statement("removed_resources", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id) AND lang = 'fr'")
+statement("removed_resources", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 statement("context_budget", """
     SELECT conv_id, turn, n_words, running <= 200 AS kept FROM (SELECT conv_id, turn, n_words, sum(n_words) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
       FROM (SELECT conv_id, turn, CAST(length(text) - length(replace(text, ' ', '')) + 1 AS bigint) AS n_words FROM conversations) w) q""")
@@ -52,10 +50,6 @@ statement("health_lattice", """
       FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS rn FROM runs) r GROUP BY agent) q""")
 statement("feed_health", "SELECT symbol, max(us) AS last_us, CASE WHEN 1706659200000000 - max(us) > 43200000000 THEN 'DEGRADED' WHEN 1706659200000000 - max(us) < -2000000 THEN 'DEGRADED' ELSE 'OK' END AS health FROM ticks GROUP BY symbol")
 statement("position_sizes", "SELECT trade_id, CAST(greatest(floor(least(volume, 4e1) / 5) * 5, 5) AS double) AS lots, CASE WHEN volume * 1e-2 > 45e-2 THEN 'CAPPED' ELSE 'FREE' END AS note FROM trades")
-statement("rating_actions", "SELECT conv_id, turn, regexp_extract(lower(text), '(is|the|of)', 1) AS found, CASE regexp_extract(lower(text), '(is|the|of)', 1) WHEN 'is' THEN 'BUY' WHEN 'the' THEN 'SELL' ELSE 'HOLD' END AS action FROM conversations")
-statement("rule_grammar", """
-    SELECT quote, regexp_extract(quote, '(above|below|at least|at most)', 1) AS operator, CAST(regexp_extract(quote, '([0-9]+[.]?[0-9]*)', 1) AS decimal(38, 18)) AS amount, regexp_extract(quote, '[0-9] ?(pips|points|percent)', 1) AS unit
-    FROM (SELECT 'spread below 1.5 pips' AS quote UNION ALL SELECT 'move of at least 20 points' UNION ALL SELECT 'range above 0.35 percent' UNION ALL SELECT 'hold at most 3 points') q""")
 statement("promotion_history", "SELECT agent, max(CASE WHEN status = 'SUCCEEDED' THEN decision_id END) AS last_promotion, max(CASE WHEN status = 'FAILED' THEN decision_id END) AS last_rollback, count(*) AS experiments FROM runs GROUP BY agent")
 statement("evaluation_summary", "SELECT part % 11 AS candidate, flag AS reason, state AS status, count(*) AS n FROM evals GROUP BY part % 11, flag, state")
 
@@ -145,22 +139,13 @@ statement("parameter_grid", """
       SELECT strategy, g.margin, count(*) AS n, round(avg(pnl - g.margin * volume), 4) AS expectancy FROM trades CROSS JOIN (SELECT 0 AS margin UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5) g WHERE slippage <= 8e-2 - g.margin * 1e-2 GROUP BY strategy, g.margin HAVING count(*) >= 20) a) b WHERE rn = 1""")
 statement("cost_sensitivity", """
     SELECT strategy, c.extra, count(*) AS n, round(avg(pnl - c.extra * volume), 4) AS expectancy, round(avg(CASE WHEN pnl - c.extra * volume > 0 THEN 1e0 ELSE 0e0 END), 6) AS win_rate FROM trades CROSS JOIN (SELECT 0 AS extra UNION ALL SELECT 1 UNION ALL SELECT 3) c GROUP BY strategy, c.extra""")
-statement("walk_forward_summary", """
-    WITH o AS (SELECT strategy, pnl, row_number() OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS rn, count(*) OVER (PARTITION BY strategy) AS n FROM trades)
-    SELECT strategy, CAST(floor((rn - 1) * 5 / (n * 1e0)) AS bigint) AS fold, count(*) AS n, round(avg(pnl), 4) AS expectancy FROM o GROUP BY strategy, CAST(floor((rn - 1) * 5 / (n * 1e0)) AS bigint)""")
-statement("market_lifecycle", """
-    WITH e AS (SELECT symbol, us, CASE WHEN event_type = 'refund' THEN 'CLOSED' WHEN event_type = 'signup' THEN 'OPENING_VALIDATION' WHEN event_type = 'purchase' THEN 'VALID' END AS mark FROM ticks),
-    m AS (SELECT *, lag(mark) OVER (PARTITION BY symbol ORDER BY us) AS was FROM e WHERE mark IS NOT NULL)
-    SELECT symbol, us, CASE WHEN mark = 'VALID' AND was = 'OPENING_VALIDATION' THEN 'OPEN' WHEN mark = 'VALID' THEN 'DATA_ERROR' ELSE mark END AS state FROM m""")
-statement("agent_telemetry", """
-    SELECT agent % 10 AS node, count(*) AS calls, round(sum(latency), 2) AS total, round(avg(latency), 4) AS mean, round(median(latency), 4) AS median, @d(latency, 0.95) AS p95, max(latency) AS most, count(DISTINCT revision) AS models FROM runs GROUP BY agent % 10""")
 
 
 @query("""
-    SELECT agent, decision_id, CAST(place AS bigint) AS place, kind FROM (SELECT agent, decision_id, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS place, 'same' AS kind FROM runs WHERE agent <= 20 AND us <= 852076800000000) a WHERE place <= 5
-    UNION ALL SELECT agent, decision_id, CAST(place AS bigint), kind FROM (SELECT a.agent, r.decision_id, row_number() OVER (PARTITION BY a.agent ORDER BY r.us DESC, r.decision_id DESC) AS place, 'cross' AS kind FROM (SELECT DISTINCT agent FROM runs WHERE agent <= 20) a JOIN runs r ON r.agent <> a.agent AND r.agent <= 20 AND r.us <= 852076800000000) b WHERE place <= 3""")
+    SELECT agent, decision_id, CAST(place AS bigint) AS place, kind FROM (SELECT agent, decision_id, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS place, 'same' AS kind FROM runs WHERE us <= 852076800000000) a WHERE place <= 5
+    UNION ALL SELECT agent, decision_id, CAST(place AS bigint), kind FROM (SELECT a.agent, r.decision_id, row_number() OVER (PARTITION BY a.agent ORDER BY r.us DESC, r.decision_id DESC) AS place, 'cross' AS kind FROM (SELECT DISTINCT agent FROM runs) a JOIN (SELECT * FROM runs WHERE us <= 852076800000000 QUALIFY row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) <= 3) r ON r.agent <> a.agent AND r.us <= 852076800000000) b WHERE place <= 3""")
 def last_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each agent's last five runs and the last three of others; the oracle's SQL still takes agents up to 20.
+    """Each agent's last five runs and the last three of others.
 
     At most three runs of each agent can be among the last three of others, and of the six latest of
     those at most three are an agent's own: so every agent meets these six only.
@@ -174,13 +159,7 @@ def last_lessons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.union(cross.select("agent", "decision_id", F.col("rank").cast("bigint").alias("place"), F.lit("cross").alias("kind")))
 
 
-statement("news_window_flags", """
-    SELECT event_id, CASE WHEN event_id % 13 = 0 THEN 1706572800000000 >= 1706486400000000 ELSE us >= 1704931200000000 AND us < 1705363200000000 END AS inside FROM ticks""")
-statement("fundamentals_asof", """
-    SELECT part, fiscal_us, round(v, 4) AS v FROM (SELECT part, us AS fiscal_us, cost AS v, row_number() OVER (PARTITION BY part ORDER BY us DESC, decision_id DESC, horizon DESC) AS rn FROM evals WHERE us <= 820454400000000) q WHERE rn <= 4""")
 statement("macro_vintage", """
     SELECT decision_id, horizon, round(cost, 4) AS v FROM evals WHERE us <= 820454400000000 AND us + lag * 86400000000 >= 820454400000000""")
-statement("prediction_markets", """
-    SELECT page_id, CAST(n AS bigint) AS n FROM (SELECT page_id, length(html) AS n, row_number() OVER (ORDER BY length(html) DESC, page_id) AS rn FROM pages WHERE url LIKE 'http%') q WHERE rn <= 10""")
 statement("sentiment_tallies", """
     SELECT source, count(*) AS n, CAST(sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS bigint) AS bullish, CAST(sum(CASE WHEN quality = 0 THEN 1 ELSE 0 END) AS bigint) AS bearish, round(1e2 * sum(CASE WHEN quality = 1 THEN 1 ELSE 0 END) / nullif(count(quality), 0), 6) AS bullish_pct FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id GROUP BY source""")

@@ -74,7 +74,7 @@ statement("fill_chain", """
 statement("latest_run_scalar", "SELECT e.horizon, count(*) AS n FROM evals e JOIN runs r ON e.decision_id = r.decision_id WHERE r.us >= (SELECT max(us) - 86400000000 FROM runs) GROUP BY e.horizon")
 statement("flag_by_exists", "SELECT s_suppkey, CASE WHEN k.l_suppkey IS NULL THEN false ELSE true END AS active FROM supplier LEFT JOIN (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49) k ON s_suppkey = k.l_suppkey")
 statement("ambiguity_marked_join", """
-    SELECT d.decision_id, r.status, count(*) OVER (PARTITION BY d.decision_id) > 1 AS ambiguous FROM decisions d LEFT JOIN evals e ON d.decision_id = e.decision_id AND e.horizon <= 2 LEFT JOIN runs r ON e.decision_id = r.decision_id""")
+    SELECT d.decision_id, r.status, count(*) OVER (PARTITION BY d.decision_id) > 1 AS ambiguous FROM decisions d LEFT JOIN evals e ON d.decision_id = e.decision_id LEFT JOIN runs r ON e.decision_id = r.decision_id""")
 statement("prioritised_pairing", """
     SELECT decision_id, horizon, part FROM (SELECT r.decision_id, e.horizon, e.part, row_number() OVER (PARTITION BY r.decision_id ORDER BY CASE WHEN e.flag = 'R' THEN 0 WHEN e.state = 'F' THEN 1 ELSE 2 END, e.us DESC, e.part DESC, e.horizon) AS rn FROM runs r JOIN evals e ON r.decision_id = e.decision_id) q WHERE rn = 1""")
 statement("suffix_rule_lookup", """
@@ -102,10 +102,10 @@ def ffill_bfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    SELECT s.day_us, b.close, CASE WHEN b.close IS NULL THEN 'N/A: Not a trading day' ELSE 'OK' END AS note FROM (SELECT unnest(range((SELECT min(day_us) - 259200000000 FROM bars), (SELECT max(day_us) + 1 FROM bars), 86400000000)) AS day_us) s LEFT JOIN bars b ON b.day_us = s.day_us AND b.symbol = 3""")
+    SELECT s.day_us, y.symbol, b.close, CASE WHEN b.close IS NULL THEN 'N/A: Not a trading day' ELSE 'OK' END AS note FROM (SELECT unnest(range((SELECT min(day_us) - 259200000000 FROM bars), (SELECT max(day_us) + 1 FROM bars), 86400000000)) AS day_us) s CROSS JOIN (SELECT DISTINCT symbol FROM bars) y LEFT JOIN bars b ON b.day_us = s.day_us AND b.symbol = y.symbol""")
 def date_spine_left(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every calendar day of the look-back, traded or not."""
+    """Every calendar day of the look-back for each symbol, traded or not."""
     bars = projection(spark, sf_dir, "bars")
     spine = bars.agg(F.explode(F.sequence(F.min("day_us") - 259_200_000_000, F.max("day_us"), F.lit(86_400_000_000))).alias("day_us"))
-    one = bars.where("symbol = 3").select("day_us", "close")
-    return spine.join(one, "day_us", "left").withColumn("note", F.when(F.col("close").isNull(), "N/A: Not a trading day").otherwise("OK"))
+    days = spine.join(bars.select("symbol").distinct())  # each symbol has a row for each day
+    return days.join(bars.select("day_us", "symbol", "close"), ["day_us", "symbol"], "left").withColumn("note", F.when(F.col("close").isNull(), "N/A: Not a trading day").otherwise("OK"))

@@ -37,7 +37,8 @@ def oracle_text(body: str) -> str:
     body = duck_form(body).strip()
     if not ctes:
         return body
-    return f"WITH {', '.join(ctes)} " + (re.sub(r"(?i)^with\s", ", ", body, count=1) if re.match(r"(?i)with\s", body) else body)
+    word = "WITH RECURSIVE" if re.match(r"(?i)with\s+recursive\s", body) else "WITH"
+    return f"{word} {', '.join(ctes)} " + re.sub(r"(?i)^with\s+(recursive\s+)?", ", ", body, count=1)
 
 
 def views(spark: SparkSession, sf_dir: str, body: str) -> None:

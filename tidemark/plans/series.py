@@ -92,26 +92,14 @@ statement("running_excursion", """
     SELECT decision_id, us, round(max(cost) OVER (PARTITION BY decision_id ORDER BY horizon, part, us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS mfe, round(min(cost) OVER (PARTITION BY decision_id ORDER BY horizon, part, us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS mae FROM evals""")
 statement("chronological_splits", """
     SELECT split, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM (SELECT us, CASE WHEN rn <= n / 2 THEN 'development' WHEN rn <= n * 3 / 4 THEN 'validation' ELSE 'unseen' END AS split FROM (SELECT us, row_number() OVER (ORDER BY us) AS rn, count(*) OVER () AS n FROM bars_days) q) s GROUP BY split""".replace("bars_days", "(SELECT DISTINCT day_us AS us FROM bars) d"))
-statement("walk_forward_windows", """
-    SELECT window_no, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM (SELECT us, CAST(floor((rn - 1) * 6 / (n * 1e0)) AS bigint) AS window_no FROM (SELECT us, row_number() OVER (ORDER BY us) AS rn, count(*) OVER () AS n FROM (SELECT DISTINCT day_us AS us FROM bars) d) q) s GROUP BY window_no""")
-statement("evenly_spaced_sample", """
-    WITH r AS (SELECT day_us, row_number() OVER (ORDER BY day_us) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT day_us FROM bars) d)
-    SELECT r.day_us FROM r JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) s ON r.i = CAST(floor(s.k * (r.n - 1) / 4e0 + 5e-1) AS bigint)""")
 statement("rate_limit_count", """
     SELECT event_id, count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS recent FROM ticks""")
 statement("failure_run_lengths", """
     WITH f AS (SELECT agent, decision_id, status, row_number() OVER (PARTITION BY agent ORDER BY us, decision_id) AS rn, row_number() OVER (PARTITION BY agent, status ORDER BY us, decision_id) AS rs FROM runs),
     r AS (SELECT agent, status, rn - rs AS island, count(*) AS n FROM f GROUP BY agent, status, rn - rs)
     SELECT agent, max(n) AS longest FROM r WHERE status = 'FAILED' GROUP BY agent""")
-statement("risk_gate", """
-    SELECT trade_id, us, pnl, CASE WHEN volume > 48 THEN 'EXPOSURE' WHEN slippage > 7e-2 THEN 'SLIPPAGE' WHEN before_day < -1e5 THEN 'DAILY_LOSS' WHEN symbol % 9 = 0 THEN 'SESSION' ELSE 'ACCEPTED' END AS verdict FROM (
-      SELECT *, coalesce(sum(pnl) OVER (PARTITION BY symbol ORDER BY us, trade_id, pnl, volume ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0) AS before_day FROM trades) q""")
 statement("fill_prices", """
     SELECT decision_id, action, round(CASE action WHEN 'BUY' THEN ask + 2 * point WHEN 'SELL' THEN bid - 2 * point END, 6) AS entry_fill, round(CASE action WHEN 'BUY' THEN bid - 2 * point WHEN 'SELL' THEN ask + 2 * point END, 6) AS exit_fill FROM decisions""")
 statement("signal_arbitration", """
     SELECT symbol, us, strategy, strength FROM (SELECT *, row_number() OVER (PARTITION BY symbol, us ORDER BY priority, strength DESC, strategy) AS rn FROM (
       SELECT symbol, us, 'momentum' AS strategy, 1 AS priority, mid - 1e2 AS strength FROM ticks WHERE mid - 1e2 > spread + 5e1 UNION ALL SELECT symbol, us, 'range', 2, 2e2 - mid FROM ticks WHERE 2e2 - mid > spread + 1e1) s) q WHERE rn = 1""")
-statement("replay_guarded_splits", """
-    WITH n AS (SELECT us, row_number() OVER (ORDER BY us) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT us - us % 3600000000 AS us FROM ticks) h),
-    c AS (SELECT max(CASE WHEN i = CAST(floor(n / 2e0) AS bigint) THEN us END) AS a, max(CASE WHEN i = CAST(floor(3 * n / 4e0) AS bigint) THEN us END) AS b FROM n)
-    SELECT CASE WHEN us < a - 60000000 THEN 'development' WHEN us >= a + 60000000 AND us < b - 60000000 THEN 'validation' WHEN us >= b + 60000000 THEN 'unseen' ELSE 'guard' END AS part, count(*) AS n FROM ticks CROSS JOIN c GROUP BY 1""")
