@@ -59,6 +59,8 @@ SMALL, PAIRED = 8, 256
 BROADCAST_IDS = 500_000
 #: For the allocation: the cost of a hot signature against that of a row, and the share of hot shingles.
 CHANCE, HOT = 1e3, 0.2
+#: Most members of a hub whose sketches are compared before their differences are, and of a block.
+CHECKED, CHECK_BLOCK = 1 << 14, 512
 #: Signatures that a Python worker packs at a time, and bytes of a bucket of packs.
 FLUSH, BUCKET_BYTES = 1 << 20, 8 << 20
 #: Bits of a node's hash in a pack, beside one for whether it is in its own band.
@@ -340,13 +342,13 @@ def possible(pairs: DataFrame, percent: int) -> DataFrame:
             n = [batch.column(f"n_{x}").to_numpy() for x in "ab"]
             width = [batch.column(f"sketch_{x}").cast(pa.large_binary()) for x in "ab"]
             width = [np.diff(np.frombuffer(w.buffers()[1], dtype=np.int64)[w.offset : w.offset + len(w) + 1]) for w in width]
-            data = [np.frombuffer(b"".join(batch.column(f"sketch_{x}").to_pylist()), dtype=np.uint8).astype(np.int16) for x in "ab"]
+            data = [np.frombuffer(b"".join(batch.column(f"sketch_{x}").to_pylist()), dtype=np.uint8) for x in "ab"]
             at = [np.cumsum(w) - w for w in width]
             for wa, wb in np.unique(np.stack(width, axis=1), axis=0).tolist():
                 rows = np.flatnonzero((width[0] == wa) & (width[1] == wb))
                 w = min(wa, wb)  # the wider one is folded
-                folded = [data[i][at[i][rows][:, None] + np.arange(v)].reshape(len(rows), -1, w).sum(axis=1) for i, v in ((0, wa), (1, wb))]
-                keep[rows] = np.abs(folded[0] - folded[1]).sum(axis=1) <= (n[0] + n[1])[rows] * (100 - percent) // (100 + percent)
+                a, b = (folded(data[i], at[i][rows], v, w) for i, v in ((0, wa), (1, wb)))
+                keep[rows] = np.abs(a - b).sum(axis=1) <= (n[0] + n[1])[rows] * (100 - percent) // (100 + percent)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("star")], names=["a", "b", "star"]).filter(pa.array(keep))
 
     return pairs.select("a", "b", "star", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a bigint, b bigint, star boolean")
@@ -409,13 +411,57 @@ def prefixed(tokens: DataFrame) -> DataFrame:
     return ranked.where(f"i <= f - {shared} + 1").select("hub", "shingle", "node", "e", "n", "own", "partner", "f")
 
 
-def remaining(done: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+def folded(data: np.ndarray, at: np.ndarray, width: int, to: int) -> np.ndarray:
+    """Sketches of one width that begin at the given places, in ``to`` counters."""
+    return data[at[:, None] + np.arange(width)].reshape(len(at), -1, to).sum(axis=1, dtype=np.int32)
+
+
+def checked(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The members of hubs that could be similar to another one by their sketches.
+
+    One of such a pair isn't similar to the hub. Members of a hub meet in pairs of blocks, so none
+    is compared in one task with all; what comes out is members, not pairs. Hubs of more than
+    ``CHECKED`` members keep all of theirs: their differences alone decide.
+    """
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        sketch = rows["sketch"].to_pylist()
+        width = np.array([len(x) for x in sketch])
+        data, at = np.frombuffer(b"".join(sketch), dtype=np.uint8), np.cumsum(width) - width
+        n, own, met = rows["n"].to_numpy(), rows["own"].to_numpy(zero_copy_only=False), np.zeros(len(width), dtype=bool)
+        for wa in np.unique(width[own]).tolist():
+            mine = np.flatnonzero(own & (width == wa))
+            for wb in np.unique(width).tolist():
+                other = np.flatnonzero(width == wb)
+                w = min(wa, wb)
+                b = folded(data, at[other], wb, w)
+                step = max(1, (1 << 21) // max(1, b.size))
+                for k in range(0, len(mine), step):
+                    some = mine[k : k + step]
+                    a = folded(data, at[some], wa, w)
+                    apart = np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
+                    hit = (apart <= (n[some][:, None] + n[other][None, :]) * (100 - percent) // (100 + percent)) & (some[:, None] != other[None, :])
+                    met[some[hit.any(axis=1)]] = met[other[hit.any(axis=0)]] = True
+        return pa.table({"hub": rows["hub"].filter(pa.array(met)), "node": rows["node"].filter(pa.array(met))})
+
+    size = stars.groupBy("hub").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("some").select("hub", "k")
+    rows = stars.select("hub", "node", "own", "n").join(size, "hub")
+    few = rows.where(f"k <= {CHECKED}").withColumn("blocks", F.ceil(F.col("k") / CHECK_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    few = few.join(sketches.select(F.col("id").alias("node"), "sketch"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    few = few.select("hub", "node", "own", "n", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    some = few.groupBy("hub", "i", "j").applyInArrow(run, "hub bigint, node bigint").union(rows.where(f"k > {CHECKED}").select("hub", "node"))
+    return some.distinct()
+
+
+def remaining(done: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of the members compared with hubs: pairs (a, b) left to compare, and groups too large for that.
 
     A pair has a member that isn't similar to the hub, shares one of the rarest shingles, and could
     share enough of all.
     """
     stars = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("node"), (~F.col("linked")).alias("own"), F.size("differ").alias("e"), F.col("size_b").alias("n"), "differ")
+    stars = stars.join(cut(checked(stars, sketches, percent)), ["hub", "node"], "left_semi")
     tokens = stars.select("hub", "node", "e", "n", F.expr(bound(percent, "n")).alias("h"), "own", F.lit(True).alias("partner"), F.explode("differ").alias("shingle"))
     tokens = cut(prefixed(pruned(pruned(tokens))))
     size = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some").select("hub", "shingle", "k")
@@ -459,7 +505,7 @@ def candidates(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Da
     sized = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"sketch_{k}"))
     few = few.join(sized("a"), "a").join(sized("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").withColumn("star", F.lit(False))
     pairs = possible(pairs.drop("k").unionByName(few), percent).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return classes.select("id", "h1", "h2"), cut(pairs), cut(large.where(f"k > {SMALL}").select("gid", F.col("id").alias("node"), "own"))
+    return classes.select("id", "h1", "h2", "sketch"), cut(pairs), cut(large.where(f"k > {SMALL}").select("gid", F.col("id").alias("node"), "own"))
 
 
 def hubs_of(large: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -484,7 +530,7 @@ def links(docs: DataFrame, found: DataFrame, n: int = NGRAM, percent: int = PERC
     """
     classes, left, groups = candidates(found, percent)
     wanted = left.select(F.col("a").alias("id")).union(left.select("b")).union(groups.select("node")).distinct()
-    ids = _sent(classes.join(wanted, "id", "left_semi"))
+    ids = _sent(classes.select("id", "h1", "h2").join(wanted, "id", "left_semi"))
     # documents with a partner: where few, their ids are sent out and the texts stay in place
     picked = docs.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
 
@@ -507,7 +553,7 @@ def links(docs: DataFrame, found: DataFrame, n: int = NGRAM, percent: int = PERC
         out.append(done.where("linked").select("a", "b"))
         if not done.where("differ is not null").limit(1).count():
             break
-        left, groups = remaining(done, percent)
+        left, groups = remaining(done, classes, percent)
     both = out[0]
     for more in out[1:]:
         both = both.union(more)
