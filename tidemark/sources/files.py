@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -77,12 +79,24 @@ def manifest(rows: DataFrame, split: str = "split") -> DataFrame:
 
 
 def publish(rows: DataFrame, root: str, generation: str) -> None:
-    """A new generation beside the others, then the one-row pointer that makes it the active one."""
+    """A new generation beside the others, then the pointer that makes it the active one.
+
+    The pointer is a small file put in place by one rename, so a reader finds the generation before
+    or this one, never none (where the file system renames at once, as HDFS and local ones do).
+    """
     rows.write.mode("errorifexists").parquet(f"{root}/{generation}")
     spark = rows.sparkSession
-    spark.createDataFrame([(generation,)], "generation string").coalesce(1).write.mode("overwrite").parquet(f"{root}/active")
+    fs = spark._jvm.org.apache.hadoop.fs
+    fresh, pointer = fs.Path(f"{root}/active-{uuid.uuid4().hex}"), fs.Path(f"{root}/active")
+    out = fresh.getFileSystem(spark._jsc.hadoopConfiguration()).create(fresh)
+    out.write(bytearray(generation.encode()))
+    out.close()
+    kind = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    fs.FileContext.getFileContext(fresh.getFileSystem(spark._jsc.hadoopConfiguration()).getUri(), spark._jsc.hadoopConfiguration()).rename(fresh, pointer, how)
 
 
 def active(spark: SparkSession, root: str) -> DataFrame:
     """The rows of the active generation."""
-    return spark.read.parquet(f"{root}/{spark.read.parquet(f'{root}/active').first().generation}")
+    return spark.read.parquet(f"{root}/{spark.read.text(f'{root}/active', wholetext=True).first().value}")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,7 +77,7 @@ def append_once(batch: DataFrame, path: str, key: str) -> None:
     try:
         known = spark.read.parquet(path).select(key)
         fresh = fresh.join(known, key, "left_anti")
-    except Exception as e:  # noqa: BLE001  only a table that isn't there yet
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # a table that isn't there yet
             raise
     fresh.write.mode("append").parquet(path)
