@@ -183,3 +183,36 @@ def test_nested_markets_and_merges(spark):
     assert intake.first_source([none, some]).count() == 1
     with pytest.raises(Exception, match="identity"):
         intake.canonical(spark.createDataFrame([(1, None)], "a int, b string"), ["a", "b"], {"x": ["a"]}).collect()
+
+
+def test_volumes_and_stops(spark):
+    from tidemark.operators import reports
+
+    lots = lambda v: one(spark, lambda c: reports.lots(c, "0.01", "5", "0.01", "2"), *v, kind="double")
+    assert lots([0.029, 3.0, 0.001, 0.0, -1.0, None]) == [0.02, 2.0, 0.01, None, None, None]
+    assert one(spark, lambda c: reports.lots(c, "0.25", "9", "0.1", "9"), 0.1, 0.27, 0.39, kind="double") == [0.3, 0.3, 0.3]
+    kind = "d string, e double, s double, t double"
+    rows = [("LONG", 10.0, 9.0, 11.0), ("LONG", 10.0, 9.9, 11.0), ("LONG", 10.0, 9.0, 10.2), ("SHORT", 10.0, 11.0, 9.0), ("SHORT", 10.0, 9.0, 8.0), ("FLAT", 10.0, 9.0, 8.0), ("LONG", 10.0, -1.0, 11.0)]
+    df = spark.createDataFrame(rows, kind)
+    got = [r[0] for r in df.select(reports.stop_fault(F.col("d"), F.col("e"), F.col("s"), F.col("t"), F.lit(0.5))).collect()]
+    assert got == [None, "STOP_LOSS", "TAKE_PROFIT", None, "STOP_LOSS", "DIRECTION", "PRICE"]
+
+
+def test_calendar_by_local_minutes(spark):
+    from tidemark.operators import reports
+
+    at = ["2024-01-08 14:29", "2024-01-08 14:30", "2024-01-08 20:59", "2024-01-08 21:00", "2024-01-13 15:00", "2024-01-15 15:00", "2024-01-16 15:00", "2024-01-16 18:00", "2025-01-01 15:00"]
+    rows = spark.createDataFrame([(i, int(dt.datetime.fromisoformat(t + "+00:00").timestamp()) * 1_000_000) for i, t in enumerate(at)], "i int, us bigint")
+    week = {d: [(570, 960)] for d in range(5)}
+    got = reports.calendar_status(rows, "us", "America/New_York", week, ["2024-01-15"], {"2024-01-16": [(570, 780)], "2024-01-15": [(0, 1440)]}, ("2024-01-01", "2024-12-31")).orderBy("i").collect()
+    assert [r.status for r in got] == ["CLOSED", "OPEN", "OPEN", "CLOSED", "CLOSED", "CLOSED", "OPEN", "CLOSED", "UNKNOWN"]
+    with pytest.raises(ValueError):
+        reports.calendar_status(rows, "us", "UTC", {0: [(600, 600)]}, [], {}, ("2024-01-01", "2024-12-31"))
+
+
+def test_weighted_masked_distance(spark):
+    from tidemark.operators import similarity
+
+    rows = spark.createDataFrame([([1.0, None, 3.0, 5.0], [0.0, 1.0, 1.0, 5.0])], "a array<double>, b array<double>")
+    got = rows.select(similarity.masked_distance("a", "b", 2, "array(1D, 9D, 2D, 1D)").alias("d"), similarity.masked_distance("a", "b", 4).alias("n")).first()
+    assert abs(got.d - (9 / 4) ** 0.5) < 1e-12 and got.n is None

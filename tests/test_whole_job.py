@@ -84,7 +84,8 @@ def test_lexical_search_takes_whole_items(spark, tmp_path, sf):
     reranked = {(r.query_id, r.doc_id): r.rerank for r in catalog.QUERIES["rerank_features"](spark, str(tmp_path)).collect()}
     terms = {q: set(split(t)) for q, t in items}
     for (q, d), x in reranked.items():
-        want = fused[q, d].fused + 0.35 * len(terms[q] & words[d]) / len(terms[q]) + 0.05 * (first[q, d % 2] == d)
+        phrase = dict(items)[q].lower() in docs[d][1].lower()  # all documents are "en", and no term is a source's name
+        want = fused[q, d].fused + 0.35 * len(terms[q] & words[d]) / len(terms[q]) + 0.35 * phrase + 0.1 + 0.05 * (first[q, d % 2] == d)
         assert abs(x - want) < 2e-9
     assert best.keys() <= reranked.keys()
 

@@ -107,7 +107,12 @@ def normalised(vectors: DataFrame, profile: DataFrame, cohort: str, values: str)
     return out.withColumn(values, F.expr(f"transform({values}, (x, i) -> if(x is null, null, greatest(-{CLIP}D, least({CLIP}D, (x - p[i].median) / p[i].scale))))")).drop("p")
 
 
-def masked_distance(a: str, b: str, least: int = 8) -> Column:
-    """Root mean square over dimensions both have; null with too few (least, and half of all)."""
-    squares = f"filter(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), d -> d is not null)"
-    return F.expr(f"transform(array({squares}), s -> if(size(s) >= greatest({least}, ceil(size({a}) / 2)), sqrt(aggregate(s, 0D, (t, x) -> t + x) / size(s)), null))[0]")
+def masked_distance(a: str, b: str, least: int = 8, weights: str | None = None) -> Column:
+    """Weighted root mean square over dimensions both have; null with too few (least, and half of all).
+
+    ``weights`` is an array of a weight for each dimension; without it all weigh the same.
+    """
+    each = weights or f"transform({a}, x -> 1D)"
+    squares = f"filter(zip_with(zip_with({a}, {b}, (x, y) -> (x - y) * (x - y)), {each}, (d, w) -> if(d is null, null, struct(d * w as d, w as w))), p -> p is not null)"
+    total = lambda part: f"aggregate(s, 0D, (t, p) -> t + p.{part})"
+    return F.expr(f"transform(array({squares}), s -> if(size(s) >= greatest({least}, ceil(size({a}) / 2)), sqrt({total('d')} / {total('w')}), null))[0]")

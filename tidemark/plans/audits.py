@@ -37,11 +37,6 @@ statement("hold_audit_by_horizon", """
 statement("cost_thresholds", """
     SELECT horizon, t.threshold, CAST(sum(CASE WHEN greatest(0e0, cost) > t.threshold THEN 1 ELSE 0 END) AS bigint) AS above
     FROM evals CROSS JOIN (SELECT 0 AS threshold UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5 UNION ALL SELECT 10 UNION ALL SELECT 20 UNION ALL SELECT 50) t GROUP BY horizon, t.threshold""")
-statement("cross_horizon_class", """
-    WITH four AS (SELECT decision_id, max(CASE WHEN horizon = 1 THEN cost END) AS c1, max(CASE WHEN horizon = 2 THEN cost END) AS c2, max(CASE WHEN horizon = 3 THEN cost END) AS c3, max(CASE WHEN horizon = 4 THEN cost END) AS c4
-      FROM evals WHERE horizon <= 4 GROUP BY decision_id HAVING count(DISTINCT horizon) = 4),
-    hits AS (SELECT decision_id, CASE WHEN c1 > 1e-9 THEN 1 ELSE 0 END + CASE WHEN c2 > 1e-9 THEN 1 ELSE 0 END + CASE WHEN c3 > 1e-9 THEN 1 ELSE 0 END + CASE WHEN c4 > 1e-9 THEN 1 ELSE 0 END AS k, least(c1, c2, c3, c4) AS low FROM four)
-    SELECT CASE WHEN k = 0 THEN 'JUSTIFIED' WHEN k < 3 THEN 'MIXED' WHEN low > 1e2 THEN 'STRONG_MISS' ELSE 'MISS' END AS class, count(*) AS n, min(decision_id) AS first_decision FROM hits GROUP BY 1""")
 statement("transition_matrix_zero_filled", """
     WITH moves AS (SELECT r.status AS source, e.flag AS target, count(*) AS n FROM runs r JOIN evals e ON r.decision_id = e.decision_id GROUP BY r.status, e.flag),
     grid AS (SELECT source, target FROM (SELECT 'PENDING' AS source UNION ALL SELECT 'SUCCEEDED' UNION ALL SELECT 'FAILED' UNION ALL SELECT 'ABANDONED') a CROSS JOIN (SELECT 'A' AS target UNION ALL SELECT 'R' UNION ALL SELECT 'N' UNION ALL SELECT 'X') b)
@@ -82,9 +77,6 @@ def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 statement("series_summary", """
     SELECT symbol, round(min_by(close, day_us), 6) AS first_close, round(max_by(close, day_us), 6) AS last_close, round(max_by(close, day_us) - min_by(close, day_us), 6) AS delta,
       round(1e2 * (max_by(close, day_us) - min_by(close, day_us)) / nullif(min_by(close, day_us), 0), 6) AS pct, count(*) AS n FROM bars GROUP BY symbol""")
-statement("benchmark_comparison", """
-    WITH a AS (SELECT agent, count(*) AS n, avg(latency) AS v FROM runs WHERE revision = '1-URGENT' GROUP BY agent), b AS (SELECT agent, count(*) AS n, avg(latency) AS v FROM runs WHERE revision = '5-LOW' GROUP BY agent)
-    SELECT a.agent, a.n AS before_n, b.n AS after_n, round(b.v - a.v, 4) AS delta, round(1e2 * (b.v - a.v) / nullif(a.v, 0), 6) AS pct FROM a JOIN b ON a.agent = b.agent""")
 statement("nearest_rank_percentiles", "SELECT strategy, session, @d(pnl, 0.5) AS p50, @d(pnl, 0.9) AS p90, @d(pnl, 0.95) AS p95, @d(pnl, 0.99) AS p99 FROM trades GROUP BY strategy, session")
 statement("inclusive_quantiles", "SELECT strategy, round(@p(pnl, 0.05), 6) AS p05, round(@p(pnl, 0.25), 6) AS p25, round(@p(pnl, 0.75), 6) AS p75, round(@p(pnl, 0.95), 6) AS p95, round(median(pnl), 6) AS median FROM trades GROUP BY strategy")
 statement("upper_median", """
@@ -104,15 +96,8 @@ statement("cube_rollup_extra", "SELECT flag, state, count(*) AS n, CAST(grouping
 statement("replay_merge", """
     WITH w AS (SELECT strategy, symbol % 4 AS part, count(*) AS n, avg(pnl) AS mean, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END) / nullif(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0e0 END), 0) AS factor FROM trades GROUP BY strategy, symbol % 4)
     SELECT strategy, CAST(sum(n) AS bigint) AS n, round(sum(mean * n) / sum(n), 6) AS weighted_mean, round(min(factor), 6) AS least_factor FROM w GROUP BY strategy""")
-statement("account_report", """
-    WITH days AS (SELECT us - us % 86400000000 AS day_us, sum(pnl) AS total FROM trades GROUP BY 1)
-    SELECT count(*) AS days, round(max(total), 4) AS best, round(min(total), 4) AS worst, CAST(sum(CASE WHEN total >= 1e3 THEN 1 ELSE 0 END) AS bigint) AS strong_days, round(sum(CASE WHEN total > 0 THEN total ELSE 0e0 END) / nullif(sum(CASE WHEN total < 0 THEN -total ELSE 0e0 END), 0), 6) AS factor FROM days""")
 statement("cost_calibration", "SELECT round(@p(slippage, 0.95), 6) AS p95_slippage, round(median(volume), 6) AS median_latency, round(@p(volume, 0.99), 6) AS p99_latency, count(*) AS n FROM trades WHERE us <= (SELECT CAST(floor(avg(us)) AS bigint) FROM trades)")
 statement("trade_summary", """
     WITH ordered AS (SELECT *, lag(pnl) OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS before_pnl FROM trades)
     SELECT strategy, count(*) AS n, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS bigint) AS wins, CAST(sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS bigint) AS losses, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END) / nullif(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0e0 END), 0), 6) AS profit_factor,
       round(avg(pnl), 4) AS expectancy, CAST(sum(CASE WHEN before_pnl > 0 AND pnl < 0 THEN 1 ELSE 0 END) AS bigint) AS flips, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) AS sharpe_like FROM ordered GROUP BY strategy""")
-statement("promotion_gate", """
-    WITH s AS (SELECT symbol, strategy, count(*) AS n, avg(pnl) AS e FROM trades GROUP BY symbol, strategy),
-    p AS (SELECT symbol, min(n) AS least_n, min(e) AS worst, max(CASE WHEN strategy = 'A' THEN e END) AS a, max(CASE WHEN strategy = 'N' THEN e END) AS n_e, max(CASE WHEN strategy = 'R' THEN e END) AS r FROM s GROUP BY symbol)
-    SELECT symbol, CASE WHEN least_n < 20 THEN 'TOO_FEW' WHEN worst <= 0 THEN 'NEGATIVE_STAGE' WHEN a <= r THEN 'BELOW_INCUMBENT' ELSE 'PROMOTE' END AS verdict FROM p""")

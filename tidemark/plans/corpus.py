@@ -66,19 +66,24 @@ def rrf_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("query_id", "doc_id", "semantic", "lexical", "fused", F.col("rank").alias("place"))
 
 
-_RERANK = f"""g AS (SELECT f.*, d.source, row_number() OVER (PARTITION BY query_id, d.source ORDER BY fused DESC, semantic DESC NULLS LAST, f.doc_id) AS k, {_TOK.format('d.text')} AS w, q.terms FROM f JOIN documents d ON f.doc_id = d.doc_id JOIN q USING (query_id)),
-    h AS (SELECT query_id, doc_id, round(fused + 35e-2 * len(list_intersect(list_distinct(w), terms)) / len(terms) + CASE WHEN k = 1 THEN 5e-2 ELSE 0e0 END, 9) AS rerank, fused, semantic FROM g)"""
+_RERANK = f"""g AS (SELECT f.*, d.source, row_number() OVER (PARTITION BY query_id, d.source ORDER BY fused DESC, semantic DESC NULLS LAST, f.doc_id) AS k, {_TOK.format('d.text')} AS w, d.text AS body, d.lang, q.terms, i.text AS asked FROM f JOIN documents d ON f.doc_id = d.doc_id JOIN q USING (query_id) JOIN benchmark i ON i.item_id = f.query_id),
+    h AS (SELECT query_id, doc_id, round(fused + 35e-2 * len(list_intersect(list_distinct(w), terms)) / len(terms) + CASE WHEN contains(lower(body), lower(asked)) THEN 35e-2 ELSE 0e0 END + 15e-2 * len(list_intersect(regexp_split_to_array(lower(coalesce(source, '')), '[^a-z0-9]+'), terms)) / len(terms) + CASE WHEN lang = 'en' THEN 1e-1 ELSE 0e0 END + CASE WHEN k = 1 THEN 5e-2 ELSE 0e0 END, 9) AS rerank, fused, semantic, lexical FROM g)"""
 
 
-@query(f"WITH {_BM25}, {_DENSE}, {_FUSED}, {_RERANK} SELECT query_id, doc_id, rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, fused DESC, semantic DESC NULLS LAST, doc_id) AS int) AS place FROM h")
+@query(f"WITH {_BM25}, {_DENSE}, {_FUSED}, {_RERANK} SELECT query_id, doc_id, rerank, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, fused DESC, semantic DESC NULLS LAST, lexical DESC NULLS LAST, doc_id) AS int) AS place FROM h")
 def rerank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = table(spark, sf_dir, "documents"), _queries(spark, sf_dir).select("query_id", F.array_distinct("terms").alias("terms"))
+    """Fused hits by coverage, phrase, title (here the source's words), type, and first of its source."""
+    docs = table(spark, sf_dir, "documents")
+    asked = _queries(spark, sf_dir).join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("asked")), "query_id")
     fused = corpus.reciprocal_rank_fusion(_dense(spark, sf_dir), corpus.bm25(docs, _queries(spark, sf_dir), 10))
-    rows = fused.join(docs.select("doc_id", "source", F.expr(corpus.tokens("text")).alias("w")), "doc_id").join(asked, "query_id")
+    rows = fused.join(docs.select("doc_id", "source", "lang", "text", F.expr(corpus.tokens("text")).alias("w")), "doc_id").join(asked, "query_id")
     rows = similarity.top_k(rows, ["query_id", "source"], [F.desc("fused"), F.desc_nulls_last("semantic"), F.col("doc_id")], 1 << 30)
-    score = F.expr("fused + 35e-2 * size(array_intersect(array_distinct(w), terms)) / size(terms) + if(rank = 1, 5e-2, 0e0)")
-    rows = rows.select("query_id", "doc_id", F.round(score, 9).alias("rerank"), "fused", "semantic")
-    ranked = similarity.top_k(rows, ["query_id"], [F.desc("rerank"), F.desc("fused"), F.desc_nulls_last("semantic"), F.col("doc_id")], 1 << 30)
+    share = lambda words: F.size(F.array_intersect(words, "terms")) / F.size("terms")
+    title = F.split(F.lower(F.coalesce("source", F.lit(""))), "[^a-z0-9]+")
+    given = lambda test, worth: F.when(test, worth).otherwise(0.0)
+    score = F.col("fused") + 0.35 * share(F.array_distinct("w")) + given(F.contains(F.lower("text"), F.lower("asked")), 0.35) + 0.15 * share(title) + given(F.col("lang") == "en", 0.1) + given(F.col("rank") == 1, 0.05)
+    rows = rows.select("query_id", "doc_id", F.round(score, 9).alias("rerank"), "fused", "semantic", "lexical")
+    ranked = similarity.top_k(rows, ["query_id"], [F.desc("rerank"), F.desc("fused"), F.desc_nulls_last("semantic"), F.desc_nulls_last("lexical"), F.col("doc_id")], 1 << 30)
     return ranked.select("query_id", "doc_id", "rerank", F.col("rank").alias("place"))
 
 
@@ -141,14 +146,14 @@ def robust_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_PROFILE}, z AS (SELECT vec_id, label, dim, greatest(-8e0, least(8e0, (x - median) / scale)) AS z FROM long JOIN prof USING (label, dim) WHERE x IS NOT NULL),
-    d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, sqrt(sum((a.z - b.z) * (a.z - b.z)) / count(*)) AS distance FROM z a JOIN z b ON a.label = b.label AND a.dim = b.dim AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2 HAVING count(*) >= 32)
+    d AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, sqrt(sum((1 + a.dim % 3) * (a.z - b.z) * (a.z - b.z)) / sum(1 + a.dim % 3)) AS distance FROM z a JOIN z b ON a.label = b.label AND a.dim = b.dim AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY 1, 2 HAVING count(*) >= 32)
     SELECT query_id, doc_id, distance, likeness, CAST(rank AS int) AS rank FROM (SELECT query_id, doc_id, round(distance, 6) AS distance, round(1 / (1 + distance), 6) AS likeness, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 6), doc_id) AS rank FROM d) r WHERE rank <= 5""")
 def masked_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest members of the same cohort, for every fiftieth vector, over dimensions both have."""
     rows = _vectors(spark, sf_dir)
     rows = similarity.normalised(rows, similarity.robust_profile(rows, "label", "v"), "label", "v")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
-    scored = rows.join(asked, "label").where("vec_id <> query_id").withColumn("d", similarity.masked_distance("q", "v")).where("d is not null")
+    scored = rows.join(asked, "label").where("vec_id <> query_id").withColumn("d", similarity.masked_distance("q", "v", weights="transform(q, (x, i) -> 1D + i % 3)")).where("d is not null")
     scored = scored.select("query_id", F.col("vec_id").alias("doc_id"), F.round("d", 6).alias("distance"), F.round(1 / (1 + F.col("d")), 6).alias("likeness"))
     return similarity.top_k(scored, ["query_id"], [F.col("distance"), F.col("doc_id")], 5)
 

@@ -49,7 +49,6 @@ statement("health_lattice", """
     SELECT agent, CASE WHEN failed3 = 3 THEN 'DEGRADED' WHEN p95 >= 8e-1 * 4e5 OR failed3 > 0 THEN 'WARNING' ELSE 'HEALTHY' END AS health FROM (SELECT agent, sum(CASE WHEN rn <= 3 AND status = 'FAILED' THEN 1 ELSE 0 END) AS failed3, @d(latency, 0.95) AS p95
       FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS rn FROM runs) r GROUP BY agent) q""")
 statement("feed_health", "SELECT symbol, max(us) AS last_us, CASE WHEN 1706659200000000 - max(us) > 43200000000 THEN 'DEGRADED' WHEN 1706659200000000 - max(us) < -2000000 THEN 'DEGRADED' ELSE 'OK' END AS health FROM ticks GROUP BY symbol")
-statement("position_sizes", "SELECT trade_id, CAST(greatest(floor(least(volume, 4e1) / 5) * 5, 5) AS double) AS lots, CASE WHEN volume * 1e-2 > 45e-2 THEN 'CAPPED' ELSE 'FREE' END AS note FROM trades")
 statement("promotion_history", "SELECT agent, max(CASE WHEN status = 'SUCCEEDED' THEN decision_id END) AS last_promotion, max(CASE WHEN status = 'FAILED' THEN decision_id END) AS last_rollback, count(*) AS experiments FROM runs GROUP BY agent")
 statement("evaluation_summary", "SELECT part % 11 AS candidate, flag AS reason, state AS status, count(*) AS n FROM evals GROUP BY part % 11, flag, state")
 

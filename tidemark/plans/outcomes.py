@@ -82,9 +82,6 @@ statement("suffix_rule_lookup", """
 statement("adjacent_companions", """
     SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS before_role, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS after_role, CAST(length(text) AS bigint) AS n FROM conversations""")
 statement("opportunity_grid", "SELECT s.symbol, d.day_us, b.close IS NOT NULL AS traded FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN (SELECT DISTINCT day_us FROM bars) d LEFT JOIN bars b ON b.symbol = s.symbol AND b.day_us = d.day_us")
-statement("calendar_lookup", """
-    SELECT t.event_id, coalesce(c.status, 'CLOSED') AS status FROM ticks t LEFT JOIN (SELECT 0 AS open_h, 7 AS close_h, 'ASIA' AS status UNION ALL SELECT 7, 16, 'EUROPE' UNION ALL SELECT 16, 21, 'AMERICA') c
-    ON CAST(floor(t.us % 86400000000 / 36e8) AS int) >= c.open_h AND CAST(floor(t.us % 86400000000 / 36e8) AS int) < c.close_h""")
 
 
 @query("""
