@@ -17,7 +17,7 @@ s AS (SELECT DISTINCT doc_id, x FROM (SELECT doc_id, array_to_string(w[i : i + 2
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 rep AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS rep, n FROM (SELECT doc_id, sha256(string_agg(x, chr(10) ORDER BY x)) AS h, count(*) AS n FROM s GROUP BY doc_id) g),
 one AS (SELECT s.doc_id, s.x FROM s JOIN rep ON s.doc_id = rep.doc_id AND rep.rep = rep.doc_id),
-few AS (SELECT x FROM one GROUP BY x HAVING count(*) BETWEEN 2 AND 2000000000),
+few AS (SELECT x FROM one GROUP BY x HAVING count(*) > 1),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM one a JOIN few USING (x) JOIN one b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
 e AS (SELECT a, b FROM p JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * k >= 90 * (x.n + y.n - k)),
 both_ways AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
