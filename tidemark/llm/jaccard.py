@@ -59,8 +59,9 @@ SMALL, PAIRED = 8, 256
 BROADCAST_IDS = 500_000
 #: For the allocation: the cost of a hot signature against that of a row, and the share of hot shingles.
 CHANCE, HOT = 1e3, 0.2
-#: Most members of a hub whose sketches are compared before their differences are, and of a block.
-CHECKED, CHECK_BLOCK = 1 << 14, 512
+#: Most members of a hub whose sketches are compared before their differences are, and of a block; and
+#: how many pairs for each member of two blocks are compared at once.
+CHECKED, CHECK_BLOCK, CHECK_PAIRS = 1 << 14, 512, 4
 #: Signatures that a Python worker packs at a time, and bytes of a bucket of packs.
 FLUSH, BUCKET_BYTES = 1 << 20, 8 << 20
 #: Bits of a node's hash in a pack, beside one for whether it is in its own band.
@@ -158,7 +159,7 @@ class Sets:
 
     def sketches(self) -> pa.Array:
         """For each row how many shingles fall in each of a power of two of counters, 255 at most."""
-        width = 1 << np.maximum(3, np.log2(np.maximum(self.size, 1)).astype(np.int64) - 1)
+        width = 1 << np.maximum(3, np.log2(np.maximum(self.size, 1)).astype(np.int64))
         bounds = np.concatenate([[0], np.cumsum(width)])
         place = bounds[self.row] + (kit.mix(self.shingle ^ np.uint64(0x5C)) & (width[self.row] - 1).astype(np.uint64)).astype(np.int64)
         return kit.binaries(np.minimum(np.bincount(place, minlength=int(bounds[-1])), 255).astype(np.uint8), bounds)
@@ -417,11 +418,12 @@ def folded(data: np.ndarray, at: np.ndarray, width: int, to: int) -> np.ndarray:
 
 
 def checked(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The members of hubs that could be similar to another one by their sketches.
+    """(hub, node, other): pairs of a hub's members that could be similar by their sketches.
 
     One of such a pair isn't similar to the hub. Members of a hub meet in pairs of blocks, so none
-    is compared in one task with all; what comes out is members, not pairs. Hubs of more than
-    ``CHECKED`` members keep all of theirs: their differences alone decide.
+    is compared in one task with all. Where two blocks have more than ``CHECK_PAIRS`` pairs for each
+    member, the members come without an other: their differences decide. So do all members of hubs
+    of more than ``CHECKED``. What comes out grows with the members, not with their pairs.
     """
 
     def run(rows: pa.Table) -> pa.Table:
@@ -429,7 +431,9 @@ def checked(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
         sketch = rows["sketch"].to_pylist()
         width = np.array([len(x) for x in sketch])
         data, at = np.frombuffer(b"".join(sketch), dtype=np.uint8), np.cumsum(width) - width
-        n, own, met = rows["n"].to_numpy(), rows["own"].to_numpy(zero_copy_only=False), np.zeros(len(width), dtype=bool)
+        n, own, block = rows["n"].to_numpy(), rows["own"].to_numpy(zero_copy_only=False), rows["block"].to_numpy()
+        within = bool((rows["i"].to_numpy() == rows["j"].to_numpy()).all())
+        met, pairs, total = np.zeros(len(width), dtype=bool), [], 0
         for wa in np.unique(width[own]).tolist():
             mine = np.flatnonzero(own & (width == wa))
             for wb in np.unique(width).tolist():
@@ -442,16 +446,26 @@ def checked(stars: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
                     a = folded(data, at[some], wa, w)
                     apart = np.abs(a[:, None, :] - b[None, :, :]).sum(axis=2)
                     hit = (apart <= (n[some][:, None] + n[other][None, :]) * (100 - percent) // (100 + percent)) & (some[:, None] != other[None, :])
+                    hit &= within | (block[some][:, None] != block[other][None, :])  # pairs of one block meet once
                     met[some[hit.any(axis=1)]] = met[other[hit.any(axis=0)]] = True
-        return pa.table({"hub": rows["hub"].filter(pa.array(met)), "node": rows["node"].filter(pa.array(met))})
+                    total += int(hit.sum())
+                    if total <= CHECK_PAIRS * len(width):
+                        x, y = np.nonzero(hit)
+                        pairs.append(np.stack([some[x], other[y]]))
+        if total > CHECK_PAIRS * len(width):
+            x, y = np.flatnonzero(met), None
+        else:
+            x, y = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        node = rows["node"].combine_chunks()
+        return pa.table({"hub": rows["hub"].take(pa.array(x)), "node": node.take(pa.array(x)), "other": pa.nulls(len(x), pa.int64()) if y is None else node.take(pa.array(y))})
 
     size = stars.groupBy("hub").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("some").select("hub", "k")
     rows = stars.select("hub", "node", "own", "n").join(size, "hub")
     few = rows.where(f"k <= {CHECKED}").withColumn("blocks", F.ceil(F.col("k") / CHECK_BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    few = few.join(sketches.select(F.col("id").alias("node"), "sketch"), "node").withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    few = few.select("hub", "node", "own", "n", "sketch", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    some = few.groupBy("hub", "i", "j").applyInArrow(run, "hub bigint, node bigint").union(rows.where(f"k > {CHECKED}").select("hub", "node"))
-    return some.distinct()
+    few = few.join(sketches.select(F.col("id").alias("node"), "sketch"), "node").withColumn("next", F.explode(F.expr("sequence(0, blocks - 1)")))
+    few = few.select("hub", "node", "own", "n", "sketch", "block", F.least("block", "next").alias("i"), F.greatest("block", "next").alias("j"))
+    found = few.groupBy("hub", "i", "j").applyInArrow(run, "hub bigint, node bigint, other bigint")
+    return found.union(rows.where(f"k > {CHECKED}").select("hub", "node", F.lit(None).cast("bigint")))
 
 
 def remaining(done: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -461,7 +475,9 @@ def remaining(done: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataF
     share enough of all.
     """
     stars = done.where("differ is not null").select(F.col("a").alias("hub"), F.col("b").alias("node"), (~F.col("linked")).alias("own"), F.size("differ").alias("e"), F.col("size_b").alias("n"), "differ")
-    stars = stars.join(cut(checked(stars, sketches, percent)), ["hub", "node"], "left_semi")
+    near = cut(checked(stars, sketches, percent))
+    few = near.where("other is not null").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    stars = stars.join(near.where("other is null").select("hub", "node").distinct(), ["hub", "node"], "left_semi")
     tokens = stars.select("hub", "node", "e", "n", F.expr(bound(percent, "n")).alias("h"), "own", F.lit(True).alias("partner"), F.explode("differ").alias("shingle"))
     tokens = cut(prefixed(pruned(pruned(tokens))))
     size = tokens.groupBy("hub", "shingle").agg(F.count("*").alias("k"), F.max("own").alias("some")).where("k > 1 and some").select("hub", "shingle", "k")
@@ -470,7 +486,7 @@ def remaining(done: DataFrame, sketches: DataFrame, percent: int) -> tuple[DataF
     pairs = side(1).join(side(2), ["hub", "shingle"]).where("node1 < node2 and ((own1 and partner2) or (own2 and partner1))")
     pairs = pairs.where(f"e1 + e2 - 2 * least(f1, f2) <= {bound(percent, 'n1', 'n2')}").select(F.col("node1").alias("a"), F.col("node2").alias("b"))
     groups = tokens.where(f"k > {PAIRED}").groupBy(F.xxhash64("hub", "shingle").alias("gid"), "node").agg(F.max("own").alias("own"))
-    return cut(pairs.distinct()), cut(groups)
+    return cut(pairs.union(few).distinct()), cut(groups)
 
 
 def candidates(found: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
