@@ -58,7 +58,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _LATE = " OR ".join(f"{c} > {AS_OF}" for c in ("analysis_us", "completed_us", "reference_us"))
 _LATE_EVAL = " OR ".join(f"{c} > {AS_OF}" for c in ("known_us", "entry_us", "observed_us", "target_us"))
-_REASONS = f"""d AS (SELECT *, coalesce(audit, false) AND integrity = 'COMPLETE' AS whole, decision_id % 79 <> 0 AND decision_id % 83 <> 0 AS parted FROM observations),
+_REASONS = f"""d AS (SELECT *, coalesce(audit, false) AND integrity = 'COMPLETE' AS whole, (decision_id % 79 = 0) = (decision_id % 83 = 0) AS parted FROM observations),
     l AS (SELECT decision_id, run_id, analysis_us, list_filter([CASE WHEN tier <> 'A' THEN 'UNTRUSTED_TIER' END, CASE WHEN context <> 'COMPLETE' OR NOT whole OR NOT artifacts THEN 'DECISION_CONTEXT_INCOMPLETE' END,
       CASE WHEN completed_us IS NULL OR completed_us < analysis_us OR reference_us < analysis_us OR reference_us < completed_us OR {_LATE} OR (evaluated AND ({_LATE_EVAL} OR target_us < analysis_us OR entry_us > target_us OR observed_us < entry_us)) THEN 'TEMPORAL_INVALID' END,
       CASE WHEN evaluated AND (eval_horizon_s <> 3600 OR eval_status <> 'COMPLETE' OR NOT eval_context_ok) THEN 'OUTCOME_INELIGIBLE' END, CASE WHEN NOT evaluated THEN 'OUTCOME_UNAVAILABLE' END, CASE WHEN normalization <> 'NORMALIZED' OR action IS NULL THEN 'NORMALIZATION_FAILED' END,
