@@ -396,3 +396,38 @@ def test_rows_without_id_are_no_hubs(spark):
     got = {r.doc_id: r.component_id for r in jaccard.clustered(docs).collect()}
     assert got == {None: None} | {i: 0 for i in range(30)}  # any two share 192 of 204 shingles
     assert {r.doc_id for r in jaccard.first_of_each(docs).collect()} == {None, 0}
+
+
+#: Two words of one hash under the first seed, built by undoing the first eight bytes with the next.
+COLLIDING = ("mntyadvyrvhxpxmy", "nkugutkv?&^0(0je")
+
+
+def test_constructed_collisions_link_nothing(spark, sf):
+    a, b = COLLIDING
+    tail = " ".join(f"t{i}" for i in range(30))
+    docs = spark.createDataFrame([(0, a), (1, b), (2, f"{a} {tail}"), (3, f"{b} {tail}"), (4, a)], "doc_id bigint, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.clustered(docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 2, 4: 0}
+    assert {r.doc_id for r in corpus_pipeline.deduplicated(spark, docs, sf).collect()} == {0, 1, 2}
+    twice = spark.createDataFrame([(0, " ".join([a] * 13)), (1, " ".join([b] * 13)), (2, " ".join([a] * 13))], "doc_id bigint, text string")
+    assert {r.doc_id: r.n_removed for r in substrings.dedup(twice).collect()} == {0: 0, 1: 0, 2: 13}
+
+
+@pytest.mark.parametrize("ids", [[5], [None], [5, None]])
+def test_samples_of_repeated_and_null_ids(spark, ids):
+    rows = [(ids[i % len(ids)], f"text number {i % 7000}", "en") for i in range(10_000)] + [(100 + i, "un texte en français", "fr") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, place0 string").repartition(5).persist()
+    assert kit.sample(docs, 6000).count() == 6000
+    assert kit.sample(docs, 10_099).count() == 10_099
+    same = spark.createDataFrame([(5, "one text", "en")] * 9000, "doc_id bigint, text string, lang string").persist()
+    assert kit.sample(same, 6000).count() == 6000
+    docs.unpersist(), same.unpersist()
+
+
+def test_models_learn_from_repeated_ids(spark):
+    rows = [(None if i % 2 else 7, ["the words of the text are and is", "el texto de las palabras es y no"][i % 3 == 0], ["en", "es"][i % 3 == 0], "s", 32) for i in range(14_000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").persist()
+    model = language.learn(docs)
+    assert language.confident(docs, model).count() == len(rows)
+    found = secrets.find(docs)
+    assert found.count() == len(rows)
+    docs.unpersist()

@@ -22,7 +22,8 @@ Members that hubs leave meet by the rarest shingles of their differences, in gro
 near copies costs about k comparisons instead of k * k.
 
 Equal sets are one class, named by two 64-bit hashes and the size; its id is the least doc_id. The
-hashes of nodes and signatures in packs only filter. A sketch (how many shingles fall in each of some
+two come from word hashes of two seeds, and shingles from both, so words that collide under one seed
+stay apart. The hashes of nodes and signatures in packs only filter. A sketch (how many shingles fall in each of some
 counters) rules out pairs whose counts differ too much; all others are compared by their whole sets
 of 64-bit shingle hashes.
 
@@ -131,30 +132,32 @@ class Sets:
     """Distinct shingles of a slab's rows: ``shingle[first[i]:first[i+1]]`` sorted, for row i."""
 
     def __init__(self, column: pa.Array, n: int) -> None:
-        words = kit.Words(column, kit.SPACED, lower=True)
+        words = kit.Words(column, kit.SPACED, lower=True, second=True)
         starts = kit.window_starts(words.first, n)
         row = np.searchsorted(words.first, starts, side="right") - 1
         short = np.flatnonzero((words.count > 0) & (words.count < n))
-        h = np.concatenate([kit.window_hash(words.hash, n, starts), kit.span_hash(words.hash, words.first[short], words.first[short + 1])])
+        with np.errstate(over="ignore"):
+            both = kit.mix(words.hash * kit.STEP ^ words.hash2)
+        h, h2 = (np.concatenate([kit.window_hash(x, n, starts), kit.span_hash(x, words.first[short], words.first[short + 1])]) for x in (both, words.hash2))
         row = np.concatenate([row, short])
         bits = np.uint64(max(1, len(words.count).bit_length()))
         key = row.astype(np.uint64) << (np.uint64(64) - bits) | h >> bits
         order = np.argsort(key)
         if len(h) and ((key[order][1:] == key[order][:-1]) & (h[order][1:] != h[order][:-1])).any():
             order = np.lexsort((h, row))  # hashes of a row that differ only in the bits left out
-        h, row = h[order], row[order]
+        h, h2, row = h[order], h2[order], row[order]
         if len(h):
             keep = np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])
-            h, row = h[keep], row[keep]
+            h, h2, row = h[keep], h2[keep], row[keep]
         self.shingle, self.row = h, row
         self.first = np.searchsorted(row, np.arange(len(words.count) + 1))
         self.size = np.diff(self.first)
-        self.name, self.name2 = (self._name(salt) for salt in (np.uint64(0xA5A5), np.uint64(0x3C3C << 32)))
+        self.name, self.name2 = (self._name(x, salt) for x, salt in ((h, np.uint64(0xA5A5)), (h2, np.uint64(0x3C3C << 32))))
 
-    def _name(self, salt: np.uint64) -> np.ndarray:
-        total = np.zeros(len(self.shingle) + 1, dtype=np.uint64)
+    def _name(self, shingle: np.ndarray, salt: np.uint64) -> np.ndarray:
+        total = np.zeros(len(shingle) + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            np.cumsum(kit.mix(kit.mix(self.shingle ^ salt) + kit.STEP), out=total[1:])
+            np.cumsum(kit.mix(kit.mix(shingle ^ salt) + kit.STEP), out=total[1:])
             return kit.mix((total[self.first[1:]] - total[self.first[:-1]]) ^ self.size.astype(np.uint64)).view(np.int64)
 
     def sketches(self) -> pa.Array:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -202,16 +203,26 @@ def binaries(buf: bytes | np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 
 def sample(docs: DataFrame, rows: int, salt: int = 0) -> DataFrame:
-    """At most ``rows`` of the rows, those first by a hash of doc_id; all if there are no more.
+    """``rows`` of the rows, those first by a hash of doc_id; all if there are no more.
 
     The choice reads doc_id only and brings ``rows + 1`` hashes to the driver; the rows stay where
-    they are. Rows whose hash ties with the first one left out are left out too.
+    they are. Rows whose hash ties with the last one chosen (repeated or null ids) are told apart by a
+    hash of their text, equal texts by their place in the scan.
     """
     point = F.pmod(F.xxhash64("doc_id", F.lit(salt)), F.lit(1 << 40))
     n = docs.count()
     if n <= rows:
         return docs
-    share = min(1.0, 1.25 * rows / n + 100 / n)  # a little more than is taken, at any size
-    few = docs.where(point < F.lit(int(share * (1 << 40)) + 1))
-    first = few.select(point.alias("at")).orderBy("at").limit(rows + 1).collect()
-    return few if len(first) <= rows else docs.where(point < F.lit(first[-1]["at"]))
+    first: list[int] = []
+    for share in (1.25 * rows / n + 100 / n, 2.0):  # a little more than is taken, else all
+        if len(first) <= rows:
+            first = [r.at for r in docs.select(point.alias("at")).where(F.col("at") < int(share * (1 << 40))).orderBy("at").limit(rows + 1).collect()]
+    last = first[rows - 1]
+    if first[rows] > last:
+        return docs.where(point <= last)
+    place = next(x for i in count() if (x := f"place{i}") not in {c.lower() for c in docs.columns})
+    placed, text = docs.withColumn(place, F.monotonically_increasing_id()), F.coalesce(F.xxhash64("text", F.lit(salt)), F.lit(0))
+    left = rows - sum(at < last for at in first[:rows])
+    end = placed.where(point == last).select(text.alias("text"), F.col(place).alias("place")).orderBy("text", "place").limit(left).collect()[-1]
+    tied = (point == last) & ((text < end["text"]) | (text == end["text"]) & (F.col(place) <= end["place"]))
+    return placed.where((point < last) | tied).drop(place)
