@@ -184,7 +184,7 @@ def _looked_up(blocks: DataFrame, found: DataFrame, renamed: Renamed) -> DataFra
         return pa.Table.from_batches(out, schema=pa.schema([("block", pa.int64()), ("ids", pa.binary())]))
 
     by = blocks.select("block", "ids").groupBy("block")
-    return by.cogroup(found.select("block", "place", "id").groupBy("block")).applyInArrow(run, RENAMED)
+    return by.cogroup(found.select(F.col("block").alias("of"), "place", "id").groupBy("of")).applyInArrow(run, RENAMED)
 
 
 def with_words_named(blocks: DataFrame, names: DataFrame, sent_most: int) -> DataFrame:
