@@ -73,7 +73,7 @@ def test_market_opens_only_by_validation(spark):
     v = {6: True}
     changes = [{}, v, {}, {3: False}, {}, v, {0: "CLOSED", 3: False}, {0: "CLOSED"}, {**v}, {}, {5: True}, {5: True, **v}, {}, {4: "STALE_DATA"}, {4: "oops"}, {1: False}, {0: "UNKNOWN"}, {}]
     rows = spark.createDataFrame([[1, i, *[c.get(k, x) for k, x in enumerate(ok)]] for i, c in enumerate(changes)], kind)
-    got = [r.state for r in gates.market_states(rows, "s", ["i"]).orderBy("i").collect()]
+    got = [r.state for r in gates.market_states(rows, "s", ["i"], F.floor(F.col("i") / 3)).orderBy("i").collect()]
     o, p = "OPEN", "OPENING_VALIDATION"
     assert got == [p, p, o, "UNKNOWN", p, p, "CLOSED", p, p, o, p, p, o, "UNKNOWN", "DATA_ERROR", "DATA_ERROR", "UNKNOWN", p]
 

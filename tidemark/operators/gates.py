@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
+
 TIERS = ("A", "B", "C")
 DATASET_REASONS = (
     "UNTRUSTED_TIER", "DECISION_CONTEXT_INCOMPLETE", "TEMPORAL_INVALID", "OUTCOME_INELIGIBLE", "OUTCOME_UNAVAILABLE", "NORMALIZATION_FAILED",
@@ -211,14 +213,14 @@ def plan_action(rows: DataFrame) -> DataFrame:
     return rows.withColumn("why", why).withColumn("act", act)
 
 
-def market_states(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
+def market_states(rows: DataFrame, by: str, order: list[str], bucket: Column) -> DataFrame:
     """The rows with ``state``, as a market that opens only by validation goes through them.
 
     ``calendar`` is OPEN, CLOSED or UNKNOWN; ``error`` names a fault, ``unknown`` those of the
     calendar or of stale data; ``validated`` says that a validation pending after the row succeeded.
     It stays open from a validation on while each row is open, healthy and fresh and asks for none:
     so it is open if the last validation is later than the last row that isn't. No row waits for the
-    state of the one before.
+    state of the one before, and the two latest places are carried over the buckets of the order.
     """
     c = F.col
     fault = c("error").isNotNull()
@@ -226,13 +228,13 @@ def market_states(rows: DataFrame, by: str, order: list[str]) -> DataFrame:
     open_row = well & (c("calendar") == "OPEN") & c("fresh")
     steady = open_row & ~c("require_validation")
     valid = (open_row | (well & (c("calendar") == "CLOSED") & c("fresh"))) & c("validated")
-    line = Window.partitionBy(by).orderBy(*order)
-    numbered = rows.withColumn("at", F.row_number().over(line)).withColumn("steady", F.coalesce(steady, F.lit(False))).withColumn("valid", F.coalesce(valid, F.lit(False)))
-    before = line.rowsBetween(Window.unboundedPreceding, -1)
-    last_valid, last_break = F.max(F.when(c("valid"), c("at"))).over(before), F.max(F.when(~c("steady") & ~c("valid"), c("at"))).over(before)
-    was_open = last_valid.isNotNull() & (F.coalesce(last_break, F.lit(0)) < last_valid)
+    place = F.struct(*order)
+    known = rows.withColumn("steady", F.coalesce(steady, F.lit(False))).withColumn("valid", F.coalesce(valid, F.lit(False)))
+    latest = {"last_valid": F.when(c("valid"), place), "last_break": F.when(~c("steady") & ~c("valid"), place)}
+    numbered = scans.greatest_before(known, [by], order, bucket, latest)
+    was_open = c("last_valid").isNotNull() & (c("last_break").isNull() | (c("last_break") < c("last_valid")))
     state = (
         F.when(fault, F.when(c("error").isin("CALENDAR_UNAVAILABLE", "STALE_DATA"), "UNKNOWN").otherwise("DATA_ERROR")).when(~c("terminal") | ~c("account"), "DATA_ERROR")
         .when(c("calendar") == "CLOSED", F.when(c("fresh"), "OPENING_VALIDATION").otherwise("CLOSED")).when((c("calendar") == "OPEN") & c("fresh"), F.when(was_open & c("steady"), "OPEN").otherwise("OPENING_VALIDATION")).otherwise("UNKNOWN")
     )
-    return numbered.withColumn("state", state).drop("at", "steady", "valid")
+    return numbered.withColumn("state", state).drop("last_valid", "last_break", "steady", "valid")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
 from tidemark.operators.gates import chain, every
 
 STAGES = ("DEVELOPMENT", "VALIDATION", "UNSEEN_HOLDOUT")
@@ -64,12 +65,14 @@ def stop_fault(direction: Column, entry: Column, stop: Column, target: Column, d
     return chain([("DIRECTION", side.isNull()), ("PRICE", ~(F.least(entry, stop, target) > 0)), ("STOP_LOSS", near(side * (entry - stop))), ("TAKE_PROFIT", near(side * (target - entry)))])
 
 
-def trade_report(trades: DataFrame, by: list[str], order: list[str], at_us: str = "us") -> DataFrame:
-    """Results of each group of trades in their order: rates, factors, drawdown, flips, trades an hour."""
-    line = Window.partitionBy(*by).orderBy(*order)
-    equity = F.sum("pnl").over(line.rowsBetween(Window.unboundedPreceding, 0))
-    rows = trades.withColumn("equity", equity).withColumn("before", F.lag("pnl").over(line))
-    rows = rows.withColumn("peak", F.greatest(F.lit(0.0), F.max("equity").over(line.rowsBetween(Window.unboundedPreceding, 0))))
+def trade_report(trades: DataFrame, by: list[str], order: list[str], at_us: str = "us", span_us: int = 30 * 86_400_000_000) -> DataFrame:
+    """Results of each group of trades in their order: rates, factors, drawdown, flips, trades an hour.
+
+    ``order`` begins with the time; equity, peaks and the trade before are carried over spans of it.
+    """
+    bucket = scans.span(at_us, span_us)
+    rows = scans.previous(trades, by, order, bucket, before="pnl").drop(scans.BUCKET)
+    rows = scans.equity_curve(rows, by, order, bucket, "pnl")
     won, lost = F.sum(F.when(F.col("pnl") > 0, F.col("pnl"))), F.sum(F.when(F.col("pnl") < 0, -F.col("pnl")))
     hours = (F.max(at_us) - F.min(at_us)) / 3.6e9
     return rows.groupBy(*by).agg(

@@ -23,10 +23,6 @@ statement("coalesced_sums", """
     SELECT coalesce(round(sum(CASE WHEN status = 'MISSING' THEN latency END), 2), 0e0) AS none, coalesce(round(sum(CASE WHEN status = 'FAILED' THEN latency END), 2), 0e0) AS failed, coalesce(round(sum(latency), 2), 0e0) AS whole FROM runs""")
 statement("row_counts", """
     SELECT 'runs' AS name, count(*) AS n FROM runs UNION ALL SELECT 'evals', count(*) FROM evals UNION ALL SELECT 'ticks', count(*) FROM ticks UNION ALL SELECT 'decisions', count(*) FROM decisions""")
-statement("horizon_matrix", """
-    SELECT horizon, count(*) AS n, CAST(sum(CASE WHEN state = 'O' THEN 1 ELSE 0 END) AS bigint) AS pending, CAST(sum(CASE WHEN state = 'F' THEN 1 ELSE 0 END) AS bigint) AS complete, round(avg(cost), 4) AS mean_cost,
-      round(@d(cost, 0.5), 6) AS median_cost, round(1e2 * sum(CASE WHEN cost > 0 THEN 1 ELSE 0 END) / count(*), 6) AS positive, round(1e2 * sum(CASE WHEN cost < 0 THEN 1 ELSE 0 END) / count(*), 6) AS negative,
-      round(1e2 * sum(CASE WHEN cost = 0 THEN 1 ELSE 0 END) / count(*), 6) AS flat FROM evals GROUP BY horizon""")
 statement("hold_audit_by_horizon", """
     WITH classed AS (SELECT horizon, greatest(0e0, cost) AS cost, CASE WHEN cost > 1e-9 AND flag = 'A' THEN 'MISSED_BUY' WHEN cost > 1e-9 AND flag = 'R' THEN 'MISSED_SELL' WHEN cost > 1e-9 THEN 'MISSED_EITHER' ELSE 'JUSTIFIED' END AS category FROM evals),
     grid AS (SELECT horizon, category FROM (SELECT DISTINCT horizon FROM classed) h CROSS JOIN (SELECT DISTINCT category FROM classed) c),
@@ -41,9 +37,6 @@ statement("transition_matrix_zero_filled", """
     WITH moves AS (SELECT r.status AS source, e.flag AS target, count(*) AS n FROM runs r JOIN evals e ON r.decision_id = e.decision_id GROUP BY r.status, e.flag),
     grid AS (SELECT source, target FROM (SELECT 'PENDING' AS source UNION ALL SELECT 'SUCCEEDED' UNION ALL SELECT 'FAILED' UNION ALL SELECT 'ABANDONED') a CROSS JOIN (SELECT 'A' AS target UNION ALL SELECT 'R' UNION ALL SELECT 'N' UNION ALL SELECT 'X') b)
     SELECT grid.source, grid.target, coalesce(n, 0) AS n, round(1e2 * coalesce(n, 0) / (SELECT sum(n) FROM moves), 6) AS share FROM grid LEFT JOIN moves ON grid.source = moves.source AND grid.target = moves.target""")
-statement("outcomes_by_transition", """
-    SELECT r.status, e.flag, count(*) AS n, round(avg(cost), 4) AS mean_cost, round(@d(cost, 0.5), 6) AS median_cost, round(@d(cost, 0.9), 6) AS p90, round(@d(cost, 0.95), 6) AS p95,
-      round(avg(CASE WHEN cost > 0 THEN 1e0 ELSE 0e0 END), 6) AS better FROM runs r JOIN evals e ON r.decision_id = e.decision_id GROUP BY r.status, e.flag""")
 statement("freshness_status", """
     SELECT CASE WHEN stale IS NULL AND latency >= 2e5 THEN 'STALE_BY_BUDGET' WHEN stale IS NULL THEN 'FRESH_BY_BUDGET' WHEN stale = 1 THEN 'STALE' ELSE 'FRESH' END AS freshness, count(*) AS n
     FROM (SELECT latency, CASE WHEN decision_id % 5 = 0 THEN NULL ELSE decision_id % 2 END AS stale FROM runs) q GROUP BY 1""")
@@ -77,11 +70,6 @@ def relational_division(spark: SparkSession, sf_dir: str) -> DataFrame:
 statement("series_summary", """
     SELECT symbol, round(min_by(close, day_us), 6) AS first_close, round(max_by(close, day_us), 6) AS last_close, round(max_by(close, day_us) - min_by(close, day_us), 6) AS delta,
       round(1e2 * (max_by(close, day_us) - min_by(close, day_us)) / nullif(min_by(close, day_us), 0), 6) AS pct, count(*) AS n FROM bars GROUP BY symbol""")
-statement("nearest_rank_percentiles", "SELECT strategy, session, @d(pnl, 0.5) AS p50, @d(pnl, 0.9) AS p90, @d(pnl, 0.95) AS p95, @d(pnl, 0.99) AS p99 FROM trades GROUP BY strategy, session")
-statement("inclusive_quantiles", "SELECT strategy, round(@p(pnl, 0.05), 6) AS p05, round(@p(pnl, 0.25), 6) AS p25, round(@p(pnl, 0.75), 6) AS p75, round(@p(pnl, 0.95), 6) AS p95, round(median(pnl), 6) AS median FROM trades GROUP BY strategy")
-statement("upper_median", """
-    SELECT strategy, session, max(CASE WHEN rn = div_n + 1 THEN pnl END) AS upper_median FROM (
-      SELECT strategy, session, pnl, row_number() OVER (PARTITION BY strategy, session ORDER BY pnl, trade_id) AS rn, CAST(floor(count(*) OVER (PARTITION BY strategy, session) / 2e0) AS bigint) AS div_n FROM trades) q GROUP BY strategy, session""")
 statement("exclusion_reason_counts", """
     SELECT coalesce(reason, 'ELIGIBLE') AS reason, count(*) AS n FROM (SELECT CASE WHEN anchor_us IS NULL THEN 'MISSING_ANCHOR' WHEN symbol = 7 THEN 'SYMBOL' WHEN ask - bid > 45e-3 THEN 'SPREAD' WHEN action = 'HOLD' AND decision_id % 2 = 0 THEN 'NON_DIRECTIONAL' END AS reason FROM decisions) q GROUP BY 1""")
 statement("collected_reasons", """
@@ -97,7 +85,3 @@ statement("replay_merge", """
     WITH w AS (SELECT strategy, symbol % 4 AS part, count(*) AS n, avg(pnl) AS mean, sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END) / nullif(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0e0 END), 0) AS factor FROM trades GROUP BY strategy, symbol % 4)
     SELECT strategy, CAST(sum(n) AS bigint) AS n, round(sum(mean * n) / sum(n), 6) AS weighted_mean, round(min(factor), 6) AS least_factor FROM w GROUP BY strategy""")
 statement("cost_calibration", "SELECT round(@p(slippage, 0.95), 6) AS p95_slippage, round(median(volume), 6) AS median_latency, round(@p(volume, 0.99), 6) AS p99_latency, count(*) AS n FROM trades WHERE us <= (SELECT CAST(floor(avg(us)) AS bigint) FROM trades)")
-statement("trade_summary", """
-    WITH ordered AS (SELECT *, lag(pnl) OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS before_pnl FROM trades)
-    SELECT strategy, count(*) AS n, CAST(sum(CASE WHEN pnl > 0 THEN 1 ELSE 0 END) AS bigint) AS wins, CAST(sum(CASE WHEN pnl < 0 THEN 1 ELSE 0 END) AS bigint) AS losses, round(sum(CASE WHEN pnl > 0 THEN pnl ELSE 0e0 END) / nullif(sum(CASE WHEN pnl < 0 THEN -pnl ELSE 0e0 END), 0), 6) AS profit_factor,
-      round(avg(pnl), 4) AS expectancy, CAST(sum(CASE WHEN before_pnl > 0 AND pnl < 0 THEN 1 ELSE 0 END) AS bigint) AS flips, round(avg(pnl) / nullif(stddev_samp(pnl), 0), 6) AS sharpe_like FROM ordered GROUP BY strategy""")

@@ -129,10 +129,6 @@ statement("orphan_cleanup", """
     SELECT l_orderkey, count(*) AS lines FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus <> 'P') AND NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = l_suppkey AND c_acctbal < 0) GROUP BY l_orderkey""")
 statement("diverse_selection", """
     SELECT doc_id, lang, source FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY in_source, n_chars DESC, doc_id) AS in_lang FROM (SELECT doc_id, lang, source, n_chars, row_number() OVER (PARTITION BY lang, source ORDER BY n_chars DESC, doc_id) AS in_source FROM documents) a WHERE in_source <= 2) b WHERE in_lang <= 25""")
-statement("partition_segments", """
-    WITH s AS (SELECT symbol, us - us % 86400000000 AS day_us, min(us) AS a, max(us) AS b FROM ticks GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (ORDER BY a, symbol) - 1 AS i, count(*) OVER () AS n FROM s),
-    c AS (SELECT max(CASE WHEN i = CAST(floor(n / 2e0) AS bigint) THEN a END) AS c1, max(CASE WHEN i = CAST(floor(3 * n / 4e0) AS bigint) THEN a END) AS c2 FROM o)
-    SELECT CASE WHEN b < c1 - 60000000 THEN 'development' WHEN a >= c1 + 60000000 AND b < c2 - 60000000 THEN 'validation' WHEN a >= c2 + 60000000 THEN 'unseen' ELSE 'guard' END AS part, count(*) AS segments FROM s CROSS JOIN c GROUP BY 1""")
 statement("parameter_grid", """
     SELECT strategy, margin, n, expectancy FROM (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY expectancy DESC, margin DESC) AS rn FROM (
       SELECT strategy, g.margin, count(*) AS n, round(avg(pnl - g.margin * volume), 4) AS expectancy FROM trades CROSS JOIN (SELECT 0 AS margin UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 5) g WHERE slippage <= 8e-2 - g.margin * 1e-2 GROUP BY strategy, g.margin HAVING count(*) >= 20) a) b WHERE rn = 1""")

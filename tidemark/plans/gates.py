@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import gates
+from tidemark.operators import gates, scans
 from tidemark.plans.registry import projection, query
 from tidemark.session import table
 
@@ -152,7 +152,7 @@ def market_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
         "symbol", "us", k, F.when(k % 29 == 0, "CLOSED").when(k % 61 == 0, "UNKNOWN").otherwise("OPEN").alias("calendar"), (k % 43 != 0).alias("terminal"), (k % 59 != 0).alias("account"), (k % 17 != 0).alias("fresh"),
         F.when(k % 71 == 0, "STALE_DATA").when(k % 73 == 0, "DATA_FAILURE").alias("error"), (k % 23 == 0).alias("require_validation"), (k % 3 == 0).alias("validated"),
     )
-    return gates.market_states(rows, "symbol", ["us", "event_id"]).select("symbol", "event_id", "state")
+    return gates.market_states(rows, "symbol", ["us", "event_id"], scans.span("us", 86_400_000_000)).select("symbol", "event_id", "state")
 
 
 _PLAN = """p AS (SELECT event_id, bid, ask, event_id % 3 - 1 AS side, 1e2 + event_id % 50 AS entry, event_id % 400 AS held, (event_id % 21 - 10) / 1e1 AS mom, event_id % 11 / 1e1 AS per, event_id % 7 <> 0 AS live,

@@ -6,38 +6,9 @@ from tidemark.plans.registry import statement
 
 statement("valid_quote_flags", """
     SELECT arrival, bid > 0 AND ask > 0 AND ask >= bid AS dataset_rule, bid > 0 AND ask >= bid AS quality_rule, ask >= bid AS evaluator_rule FROM arrivals""")
-statement("stale_out_of_order", """
-    SELECT symbol, CAST(sum(CASE WHEN us = p THEN 1 ELSE 0 END) AS bigint) AS stale, CAST(sum(CASE WHEN us < p THEN 1 ELSE 0 END) AS bigint) AS out_of_order, count(*) AS n
-    FROM (SELECT symbol, us, lag(us) OVER (PARTITION BY symbol ORDER BY arrival) AS p FROM arrivals) q GROUP BY symbol""")
-statement("gap_statistics", """
-    SELECT symbol, CAST(sum(CASE WHEN us - p > 7200000000 THEN 1 ELSE 0 END) AS bigint) AS gaps, max(us - p) AS longest_us, round(avg(us - p) / 1e6, 4) AS mean_s
-    FROM (SELECT symbol, us, lag(us) OVER (PARTITION BY symbol ORDER BY arrival) AS p FROM arrivals) q GROUP BY symbol""")
 statement("dedupe_first_arrival", """
     SELECT symbol, us, bid, ask, arrival FROM (SELECT *, row_number() OVER (PARTITION BY symbol, us, bid, ask ORDER BY arrival) AS rn FROM arrivals) q WHERE rn = 1""")
-statement("tick_quality_report", """
-    WITH f AS (SELECT *, lag(us) OVER (PARTITION BY symbol ORDER BY arrival) AS p, row_number() OVER (PARTITION BY symbol, us, bid, ask ORDER BY arrival) AS rn FROM arrivals)
-    SELECT symbol, count(*) AS total, CAST(sum(CASE WHEN rn = 1 THEN 1 ELSE 0 END) AS bigint) AS distinct_quotes, CAST(sum(CASE WHEN rn > 1 THEN 1 ELSE 0 END) AS bigint) AS duplicates, CAST(sum(CASE WHEN us = p THEN 1 ELSE 0 END) AS bigint) AS stale,
-      CAST(sum(CASE WHEN us < p THEN 1 ELSE 0 END) AS bigint) AS out_of_order, CAST(sum(CASE WHEN us - p > 7200000000 THEN 1 ELSE 0 END) AS bigint) AS gaps, CAST(sum(CASE WHEN bid <= 0 OR ask <= 0 THEN 1 ELSE 0 END) AS bigint) AS invalid,
-      CAST(sum(CASE WHEN ask = bid THEN 1 ELSE 0 END) AS bigint) AS zero_spread, CAST(sum(CASE WHEN ask < bid THEN 1 ELSE 0 END) AS bigint) AS negative_spread, count(DISTINCT us - us % 86400000000) AS days,
-      count(DISTINCT CASE WHEN us % 86400000000 < 25200000000 THEN 'ASIA' WHEN us % 86400000000 < 46800000000 THEN 'LONDON' WHEN us % 86400000000 < 75600000000 THEN 'NEW_YORK' ELSE 'OFF_HOURS' END) AS sessions
-    FROM f GROUP BY symbol""")
-statement("quality_audit", """
-    WITH f AS (SELECT *, lag(us) OVER (PARTITION BY symbol ORDER BY arrival) AS p, row_number() OVER (PARTITION BY symbol, us, bid, ask ORDER BY arrival) AS rn FROM arrivals)
-    SELECT count(*) AS total, CAST(sum(CASE WHEN bid > 0 AND ask >= bid THEN 1 ELSE 0 END) AS bigint) AS valid, CAST(sum(CASE WHEN rn > 1 OR us = p THEN 1 ELSE 0 END) AS bigint) AS stale, CAST(sum(CASE WHEN us < p THEN 1 ELSE 0 END) AS bigint) AS backwards FROM f""")
 statement("collision_drop", "SELECT symbol, us, arrival FROM (SELECT symbol, us, arrival, row_number() OVER (PARTITION BY symbol, us ORDER BY arrival) AS rn FROM arrivals WHERE bid > 0 AND ask >= bid) q WHERE rn = 1")
-_SEGMENTS = """
-    WITH once AS (SELECT symbol, us, arrival FROM (SELECT symbol, us, arrival, row_number() OVER (PARTITION BY symbol, us ORDER BY arrival) AS rn FROM arrivals WHERE bid > 0 AND ask >= bid) q WHERE rn = 1),
-    gaps AS (SELECT *, us - lag(us) OVER (PARTITION BY symbol ORDER BY us) AS gap FROM once),
-    segments AS (SELECT symbol, us, arrival, gap, sum(CASE WHEN gap > 7200000000 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS segment FROM gaps)
-"""
-statement("gap_segments", _SEGMENTS + "SELECT symbol, us, arrival, CAST(segment AS bigint) AS segment FROM segments")
-statement("segment_summary", _SEGMENTS + "SELECT symbol, CAST(segment AS bigint) AS segment, count(*) AS n, min(us) AS start_us, max(us) AS end_us, max(CASE WHEN gap > 7200000000 THEN gap END) AS gap_before FROM segments GROUP BY symbol, segment")
-statement("causality_check", """
-    SELECT symbol, sum(CASE WHEN us <= p THEN 1 ELSE 0 END) = 0 AS strictly_rising FROM (SELECT symbol, us, lag(us) OVER (PARTITION BY symbol ORDER BY event_id) AS p FROM ticks) q GROUP BY symbol""")
-statement("session_gap_windows", """
-    WITH g AS (SELECT symbol, us, mid, CASE WHEN us - lag(us) OVER (PARTITION BY symbol ORDER BY us) > 7200000000 THEN 1 ELSE 0 END AS fresh FROM ticks),
-    s AS (SELECT symbol, us, mid, sum(fresh) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS k FROM g)
-    SELECT symbol, min(us) AS start_us, max(us) + 7200000000 AS end_us, count(*) AS n, round(avg(mid), 6) AS mean_mid FROM s GROUP BY symbol, k""")
 statement("daily_bars", "SELECT symbol, day_us, open, high, low, close, round(volume, 4) AS volume FROM bars")
 statement("tumbling_bars", """
     SELECT symbol, us - us % 900000000 AS start_us, min_by(mid, us) AS open, max(mid) AS high, min(mid) AS low, max_by(mid, us) AS close, count(*) AS n FROM ticks GROUP BY symbol, us - us % 900000000""")
@@ -67,33 +38,12 @@ statement("coerced_numbers", """
 statement("candle_features", """
     SELECT symbol, count(*) AS n, max(high) AS high, min(low) AS low, round(max_by(close, day_us) / min_by(open, day_us) - 1, 6) AS return_over_bars, round((max(high) - min(low)) / min(low), 6) AS range_pct,
       round((max_by(close, day_us) - min(low)) / nullif(max(high) - min(low), 0), 6) AS close_position, CASE WHEN max_by(close, day_us) > min_by(open, day_us) THEN 1 WHEN max_by(close, day_us) < min_by(open, day_us) THEN -1 ELSE 0 END AS direction FROM bars GROUP BY symbol""")
-_W = "(PARTITION BY symbol ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"
-statement("tick_features_w20", f"""
-    WITH a AS (SELECT symbol, us, mid, spread, lag(mid) OVER (PARTITION BY symbol ORDER BY us) AS pm, lag(us) OVER (PARTITION BY symbol ORDER BY us) AS pu, row_number() OVER (PARTITION BY symbol ORDER BY us) AS rn FROM ticks),
-    b AS (SELECT *, CASE WHEN pm IS NULL THEN NULL ELSE (mid - pm) / pm END AS r, coalesce((mid - pm) / ((us - pu) / 1e6), 0e0) AS velocity FROM a),
-    c AS (SELECT *, CASE WHEN pu IS NULL THEN 0e0 ELSE (velocity - lag(velocity) OVER (PARTITION BY symbol ORDER BY us)) / ((us - pu) / 1e6) END AS acceleration,
-      stddev_pop(r) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS sd, count(r) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS nr,
-      first_value(mid) OVER {_W} AS m0, max(mid) OVER {_W} AS hi, min(mid) OVER {_W} AS lo, avg(spread) OVER {_W} AS ms, first_value(us) OVER {_W} AS u0, count(*) OVER {_W} AS k,
-      sum(CASE WHEN r > 0 THEN 1 WHEN r < 0 THEN -1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS signs,
-      sum(CASE WHEN r <> 0 THEN 1 ELSE 0 END) OVER (PARTITION BY symbol ORDER BY us ROWS BETWEEN 18 PRECEDING AND CURRENT ROW) AS moves FROM b)
-    SELECT symbol, us, round(coalesce(r, 0e0), 6) AS return_1, round(velocity, 6) AS velocity, round(acceleration, 6) AS acceleration, round(mid - m0, 6) AS momentum, round(CASE WHEN nr >= 2 THEN sd WHEN nr = 1 THEN abs(r) ELSE 0e0 END, 5) AS volatility,
-      round(hi - lo, 6) AS rolling_range, round(spread - ms, 6) AS spread_expansion, round(coalesce((k - 1) / nullif((us - u0) / 1e6, 0), 0e0), 6) AS tick_frequency,
-      round(coalesce(((us - u0) / 1e6 / nullif(k - 1, 0)) / ((us - pu) / 1e6), 0e0), 6) AS burst, round(coalesce(abs(signs) * 1e0 / nullif(moves, 0), 0e0), 6) AS direction_persistence,
-      round(CASE WHEN hi > lo THEN (mid - lo) / (hi - lo) ELSE 5e-1 END, 6) AS range_position, CAST(least(rn, 120) AS bigint) AS tick_count FROM c""")
 statement("trading_sessions", """
     SELECT CASE WHEN h >= 7 AND h < 12 THEN 'LONDON' WHEN h >= 12 AND h < 16 THEN 'OVERLAP' WHEN h >= 16 AND h < 21 THEN 'NEW_YORK' ELSE 'ASIA' END AS session, CASE WHEN h < 7 THEN 'ASIA' WHEN h < 13 THEN 'LONDON' WHEN h < 21 THEN 'NEW_YORK' ELSE 'OFF_HOURS' END AS dataset_session, count(*) AS n
     FROM (SELECT CAST(floor(us % 86400000000 / 36e8) AS int) AS h FROM ticks) q GROUP BY 1, 2""")
 statement("cyclic_hours", "SELECT event_id, round(sin(2 * pi() * (us % 86400000000 / 36e8) / 24), 6) AS hour_sin, round(cos(2 * pi() * (us % 86400000000 / 36e8) / 24), 6) AS hour_cos FROM ticks")
-statement("running_drawdown", """
-    WITH c AS (SELECT strategy, trade_id, us, pnl, sum(pnl) OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS equity, row_number() OVER (PARTITION BY strategy ORDER BY us, trade_id, pnl, volume) AS rn FROM trades),
-    p AS (SELECT *, greatest(0e0, max(equity) OVER (PARTITION BY strategy ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM c)
-    SELECT strategy, round(max(peak - equity), 4) AS drawdown, round(max((peak + 1e6 - equity - 1e6) / (peak + 1e6)), 6) AS relative_drawdown FROM p GROUP BY strategy""")
 statement("running_excursion", """
     SELECT decision_id, us, round(max(cost) OVER (PARTITION BY decision_id ORDER BY horizon, part, us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS mfe, round(min(cost) OVER (PARTITION BY decision_id ORDER BY horizon, part, us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS mae FROM evals""")
-statement("chronological_splits", """
-    SELECT split, count(*) AS n, min(us) AS first_us, max(us) AS last_us FROM (SELECT us, CASE WHEN rn <= n / 2 THEN 'development' WHEN rn <= n * 3 / 4 THEN 'validation' ELSE 'unseen' END AS split FROM (SELECT us, row_number() OVER (ORDER BY us) AS rn, count(*) OVER () AS n FROM bars_days) q) s GROUP BY split""".replace("bars_days", "(SELECT DISTINCT day_us AS us FROM bars) d"))
-statement("rate_limit_count", """
-    SELECT event_id, count(*) OVER (PARTITION BY symbol ORDER BY us RANGE BETWEEN 3600000000 PRECEDING AND CURRENT ROW) AS recent FROM ticks""")
 statement("failure_run_lengths", """
     WITH f AS (SELECT agent, decision_id, status, row_number() OVER (PARTITION BY agent ORDER BY us, decision_id) AS rn, row_number() OVER (PARTITION BY agent, status ORDER BY us, decision_id) AS rs FROM runs),
     r AS (SELECT agent, status, rn - rs AS island, count(*) AS n FROM f GROUP BY agent, status, rn - rs)
