@@ -204,14 +204,14 @@ def bundle(parts: dict[str, DataFrame | None], required: tuple[str, ...] = ()) -
     return ("COMPLETE" if all(s == "AVAILABLE" for s in states.values()) else "PARTIAL"), states
 
 
-def canonical(rows: DataFrame, identity: list[str], parts: dict[str, list[str]]) -> DataFrame:
-    """Training examples: an id from the identity, and the named columns of each part as one JSON text.
+def canonical(rows: DataFrame, identity: list[str], parts: dict[str, list[str]], *kept: str) -> DataFrame:
+    """Training examples: an id from the identity, and the named columns of each part as one JSON text; ``kept`` columns stay.
 
     Rows without a full identity are refused as a whole: eligible rows have one.
     """
     known = F.array_join(F.array(*[F.col(c).cast("string") for c in identity]), "\x1f")
     whole = F.when(F.array_contains(F.array(*[F.col(c).isNull() for c in identity]), True), F.raise_error(F.lit("an example has no full identity"))).otherwise(known)
-    return rows.select(F.concat(F.lit("ex_"), F.sha2(whole.cast("binary"), 256)).alias("example_id"), *[F.to_json(F.struct(*columns)).alias(name) for name, columns in parts.items()])
+    return rows.select(F.concat(F.lit("ex_"), F.sha2(whole.cast("binary"), 256)).alias("example_id"), *[F.to_json(F.struct(*columns)).alias(name) for name, columns in parts.items()], *kept)
 
 
 def built_dataset(rows: DataFrame, key: list[str], group: list[str], at: str) -> DataFrame:

@@ -78,6 +78,15 @@ def manifest(rows: DataFrame, split: str = "split") -> DataFrame:
     return rows.groupBy(split).agg(F.count("*").alias("n"), F.sum((h % (1 << 40)).cast("decimal(38,0)")).alias("hash"))
 
 
+def verified(rows: DataFrame, again: DataFrame, split: str = "split") -> DataFrame:
+    """A generation read back, if each split has the rows that were written; else an error that names the splits."""
+    a, b = manifest(rows, split), manifest(again, split)
+    both = a.join(b.select(F.col(split).alias("s"), F.col("n").alias("m"), F.col("hash").alias("h")), a[split].eqNullSafe(F.col("s")), "full_outer").where("not (n <=> m and hash <=> h)")
+    if wrong := [str(r[0]) for r in both.select(F.coalesce(split, "s")).limit(5).collect()]:
+        raise RuntimeError(f"rows differ from those written: {', '.join(sorted(wrong))}")
+    return again
+
+
 def publish(rows: DataFrame, root: str, generation: str) -> None:
     """A new generation beside the others, then the pointer that makes it the active one.
 

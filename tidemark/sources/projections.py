@@ -42,6 +42,14 @@ PROJECTIONS = {
         CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 67 = 0 THEN 60 ELSE 3600 END AS eval_horizon_s, CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN 'PENDING' ELSE 'COMPLETE' END AS eval_status, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 71 <> 0 END AS eval_context_ok,
         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderkey % 73 <> 0 END AS eval_provenance_valid, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE @us(o_orderdate) + 86400000000 END AS known_us, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE @us(o_orderdate) + 1000000 END AS entry_us,
         CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE @us(o_orderdate) + 3600000000 END AS target_us, CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE @us(o_orderdate) + 3600000000 * (o_orderkey % 10 - 1) END AS observed_us, o_orderkey % 8 AS refs FROM orders""",
+    # the three sources of a dataset: decisions (some twice), records and audits of them, evaluations and snapshots by the time they were known
+    "ds_decisions": """SELECT decision_id, run_id, CONCAT('f', CAST(run_id % 3 AS varchar(8))) AS fp, analysis_us, completed_us, reference_us, normalization, action, context, schema_version, artifacts, copy FROM (SELECT *, 0 AS copy FROM observations UNION ALL SELECT *, 1 AS copy FROM observations WHERE decision_id % 97 = 0) o""",
+    "ds_records": """SELECT decision_id, run_id + CASE WHEN decision_id % 101 = 0 THEN 1 ELSE 0 END AS run_id, CONCAT('f', CAST(run_id % 3 AS varchar(8))) AS fp, tier, provenance_valid, copy FROM (SELECT *, 0 AS copy FROM observations UNION ALL SELECT *, 1 AS copy FROM observations WHERE decision_id % 103 = 0) o WHERE decision_id % 107 <> 0""",
+    "ds_audits": """SELECT decision_id, run_id, audit_status, integrity, refs, copy FROM (SELECT *, 0 AS copy FROM observations UNION ALL SELECT *, 1 AS copy FROM observations WHERE decision_id % 109 = 0) o WHERE audit""",
+    "ds_evals": """SELECT CONCAT(CAST(l_orderkey AS varchar(20)), '-', CAST(l_linenumber AS varchar(20)), '-', CAST(l_partkey AS varchar(20)), '-', CAST(l_suppkey AS varchar(20))) AS eval_id, l_orderkey AS decision_id, CAST(NULL AS bigint) AS run_id, CASE WHEN l_partkey % 5 = 0 THEN CONCAT('f', CAST(l_suppkey % 3 AS varchar(8))) END AS fp, CASE WHEN l_linenumber % 3 = 0 THEN 'DECISION_REFERENCE' ELSE 'ANALYSIS_SNAPSHOT' END AS basis,
+        CAST(3600 * (1 + l_linenumber % 2) AS bigint) AS horizon_s, CASE l_partkey % 7 WHEN 0 THEN 'PENDING' ELSE 'COMPLETE' END AS status, CONCAT('e', CAST(l_partkey % 6 AS varchar(8))) AS fingerprint, CASE WHEN l_partkey % 11 = 0 THEN NULL ELSE @us(l_shipdate) END AS known_us FROM lineitem""",
+    "ds_snapshots": """SELECT l_orderkey AS decision_id, CASE WHEN l_suppkey % 3 = 0 THEN 'DECISION_REFERENCE' ELSE 'ANALYSIS_SNAPSHOT' END AS basis, CAST(3600 * (1 + l_suppkey % 2) AS bigint) AS horizon_s, CASE l_suppkey % 5 WHEN 0 THEN 'PENDING' ELSE 'COMPLETE' END AS status,
+        CONCAT('e', CAST((l_suppkey + l_linenumber) % 6 AS varchar(8))) AS fingerprint, CASE WHEN l_suppkey % 13 = 0 THEN NULL ELSE @us(l_shipdate) - 864000000000 * (l_suppkey % 3 - 1) END AS observed_us FROM lineitem""",
     # decisions and the runs that made them
     "verdicts": """SELECT o_orderkey AS decision_id, o_custkey AS run_id, CONCAT('fx', CAST(o_custkey % 5 AS varchar(8))) AS symbol, @us(o_orderdate) AS us, CASE WHEN o_orderkey % 7 = 0 THEN 1 ELSE 0 END AS executed, CASE WHEN o_orderkey % 5 = 0 THEN 'FAILED' ELSE 'NORMALIZED' END AS normalization, 'COMPLETE' AS context,
         CASE o_orderkey % 3 WHEN 0 THEN 'BUY' WHEN 1 THEN 'SELL' ELSE 'HOLD' END AS action, CASE WHEN o_orderkey % 4 = 0 THEN 'UNAVAILABLE' ELSE 'AVAILABLE' END AS reference_status, o_totalprice / 1e3 AS latency_s FROM orders""",
