@@ -86,10 +86,10 @@ def test_sources_are_isolated(spark, tmp_path):
 
 
 def test_the_first_of_a_key_stands_for_it(spark):
-    rows = spark.createDataFrame([(i, f"k{i % 4}", f"g{i % 8}", i, ["BAD"] if i == 1 else []) for i in range(16)], "id bigint, key string, g string, at bigint, reasons array<string>")
+    rows = spark.createDataFrame([(i, f"k{i % 20}", f"g{i % 20}", i, ["BAD"] if i == 1 else []) for i in range(40)], "id bigint, key string, g string, at bigint, reasons array<string>")
     good, left = dataset.classified(rows, ["key"], ["g"], "at", "id")
-    assert {r.id for r in good.collect()} == {0, 2, 3} and {r.split for r in good.collect()} <= {"train", "validation", "test"}
-    assert {(r.id, r.reasons) for r in left.collect()} == {("1", "BAD")} | {(str(i), "DUPLICATE") for i in range(4, 16)}
+    assert {r.id for r in good.collect()} == {0, *range(2, 20)} and {r.split for r in good.collect()} == {"train", "validation", "test"}
+    assert {(r.id, r.reasons) for r in left.collect()} == {("1", "BAD")} | {(str(i), "DUPLICATE") for i in range(20, 40)}
 
 
 def test_generations_are_verified(spark, tmp_path):
