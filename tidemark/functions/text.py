@@ -66,6 +66,24 @@ def unicode_form(form: str, fold: bool = False) -> object:
     return normal
 
 
+def _folded(t: str | None) -> str | None:
+    if t is None or t.isascii():
+        return t if t is None else t.lower()
+    apart = unicodedata.normalize("NFD", unicodedata.normalize("NFC", t).casefold())
+    return unicodedata.normalize("NFC", "".join(c for c in apart if unicodedata.category(c) != "Mn"))
+
+
+def folded(text: Column) -> Column:
+    """Texts by case folding and without diacritics, composed again; plain ones need no tables."""
+
+    @F.pandas_udf("string")
+    def fold(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in parts:
+            yield texts.map(_folded)
+
+    return fold(text)
+
+
 def words(text: Column) -> Column:
     """Lower-case tokens: Unicode word characters, joined by single hyphens or underscores."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import corpus, similarity
+from tidemark.operators import corpus, postings, similarity, vectors
 from tidemark.plans.registry import query, statement
-from tidemark.session import table
+from tidemark.session import Scratch, cut, table
 
 _TOK = "list_filter(regexp_split_to_array(lower({0}), '[\\s.,!?|]+'), lambda w: w <> '')"
 
@@ -55,6 +55,42 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dense(spark, sf_dir)
 
 
+_INDEXED = r"""
+    q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[\pL\pN\p{Co}_-]+')) AS terms FROM benchmark), t AS (SELECT query_id, unnest(terms) AS term FROM q), need AS (SELECT query_id, count(*) AS need FROM t GROUP BY 1),
+    s AS (SELECT doc_id, regexp_extract_all(strip_accents(replace(lower(coalesce(text, '')), 'ß', 'ss')), '[\pL\pN\p{Co}_-]+') AS w FROM documents), st AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM s), p AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM s),
+    tf AS (SELECT term, doc_id, dl, count(*) AS tf FROM p WHERE term IN (SELECT term FROM t) GROUP BY 1, 2, 3), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+    sc AS (SELECT query_id, doc_id, round(sum(ln(1 + (n - df + 5e-1) / (df + 5e-1)) * tf * 22e-1 / (tf + 12e-1 * (25e-2 + 75e-2 * dl / mean))), 6) AS score, count(*) AS met FROM tf JOIN df USING (term) JOIN t USING (term) CROSS JOIN st GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_INDEXED} SELECT query_id, doc_id, score, CAST(rank AS int) AS rank FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM sc JOIN need USING (query_id) WHERE met = need) r WHERE rank <= 10")
+def postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with all words of each item, by an inverted index that is built, read back and searched."""
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    with Scratch(spark) as scratch:
+        postings.build(docs, scratch.top, "first")
+        return cut(postings.search(postings.opened(spark, scratch.top), items, 10)[0])
+
+
+def _indexed(spark: SparkSession, sf_dir: str, exact: bool) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    dims = rows.select(F.size("v").alias("n")).where("n > 0").first()
+    with Scratch(spark) as scratch:
+        index = vectors.build(rows, f"{scratch.top}/vectors", dims.n if dims else 1)
+        return cut(vectors.search(index, rows.where("id % 50 = 0"), 10, exact=exact))
+
+
+@query()
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of every fiftieth vector by the cells nearest to it; tests measure the recall."""
+    return _indexed(spark, sf_dir, exact=False)
+
+
+@query(f"WITH {_DENSE} SELECT query_id, doc_id, score, CAST(rank AS int) AS rank FROM dense")
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by all cells that can still hold a nearer one."""
+    return _indexed(spark, sf_dir, exact=True)
+
+
 _FUSED = """f AS (SELECT coalesce(dense.query_id, lex.query_id) AS query_id, coalesce(dense.doc_id, lex.doc_id) AS doc_id, dense.score AS semantic, lex.score AS lexical,
       round(coalesce(1e0 / (60 + dense.rank), 0) + coalesce(1e0 / (60 + lex.rank), 0), 9) AS fused FROM dense FULL JOIN lex ON dense.query_id = lex.query_id AND dense.doc_id = lex.doc_id)"""
 
