@@ -20,6 +20,7 @@ gives an empty result; other columns (doc_id too) are ignored, whatever their na
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from tidemark.session import Scratch, cut, prepare, table
 LEAST, LONGEST, COVER, TOP, SCALE = 30, 4, 80, 2000, 2_000_000
 #: Names that are sent to every executor at most (24 bytes for a pair, a few words for a word).
 SENT = 400_000
-#: Distinct pairs that a task adds up before it sends them.
-GATHERED = 1 << 20
+#: Distinct pairs that a task adds up before it sends them; ids with which a pair fits one number.
+GATHERED, ONE_NUMBER = 1 << 21, 3_000_000_000
 NO_LANG = "und"
 
 SEPARATORS = ~kit.table_of([(0x21, 0x21), (0x2C, 0x2C), (0x2E, 0x2E), (0x3A, 0x3B), (0x3F, 0x3F), (0x0A, 0x0D)])
@@ -99,6 +100,11 @@ def blocks_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("block", F.monotonically_increasing_id())
 
 
+def ids_of(names: int) -> np.dtype:
+    """The width of ids, of which there are so many."""
+    return np.dtype(np.int32 if names < 1 << 31 else np.int64)
+
+
 def trimmed(ids: np.ndarray) -> np.ndarray:
     """The ids with one break for each run of places without one: only neighbours matter."""
     out = ids >= 0
@@ -117,34 +123,50 @@ def pairs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def _named(pairs: DataFrame, keys: list[str], least: int) -> DataFrame:
     """Frequent keys with their counts and an id, a place in the order of the keys."""
-    return cut(positioned(pairs.groupBy(*keys).agg(F.sum("n").alias("f")).where(F.col("f") >= least), keys, "id"))
+    return cut(positioned(pairs.where(F.col("f") >= least), keys, "id"))
 
 
-def counted_pairs(blocks: DataFrame) -> DataFrame:
-    """(l, r, n): adjacent ids of all blocks; a task adds up the pairs of many blocks first."""
+def counted_pairs(blocks: DataFrame, names: int) -> DataFrame:
+    """(l, r, n): adjacent ids of all blocks; a task adds up the pairs of many blocks first.
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+    A pair travels as one number where ids are few enough for that, and as two beyond. What a task
+    sends is combined already, so rows are dealt before Spark adds them up.
+    """
+    kind, one = ids_of(names), names <= ONE_NUMBER
 
-        def flush() -> pa.RecordBatch:
-            l, r, n = (np.concatenate([x[i] for x in held]) for i in range(3))
-            order = np.lexsort((r, l))
-            l, r, n = l[order], r[order], n[order]
-            new = np.concatenate([[True], (l[1:] != l[:-1]) | (r[1:] != r[:-1])])[: len(l)]
-            begin = np.flatnonzero(new)
-            n = np.add.reduceat(n, begin) if len(begin) else n
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(l[begin], pa.int64()), pa.array(r[begin], pa.int64()), pa.array(n, pa.int64())], names=["l", "r", "n"])
+    def added(held: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+        *keys, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort(keys[::-1])
+        keys, n = [k[order] for k in keys], n[order]
+        new = np.ones(len(n), dtype=bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        begin = np.flatnonzero(new)
+        return *(k[begin] for k in keys), np.add.reduceat(n, begin) if len(begin) else n
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        sent = lambda part: pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], names=["key", "n"] if one else ["l", "r", "n"])
         for batch in batches:
             for data in batch.column("ids"):
-                held.append(pairs_of(np.frombuffer(data.as_buffer(), dtype=np.int64))[:3])
-                if sum(len(x[0]) for x in held) > GATHERED:
-                    yield flush()
+                l, r, n = pairs_of(np.frombuffer(data.as_buffer(), dtype=kind))[:3]
+                l, r = l.astype(np.int64), r.astype(np.int64)
+                held.append((l * names + r, n) if one else (l, r, n))
+                size += len(n)
+                if size > GATHERED:
+                    held = [added(held)]
+                    size = len(held[0][0])
+                    if size > GATHERED // 2:
+                        yield sent(held[0])
+                        held, size = [], 0
         if held:
-            yield flush()
+            yield sent(added(held))
 
-    return blocks.select("ids").mapInArrow(each, "l bigint, r bigint, n bigint")
+    if not one:
+        rows = blocks.select("ids").mapInArrow(each, "l bigint, r bigint, n bigint")
+        return rows.repartition("l", "r").groupBy("l", "r").agg(F.sum("n").alias("n"))
+    summed = blocks.select("ids").mapInArrow(each, "key bigint, n bigint").repartition("key").groupBy("key").agg(F.sum("n").alias("n"))
+    return summed.select(F.expr(f"key div {max(names, 1)}").alias("l"), (F.col("key") % max(names, 1)).alias("r"), "n")
 
 
 class PairNames:
@@ -167,8 +189,8 @@ class PairNames:
         return np.where((self.own[a] == l) & (self.own[b] == r) & (self.code[at] == code), self.id[at], -1)
 
 
-def _one(block: int, ids: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kit.blob(trimmed(ids))], pa.binary())], names=["block", "ids"])
+def _one(block: int, ids: np.ndarray, kind: np.dtype) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([kit.blob(trimmed(ids).astype(kind))], pa.binary())], names=["block", "ids"])
 
 
 RENAMED = "block bigint, ids binary"
@@ -187,16 +209,17 @@ def _looked_up(blocks: DataFrame, found: DataFrame, renamed: Renamed) -> DataFra
     return by.cogroup(found.select(F.col("block").alias("of"), "place", "id").groupBy("of")).applyInArrow(run, RENAMED)
 
 
-def with_words_named(blocks: DataFrame, names: DataFrame, sent_most: int) -> DataFrame:
-    """The sequences with ids of frequent words for places of words."""
+def with_words_named(blocks: DataFrame, names: DataFrame, n: int, sent_most: int) -> DataFrame:
+    """The sequences with the n ids of frequent words for places of words."""
+    kind = ids_of(n)
 
     def renamed(part: pa.RecordBatch, place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
         seq = np.frombuffer(part.column("ids")[0].as_buffer(), dtype=np.int32)
         by = np.full(int(seq.max(initial=-1)) + 2, -1, dtype=np.int64)  # the last for breaks
         by[place] = ids
-        return _one(part.column("block")[0].as_py(), by[seq])
+        return _one(part.column("block")[0].as_py(), by[seq], kind)
 
-    if names.count() > sent_most:
+    if n > sent_most:
         words = blocks.select("block", "lang", F.posexplode("words").alias("place", "word")).join(names, ["lang", "word"])
         return _looked_up(blocks, words, renamed)
     dictionary: dict[str, dict[str, int]] = {}
@@ -215,22 +238,23 @@ def with_words_named(blocks: DataFrame, names: DataFrame, sent_most: int) -> Dat
     return blocks.select("block", "lang", "words", "ids").mapInArrow(each, RENAMED)
 
 
-def with_pairs_named(blocks: DataFrame, names: DataFrame, sent_most: int) -> DataFrame:
-    """The sequences with ids of frequent pairs for the left one of each pair."""
+def with_pairs_named(blocks: DataFrame, shorter: int, names: DataFrame, n: int, sent_most: int) -> DataFrame:
+    """The sequences with the n ids of frequent pairs for the left one, one of ``shorter`` ids, of each pair."""
+    old, kind = ids_of(shorter), ids_of(n)
 
     def renamed(part: pa.RecordBatch, place: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-        seq = np.frombuffer(part.column("ids")[0].as_buffer(), dtype=np.int64)
+        seq = np.frombuffer(part.column("ids")[0].as_buffer(), dtype=old)
         left, _, _, at, which = pairs_of(seq)
         by = np.full(len(left), -1, dtype=np.int64)
         by[place] = ids
         out = np.full(len(seq), -1, dtype=np.int64)
         out[at] = by[which]
-        return _one(part.column("block")[0].as_py(), out)
+        return _one(part.column("block")[0].as_py(), out, kind)
 
     def distinct(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return pairs_of(np.frombuffer(part.column("ids")[0].as_buffer(), dtype=np.int64))[:2]
+        return pairs_of(np.frombuffer(part.column("ids")[0].as_buffer(), dtype=old))[:2]
 
-    if names.count() > sent_most:
+    if n > sent_most:
 
         def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -288,20 +312,28 @@ def mined(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, cover: in
     """
     spark = prepare(docs.sparkSession)
     with Scratch(spark) as scratch:
-        blocks = scratch.written(blocks_of(docs))
+
+        def written(rows: DataFrame) -> DataFrame:
+            path = f"{scratch.top}/{uuid.uuid4().hex}"
+            rows.write.option("compression", "zstd").parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
+        blocks = written(blocks_of(docs))
         sizes = cut(blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)).alias("n")))
         each = blocks.select("lang", F.explode(F.arrays_zip(F.col("words").alias("word"), F.col("counts").alias("n"))).alias("x")).select("lang", "x.word", "x.n")
-        names = _named(each, ["lang", "word"], least)
+        names = _named(each.groupBy("lang", "word").agg(F.sum("n").alias("f")), ["lang", "word"], least)
+        n = names.count()
         nothing = F.expr("cast(array() as array<struct<words:int,id:bigint>>)")
         level = names.select("id", "lang", F.array("word").alias("words"), "f", F.array("f").alias("firsts"), F.array("f").alias("lasts"), nothing.alias("inner"))
-        levels, sequences = [], with_words_named(blocks, names, sent_most)
+        levels, sequences = [], with_words_named(blocks, names, n, sent_most)
         for k in range(2, longest + 1):
-            sequences = scratch.written(sequences)
-            pairs = _named(counted_pairs(sequences), ["l", "r"], least)
+            sequences = written(sequences)
+            pairs = _named(counted_pairs(sequences, n).withColumnRenamed("n", "f"), ["l", "r"], least)
             level = cut(phrases(pairs, level, k))
             levels.append(level.withColumn("k", F.lit(k)))
             if k < longest:
-                sequences = with_pairs_named(sequences, pairs, sent_most)
+                shorter, n = n, pairs.count()
+                sequences = with_pairs_named(sequences, shorter, pairs, n, sent_most)
         found = levels[0]
         for more in levels[1:]:
             found = found.unionByName(more)
