@@ -30,6 +30,8 @@ def test_symbols_and_ratings(spark):
     assert one(spark, text.path_component, "GC=F", "^GSPC", "../x", ".", "..", "", "A" * 32, "A" * 33, "é", None) == ["GC=F", "^GSPC", None, None, None, None, "A" * 32, None, None, None]
     assert one(spark, text.canonical_symbol, "gold", "xauusd+", "BTC-USDT", "usdjpy", "USDXXX", "aapl", " ", None) == ["GC=F", "GC=F", "BTC-USD", "USDJPY=X", "USDXXX", "AAPL", " ", None]
     assert one(spark, text.rating, "Rating: **Overweight**", "We buy.\nRATING - sell", "Rating: none\nhold on", "a Buyer", None) == ["Overweight", "Sell", "Hold", None, None]
+    assert one(spark, text.rating, "We would sell.\nRating：Overweight", "ＢＵＹ it", "Ｒating﹕ **hold**") == ["Overweight", "Buy", "Hold"]
+    assert one(spark, text.canonical_symbol, "\tgold\n", "\u2003xau\u00a0", "\t\n") == ["GC=F", "GC=F", "\t\n"]
     assert one(spark, text.rating_action, "Underweight", "BUY ", "REVIEW", None) == ["SELL", "BUY", None, None]
     assert one(spark, text.words, "Re-test_of Ölpreis -x", None) == [["re-test_of", "ölpreis", "x"], []]
     assert one(spark, text.unicode_form("NFKC", True), "Ｓｔｒａßｅ", None) == ["strasse", None]

@@ -22,6 +22,7 @@ CURRENCIES = ["USD", "EUR", "GBP", "JPY", "CHF", "CAD", "AUD", "NZD", "CNY", "CN
 RATINGS = ["Buy", "Overweight", "Hold", "Underweight", "Sell"]
 RATING_ACTIONS = {"buy": "BUY", "overweight": "BUY", "hold": "HOLD", "underweight": "SELL", "sell": "SELL"}
 
+#: What a rating and its label look like, words, and what is safe in a path.
 LABEL = r"(?i)rating.*?[:\-][\s*]*(\w+)"
 RATING = r"(?i)\b(Buy|Overweight|Hold|Underweight|Sell)\b"
 WORD = r"(?U)\w+(?:[-_]\w+)*"
@@ -33,6 +34,11 @@ NUMERIC_STAGES = ["ENTRY", "CONFIRMATION", "INVALIDATION", "EXIT", "PROFIT_PROTE
 _NUMBER, _AFTER = r"(-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?)", r"(after [a-z][a-z0-9_-]*(?: [a-z][a-z0-9_-]*)*)"
 NUMERIC_RULE = rf"^(?:({'|'.join(NUMERIC_STAGES)}): )?(LONG|SHORT) when ([a-z][a-z0-9_]*) (>=|>|<=|<) {_NUMBER} (points|pips|ticks|bps|fraction|hz|ratio) {_AFTER}\.?$"
 MOVE_RULE = rf"^EXPECTED_MOVE: (LONG|SHORT) target {_NUMBER} points within ([1-9][0-9]*) seconds {_AFTER}$"
+#: The unit of each feature that a rule may name.
+FEATURE_UNITS = {
+    "momentum": "points", "rolling_range": "points", "spread": "points", "spread_points": "points", "spread_expansion": "points", "return_1": "fraction", "m1_return": "fraction", "m5_return": "fraction",
+    "volatility": "fraction", "direction_persistence": "fraction", "range_position": "fraction", "tick_count": "ticks", "tick_frequency": "hz", "burst": "ratio",
+}
 HORIZON_RULE = rf"^HORIZON: hold no longer than ([1-9][0-9]*) seconds {_AFTER}$"
 
 
@@ -52,6 +58,11 @@ def rule(quote: Column, stage: Column) -> Column:
     return F.when(stage.isin(*NUMERIC_STAGES) & quote.rlike(NUMERIC_RULE) & (named == stage), numeric).when((stage == "EXPECTED_MOVE") & quote.rlike(MOVE_RULE), move).when((stage == "HORIZON") & quote.rlike(HORIZON_RULE), hold)
 
 
+def known_unit(rule: Column) -> Column:
+    """Whether a rule can be applied: it names no feature, or one that is known in the unit it has."""
+    return rule["feature"].isNull() | F.coalesce(F.try_element_at(_map(FEATURE_UNITS), rule["feature"]) == rule["unit"], F.lit(False))
+
+
 def unicode_form(form: str, fold: bool = False) -> object:
     """A function of a text column: its normal form, case-folded if asked for.
 
@@ -103,15 +114,20 @@ def canonical_symbol(raw: Column) -> Column:
 
     A trailing plus goes; blank input stays as it is.
     """
-    s = F.regexp_replace(F.upper(F.trim(raw)), r"\++$", "")
+    bare = F.regexp_replace(raw, r"(?U)^\s+|\s+$", "")
+    s = F.regexp_replace(F.upper(bare), r"\++$", "")
     base = F.regexp_extract(F.regexp_replace(s, "-", ""), "^(" + "|".join(CRYPTO) + ")(USDT|USDC|USD)$", 1)
     pair = (F.length(s) == 6) & F.substring(s, 1, 3).isin(CURRENCIES) & F.substring(s, 4, 3).isin(CURRENCIES)
     found = F.coalesce(F.try_element_at(_map(ALIASES), s), F.when(base != "", F.concat(base, F.lit("-USD"))), F.when(pair, F.concat(s, F.lit("=X"))), s)
-    return F.when(F.trim(raw) == "", raw).otherwise(found)
+    return F.when(bare == "", raw).otherwise(found)
 
 
 def rating(text: Column) -> Column:
-    """One of five ratings: the first line that labels one, else the first such word, else null."""
+    """One of five ratings: the first line that labels one, else the first such word, else null.
+
+    Wide and other compatible forms of letters and marks count as the plain ones.
+    """
+    text = unicode_form("NFKC")(text)
     known = F.array(*[F.lit(r.lower()) for r in RATINGS])
     labels = F.transform(F.split(text, r"\R"), lambda line: F.lower(F.regexp_extract(line, LABEL, 1)))
     labelled = F.get(F.filter(labels, lambda x: F.array_contains(known, x)), F.lit(0))

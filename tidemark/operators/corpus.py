@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.components import components
+from tidemark.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -72,12 +73,17 @@ def shingle_pairs(docs: DataFrame, n: int = 5, threshold: float = 0.9) -> DataFr
     gram = ", ".join(f"get(w, i + {j})" for j in range(n))
     sets = w.select("doc_id", F.expr(f"array_sort(array_distinct(transform(sequence(0, size(w) - {n}), i -> xxhash64({gram}))))").alias("s"))
     whole = F.sha2(F.array_join(F.transform("s", lambda x: x.cast("string")), ",").cast("binary"), 256)
-    sets = sets.groupBy(whole.alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s"))
-    long = sets.select("doc_id", F.size("s").alias("m"), F.explode("s").alias("x"))
-    counted = long.join(long.groupBy("x").agg(F.count("*").alias("c")), "x")
-    first = counted.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "x"))).where(f"i <= m - ceil({threshold}D * m) + 1 and c > 1")
-    one, two = first.select("x", F.col("doc_id").alias("a"), F.col("m").alias("ma")), first.select("x", F.col("doc_id").alias("b"), F.col("m").alias("mb"))
-    near = one.join(two, "x").where(f"a < b and least(ma, mb) >= {threshold}D * greatest(ma, mb)").select("a", "b").distinct()
+    sets = cut(sets.groupBy(whole.alias("h")).agg(F.min("doc_id").alias("doc_id"), F.first("s").alias("s")).select("doc_id", "s"))
+    long = sets.select("doc_id", F.explode("s").alias("x"))
+    shared = long.groupBy("x").agg(F.count("*").alias("c")).where("c > 1")
+    # shingles of one document alone come first in its order: they only move the places of the others
+    met = long.join(shared, "x").join(sets.select("doc_id", F.size("s").alias("m")), "doc_id")
+    placed = met.withColumn("i", F.row_number().over(Window.partitionBy("doc_id").orderBy("c", "x"))).withColumn("of", F.count("*").over(Window.partitionBy("doc_id")))
+    first = cut(placed.withColumn("i", F.col("i") + F.col("m") - F.col("of")).where(f"i <= m - ceil({threshold}D * m) + 1").select("doc_id", "x", "m", "i"))
+    one, two = first.select("x", F.col("doc_id").alias("a"), F.col("m").alias("ma"), F.col("i").alias("ia")), first.select("x", F.col("doc_id").alias("b"), F.col("m").alias("mb"), F.col("i").alias("ib"))
+    # sets of too different sizes can't pass, nor those of which too little is left from their first meeting on
+    first_met = one.join(two, "x").where(f"a < b and least(ma, mb) >= {threshold}D * greatest(ma, mb)").groupBy("a", "b", "ma", "mb").agg(F.min("ia").alias("ia"), F.min("ib").alias("ib"))
+    near = first_met.where(f"least(ma - ia, mb - ib) + 1 >= {threshold / (1 + threshold)}D * (ma + mb) - 1e-6").select("a", "b")
     both = near.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
     j = F.expr("size(array_intersect(sa, sb)) / cast(size(array_union(sa, sb)) as double)")
     return both.select("a", "b", j.alias("jaccard")).where(f"jaccard >= {threshold}D")

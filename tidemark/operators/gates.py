@@ -28,6 +28,15 @@ def every(rules: list[tuple[str, Column]]) -> Column:
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in rules]))
 
 
+def source_eligibility(context: Column, normalization: Column, action: Column, at_us: Column) -> Column:
+    """Why a decision can't be evaluated, the first of four rules, or ELIGIBLE_SOURCE_CONTEXT."""
+    rules = [
+        ("DECISION_CONTEXT_INCOMPLETE", ~context.eqNullSafe("COMPLETE")), ("NORMALIZATION_FAILED", ~normalization.eqNullSafe("NORMALIZED")),
+        ("ACTION_UNAVAILABLE", ~F.coalesce(action.isin("BUY", "SELL", "HOLD"), F.lit(False))), ("ANALYSIS_TIMESTAMP_INVALID", at_us.isNull()),
+    ]
+    return F.coalesce(chain(rules), F.lit("ELIGIBLE_SOURCE_CONTEXT"))
+
+
 def search_gate(
     rows: DataFrame, symbol: str | None = None, profile: str | None = None, timeframe: str | None = None, tiers: tuple[str, ...] = ("A", "B"), action: str | None = None, as_of_us: int | None = None
 ) -> DataFrame:

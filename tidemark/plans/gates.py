@@ -56,6 +56,15 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection(spark, sf_dir, "observations").withColumns({k: F.expr(v) for k, v in _LISTS.items()})
 
 
+@query("""
+    SELECT decision_id, CASE WHEN context = 'COMPLETE' THEN CASE WHEN normalization = 'NORMALIZED' THEN CASE WHEN action IN ('BUY', 'SELL', 'HOLD') THEN CASE WHEN completed_us IS NULL THEN 'ANALYSIS_TIMESTAMP_INVALID' ELSE 'ELIGIBLE_SOURCE_CONTEXT' END ELSE 'ACTION_UNAVAILABLE' END ELSE 'NORMALIZATION_FAILED' END
+      ELSE 'DECISION_CONTEXT_INCOMPLETE' END AS eligibility FROM observations""")
+def source_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of four rules that keeps a decision from being evaluated."""
+    c = F.col
+    return projection(spark, sf_dir, "observations").select("decision_id", gates.source_eligibility(c("context"), c("normalization"), c("action"), c("completed_us")).alias("eligibility"))
+
+
 _LATE = " OR ".join(f"{c} > {AS_OF}" for c in ("analysis_us", "completed_us", "reference_us"))
 _LATE_EVAL = " OR ".join(f"{c} > {AS_OF}" for c in ("known_us", "entry_us", "observed_us", "target_us"))
 _REASONS = f"""d AS (SELECT *, coalesce(audit, false) AND integrity = 'COMPLETE' AS whole, (decision_id % 79 = 0) = (decision_id % 83 = 0) AS parted FROM observations),
