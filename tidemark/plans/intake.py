@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import clock, text
 from tidemark.operators import gates as rules
-from tidemark.operators import intake, order, similarity
+from tidemark.operators import ingest, intake, order, similarity
 from tidemark.plans.gates import _REASONS, AS_OF, observations
 from tidemark.plans.registry import projection, query
-from tidemark.session import table
+from tidemark.session import Scratch, cut, table
 
 
 @query("""
@@ -75,8 +75,8 @@ _RATED = ["no view at all", "Rating: **Buy**\nwe would sell", "We hold it.\nrati
 
 @query("SELECT conv_id, turn, [NULL, 'Buy', 'Underweight', 'Overweight', 'Sell', NULL][conv_id % 6 + 1] AS rating, [NULL, 'BUY', 'SELL', 'BUY', 'SELL', NULL][conv_id % 6 + 1] AS action FROM conversations")
 def rating_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ratings out of prose, and the action of each; the oracle has the expected ones."""
-    said = F.element_at(F.array(*[F.lit(s) for s in _RATED]), (F.col("conv_id") % 6 + 1).cast("int"))
+    """Ratings out of the end of each turn's text, and the action of each; the oracle has the expected ones."""
+    said = F.concat_ws("\n", F.regexp_replace("text", "(?i)buy|sell|hold|weight|rating", ""), F.element_at(F.array(*[F.lit(s) for s in _RATED]), (F.col("conv_id") % 6 + 1).cast("int")))
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", text.rating(said).alias("rating"))
     return rows.select("conv_id", "turn", "rating", text.rating_action(F.col("rating")).alias("action"))
 
@@ -253,13 +253,13 @@ _QUOTES = [
 _PARSED = "[('LONG', 'momentum', '>', 1.5, 'points', NULL), ('SHORT', 'spread_points', '<=', 0.35, 'pips', NULL), NULL, ('SHORT', NULL, '>=', -12.25, 'points', 90), ('BOTH', NULL, '<=', 30, 'seconds', 30), NULL]"
 
 
-@query(f"WITH r AS (SELECT p_partkey, {_PARSED}[p_partkey % 6 + 1] AS r FROM part) SELECT p_partkey, r[1] AS direction, r[2] AS feature, r[3] AS operator, CAST(r[4] AS double) AS value, r[5] AS unit, CAST(r[6] AS bigint) AS seconds FROM r")
+@query(f"WITH r AS (SELECT p_partkey, {_PARSED}[p_partkey % 6 + 1] AS r FROM part) SELECT p_partkey, r[1] AS direction, r[2] AS feature, r[3] AS operator, CAST(r[4] AS double) AS value, r[5] AS unit, CAST(r[6] AS bigint) AS seconds, CASE WHEN r IS NOT NULL THEN r[2] IS NULL OR r[2] = 'momentum' END AS applies FROM r")
 def rule_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules that sentences state at a stage; the oracle has the expected parts."""
     at = (F.col("p_partkey") % 6 + 1).cast("int")
     stage, quote = (F.element_at(F.array(*[F.lit(q[i]) for q in _QUOTES]), at) for i in (0, 1))
     rows = table(spark, sf_dir, "part").select("p_partkey", text.rule(quote, stage).alias("r"))
-    return rows.select("p_partkey", "r.direction", "r.feature", "r.operator", F.col("r.value").cast("double").alias("value"), "r.unit", "r.seconds")
+    return rows.select("p_partkey", "r.direction", "r.feature", "r.operator", F.col("r.value").cast("double").alias("value"), "r.unit", "r.seconds", F.when(F.col("r").isNotNull(), text.known_unit(F.col("r"))).alias("applies"))
 
 
 @query("SELECT trim(lower(nfc_normalize(text))) = '' AS blank, count(*) AS n FROM conversations GROUP BY 1")
@@ -276,3 +276,24 @@ def discovery_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a bank of queries found, with the query and rank of each hit."""
     rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
     return intake.discovery(similarity.nearest(rows, rows.where("id % 50 = 0"), 10))
+
+
+_NOW = "CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END"
+
+
+@query(f"""
+    WITH a AS (SELECT doc_id AS path, sha256(text) AS h, text FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS path, sha256({_NOW}) AS h FROM documents WHERE doc_id % 4 <> 0),
+    f AS (SELECT h, min(CAST(path AS varchar)) AS first FROM b WHERE h NOT IN (SELECT h FROM a) GROUP BY h),
+    s AS (SELECT coalesce(b.path, a.path) AS path, CASE WHEN b.path IS NULL THEN 'REMOVED' WHEN b.h = a.h THEN 'UNCHANGED' WHEN f.first = CAST(b.path AS varchar) THEN 'INDEXED' ELSE 'DUPLICATE' END AS state FROM a FULL JOIN b ON a.path = b.path LEFT JOIN f ON f.h = b.h)
+    SELECT state, count(*) AS n FROM s GROUP BY state UNION ALL SELECT 'documents', count(DISTINCT h) FROM b UNION ALL SELECT 'again ' || CASE WHEN state = 'REMOVED' THEN 'REMOVED' ELSE 'UNCHANGED' END, count(*) FROM s WHERE state <> 'REMOVED' GROUP BY 1""")
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of a second run over documents some of which are new, changed or gone, and of a third that finds the same."""
+    docs = table(spark, sf_dir, "documents")
+    feed = lambda rows, body: rows.select(F.col("doc_id").cast("string").alias("path"), F.sha2(F.expr(body).cast("binary"), 256).alias("sha"), F.expr(body).alias("text"))
+    second = feed(docs.where("doc_id % 4 <> 0"), _NOW)
+    with Scratch(spark) as scratch:
+        ingest.ingest(feed(docs.where("doc_id % 3 <> 0"), "text"), scratch.top)
+        counts = ingest.ingest(second, scratch.top).groupBy("state").agg(F.count("*").alias("n"))
+        size = ingest.opened(spark, scratch.top).documents.agg(F.lit("documents").alias("state"), F.count("*").alias("n"))
+        again = ingest.ingest(second, scratch.top).groupBy(F.concat(F.lit("again "), "state").alias("state")).agg(F.count("*").alias("n"))
+        return cut(counts.unionByName(size).unionByName(again))
