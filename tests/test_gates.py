@@ -105,26 +105,42 @@ def test_slices_and_allocations(spark):
 TICK = {"us": 0, "bid": 100.0, "ask": 100.1, "point": 0.1, "momentum": 0.0, "persistence": 0.0, "spread_expansion": 0.0, "volatility": 0.0, "active": True, "longs": True, "shorts": True, "signal": 1, "expected": 20.0, "strategy": "momentum"}
 
 
-def closed(*changes):
-    """The reasons that close positions opened at the first of the ticks."""
-    position, out = None, []
-    for i, change in enumerate([{}, *changes]):
-        position, trade = exits.stepped(position, {**TICK, "us": i * 1_000_000, **change}, exits.Limits())
-        out += [trade[-1]] if trade else []
-    return out
-
-
-def test_thirteen_exits():
-    at = lambda points, **more: {"bid": 100.1 + points / 10, "ask": 100.2 + points / 10, **more}
-    back = {"momentum": -1.0, "persistence": 0.5}
-    assert closed({"bid": 0.0}) == ["POSITION_PRICE_UNAVAILABLE"] and closed(at(-100.5, active=False)) == ["EMERGENCY_BROKER_STOP"]
-    assert closed({"active": False}) == closed({"longs": False}) == ["STRATEGIC_REGIME_INVALIDATED"]
-    assert closed({"ask": 104.2}) == closed({"spread_expansion": 1.1}) == ["SPREAD_BLOWOUT"] and closed({"volatility": 0.006}) == ["VOLATILITY_BLOWOUT"]
-    assert closed(at(30.5)) == ["TAKE_PROFIT"] and closed(at(-20.5)) == ["MAE_STOP"] and closed(at(21), at(10.5)) == ["MFE_GIVEBACK"]
-    assert closed(at(12), at(8.5, **back)) == ["MICRO_REVERSAL"] and closed(at(-6, **back)) == ["STRATEGY_INVALIDATION"] and closed(at(-2, **back)) == ["MOMENTUM_REVERSAL"]
-    assert closed({"us": 13_000_000}) == ["NO_PROGRESS"] and closed(at(11, us=1), at(11, us=46_000_000)) == ["MAX_DURATION"]
-    assert closed(at(5), at(9)) == [] and closed({"signal": -1, "strategy": "range_rejection"}) == []
-    assert closed(at(-2, **back, strategy="x")) == ["MOMENTUM_REVERSAL"]  # the rules are those of the strategy that opened it
+def at(points, **more):
+    return {"bid": 100.1 + points / 10, "ask": 100.2 + points / 10, **more}
+
+
+BACK = {"momentum": -1.0, "persistence": 0.5}
+#: Ticks after one that opens a long position at 100.1, and the reasons that close it.
+PATHS = [
+    ([{"bid": 0.0}], "POSITION_PRICE_UNAVAILABLE"), ([at(-100.5, active=False)], "EMERGENCY_BROKER_STOP"), ([{"active": False}], "STRATEGIC_REGIME_INVALIDATED"), ([{"longs": False}], "STRATEGIC_REGIME_INVALIDATED"),
+    ([{"ask": 104.2}], "SPREAD_BLOWOUT"), ([{"spread_expansion": 1.1}], "SPREAD_BLOWOUT"), ([{"volatility": 0.006}], "VOLATILITY_BLOWOUT"), ([at(30.5)], "TAKE_PROFIT"), ([at(-20.5)], "MAE_STOP"), ([at(21), at(10.5)], "MFE_GIVEBACK"),
+    ([at(12), at(8.5, **BACK)], "MICRO_REVERSAL"), ([at(-6, **BACK)], "STRATEGY_INVALIDATION"), ([at(-2, **BACK)], "MOMENTUM_REVERSAL"), ([{"us": 13_000_000}], "NO_PROGRESS"), ([at(11, us=1), at(11, us=46_000_000)], "MAX_DURATION"),
+    ([at(5), at(9)], None), ([{"signal": -1, "strategy": "range_rejection"}], None), ([at(-2, **BACK, strategy="x")], "MOMENTUM_REVERSAL"),  # the rules are those of the strategy that opened it
+]
+
+
+def test_thirteen_exits(spark):
+    """A symbol for each path; only the first tick of it opens a position."""
+    rows = [(s, *[{**TICK, **({} if i == 0 else {"signal": 0}), "us": i * 1_000_000, **c}[n] for n in exits.COLUMNS]) for s, (path, _) in enumerate(PATHS) for i, c in enumerate([{}, *[{**x, "signal": 0} for x in path]])]
+    found = {r.symbol: r.reason for r in exits.replayed(spark.createDataFrame(rows, "symbol bigint, " + exits.TICK)).collect()}
+    assert {s: found.get(s) for s in range(len(PATHS))} == {s: why for s, (_, why) in enumerate(PATHS)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_positions_are_taken_one_at_a_time(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    could = [(s, t * 10, None if rng.random() < 0.02 else t * 10 + rng.choice([1, 15, 40, 200])) for s in range(3) for t in sorted(rng.sample(range(300), 120))]
+    want = set()
+    for s in range(3):
+        free = -1
+        for k, since, end in could:
+            if k == s and since > free:
+                want.add((s, since))
+                free = 1 << 62 if end is None else end
+    rows = spark.createDataFrame(could, "symbol bigint, since bigint, exit_us bigint").repartition(3)
+    assert {tuple(r) for r in exits.taken(rows, span_us=500).collect()} == want
 
 
 def test_stream_of_positions_equals_the_replay(spark, tmp_path):
@@ -134,7 +150,7 @@ def test_stream_of_positions_equals_the_replay(spark, tmp_path):
         rows.append((i % 2, *[{**tick, "ask": tick["bid"] + 0.1}[c] for c in exits.COLUMNS]))
     kind = "symbol bigint, " + exits.TICK
     ticks = spark.createDataFrame(rows, kind)
-    want = sorted(map(tuple, exits.replayed(ticks, ["symbol"]).collect()))
+    want = sorted(map(tuple, exits.replayed(ticks).collect()))
     assert len(want) > 10 and len({w[-1] for w in want}) >= 4
     for part in range(3):
         ticks.where(f"us >= {part * 80_000_000} and us < {(part + 1) * 80_000_000}").coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
