@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import quantiles, scans
+from tidemark.operators import quantiles, replay, scans
 
 rng = random.Random(5)
 
@@ -118,3 +118,24 @@ def test_quantiles_of_all_rows_and_of_none(spark):
     df = spark.range(101).selectExpr("cast(id as double) v")
     assert quantiles.exact(df, [], "v", {"m": quantiles.UPPER}).collect()[0].m == 50.0
     assert quantiles.exact(df.where("v < 0"), ["v"], "v", {"m": quantiles.UPPER}).collect() == []
+
+
+def test_draws_are_with_replacement(spark):
+    """Every draw has as many clusters as there are; each is drawn once on average, and as often as a binomial says."""
+    rows = spark.createDataFrame([(k, c, float(c), 1) for k, n in (("a", 40), ("b", 3)) for c in range(n)], "k string, c int, s double, n int").repartition(4)
+    drawn = replay.resampled(rows, "k", "c", 500, 7)
+    counts = drawn.groupBy("k", "draw").agg(F.sum("n").alias("w")).groupBy("k").agg(F.min("w").alias("least"), F.max("w").alias("most"), F.count("*").alias("draws")).collect()
+    assert {r.k: (r.least, r.most, r.draws) for r in counts} == {"a": (40, 40, 500), "b": (3, 3, 500)}
+    each = {(r.k, r.s): r.n for r in drawn.groupBy("k", "s").agg(F.count("*").alias("n")).collect()}
+    assert all(400 < each["a", float(c)] < 600 for c in range(40))
+    twice = drawn.where("k = 'a'").groupBy("draw").agg(F.count_distinct("s").alias("d")).agg(F.avg("d")).first()[0]
+    assert twice == pytest.approx(40 * (1 - (39 / 40) ** 40), rel=0.02)
+
+
+def test_intervals_cover(spark):
+    """Of intervals of 95 percent over groups of clusters about that many hold the true mean."""
+    r = random.Random(3)
+    rows = [(g, h, r.gauss(1.0, 1.0) + c) for g in range(60) for h in range(30) for c in (r.gauss(0, 1),) for _ in range(3)]
+    df = spark.createDataFrame(rows, "g int, h int, v double")
+    found = replay.cluster_bootstrap(df, "h", "v", "g", draws=1000).collect()
+    assert len(found) == 60 and sum(x.lower <= 1.0 <= x.upper for x in found) >= 49

@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.order import positioned
+from tidemark.session import cut
+
 EXITS = ("STOP", "TARGET", "TRAILING", "GIVE_BACK", "MAX_HOLD", "SEGMENT_END")
-#: The chance of at most 0, 1, ... 6 events where one is expected.
-POISSON = (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676)
 TRADES = "candidate string, symbol bigint, segment bigint, direction string, entry_us bigint, exit_us bigint, entry_fill double, exit_fill double, pnl double, mfe double, mae double, exit_reason string"
 
 
@@ -87,25 +88,35 @@ def replay(ticks: DataFrame, policies: list[Policy], gap_us: int) -> DataFrame:
     return rows.groupBy("symbol", "segment").applyInPandas(run, TRADES)
 
 
+def resampled(clusters: DataFrame, by: str, cluster: str, draws: int, seed: int) -> DataFrame:
+    """(by, draw, s, n): the sums of as many clusters as a group has, drawn from them with replacement.
+
+    A cluster's place in its group is a slot; in each draw the slot gets the cluster at the place that a
+    hash of (seed, draw, slot) names, so nothing depends on partitions and each draw has all its slots.
+    """
+    placed = positioned(clusters.select(by, cluster, "s", "n"), [by, cluster])
+    sizes = placed.groupBy(by).agg(F.count("*").alias("size"), F.min("position").alias("first"))
+    slots = placed.join(sizes, by).select(by, "size", (F.col("position") - F.col("first")).alias("slot"), "s", "n")
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col("slot").cast("string")).cast("binary"))
+    place = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % F.col("size")
+    asked = slots.select(by, "size", "slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).select(by, "draw", place.alias("slot"))
+    return asked.join(slots.select(by, "slot", "s", "n"), [by, "slot"]).select(by, "draw", "s", "n")
+
+
 def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, by: str, trials: int = 1, draws: int = 4000, least: int = 20, seed: int = 14) -> DataFrame:
-    """(by, clusters, status, mean, lower, upper): an interval of the mean, resampling whole clusters.
+    """(by, clusters, status, mean, lower, upper): an interval for the mean, resampling whole clusters with replacement.
 
     Its tails are 2.5 % divided by the number of trials (Bonferroni). Fewer than ``least`` clusters
-    give no interval but the status INSUFFICIENT_CLUSTERS. Clusters are first summed where they are;
-    a draw weights each by a Poisson count from a hash of (seed, draw, cluster), so no group is
-    collected and the result doesn't depend on partitions.
+    give no interval but the status INSUFFICIENT_CLUSTERS.
     """
     if trials < 1 or draws < 1000 or least < 2:
         raise ValueError("at least one trial, 1000 draws and two clusters are needed")
-    sums = rows.groupBy(by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    sums = cut(rows.groupBy(by, cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")))
     whole = sums.groupBy(by).agg(F.count("*").alias("clusters"), (F.sum("s") / F.sum("n")).alias("mean"))
-    drawn = sums.join(F.broadcast(whole.where(F.col("clusters") >= least).select(by)), by, "left_semi").select(by, cluster, "s", "n", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("draw").cast("string"), F.col(cluster).cast("string")).cast("binary"))
-    u = F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint")
-    weight = sum(F.when(u >= int(x * (1 << 32)), 1).otherwise(0) for x in POISSON)
-    means = drawn.withColumn("w", weight).groupBy(by, "draw").agg((F.sum(F.col("w") * F.col("s")) / F.nullif(F.sum(F.col("w") * F.col("n")), F.lit(0))).alias("m"))
+    enough = sums.join(whole.where(F.col("clusters") >= least).select(by), by, "left_semi")
+    means = resampled(enough, by, cluster, draws, seed).groupBy(by, "draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     tail = 0.025 / trials
-    ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))
+    ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))  # a value for each draw
     return whole.join(ends, by, "left").select(by, "clusters", F.when(F.col("clusters") >= least, "ESTIMATED").otherwise("INSUFFICIENT_CLUSTERS").alias("status"), "mean", "lower", "upper")
 
 

@@ -48,13 +48,11 @@ def candidate_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trades.groupBy("candidate", "exit_reason").agg(F.count("*").alias("n"), F.round(F.sum("pnl"), 4).alias("pnl"), F.round(F.avg("mfe"), 4).alias("mean_mfe"))
 
 
-_POISSON = " + ".join(f"CASE WHEN u >= {int(x * (1 << 32))} THEN 1 ELSE 0 END" for x in replay.POISSON)
-
-
-@query(f"""
-    WITH s AS (SELECT symbol % 2 AS side, us // 3600000000 AS hour, sum(mid - 100) AS s, count(*) AS n FROM ticks GROUP BY 1, 2), k AS (SELECT side, count(*) AS clusters, sum(s) / sum(n) AS mean FROM s GROUP BY 1),
-    d AS (SELECT side, s, n, draw, CAST('0x' || md5('14:' || draw || ':' || hour)[1:8] AS bigint) AS u FROM s CROSS JOIN (SELECT unnest(range(4000)) AS draw) r),
-    m AS (SELECT side, draw, sum(w * s) / nullif(sum(w * n), 0) AS m FROM (SELECT *, {_POISSON} AS w FROM d) e GROUP BY 1, 2)
+@query("""
+    WITH c AS (SELECT symbol % 2 AS side, us // 3600000000 AS hour, sum(mid - 100) AS s, count(*) AS n FROM ticks GROUP BY 1, 2), k AS (SELECT side, count(*) AS clusters, sum(s) / sum(n) AS mean FROM c GROUP BY 1),
+    p AS (SELECT side, s, n, row_number() OVER (PARTITION BY side ORDER BY hour) - 1 AS slot, count(*) OVER (PARTITION BY side) AS size FROM c),
+    d AS (SELECT side, draw, CAST('0x' || md5('14:' || draw || ':' || slot)[1:15] AS bigint) % size AS slot FROM p CROSS JOIN (SELECT unnest(range(4000)) AS draw) r),
+    m AS (SELECT d.side, draw, sum(s) / sum(n) AS m FROM d JOIN p ON p.side = d.side AND p.slot = d.slot GROUP BY 1, 2)
     SELECT k.side, clusters, 'ESTIMATED' AS status, round(mean, 6) AS mean, round(quantile_cont(m, 0.0125), 6) AS lower, round(quantile_cont(m, 0.9875), 6) AS upper FROM k JOIN m ON m.side = k.side GROUP BY k.side, clusters, mean""")
 def hour_cluster_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An interval of the mean move, resampling whole hours, for two trials."""
