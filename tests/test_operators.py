@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import asof as A
+from tidemark.operators import asof as A, pages
 from tidemark.operators import corpus, replay, similarity
 from tidemark.operators.components import components
 from tidemark.operators.outcomes import evaluate_outcomes
@@ -196,9 +196,42 @@ def test_greedy_keeps_what_one_pass_keeps(spark):
     assert sorted(r.node for r in got.where("kept").collect()) == kept and got.where("kept is null").count() == 0
 
 
-def test_structured_chunks_split_tables_and_skip_headings(spark):
-    from tidemark.operators import evidence
+HTML = """<html><head><title>A &amp; B</title><style>p{}</style><script>var t="</p><p>no</p>";</script></head><body><!-- <p>gone</p> --><h1>One</h1><p>first <b>bold</b><br>line<p>second
+   line</p><h2>Sub &lt;x&gt;</h2><ul><li>item a</li><li>item b</ul>loose<table><tr><th>name<th>value</tr><tr><td>a</td><td>1</td></tr><tr><td>b &amp;nbsp;</td><td></td></tr></table>
+<h3>Deep</h3><p>under three</p><h2>Next</h2><p>under next</p><h1>Two</h1><p>end</p><table><tr><td>only</td></tr></table></body></html>"""
+
+
+def test_blocks_of_a_page(spark):
+    rows = spark.createDataFrame([(1, HTML), (2, None), (3, ""), (4, "plain &quot;text&quot; only"), (5, "<p>open <i>end")], "page_id bigint, html string")
+    got = [(r.page_id, r.block, r.kind, r.section, r.text) for r in pages.blocks(rows).orderBy("page_id", "block").collect()]
+    sub = "One > Sub <x>"
+    want = [
+        ("TITLE", "", "A & B"), ("HEADING", "", "One"), ("PROSE", "One", "first bold line"), ("PROSE", "One", "second line"), ("HEADING", "One", "Sub <x>"), ("LIST", sub, "item a"), ("LIST", sub, "item b"), ("PROSE", sub, "loose"),
+        ("TABLE", sub, "name | value\na | 1\nb &nbsp; | "), ("HEADING", sub, "Deep"), ("PROSE", f"{sub} > Deep", "under three"), ("HEADING", f"{sub} > Deep", "Next"), ("PROSE", "One > Next", "under next"), ("HEADING", "One > Next", "Two"), ("PROSE", "Two", "end"), ("TABLE", "Two", "only"),
+    ]
+    assert [g[2:] for g in got if g[0] == 1] == want and [g[1] for g in got if g[0] == 1] == list(range(len(want)))
+    assert [g for g in got if g[0] > 1] == [(4, 0, "PROSE", "", 'plain "text" only'), (5, 0, "PROSE", "", "open end")]
+
+
+def test_chunks_pack_sections_and_repeat_heads(spark):
+    rows = [(1, 0, "HEADING", "", "One"), (1, 1, "PROSE", "One", "a b c"), (1, 2, "LIST", "One", "d"), (1, 3, "PROSE", "One", "e f"), (1, 4, "PROSE", "Two", "g h i j k l m n o"), (1, 5, "TABLE", "Two", "head\nr1 x y\nr2 x y\nr3"), (1, 6, "PROSE", "Two", "p"), (2, 0, "TABLE", "", "lone")]
+    found = spark.createDataFrame(rows, "doc bigint, block int, kind string, section string, text string")
+    got = [(r.doc, r.chunk, r.kind, r.section, r.text) for r in pages.chunks(found, "doc", 4).orderBy("doc", "chunk").collect()]
+    assert got == [
+        (1, 0, "PROSE", "One", "a b c d"), (1, 1, "PROSE", "One", "e f"), (1, 2, "PROSE", "Two", "g h i j"), (1, 3, "PROSE", "Two", "k l m n"), (1, 4, "PROSE", "Two", "o"), (1, 5, "TABLE", "Two", "head\nr1 x y"), (1, 6, "TABLE", "Two", "head\nr2 x y\nr3"), (1, 7, "PROSE", "Two", "p"), (2, 0, "TABLE", "", "lone"),
+    ]
+
+
+def test_packets_are_filled_greedily(spark):
+    import random
 
-    rows = [(1, 0, "s", "HEADING", "Title"), (1, 1, "s", "PROSE", "a b"), (1, 2, "s", "PROSE", "c"), (1, 3, "s", "TABLE", "h1 h2\n1 2\n3 4\n5 6"), (1, 4, "t", "PROSE", "d"), (1, 5, "t", "PROSE", None)]
-    got = evidence.structured_chunks(spark.createDataFrame(rows, "doc bigint, position int, section string, kind string, text string"), 4).orderBy("chunk").collect()
-    assert [(r.kind, r.text) for r in got] == [("PROSE", "a b c"), ("TABLE", "h1 h2\n1 2\n3 4"), ("TABLE", "h1 h2\n5 6"), ("PROSE", "d")]
+    rng = random.Random(4)
+    rows = [(g, i, rng.choice([0, 1, 5, 9, 30])) for g in range(20) for i in range(rng.randrange(1, 30))]
+    got = {(r.g, r.i): r.packet for r in pages.packed(spark.createDataFrame(rows, "g int, i int, n int"), ["g"], ["i"], "n", 20, 5).collect()}
+    for g in range(20):
+        packet, held, items = 0, 0, 0
+        for _, i, n in sorted(r for r in rows if r[0] == g):
+            if items and (held + n > 20 or items == 5):
+                packet, held, items = packet + 1, 0, 0
+            held, items = held + n, items + 1
+            assert got[g, i] == packet

@@ -1,8 +1,7 @@
-"""Evidence from texts: sentences, packets, structure-aware chunks, greedy deduplication."""
+"""Evidence from texts: sentences, greedy deduplication."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,75 +15,6 @@ def sentences(rows: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     return out
 
 
-def packets(blocks: DataFrame, key: str, order: str, words: str, most_words: int = 200, most_blocks: int = 4) -> DataFrame:
-    """Blocks packed in order: a packet closes when the next block would pass either bound.
-
-    Packing depends on what came before, so a document is one group; its size bounds the group.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, packet, held, total = [], 0, 0, 0
-        for n in pdf[words].tolist():
-            if held and (held == most_blocks or total + n > most_words):
-                packet, held, total = packet + 1, 0, 0
-            held, total = held + 1, total + n
-            out.append(packet)
-        return pdf.assign(packet=out)[[key, order, words, "packet"]]
-
-    schema = f"{key} bigint, {order} bigint, {words} bigint, packet bigint"
-    return blocks.select(F.col(key).cast("bigint"), F.col(order).cast("bigint"), F.col(words).cast("bigint")).groupBy(key).applyInPandas(run, schema)
-
-
-def structured_chunks(blocks: DataFrame, most_words: int = 120) -> DataFrame:
-    """(doc, chunk, kind, text): runs of prose of one section joined, tables and the like by rows.
-
-    ``blocks`` has doc, position, section, kind and text. Headings open a section and are not chunks;
-    a long table is split by rows and each part repeats its first row.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        held: list[str] = []
-        section = None
-
-        def flush() -> None:
-            nonlocal held
-            if held:
-                out.append(("PROSE", " ".join(held)))
-            held = []
-
-        for _, sec, kind, text in pdf.sort_values("position")[["position", "section", "kind", "text"]].itertuples(index=False):
-            words = (text or "").split()
-            if kind == "HEADING" or sec != section:
-                flush()
-                section = sec
-            if kind == "HEADING" or not words:
-                continue
-            if kind == "TABLE":
-                flush()
-                lines = text.split("\n")
-                head, rows, size = lines[0], [], 0
-                for line in lines[1:] or [""]:
-                    if rows and size + len(line.split()) > most_words:
-                        out.append(("TABLE", "\n".join([head, *rows])))
-                        rows, size = [], 0
-                    rows.append(line)
-                    size += len(line.split())
-                out.append(("TABLE", "\n".join([head, *rows]).strip()))
-                continue
-            for i in range(0, len(words), most_words):
-                part = words[i : i + most_words]
-                if sum(len(h.split()) for h in held) + len(part) > most_words:
-                    flush()
-                held.append(" ".join(part))
-        flush()
-        doc = pdf["doc"].iloc[0]
-        return pd.DataFrame([(doc, i, k, t) for i, (k, t) in enumerate(out)], columns=["doc", "chunk", "kind", "text"])
-
-    return blocks.select("doc", "position", "section", "kind", "text").groupBy("doc").applyInPandas(run, "doc bigint, chunk int, kind string, text string")
-
-
 def greedy_kept(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(node, kept): what one pass in ascending order keeps, if it drops whatever pairs with a kept one.
 

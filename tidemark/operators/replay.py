@@ -118,50 +118,3 @@ def cluster_bootstrap(rows: DataFrame, cluster: str, value: str, by: str, trials
     tail = 0.025 / trials
     ends = means.groupBy(by).agg(F.percentile("m", F.lit(tail)).alias("lower"), F.percentile("m", F.lit(1 - tail)).alias("upper"))  # a value for each draw
     return whole.join(ends, by, "left").select(by, "clusters", F.when(F.col("clusters") >= least, "ESTIMATED").otherwise("INSUFFICIENT_CLUSTERS").alias("status"), "mean", "lower", "upper")
-
-
-def blocks_of_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, block, kind, text): headings, paragraphs, list items and cells of HTML, in order."""
-    from html.parser import HTMLParser
-
-    class Reader(HTMLParser):
-        KINDS = {"h1": "HEADING", "h2": "HEADING", "h3": "HEADING", "p": "PROSE", "li": "LIST", "td": "TABLE", "th": "TABLE", "title": "TITLE"}
-
-        def __init__(self) -> None:
-            super().__init__()
-            self.out, self.kind, self.skip, self.text = [], "PROSE", 0, []
-
-        def flush(self) -> None:
-            text = " ".join("".join(self.text).split())
-            if text:
-                self.out.append((self.kind, text))
-            self.text = []
-
-        def handle_starttag(self, tag: str, attrs: list) -> None:
-            self.skip += tag in ("script", "style")
-            if tag in self.KINDS:
-                self.flush()
-                self.kind = self.KINDS[tag]
-
-        def handle_endtag(self, tag: str) -> None:
-            self.skip -= tag in ("script", "style") and self.skip > 0
-            if tag in self.KINDS:
-                self.flush()
-                self.kind = "PROSE"
-
-        def handle_data(self, data: str) -> None:
-            if not self.skip:
-                self.text.append(data)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for page, html in zip(pdf["page_id"], pdf["html"], strict=True):
-                reader = Reader()
-                reader.feed(html or "")
-                reader.close()
-                reader.flush()
-                out += [(page, i, kind, text) for i, (kind, text) in enumerate(reader.out)]
-            yield pd.DataFrame(out, columns=["page_id", "block", "kind", "text"])
-
-    return pages.select("page_id", "html").mapInPandas(run, "page_id bigint, block int, kind string, text string")

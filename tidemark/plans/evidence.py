@@ -97,20 +97,6 @@ def feature_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", k.alias("k"), k.isNotNull().alias("k_known"), F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "refund", -1).otherwise(0).alias("direction"))
 
 
-@query()
-def source_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(F.split("text", " ")).alias("n_words"))
-    return evidence.packets(turns, "conv_id", "turn", "n_words")
-
-
-@query()
-def structured_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.operators.replay import blocks_of_pages
-
-    blocks = blocks_of_pages(table(spark, sf_dir, "pages"))
-    return evidence.structured_chunks(blocks.select(F.col("page_id").alias("doc"), F.col("block").alias("position"), F.lit("").alias("section"), "kind", "text"))
-
-
 @query()
 def greedy_near_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What one pass by doc_id keeps: neither copies nor near copies of what it kept before."""

@@ -59,8 +59,3 @@ def hour_cluster_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = projection(spark, sf_dir, "ticks").select((F.col("symbol") % 2).alias("side"), F.floor(F.col("us") / 3_600_000_000).alias("hour"), (F.col("mid") - 100).alias("points"))
     out = replay.cluster_bootstrap(rows, "hour", "points", "side", trials=2)
     return out.select("side", "clusters", "status", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")])
-
-
-@query()
-def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replay.blocks_of_pages(table(spark, sf_dir, "pages"))
