@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import corpus, evidence, similarity
+from tidemark.operators import corpus, evidence, grounding, similarity
 from tidemark.operators.asof import asof
 from tidemark.plans.registry import projection, query, statement
 from tidemark.session import table
@@ -68,6 +68,35 @@ def grounded_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("role = 'assistant'").join(cited, ["conv_id", "turn"]).select("conv_id", "turn", (F.size(F.array_intersect("w", "cited")) >= 2).alias("grounded"))
 
 
+_STOP, _META, _NEG = (", ".join(f"'{w}'" for w in x) for x in (grounding.STOP, grounding.META, grounding.NEGATIONS))
+_OPPOSED = " OR ".join(f"(len(list_intersect(x.w, [{a}])) > 0 AND len(list_intersect(y.w, [{b}])) > 0) OR (len(list_intersect(x.w, [{b}])) > 0 AND len(list_intersect(y.w, [{a}])) > 0)" for a, b in ((", ".join(f"'{w}'" for w in side) for side in pair) for pair in grounding.OPPOSITES))
+_SAID = "s || CASE i % 5 WHEN 0 THEN ' not' WHEN 1 THEN ' higher' WHEN 2 THEN ' lower' ELSE '' END"
+
+
+@query(f"""
+    WITH s AS (SELECT conv_id, turn, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS k FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\x01|[\\r\\n]+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM conversations WHERE role = 'assistant') p),
+    c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn, k) - 1 AS i, s FROM s), d AS (SELECT conv_id, turn, i, {_SAID} AS t FROM c),
+    w AS (SELECT conv_id, turn, i, list_filter(list_distinct(regexp_extract_all(lower(t), '[a-z0-9]+')), lambda x: x NOT IN ({_STOP})) AS all_w FROM d), v AS (SELECT *, list_filter(all_w, lambda x: x NOT IN ({_NEG})) AS w, len(list_intersect(all_w, [{_NEG}])) > 0 AS neg FROM w),
+    b AS (SELECT conv_id, turn, list_filter(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')), lambda x: x NOT IN ({_STOP})) AS w FROM conversations),
+    u AS (SELECT v.conv_id, min(v.i) AS i FROM v LEFT JOIN b ON b.conv_id = v.conv_id AND b.turn = v.turn - 1 WHERE b.turn IS NULL OR (len(list_intersect(v.all_w, b.w)) < 2 AND len(list_intersect(v.all_w, [{_META}])) = 0) GROUP BY 1),
+    g AS (SELECT v.conv_id, min(v.i) AS i FROM v LEFT JOIN b ON b.conv_id = v.conv_id AND b.turn = v.turn - 1 WHERE b.turn IS NULL GROUP BY 1),
+    p AS (SELECT x.conv_id, min(x.i * 1000000 + y.i) AS ij FROM v x JOIN v y ON x.conv_id = y.conv_id AND x.i < y.i WHERE (x.neg <> y.neg AND len(list_intersect(x.w, y.w)) >= 2 AND len(list_intersect(x.w, y.w)) / least(len(x.w), len(y.w)) >= 0.7) OR (len(list_intersect(x.w, y.w)) >= 1 AND ({_OPPOSED})) GROUP BY 1),
+    k AS (SELECT DISTINCT conv_id FROM conversations)
+    SELECT k.conv_id, d.conv_id IS NOT NULL AND u.conv_id IS NULL AND p.conv_id IS NULL AS accepted, CASE WHEN d.conv_id IS NULL THEN 'GROUNDING_FAILED' WHEN u.i IS NOT NULL THEN CASE WHEN g.i = u.i THEN 'GROUNDING_FAILED' ELSE 'UNSUPPORTED_CLAIM' END WHEN ij IS NOT NULL THEN 'CONTRADICTION' END AS reason,
+      CAST(CASE WHEN d.conv_id IS NOT NULL THEN coalesce(u.i, ij // 1000000) END AS int) AS i, CAST(CASE WHEN d.conv_id IS NOT NULL AND u.i IS NULL THEN ij % 1000000 END AS int) AS j FROM k LEFT JOIN (SELECT DISTINCT conv_id FROM d) d USING (conv_id) LEFT JOIN u USING (conv_id) LEFT JOIN g USING (conv_id) LEFT JOIN p USING (conv_id)""")
+def grounded_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the sentences of a conversation's answers rest on the turns before them and agree with each other."""
+    turns = table(spark, sf_dir, "conversations")
+    ref = lambda turn: F.struct(turn.cast("string").alias("ref"), F.lit(None).cast("map<string,string>").alias("fields"))
+    said = evidence.sentences(turns.where("role = 'assistant'"), ["conv_id", "turn"]).withColumnRenamed("i", "k")
+    said = said.withColumn("i", (F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "k")) - 1).cast("int"))
+    tail = F.element_at(F.array(*[F.lit(x) for x in (" not", " higher", " lower", "", "")]), F.col("i") % 5 + 1)
+    claims = said.select(F.col("conv_id").alias("candidate"), "i", F.concat("sentence", tail).alias("text"), F.array(ref(F.col("turn") - 1)).alias("refs"))
+    blocks = turns.select(F.col("conv_id").alias("candidate"), F.col("turn").cast("string").alias("ref"), "text", F.lit(None).cast("map<string,string>").alias("fields"))
+    candidates = turns.groupBy(F.col("conv_id").alias("candidate")).agg(F.array(ref(F.min("turn"))).alias("refs"))
+    return grounding.grounded(candidates, claims, blocks).withColumnRenamed("candidate", "conv_id")
+
+
 @query("""
     WITH p AS (SELECT event_id AS plan_id, symbol, us AS plan_us FROM ticks WHERE event_type = 'signup'), t AS (SELECT event_id, symbol, us FROM ticks WHERE event_type = 'view')
     SELECT event_id, CASE WHEN t.us - plan_us <= 21600000000 THEN plan_id END AS plan_id FROM t ASOF LEFT JOIN p ON t.symbol = p.symbol AND t.us >= p.plan_us""")
