@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 CLIP, EPSILON = 8.0, 1e-9
 #: Vectors in a block of rows and in one of queries: a product of two blocks bounds a worker's memory.
 ROWS, ASKED = 16384, 256
+#: Tasks that the blocks of one kind are dealt over where they meet queries.
+SALT = 16
 
 
 def dot(a: str, b: str) -> Column:
@@ -84,13 +86,19 @@ def nearest(rows: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                 a, b = np.nonzero(keep)
                 yield pa.RecordBatch.from_arrays([pa.array(mine[a]), pa.array(ids[b]), pa.array(score[a, b])], names=["query_id", "doc_id", "score"])
 
-    blocks = _blocks(rows, ROWS)
-    queries = _blocks(asked, ASKED).select(F.col("ids").alias("asked_ids"), F.col("data").alias("asked_data"), F.col("dims").alias("asked_dims"))
-    pairs = blocks.join(queries, F.col("dims") == F.col("asked_dims"))
+    blocks = _blocks(rows, ROWS).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(SALT)))
+    queries = _blocks(asked, ASKED).select(F.col("ids").alias("asked_ids"), F.col("data").alias("asked_data"), F.col("dims").alias("asked_dims"), F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("asked_salt"))
+    pairs = blocks.join(queries, (F.col("dims") == F.col("asked_dims")) & (F.col("salt") == F.col("asked_salt")))
     found = pairs.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
+def dealt(rows: DataFrame, asked: DataFrame, by: str, id: str) -> DataFrame:
+    """Rows with the asked ones of the same ``by``; the rows of one value meet them in ``SALT`` tasks."""
+    salted = rows.withColumn("salt_", F.pmod(F.xxhash64(id), F.lit(SALT)))
+    return salted.join(asked.withColumn("salt_", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALT - 1).cast("bigint")))), [by, "salt_"]).drop("salt_")
+
+
 def robust_profile(vectors: DataFrame, cohort: str, values: str) -> DataFrame:
     """(cohort, dim, median, scale): the interquartile range, else 1.4826 MAD, else one."""
     long = vectors.select(cohort, F.posexplode(values).alias("dim", "x")).where("x is not null")

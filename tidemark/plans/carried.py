@@ -267,3 +267,15 @@ def outcomes_by_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("cost"), 4).alias("mean_cost"), F.round(F.avg(F.when(F.col("cost") > 0, 1.0).otherwise(0.0)), 6).alias("better"))
     ranks = {"median_cost": nearest(0.5), "p90": nearest(0.9), "p95": nearest(0.95)}
     return counts.join(quantiles.exact(rows, by, "cost", ranks), by, "left").withColumns({c: F.round(c, 6) for c in ranks})
+
+
+@query("""
+    WITH g AS (SELECT symbol, us - us % 86400000000 AS day_us, min(us) AS first_us FROM ticks GROUP BY 1, 2), k AS (SELECT symbol, day_us, row_number() OVER (ORDER BY first_us, symbol) AS rn, count(*) OVER () AS n FROM g)
+    SELECT symbol, day_us, CASE WHEN rn <= floor(n * 70 / 1e2) THEN 'train' WHEN rn <= floor(n * 85 / 1e2) THEN 'validation' ELSE 'test' END AS split FROM k""")
+def chronological_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days of a symbol by the place of their first tick: 70, 15 and 15 of a hundred."""
+    days = projection(spark, sf_dir, "ticks").groupBy("symbol", (F.col("us") - F.col("us") % DAY_US).alias("day_us")).agg(F.min("us").alias("first_us"))
+    placed = order.positioned(days, ["first_us", "symbol"])
+    n, at = placed.count(), F.col("position") + 1
+    split = F.when(at <= n * 70 // 100, "train").when(at <= n * 85 // 100, "validation").otherwise("test")
+    return placed.select("symbol", "day_us", split.alias("split"))

@@ -189,7 +189,7 @@ def masked_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     rows = similarity.normalised(rows, similarity.robust_profile(rows, "label", "v"), "label", "v")
     asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("v").alias("q"))
-    scored = rows.join(asked, "label").where("vec_id <> query_id").withColumn("d", similarity.masked_distance("q", "v", weights="transform(q, (x, i) -> 1D + i % 3)")).where("d is not null")
+    scored = similarity.dealt(rows, asked, "label", "vec_id").where("vec_id <> query_id").withColumn("d", similarity.masked_distance("q", "v", weights="transform(q, (x, i) -> 1D + i % 3)")).where("d is not null")
     scored = scored.select("query_id", F.col("vec_id").alias("doc_id"), F.round("d", 6).alias("distance"), F.round(1 / (1 + F.col("d")), 6).alias("likeness"))
     return similarity.top_k(scored, ["query_id"], [F.col("distance"), F.col("doc_id")], 5)
 
@@ -213,9 +213,6 @@ statement("inventory_diff", """
     WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS v FROM orders WHERE o_orderkey % 7 <> 0), b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'X' ELSE o_orderstatus END AS v FROM orders WHERE o_orderkey % 5 <> 0)
     SELECT CASE WHEN a.k IS NULL THEN 'ADDED' WHEN b.k IS NULL THEN 'REMOVED' WHEN a.v <> b.v THEN 'CHANGED' ELSE 'SAME' END AS change, count(*) AS n FROM a FULL JOIN b ON a.k = b.k GROUP BY 1""")
 statement("set_operations", "SELECT 'both' AS part, c FROM (SELECT l_suppkey AS c FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT l_suppkey FROM lineitem WHERE l_tax > 7e-2) x UNION ALL SELECT 'first', c FROM (SELECT l_suppkey AS c FROM lineitem WHERE l_quantity > 45 EXCEPT SELECT l_suppkey FROM lineitem WHERE l_tax > 7e-2 AND l_discount > 9e-2 AND l_suppkey % 2 = 0) y")
-statement("chronological_group_split", """
-    WITH g AS (SELECT symbol, us - us % 86400000000 AS day_us, min(us) AS first_us FROM ticks GROUP BY 1, 2), k AS (SELECT symbol, day_us, row_number() OVER (ORDER BY first_us, symbol) AS rn, count(*) OVER () AS n FROM g)
-    SELECT symbol, day_us, CASE WHEN rn <= floor(n * 70 / 1e2) THEN 'train' WHEN rn <= floor(n * 85 / 1e2) THEN 'validation' ELSE 'test' END AS split FROM k""")
 statement("chunk_identities", "SELECT doc_id, 'chk_' || @sha(CAST(doc_id AS varchar(20)) || ':' || source || ':' || lang) AS chunk_id FROM documents")
 statement("quality_policy", """
     SELECT doc_id, n_chars > 20000 AS too_long, text LIKE '%@%' AS private_text, lower(text) LIKE '%license%' AS licensed, lang NOT IN ('en', 'fr') AS other_language FROM documents""")
