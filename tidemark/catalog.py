@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.plans import audits, carried, corpus, datasets, evidence, gates, intake, outcomes, pages, replays, reports, series  # noqa: F401  these register their queries
+from tidemark.plans import audits, carried, corpus, datasets, evidence, experience, gates, intake, outcomes, pages, replays, reports, series  # noqa: F401  these register their queries
 from tidemark.plans.registry import ORACLE, QUERIES
 
 FLAGSHIP = "outcome_evaluation"
