@@ -104,8 +104,8 @@ def joined(decisions: DataFrame, records: DataFrame, evaluations: DataFrame, sna
     theirs = named.join(ids, "decision_id").where((F.col("own_run").isNull() | (F.col("own_run") == F.col("run_id"))) & (F.col("own_fp").isNull() | (F.col("own_fp") == F.col("fp"))))
     one = theirs.groupBy(*identity, *EVALUATION).agg(F.min_by(F.struct("fingerprint", "status", "known_us", "eval_id"), F.struct("fingerprint", "eval_id")).alias("e"), F.count("*").alias("n"))
     one = one.select(*identity, *EVALUATION, "e.*", "n").withColumn("id", F.concat_ws("/", *[F.col(c).cast("string") for c in (*identity, *EVALUATION)]))
-    recorded = snapshots.join(kept.select("decision_id").distinct(), "decision_id", "left_semi")
-    one = paired(one, recorded, ["decision_id", *EVALUATION], "id")
+    own = paired(_left(one, kept.select(*identity, F.lit(True).alias("recorded")), identity), snapshots, ["decision_id", *EVALUATION], "id")
+    one = own.withColumns({c: F.when(F.col("recorded"), F.col(c)) for c in ("snapshot_fp", "snapshot_us")})
     item = F.struct(*EVALUATION, "fingerprint", "status", "known_us", "eval_id", "snapshot_fp", "snapshot_us", "n")
     listed = one.groupBy(*identity).agg(F.array_sort(F.collect_list(item)).alias("evaluations"))  # one for each basis and horizon
     out = _left(base, listed, identity)

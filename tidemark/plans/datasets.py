@@ -19,10 +19,10 @@ _PAIRED = """m AS (SELECT e.eval_id, s.fingerprint AS snapshot_fp, s.observed_us
     paired AS (SELECT * FROM m WHERE rn = 1)"""
 _JOINED = f"""{_PAIRED},
     d AS (SELECT decision_id, run_id, fp, count(*) AS n, min(analysis_us) AS analysis_us FROM ds_decisions GROUP BY 1, 2, 3), r AS (SELECT decision_id, run_id, fp, count(*) AS n FROM ds_records GROUP BY 1, 2, 3), a AS (SELECT decision_id, run_id, count(*) AS n FROM ds_audits GROUP BY 1, 2),
-    k AS (SELECT DISTINCT decision_id FROM ds_records),
+    k AS (SELECT DISTINCT decision_id, run_id, fp FROM ds_records),
     x AS (SELECT d.decision_id, d.run_id, d.fp, e.basis, e.horizon_s, e.fingerprint, e.status, e.eval_id, e.known_us FROM d JOIN ds_evals e ON e.decision_id = d.decision_id AND (e.run_id IS NULL OR e.run_id = d.run_id) AND (e.fp IS NULL OR e.fp = d.fp)),
     y AS (SELECT *, row_number() OVER (PARTITION BY decision_id, run_id, fp, basis, horizon_s ORDER BY fingerprint, eval_id) AS rn, count(*) OVER (PARTITION BY decision_id, run_id, fp, basis, horizon_s) AS n FROM x),
-    z AS (SELECT y.decision_id, y.run_id, y.fp, y.basis, y.horizon_s, y.fingerprint, y.status, y.eval_id, y.known_us, y.n, CASE WHEN k.decision_id IS NOT NULL THEN p.snapshot_fp END AS snapshot_fp, CASE WHEN k.decision_id IS NOT NULL THEN p.snapshot_us END AS snapshot_us FROM y LEFT JOIN paired p ON p.eval_id = y.eval_id LEFT JOIN k ON k.decision_id = y.decision_id WHERE y.rn = 1),
+    z AS (SELECT y.decision_id, y.run_id, y.fp, y.basis, y.horizon_s, y.fingerprint, y.status, y.eval_id, y.known_us, y.n, CASE WHEN k.decision_id IS NOT NULL THEN p.snapshot_fp END AS snapshot_fp, CASE WHEN k.decision_id IS NOT NULL THEN p.snapshot_us END AS snapshot_us FROM y LEFT JOIN paired p ON p.eval_id = y.eval_id LEFT JOIN k ON k.decision_id = y.decision_id AND k.run_id = y.run_id AND k.fp = y.fp WHERE y.rn = 1),
     g AS (SELECT decision_id, run_id, fp, count(*) AS evaluations, string_agg(basis || ':' || horizon_s || '=' || eval_id || '@' || coalesce(snapshot_fp, '-'), ',' ORDER BY basis, horizon_s) AS listed, coalesce(string_agg(CASE WHEN n > 1 THEN decision_id || ':' || basis || ':' || horizon_s END, ',' ORDER BY basis, horizon_s), '') AS again FROM z GROUP BY 1, 2, 3),
     j AS (SELECT d.*, coalesce(r.n, 0) AS records, coalesce(a.n, 0) AS audits, d.n > 1 OR coalesce(r.n, 0) > 1 OR coalesce(a.n, 0) > 1 AS repeated FROM d LEFT JOIN r ON r.decision_id = d.decision_id AND r.run_id = d.run_id AND r.fp = d.fp LEFT JOIN a ON a.decision_id = d.decision_id AND a.run_id = d.run_id)"""
 
