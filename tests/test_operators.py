@@ -235,3 +235,16 @@ def test_packets_are_filled_greedily(spark):
                 packet, held, items = packet + 1, 0, 0
             held, items = held + n, items + 1
             assert got[g, i] == packet
+
+
+@pytest.mark.parametrize("forward", [True, False])
+def test_asof_frames_only_grow(spark, forward):
+    """A frame up to the last row is counted anew for each row: quadratic in the quotes of an hour."""
+    from tidemark.operators.asof import asof
+
+    probes = spark.createDataFrame([(i, "s", 10 * i) for i in range(50)], "id bigint, symbol string, at bigint")
+    quotes = spark.createDataFrame([("s", 7 * i, float(i)) for i in range(60)], "symbol string, us bigint, bid double")
+    found = asof(probes, quotes, "symbol", "at", "us", ["bid"], 1000, forward)
+    assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
+    side = (lambda at: min((u for u in range(0, 420, 7) if u >= at), default=None)) if forward else (lambda at: max((u for u in range(0, 420, 7) if u <= at), default=None))
+    assert {r.id: r.q_us for r in found.collect()} == {i: side(10 * i) for i in range(50)}

@@ -27,10 +27,10 @@ def asof(probes: DataFrame, quotes: DataFrame, key: str, at: str, us: str, value
     asked = probes.select(F.col(key).alias("k"), bucket(at).alias("b"), F.col(at).alias("t"), F.lit(None).cast(sides.schema["quote"].dataType).alias("quote"), F.struct(*probes.columns).alias("row"))
     both = sides.unionByName(asked).withColumn("probe", F.col("row").isNotNull())
     order = Window.partitionBy("k", "b")
-    if forward:  # a quote of the same instant follows its probe, and so is seen
-        found = F.first("quote", ignorenulls=True).over(order.orderBy("t", F.desc("probe")).rowsBetween(0, Window.unboundedFollowing))
-    else:
-        found = F.last("quote", ignorenulls=True).over(order.orderBy("t", "probe").rowsBetween(Window.unboundedPreceding, 0))
+    # against the direction looked in, so the frame only grows (one that shrinks is counted anew for each row);
+    # a quote of the same instant precedes its probe, and so is seen
+    line = order.orderBy(F.desc("t") if forward else F.col("t"), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    found = F.last("quote", ignorenulls=True).over(line)
     seen = both.withColumn("found", found).where("probe")
     near = F.abs(F.col("found.us") - F.col("t")) <= tolerance_us
     return seen.select("row.*", *[F.when(near, F.col(f"found.{c}")).alias(prefix + c) for c in ["us", *values]])
