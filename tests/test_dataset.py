@@ -36,6 +36,26 @@ def test_pairing_against_a_loop(spark, decisions, width):
     assert got == want
 
 
+@pytest.mark.parametrize("hot", [0, 150])
+def test_large_keys_are_paired_in_buckets_of_time(spark, hot):
+    """Keys of very many rows go by lanes, the others in one shuffle: the same pairs, and none without a key or an id."""
+    evals, snaps = facts(200, 1)
+    few, fewer = facts(60, 5000)
+    evals = [*evals, *[(1000 + i, 7 + e[1], *e[2:]) for i, e in enumerate(few)], (2000, None, "A", 60, "COMPLETE", "x", 5), (None, 0, "A", 60, "COMPLETE", "x", 5)]
+    snaps = [*snaps, *[(7 + s[0], *s[1:]) for s in fewer], (None, "A", 60, "COMPLETE", "x", 1)]
+    found = dataset.paired(spark.createDataFrame(evals, EVALS), spark.createDataFrame(snaps, SNAPS), ["decision_id", "basis", "horizon_s"], "id", 10, hot)
+    got = {r.id: (r.snapshot_us, r.snapshot_fp) for r in found.collect()}
+    want = {e[0]: (None, None) if e[0] is None or e[1] is None or (b := best(e, snaps)) is None else (b[1] if b[0] else None, b[3] if b[2] else None) for e in evals}
+    assert got == want
+
+
+def test_facts_are_dealt_once(spark):
+    """Pairs and observations: rows pass one exchange by their decision, not one for each lane and join."""
+    evals, snaps = facts(20, 3)
+    found = dataset.paired(spark.createDataFrame(evals, EVALS), spark.createDataFrame(snaps, SNAPS), ["decision_id", "basis", "horizon_s"], "id")
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_pairing_never_multiplies(spark):
     """One decision with n evaluations and n snapshots: rows of the scan grow with their sum."""
     evals, snaps = facts(300, 1)
