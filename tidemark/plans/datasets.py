@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import dataset, gates, intake
 from tidemark.plans.registry import projection, query
-from tidemark.session import Scratch, cut
+from tidemark.session import Scratch, stored
 from tidemark.sources import files
 
 BASIS, HORIZON_S, AS_OF = "ANALYSIS_SNAPSHOT", 3600, 978_307_200_000_000
@@ -71,7 +71,7 @@ def build(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         F.sequence(F.lit(0), F.coalesce("audit.refs", F.lit(0))).alias("available"), F.lit(True).alias("source_available"), c("eval").isNotNull().alias("evaluated"), c("eval.basis").alias("eval_basis"), c("eval.horizon_s").alias("eval_horizon_s"), c("eval.status").alias("eval_status"),
         F.lit(True).alias("eval_context_ok"), c("eval.snapshot_fp").isNotNull().alias("eval_provenance_valid"), c("eval.known_us").alias("known_us"), c("decision.analysis_us").alias("entry_us"), (c("decision.analysis_us") + 3_600_000_000).alias("target_us"), (c("decision.analysis_us") + 3_660_000_000).alias("observed_us"),
     ).withColumns({"used": F.filter("available", lambda x: x % 2 == 0), "rejected": F.filter("available", lambda x: x % 2 == 1)})
-    judged = cut(gates.dataset_reasons(wide, BASIS, HORIZON_S, AS_OF))
+    judged = stored(gates.dataset_reasons(wide, BASIS, HORIZON_S, AS_OF).select("decision_id", "run_id", "fp", "analysis_us", "action", "eval_basis", "eval_horizon_s", "eval_status", "reasons"))
     examples, left = dataset.classified(judged, ["fp", "decision_id", "eval_basis", "eval_horizon_s"], ["run_id"], "analysis_us", "decision_id")
     return examples, left.unionByName(bad.withColumnRenamed("reason", "reasons")) if bad is not None else left
 
@@ -95,7 +95,7 @@ def dataset_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     examples, left = build(spark, sf_dir)
     with Scratch(spark) as scratch:
-        rows = cut(intake.canonical(examples, ["decision_id", "eval_basis", "eval_horizon_s"], {"decision": ["decision_id", "run_id", "fp"], "outcome": ["action", "eval_status"]}, "split"))
+        rows = stored(intake.canonical(examples, ["decision_id", "eval_basis", "eval_horizon_s"], {"decision": ["decision_id", "run_id", "fp"], "outcome": ["action", "eval_status"]}, "split"))
         files.write_generation(rows, f"{scratch.top}/generation")
         again = spark.read.schema(rows.schema).json(f"{scratch.top}/generation")
         files.verified(rows, again)
