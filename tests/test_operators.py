@@ -248,3 +248,32 @@ def test_asof_frames_only_grow(spark, forward):
     assert "unboundedfollowing" not in found._jdf.queryExecution().executedPlan().toString().lower()
     side = (lambda at: min((u for u in range(0, 420, 7) if u >= at), default=None)) if forward else (lambda at: max((u for u in range(0, 420, 7) if u <= at), default=None))
     assert {r.id: r.q_us for r in found.collect()} == {i: side(10 * i) for i in range(50)}
+
+
+def test_masked_nearest_against_the_column(spark):
+    """Blocks give the distances of the column, with missing values, unlike lengths, ties and few shared dimensions."""
+    import random
+
+    rng = random.Random(5)
+    vector = lambda: None if rng.random() < 0.05 else [rng.choice([None, 0.0, 0.25, 1.0]) for _ in range(rng.choice([9, 12]))]
+    rows = spark.createDataFrame([(i % 3, i, -(i % 4), vector()) for i in range(90)], "by int, id bigint, prefer bigint, v array<double>").repartition(4)
+    asked = rows.where("id % 5 = 0").select("by", "id", "v")
+    got = similarity.masked_nearest(rows, asked, 4, 3, lambda i: 1.0 + i % 3, apart=True)
+    pairs = rows.join(asked.select("by", F.col("id").alias("query_id"), F.col("v").alias("q")), "by").where("id <> query_id")
+    pairs = pairs.withColumn("d", similarity.masked_distance("q", "v", 3, "transform(q, (x, i) -> 1D + i % 3)")).where("d is not null").withColumn("distance", F.round("d", 6))
+    want = similarity.top_k(pairs, ["query_id"], [F.col("distance"), F.col("prefer"), F.col("id")], 4)
+    columns = ["query_id", "id", "prefer", "d", "distance", "rank"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_experiences_of_one_vector_are_compared_once(spark):
+    """The k nearest experiences of few vectors, ties by the later one, as if each were compared by itself."""
+    from tidemark.operators import experience
+
+    vectors = spark.createDataFrame([(i, [float(i // 2)] * 8) for i in range(6)], "vec_id bigint, v array<double>")
+    accepted = [(i, i * 37 % 11, i % 6) for i in range(60)]
+    found = experience.similar(spark.createDataFrame(accepted, "experience_id bigint, at_us bigint, vec_id bigint"), vectors, spark.createDataFrame([(1, [0.4] * 8), (2, [2.0] * 8)], "query_id bigint, v array<double>"), 7)
+    got = {(r.query_id, r.rank): (r.experience_id, r.distance) for r in found.collect()}
+    for query, q in ((1, 0.4), (2, 2.0)):
+        order = sorted(accepted, key=lambda e: (round(abs(e[2] // 2 - q), 6), -e[1], e[0]))[:7]
+        assert [got[query, i + 1] for i in range(7)] == [(e[0], round(abs(e[2] // 2 - q), 6)) for e in order]
