@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 from tidemark.operators import similarity
 
 
-def similar(accepted: DataFrame, asked: DataFrame, k: int, least: int = 8) -> DataFrame:
+def similar(accepted: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, least: int = 8) -> DataFrame:
     """(query_id, experience_id, distance, rank) of the k experiences nearest to each question.
 
-    ``accepted`` are (experience_id, at_us, v), those that a gate lets pass; ``asked`` (query_id, v). Of
-    equal distances the later experience comes first. All are compared, those of one group in several tasks.
+    ``accepted`` are (experience_id, at_us, vec_id), those that a gate lets pass; ``vectors`` (vec_id,
+    v); ``asked`` (query_id, v). Of equal distances the later experience comes first. All are
+    compared, but experiences of one vector are equally far: of each vector the first k count, and the
+    k vectors that are nearest, told by their first experience, hold the k nearest experiences.
     """
-    one = F.lit(0).alias("all_")
-    pairs = similarity.dealt(accepted.select(one, "experience_id", "at_us", "v"), asked.select(one, "query_id", F.col("v").alias("q")), "all_", "experience_id")
-    scored = pairs.select("query_id", "experience_id", "at_us", F.round(similarity.masked_distance("q", "v", least), 6).alias("distance")).where("distance is not null")
-    return similarity.top_k(scored, ["query_id"], [F.col("distance"), F.desc("at_us"), F.col("experience_id")], k).drop("at_us")
+    order = [F.desc_nulls_last("at_us"), F.col("experience_id")]
+    few = similarity.top_k(accepted.select("experience_id", "at_us", "vec_id"), ["vec_id"], order, k).withColumnRenamed("rank", "place")
+    places = few.where("place = 1").select("vec_id", (-F.col("at_us")).alias("prefer"), F.col("experience_id").alias("id"))
+    rows = places.join(vectors, "vec_id").select(F.lit(0).alias("by"), "id", F.coalesce("prefer", F.lit((1 << 63) - 1)).alias("prefer"), "v")
+    near = similarity.masked_nearest(rows, asked.select(F.lit(0).alias("by"), F.col("query_id").alias("id"), "v"), k, least)
+    near = near.join(places.select("id", "vec_id"), "id").select("query_id", "vec_id", "distance")
+    return similarity.top_k(near.join(few, "vec_id"), ["query_id"], [F.col("distance"), *order], k).select("query_id", "experience_id", "distance", "rank")
 
 
 def outcomes(snapshots: DataFrame, basis: str, horizon_s: int, as_of_us: int) -> DataFrame:

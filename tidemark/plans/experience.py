@@ -27,8 +27,8 @@ def similar_experiences(spark: SparkSession, sf_dir: str) -> DataFrame:
     passed = gates.search_gate(projection(spark, sf_dir, "experiences"), "S1", "INTRADAY", "M15", action="HOLD", as_of_us=AS_OF).where("reason is null")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.expr("transform(embedding, x -> if(abs(x) > 2e-2, cast(x as double), null))").alias("v"))
     n = max(vectors.count(), 1)
-    accepted = passed.select("experience_id", F.col("snapshot_us").alias("at_us"), (F.col("experience_id") % n).alias("vec_id")).join(vectors, "vec_id")
+    accepted = passed.select("experience_id", F.col("snapshot_us").alias("at_us"), (F.col("experience_id") % n).alias("vec_id"))
     asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "v")
-    found = experience.similar(accepted, asked, 5)
+    found = experience.similar(accepted, vectors, asked, 5)
     results = experience.outcomes(projection(spark, sf_dir, "snapshots"), "ANALYSIS_SNAPSHOT", 3600, AS_OF)
     return experience.evidence(asked, found, results).withColumn("mean_net", F.round("mean_net", 4))
