@@ -139,3 +139,23 @@ def test_intervals_cover(spark):
     df = spark.createDataFrame(rows, "g int, h int, v double")
     found = replay.cluster_bootstrap(df, "h", "v", "g", draws=1000).collect()
     assert len(found) == 60 and sum(x.lower <= 1.0 <= x.upper for x in found) >= 49
+
+
+def test_tick_features_of_repeated_instants(spark, tmp_path):
+    """Two ticks of one instant divide by zero seconds: the SQL has infinities and NaN there, and so has the query."""
+    import math
+
+    import duckdb
+
+    from tidemark import catalog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.unionByName(events).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as from '{tmp_path}/events.parquet/*.parquet'")
+    found = con.execute(catalog.ORACLE["tick_features_w20"])
+    names = [d[0] for d in found.description]
+    plain = lambda v: None if isinstance(v, float) and math.isnan(v) else round(v, 4) + 0.0 if isinstance(v, float) else v
+    want = sorted(repr([plain(v) for v in r]) for r in found.fetchall())
+    got = sorted(repr([plain(r[c]) for c in names]) for r in catalog.QUERIES["tick_features_w20"](spark, str(tmp_path)).collect())
+    assert got == want

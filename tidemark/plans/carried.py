@@ -29,6 +29,12 @@ def total(test: Column) -> Column:
     return F.coalesce(F.sum(F.when(test, 1).otherwise(0)), F.lit(0)).cast("bigint")
 
 
+def over(a: Column, b: Column) -> Column:
+    """The quotient of doubles as IEEE states it, where b is zero too."""
+    unbounded = F.when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+    return F.when(b == 0, unbounded).otherwise(F.try_divide(a, b))
+
+
 def arrived(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quotes in arrival order with the time of the one before."""
     rows = projection(spark, sf_dir, "arrivals")
@@ -137,24 +143,25 @@ def session_gap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
       round(coalesce(((us - u0) / 1e6 / nullif(k - 1, 0)) / ((us - pu) / 1e6), 0e0), 6) AS burst, round(coalesce(abs(signs) * 1e0 / nullif(moves, 0), 0e0), 6) AS direction_persistence,
       round(CASE WHEN hi > lo THEN (mid - lo) / (hi - lo) ELSE 5e-1 END, 6) AS range_position, CAST(least(rn, 120) AS bigint) AS tick_count FROM c""")
 def tick_features_w20(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features of each tick over the last 20; buckets see the 120 ticks before them."""
+    """Features of each tick over the last 20; buckets see the 120 ticks before them. Ticks of one instant go by their values."""
     rows = projection(spark, sf_dir, "ticks").select("symbol", "us", "mid", "spread")
-    line = scans.line(["symbol"], ["us"])
+    ties = ["us", "mid", "spread"]
+    line = scans.line(["symbol"], ties)
     window, returns = line.rowsBetween(-19, 0), line.rowsBetween(-18, 0)
     c, zero = F.col, F.lit(0.0)
     seconds = (c("us") - c("pu")) / 1e6
-    seen = scans.with_context(rows, ["symbol"], ["us"], scans.span("us", DAY_US), tail=120)
+    seen = scans.with_context(rows, ["symbol"], ties, scans.span("us", DAY_US), tail=120)
     seen = seen.withColumns({"pm": F.lag("mid").over(line), "pu": F.lag("us").over(line), "rn": F.row_number().over(line)})
-    seen = seen.withColumns({"r": (c("mid") - c("pm")) / c("pm"), "velocity": F.coalesce((c("mid") - c("pm")) / seconds, zero)})
+    seen = seen.withColumns({"r": over(c("mid") - c("pm"), c("pm")), "velocity": F.coalesce(over(c("mid") - c("pm"), seconds), zero)})
     seen = seen.withColumns({
-        "acceleration": F.when(c("pu").isNull(), zero).otherwise((c("velocity") - F.lag("velocity").over(line)) / seconds),
+        "acceleration": F.when(c("pu").isNull(), zero).otherwise(over(c("velocity") - F.lag("velocity").over(line), seconds)),
         "sd": F.stddev_pop("r").over(returns), "nr": F.count("r").over(returns), "m0": F.first("mid").over(window), "hi": F.max("mid").over(window), "lo": F.min("mid").over(window), "ms": F.avg("spread").over(window), "u0": F.first("us").over(window), "k": F.count("*").over(window),
         "signs": F.sum(F.coalesce(F.signum("r"), zero)).over(returns), "moves": F.sum(F.when(c("r") != 0, 1).otherwise(0)).over(returns),
     })
     span = (c("us") - c("u0")) / 1e6
     found = {
         "return_1": F.coalesce("r", zero), "velocity": c("velocity"), "acceleration": c("acceleration"), "momentum": c("mid") - c("m0"), "volatility": F.when(c("nr") >= 2, c("sd")).when(c("nr") == 1, F.abs("r")).otherwise(zero), "rolling_range": c("hi") - c("lo"),
-        "spread_expansion": c("spread") - c("ms"), "tick_frequency": F.coalesce((c("k") - 1) / F.nullif(span, zero), zero), "burst": F.coalesce(span / F.nullif(c("k") - 1, F.lit(0)) / seconds, zero),
+        "spread_expansion": c("spread") - c("ms"), "tick_frequency": F.coalesce((c("k") - 1) / F.nullif(span, zero), zero), "burst": F.coalesce(over(span / F.nullif(c("k") - 1, F.lit(0)), seconds), zero),
         "direction_persistence": F.coalesce(F.abs("signs") / F.nullif(c("moves"), F.lit(0)), zero), "range_position": F.when(c("hi") > c("lo"), (c("mid") - c("lo")) / (c("hi") - c("lo"))).otherwise(0.5),
     }
     digits = {"volatility": 5}
