@@ -277,3 +277,19 @@ def test_experiences_of_one_vector_are_compared_once(spark):
     for query, q in ((1, 0.4), (2, 2.0)):
         order = sorted(accepted, key=lambda e: (round(abs(e[2] // 2 - q), 6), -e[1], e[0]))[:7]
         assert [got[query, i + 1] for i in range(7)] == [(e[0], round(abs(e[2] // 2 - q), 6)) for e in order]
+
+
+def test_replay_holds_no_segment(spark):
+    """Segments are read as a stream: no group in pandas, the same trades as the machine run over each segment."""
+    ticks = [(s, 60 * i + (10_000_000 if i >= 700 else 0), 100.0 + (i * 7 * (s + 1)) % 23, 100.5 + (i * 7 * (s + 1)) % 23) for s in range(3) for i in range(1500)]
+    policies = [replay.Policy("base"), replay.Policy("tight", stop=5.0, target=6.0)]
+    found = replay.replay(spark.createDataFrame(ticks, "symbol bigint, us bigint, bid double, ask double").repartition(5), policies, 1_000_000)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    want = []
+    for policy in policies:
+        for symbol in range(3):
+            own = [t for t in ticks if t[0] == symbol]
+            for segment, part in enumerate((own[:700], own[700:])):
+                machine = replay.Machine(policy)
+                want += [(policy.name, symbol, segment, t["entry_us"], t["exit_us"], t["pnl"], t["exit_reason"]) for i, (_, us, bid, ask) in enumerate(part) if (t := machine.step(us, bid, ask, i == len(part) - 1))]
+    assert sorted((r.candidate, r.symbol, r.segment, r.entry_us, r.exit_us, r.pnl, r.exit_reason) for r in found.collect()) == sorted(want)

@@ -9,14 +9,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import scans
 from tidemark.operators.order import positioned
 from tidemark.session import cut
 
+DAY_US = 86_400_000_000
 EXITS = ("STOP", "TARGET", "TRAILING", "GIVE_BACK", "MAX_HOLD", "SEGMENT_END")
 TRADES = "candidate string, symbol bigint, segment bigint, direction string, entry_us bigint, exit_us bigint, entry_fill double, exit_fill double, pnl double, mfe double, mae double, exit_reason string"
 
@@ -66,26 +67,46 @@ class Machine:
 
 def segmented(ticks: DataFrame, gap_us: int) -> DataFrame:
     """Ticks with the number of gaps longer than ``gap_us`` before them."""
-    line = Window.partitionBy("symbol").orderBy("us")
-    fresh = F.when(F.col("us") - F.lag("us").over(line) > gap_us, 1).otherwise(0)
-    return ticks.withColumn("fresh", fresh).withColumn("segment", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("fresh")
+    return scans.segments(ticks, ["symbol"], "us", ["us", "bid", "ask"], gap_us, scans.span("us", DAY_US)).drop("gap")
 
 
 def replay(ticks: DataFrame, policies: list[Policy], gap_us: int) -> DataFrame:
-    """All trades of all candidates; each (symbol, segment) is replayed by itself."""
-    rows = segmented(ticks.select("symbol", "us", "bid", "ask"), gap_us)
+    """All trades of all candidates; each (symbol, segment) is replayed by itself.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("us")
-        out = []
-        for policy in policies:
-            machine, n = Machine(policy), len(pdf)
-            for i, (us, bid, ask) in enumerate(zip(pdf["us"].tolist(), pdf["bid"].tolist(), pdf["ask"].tolist(), strict=True)):
-                if trade := machine.step(us, bid, ask, i == n - 1):
-                    out.append({"candidate": policy.name, "symbol": pdf["symbol"].iloc[0], "segment": pdf["segment"].iloc[0], **trade})
-        return pd.DataFrame(out, columns=[c.split()[0] for c in TRADES.split(", ")])
-
-    return rows.groupBy("symbol", "segment").applyInPandas(run, TRADES)
+    Segments stand one after another in sorted partitions and are read as a stream, so memory holds
+    a batch whatever their length. Ticks of one instant go by their prices.
+    """
+    rows = segmented(ticks.select("symbol", "us", "bid", "ask"), gap_us)
+    nan = F.lit(float("nan"))
+    line = rows.select(F.col("symbol").cast("bigint").alias("symbol"), F.col("segment").cast("bigint").alias("segment"), "us", F.coalesce("bid", nan).alias("bid"), F.coalesce("ask", nan).alias("ask"))
+    kinds = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64()}
+    schema = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in TRADES.split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, machines, out = None, [], []
+
+        def step(last: bool) -> None:
+            symbol, segment, us, bid, ask = held
+            for machine in machines:
+                if trade := machine.step(us, bid, ask, last):
+                    out.append({"candidate": machine.policy.name, "symbol": symbol, "segment": segment, **trade})
+
+        for batch in batches:
+            for tick in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                fresh = held is None or tick[:2] != held[:2]
+                if held is not None:
+                    step(fresh)
+                if fresh:
+                    machines = [Machine(p) for p in policies]
+                held = tick
+            yield pa.RecordBatch.from_pylist(out, schema)
+            out.clear()
+        if held is not None:
+            step(True)
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    tasks = int(ticks.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or few bytes with much work become one task
+    return line.repartition(tasks, "symbol", "segment").sortWithinPartitions("symbol", "segment", "us", "bid", "ask").mapInArrow(run, TRADES)
 
 
 def resampled(clusters: DataFrame, by: str, cluster: str, draws: int, seed: int) -> DataFrame:
