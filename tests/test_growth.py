@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 from pyspark.sql import DataFrame
 
-from tidemark.operators import similarity
+from tidemark.operators import corpus, similarity
 
 
 def plan(df: DataFrame) -> str:
@@ -30,3 +33,23 @@ def test_vectors_meet_as_a_stream(spark, monkeypatch):
         order = [i for i in np.lexsort((np.arange(300), -score)) if i != q][:6]
         want += [(q, int(i), r + 1, float(score[i])) for r, i in enumerate(order)]
     assert sorted((r.query_id, r.doc_id, r["rank"], r.score) for r in got.collect()) == sorted(want)
+
+
+def test_bm25_counts_words_where_they_lie(spark, tmp_path):
+    """Postings of all query terms were shuffled; now documents with all terms are found in one pass of the table."""
+    texts = ["a b c a", "b c", "a a a", None, "", "a b", "c c c b a", "A, b. C!"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    docs = spark.read.parquet(f"{tmp_path}/d")
+    asked = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, ["a", "zz"])], "query_id long, terms array<string>")
+    got = corpus.bm25(docs, asked, 3)
+    assert plan(got).count("Relation [doc_id") == 1
+    words = {i: [w for w in re.split(r"[\s.,!?|]+", t.lower()) if w] for i, t in enumerate(texts) if t is not None}
+    mean, n, want = sum(map(len, words.values())) / len(words), len(texts), []
+    for q, terms in ((1, {"a", "b"}), (2, {"c"})):
+        found = []
+        for i, w in words.items():
+            if terms <= set(w):
+                df = {t: sum(t in x for x in words.values()) for t in terms}
+                found.append((-round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms), 6), i))
+        want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(found)[:3])]
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == want
