@@ -8,7 +8,9 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
+from tidemark import catalog
 from tidemark.operators import corpus, similarity
+from tidemark.plans import carried, outcomes
 
 
 def plan(df: DataFrame) -> str:
@@ -52,4 +54,23 @@ def test_bm25_counts_words_where_they_lie(spark, tmp_path):
                 df = {t: sum(t in x for x in words.values()) for t in terms}
                 found.append((-round(sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms), 6), i))
         want += [(q, i, -s, r + 1) for r, (s, i) in enumerate(sorted(found)[:3])]
-    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == want
+    assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
+
+
+def test_quantiles_read_joined_rows_once(spark, sf, monkeypatch):
+    """Each pass over the values joined runs and evaluations anew."""
+    rows = []
+    exact = carried.quantiles.exact
+    monkeypatch.setattr(carried.quantiles, "exact", lambda values, *a: rows.append(plan(values)) or exact(values, *a))
+    assert catalog.QUERIES["outcomes_by_transition"](spark, sf).count() == 9
+    assert "Join" not in rows[0]
+
+
+def test_next_horizons_are_counted_before_they_meet(spark, monkeypatch):
+    """Copies of a row met all copies of the next; now a count meets a count."""
+    keys = [(1, 1), (1, 1), (1, 2), (1, 2), (1, 2), (1, 4), (2, 3), (2, 4), (None, 1), (None, 2), (3, None), (3, 1)]
+    monkeypatch.setattr(outcomes, "projection", lambda *_: spark.createDataFrame(keys, "decision_id long, horizon int"))
+    got = catalog.QUERIES["composite_left_join"](spark, "")
+    assert "Join" not in plan(got)
+    want = {(a, h, sum(a is not None and h is not None and (a, h + 1) == x for x in keys) * keys.count((a, h))) for a, h in keys}
+    assert {tuple(r) for r in got.collect()} == want

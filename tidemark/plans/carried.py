@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import order, quantiles, scans
 from tidemark.operators.quantiles import UPPER, linear, nearest
 from tidemark.plans.registry import projection, query
+from tidemark.session import stored
 
 DAY_US, GAP_US, GUARD_US = 86_400_000_000, 7_200_000_000, 60_000_000
 #: Arrivals in a bucket.
@@ -270,7 +271,7 @@ def horizon_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def outcomes_by_transition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Costs by the status of the run and the flag of its evaluation."""
     runs, evals = projection(spark, sf_dir, "runs").select("decision_id", "status"), projection(spark, sf_dir, "evals").select("decision_id", "flag", "cost")
-    rows, by = runs.join(evals, "decision_id"), ["status", "flag"]
+    rows, by = stored(runs.join(evals, "decision_id").select("status", "flag", "cost")), ["status", "flag"]  # quantiles read them in many passes
     counts = rows.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg("cost"), 4).alias("mean_cost"), F.round(F.avg(F.when(F.col("cost") > 0, 1.0).otherwise(0.0)), 6).alias("better"))
     ranks = {"median_cost": nearest(0.5), "p90": nearest(0.9), "p95": nearest(0.95)}
     return counts.join(quantiles.exact(rows, by, "cost", ranks), by, "left").withColumns({c: F.round(c, 6) for c in ranks})
