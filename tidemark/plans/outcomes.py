@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof, in_ranges
@@ -68,7 +68,17 @@ statement("exists_semi_join", "SELECT r.decision_id, r.status FROM runs r WHERE
 statement("double_semi_join", "SELECT r.decision_id FROM runs r WHERE EXISTS (SELECT 1 FROM evals e WHERE e.decision_id = r.decision_id AND e.flag = 'R') AND EXISTS (SELECT 1 FROM evals e WHERE e.decision_id = r.decision_id AND e.flag = 'N')")
 statement("orphan_anti_join", "SELECT c_custkey, c_mktsegment FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 statement("latest_run_per_agent", "SELECT agent, decision_id, status FROM (SELECT *, row_number() OVER (PARTITION BY agent ORDER BY us DESC, decision_id DESC) AS rn FROM runs) q WHERE rn = 1")
-statement("composite_left_join", "SELECT a.decision_id, a.horizon, count(b.decision_id) AS later FROM evals a LEFT JOIN evals b ON a.decision_id = b.decision_id AND b.horizon = a.horizon + 1 GROUP BY a.decision_id, a.horizon")
+
+
+@query("SELECT a.decision_id, a.horizon, count(b.decision_id) AS later FROM evals a LEFT JOIN evals b ON a.decision_id = b.decision_id AND b.horizon = a.horizon + 1 GROUP BY a.decision_id, a.horizon")
+def composite_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluations of the next horizon of each decision: rows of a horizon times those of the next, counted before they meet."""
+    rows = projection(spark, sf_dir, "evals").select("decision_id", "horizon")
+    counts = rows.repartition("decision_id").groupBy("decision_id", "horizon").agg(F.count("*").alias("n"))
+    following = F.sum(F.when(F.col("decision_id").isNotNull() & F.col("horizon").isNotNull(), F.col("n"))).over(Window.partitionBy("decision_id").orderBy("horizon").rangeBetween(1, 1))
+    return counts.select("decision_id", "horizon", (F.col("n") * F.coalesce(following, F.lit(0))).alias("later"))
+
+
 statement("fill_chain", """
     SELECT o_orderkey, c_mktsegment, n_name, r_name, round(o_totalprice, 2) AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE o_orderstatus = 'P'""")
 statement("latest_run_scalar", "SELECT e.horizon, count(*) AS n FROM evals e JOIN runs r ON e.decision_id = r.decision_id WHERE r.us >= (SELECT max(us) - 86400000000 FROM runs) GROUP BY e.horizon")
