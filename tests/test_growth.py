@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from tidemark import catalog
 from tidemark.operators import corpus, similarity
 from tidemark.plans import carried, outcomes
+from tidemark.session import cut
 
 
 def plan(df: DataFrame) -> str:
@@ -74,3 +75,27 @@ def test_next_horizons_are_counted_before_they_meet(spark, monkeypatch):
     assert "Join" not in plan(got)
     want = {(a, h, sum(a is not None and h is not None and (a, h + 1) == x for x in keys) * keys.count((a, h))) for a, h in keys}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_prefixes_are_shuffled_not_whole_sets(spark, monkeypatch):
+    """All shingles were shuffled to be counted; any common order of them gives the same pairs."""
+    rng = np.random.default_rng(3)
+    texts = []
+    for _ in range(30):
+        base = [f"w{x}" for x in rng.integers(0, 40, rng.integers(4, 90))]
+        texts += [" ".join(base), " ".join(base).upper() + "!", " ".join(base[:-1]), " ".join([*base, "more"])]
+    docs = spark.createDataFrame([*enumerate(texts), (999, None)], "doc_id long, text string").repartition(4)
+    sets: dict[frozenset, int] = {}
+    for i, t in enumerate(texts):
+        w = [x for x in re.split(r"[\s.,!?|]+", t.lower()) if x]
+        if len(w) >= 5:
+            sets.setdefault(frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)), i)
+    named = sorted((i, s) for s, i in sets.items())
+    want = {(a, b, round(len(x & y) / len(x | y), 9)) for a, x in named for b, y in named if a < b and len(x & y) / len(x | y) >= 0.9}
+    stored = []
+    monkeypatch.setattr(corpus, "cut", lambda df: stored.append(plan(df)) or cut(df))
+    for cells in (1 << 20, 1, 64):
+        monkeypatch.setattr(corpus, "CELLS", cells)
+        got = corpus.shingle_pairs(docs)
+        assert {(r.a, r.b, round(r.jaccard, 9)) for r in got.collect()} == want and want
+    assert not any("Window" in p for p in stored)
