@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark import catalog
-from tidemark.operators import corpus, similarity
+from tidemark.operators import corpus, similarity, vectors
 from tidemark.plans import carried, outcomes
 from tidemark.session import cut
 
@@ -99,3 +99,18 @@ def test_prefixes_are_shuffled_not_whole_sets(spark, monkeypatch):
         got = corpus.shingle_pairs(docs)
         assert {(r.a, r.b, round(r.jaccard, 9)) for r in got.collect()} == want and want
     assert not any("Window" in p for p in stored)
+
+
+def test_cells_meet_queries_as_a_stream(spark, tmp_path, monkeypatch):
+    """Blocks of a cell met blocks of queries in pairs, each query sixteen times whatever the cell's size."""
+    monkeypatch.setattr(vectors, "PART", 20)
+    monkeypatch.setattr(vectors, "GROUP", 5)
+    e = np.random.default_rng(8).integers(-3, 4, (240, 5)).astype(float)
+    e[30:130] = e[30]
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(e) if v.any()], "id long, v array<double>").repartition(3)
+    index = vectors.build(rows, f"{tmp_path}/v", 5, k=4, cells=6)
+    assert index.sizes.sum() == rows.count()
+    asked = rows.where("id % 12 = 0")
+    assert "Join" not in plan(vectors.search(index, asked, 4))
+    found = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
+    assert found(vectors.search(index, asked, 4, exact=True)) == found(similarity.nearest(rows, asked, 4))

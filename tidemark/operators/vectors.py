@@ -20,23 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.similarity import nearest, top_k
+from tidemark.operators.similarity import GROUP, met, nearest, top_k
 from tidemark.session import cut
 
 #: Rows that fit the centroids, most centroids, queries that choose the probes (bounds of what comes to the driver).
 FIT, CELLS, ASKED = 20_000, 1024, 400
 ROUNDS, SALT = 12, 16
+#: Rows of a cell that are compared as one part (about), up to ``SALT`` parts.
+PART = 8192
 #: Rounded cosines may pass a bound by this.
 SLACK = 2e-6
 ROWS = "id bigint, cell int, salt int, v array<double>"
 
 
 class Vectors(NamedTuple):
-    """An index: the folder of its rows, the centroids, and each cell's widest angle (-1 for none)."""
+    """An index: the folder of its rows, the centroids, and each cell's widest angle (-1 for none) and rows."""
 
     path: str
     centroids: np.ndarray
     angles: np.ndarray
+    sizes: np.ndarray
     probes: int
 
 
@@ -100,18 +103,19 @@ def build(rows: DataFrame, path: str, dims: int, k: int = 10, least: float = 0.9
     written = spark.read.schema(ROWS).parquet(path)
 
     def widest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        far = np.full(len(sent.value), -1.0)
+        far, n = np.full(len(sent.value), -1.0), np.zeros(len(sent.value), np.int64)
         for batch in batches:
             if batch.num_rows:
                 cell = batch.column("cell").to_numpy()
                 near = np.clip((_matrix(batch.column("v")) * sent.value[cell]).sum(axis=1), -1, 1)
                 np.maximum.at(far, cell, np.arccos(near))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(far)), pa.int32()), pa.array(far)], names=["cell", "angle"])
+                n += np.bincount(cell, minlength=len(n))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(far)), pa.int32()), pa.array(far), pa.array(n)], names=["cell", "angle", "n"])
 
-    angles = np.full(len(centroids), -1.0)
-    for r in written.mapInArrow(widest, "cell int, angle double").groupBy("cell").agg(F.max("angle").alias("angle")).collect():
-        angles[r.cell] = r.angle
-    index = Vectors(path, centroids, angles, 1)
+    angles, sizes = np.full(len(centroids), -1.0), np.zeros(len(centroids), np.int64)
+    for r in written.mapInArrow(widest, "cell int, angle double, n bigint").groupBy("cell").agg(F.max("angle").alias("angle"), F.sum("n").alias("n")).collect():
+        angles[r.cell], sizes[r.cell] = r.angle, r.n
+    index = Vectors(path, centroids, angles, sizes, 1)
     return index._replace(probes=probes_for(index, spark, k, least))
 
 
@@ -152,45 +156,17 @@ def _probed(asked: DataFrame, index: Vectors, probes: int) -> DataFrame:
     return asked.mapInArrow(run, "query_id bigint, cell int, v array<double>, place int, bound double").where("bound > -2")
 
 
-def _packed(rows: DataFrame, id: str) -> DataFrame:
-    """Runs of rows of one cell and salt as blocks (cell, salt, ids, data), an Arrow batch long at most."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            cell, salt = (batch.column(c).to_numpy().astype(np.int64) for c in ("cell", "salt"))
-            begin = np.flatnonzero(np.concatenate([[True], (cell[1:] != cell[:-1]) | (salt[1:] != salt[:-1])]))
-            ids, v = batch.column(id).to_numpy(), _matrix(batch.column("v"))
-            ends = [*begin[1:].tolist(), batch.num_rows]
-            out = [(int(cell[a]), int(salt[a]), ids[a:b].tobytes(), v[a:b].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["cell", "salt", "ids", "data"])
-
-    return rows.mapInArrow(run, "cell int, salt int, ids binary, data binary")
-
-
 def _compared(index: Vectors, probes: DataFrame, k: int) -> DataFrame:
-    """(query_id, doc_id, score): the best k rows of each block for the queries that probe its cell."""
-    spark = probes.sparkSession
-    dims = index.centroids.shape[1]
-    blocks = _packed(spark.read.schema(ROWS).parquet(index.path), "id")
-    salted = probes.select("query_id", "cell", "v", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
-    asked = _packed(salted.repartition("cell", "salt").sortWithinPartitions("cell", "salt"), "query_id")
-    pairs = blocks.join(asked.select("cell", "salt", F.col("ids").alias("asked_ids"), F.col("data").alias("asked_data")), ["cell", "salt"])
+    """(query_id, doc_id, score): the best k rows of each part of a cell for the queries that probe it.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                ids, mine = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.int64) for c in ("ids", "asked_ids"))
-                e, q = (np.frombuffer(batch.column(c)[i].as_buffer(), dtype=np.float64).reshape(-1, dims) for c in ("data", "asked_data"))
-                score = np.round(q @ e.T, 6) + 0.0
-                score[mine[:, None] == ids[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
-                best = np.take_along_axis(score, order, axis=1)
-                a, b = np.nonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(mine[a]), pa.array(ids[order[a, b]]), pa.array(best[a, b])], names=["query_id", "doc_id", "score"])
-
-    return pairs.mapInArrow(run, "query_id bigint, doc_id bigint, score double")
+    A cell has a part for each ``PART`` of its rows, and a query goes to the parts of cells it probes.
+    """
+    spark = probes.sparkSession
+    salts = F.element_at(F.lit(np.maximum(1, np.minimum(SALT, -(-index.sizes // PART))).tolist()), F.col("cell") + 1)
+    groups = -(-max(probes.select("query_id").distinct().count(), 1) // GROUP)
+    rows = spark.read.schema(ROWS).parquet(index.path).select("cell", (F.col("salt") % salts).cast("int").alias("salt"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), F.lit(1).alias("kind"), "id", "v")
+    asked = probes.select("cell", F.explode(F.sequence(F.lit(0), (salts - 1).cast("int"))).alias("salt"), F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int").alias("group"), F.lit(0).alias("kind"), F.col("query_id").alias("id"), "v")
+    return met(rows.unionByName(asked), ["cell", "salt", "group"], k, max(SALT, len(index.centroids) // 2) * groups, unit=True)
 
 
 def search(index: Vectors, asked: DataFrame, k: int, probes: int | None = None, exact: bool = False) -> DataFrame:
