@@ -58,6 +58,13 @@ def test_bm25_counts_words_where_they_lie(spark, tmp_path):
     assert sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in got.collect()) == sorted(want)
 
 
+def test_bm25_of_repeated_ids(spark):
+    """Rows of one id and length are one document, as the SQL groups them."""
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "a b c"), (3, "c")], "doc_id long, text string")
+    asked = spark.createDataFrame([(7, ["a", "c"])], "query_id long, terms array<string>")
+    assert {r.doc_id for r in corpus.bm25(docs, asked, 5).collect()} == {1, 2}
+
+
 def test_quantiles_read_joined_rows_once(spark, sf, monkeypatch):
     """Each pass over the values joined runs and evaluations anew."""
     rows = []
