@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
+import random
 import re
+from collections import Counter, defaultdict
 
 import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark import catalog
-from tidemark.operators import corpus, similarity, vectors
+from tidemark.operators import corpus, postings, similarity, vectors
 from tidemark.plans import carried, outcomes
 from tidemark.session import cut
 
@@ -121,3 +123,55 @@ def test_cells_meet_queries_as_a_stream(spark, tmp_path, monkeypatch):
     assert "Join" not in plan(vectors.search(index, asked, 4))
     found = lambda df: sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in df.collect())
     assert found(vectors.search(index, asked, 4, exact=True)) == found(similarity.nearest(rows, asked, 4))
+
+
+def shuffled(spark) -> int:
+    """Rows that all stages so far have written to shuffles."""
+    jvm, sc = spark._jvm, spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(jvm.java.util.ArrayList(), False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_postings_are_shuffled_not_words(spark, tmp_path):
+    """Each word of each document was shuffled twice to build the index, and each entry of a query's terms to search it."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(40)], k=60)) for _ in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).localCheckpoint()
+    began = shuffled(spark)
+    postings.build(docs, str(tmp_path), "g1")
+    assert shuffled(spark) - began < 1000  # 41 words of 3 tasks; 38,674 before
+    asked = spark.createDataFrame([(1, "w1 w2 w3 w4 w5 w6 w7 w8")], "query_id long, text string")
+    began = shuffled(spark)
+    found = {r.doc_id for r in postings.search(postings.opened(spark, str(tmp_path)), asked, 2000)[0].collect()}
+    assert found == {i for i, t in enumerate(texts) if set(t.split()) >= {f"w{j}" for j in range(1, 9)}}
+    assert shuffled(spark) - began < 1000
+
+
+def test_postings_of_repeated_ids_and_small_pieces(spark, tmp_path, monkeypatch):
+    """Rows of one id and length are one document wherever they lie, and pieces, groups and joins of any size give the same."""
+    rng = random.Random(9)
+    rows = [(rng.choice([-7, -1, 0, 3, 8, 9, 10, 11, 40, (1 << 60) + 1]), " ".join(rng.choices("abcdef", k=rng.choice([0, 2, 3, 12])))) for _ in range(60)] + [(i, "a b c") for i in range(100, 160)]
+    tf, met, score = Counter(), Counter(), defaultdict(float)
+    for i, t in rows:
+        tf.update((w, i, len(t.split())) for w in t.split())
+    df, n, mean = Counter(k[0] for k in tf), len(rows), sum(len(t.split()) for _, t in rows) / len(rows)
+    queries = {1: "a", 2: "b a", 3: "c d e f"}
+    for q, text in queries.items():
+        for (w, i, dl), f in tf.items():
+            if w in text.split():
+                met[q, i] += 1
+                score[q, i] += math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / mean))
+    want = {(q, i, round(score[q, i], 5)) for (q, i), m in met.items() if m == len(queries[q].split())}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    asked = spark.createDataFrame(list(queries.items()), "query_id long, text string")
+    for held, group, sent in ((1 << 21, 64, 200_000), (15, 1, 0)):
+        for name, value in (("HELD", held), ("GROUP", group), ("SENT", sent), ("NAMED", 0)):
+            monkeypatch.setattr(postings, name, value)
+        postings.build(docs, f"{tmp_path}/{held}", "g1")
+        index = postings.opened(spark, f"{tmp_path}/{held}")
+        assert (index.n, index.total) == (n, sum(len(t.split()) for _, t in rows))
+        got = postings.search(index, asked, 1000)[0].collect()
+        assert {(r.query_id, r.doc_id, round(r.score, 5)) for r in got} == want and len(got) == len(want)
+        entries = index.postings().select("term", "docs", "dls", "tfs").collect()
+        assert Counter({(r.term, i, dl): f for r in entries for i, dl, f in zip(r.docs, r.dls, r.tfs, strict=True)}) == tf

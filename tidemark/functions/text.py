@@ -81,7 +81,9 @@ def _folded(t: str | None) -> str | None:
     if t is None or t.isascii():
         return t if t is None else t.lower()
     apart = unicodedata.normalize("NFD", unicodedata.normalize("NFC", t).casefold())
-    return unicodedata.normalize("NFC", "".join(c for c in apart if unicodedata.category(c) != "Mn"))
+    for mark in [c for c in set(apart) if unicodedata.category(c) == "Mn"]:
+        apart = apart.replace(mark, "")
+    return unicodedata.normalize("NFC", apart)
 
 
 def folded(text: Column) -> Column:
