@@ -92,6 +92,22 @@ def test_chunks_and_clusters(spark):
     assert clusters == {1: 1, 2: 1, 3: 1, 4: 4}
 
 
+def test_clusters_link_unlike_texts_of_one_set(spark, tmp_path):
+    """Texts that repeat a passage another number of times have the same shingles; only the least of them was linked."""
+    import duckdb
+
+    from tidemark import catalog
+
+    passage, other = ("a b c d e f g h i j k l " * 3).strip(), " ".join(f"w{i}" for i in range(40))
+    texts = [(7, passage), (3, f"{passage} {passage}"), (9, f"{passage} {passage}!"), (5, f"{passage} a b"), (6, other), (8, f"{other} x"), (4, "a b c"), (10, None), (11, None), (12, "")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as from '{tmp_path}/documents.parquet/*.parquet'")
+    want = dict(con.execute(catalog.ORACLE["duplicate_clusters"]).fetchall())
+    got = {r.doc_id: r.cluster for r in catalog.QUERIES["duplicate_clusters"](spark, str(tmp_path)).collect()}
+    assert got == want == {3: 3, 5: 3, 7: 3, 9: 3, 6: 6, 8: 6, 4: 4, 10: 10, 11: 10, 12: 12}
+
+
 def test_masked_distance_needs_enough(spark):
     df = spark.createDataFrame([([1.0] * 10, [2.0] * 10), ([1.0] * 10, [2.0] * 7 + [None] * 3)], "a array<double>, b array<double>")
     assert [r.d for r in df.select(similarity.masked_distance("a", "b").alias("d")).collect()] == [1.0, None]
