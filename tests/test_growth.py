@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from tidemark import catalog
-from tidemark.operators import corpus, postings, similarity, vectors
+from tidemark.operators import asof, corpus, postings, similarity, vectors
 from tidemark.plans import carried, outcomes
 from tidemark.session import cut
 
@@ -110,6 +110,22 @@ def test_prefixes_are_shuffled_not_whole_sets(spark, monkeypatch):
     assert not any("Window" in p for p in stored)
 
 
+def test_ranges_meet_blocks_not_points(spark, sf):
+    """Each decision was joined with all ticks of its horizons; now a tick goes to one block, whatever ranges hold it."""
+    assert not re.search("Join Inner.*>=", plan(catalog.QUERIES["outcome_evaluation"](spark, sf)))
+    rng = random.Random(6)
+    points = [(rng.choice(["a", "b", None]), rng.randrange(-300, 300), rng.choice([None, *range(9)])) for _ in range(400)] + [("a", 5, v) for v in (-4, 40)]
+    ranges = [(rng.choice([*range(60), None]), rng.choice(["a", "b", "c", None]), rng.choice([None, 5, *range(-330, 330)]), n) for _ in range(150) for n in (8, 16, 50, 51)]
+    want: dict[tuple, list] = {}
+    for i, k, lo, n in ranges:
+        found = want.setdefault((i, n), [])
+        if k is not None and lo is not None:
+            found += [v for p, t, v in points if p == k and lo <= t <= lo + n and v is not None]
+    frame = spark.createDataFrame(ranges, "id int, k string, lo bigint, n bigint").repartition(3)
+    got = asof.extremes(frame, spark.createDataFrame(points, "k string, us bigint, v int").repartition(4), ["id", "n"], "k", "lo", "n", (8, 16, 50, 51), "us", "v")
+    assert {(r.id, r.n): (r.most, r.least) for r in got.collect()} == {x: (max(v, default=None), min(v, default=None)) for x, v in want.items()}
+
+
 def test_cells_meet_queries_as_a_stream(spark, tmp_path, monkeypatch):
     """Blocks of a cell met blocks of queries in pairs, each query sixteen times whatever the cell's size."""
     monkeypatch.setattr(vectors, "PART", 20)

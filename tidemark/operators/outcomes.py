@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof, in_ranges
+from tidemark.operators.asof import asof, extremes
+from tidemark.session import stored
 
 HORIZONS_S = (3600, 10800, 21600, 86400)
 TOLERANCE_S = 3600
@@ -27,9 +28,10 @@ def evaluate_outcomes(decisions: DataFrame, ticks: DataFrame, now_us: int, horiz
         "status",
         F.when(F.col("anchor_us").isNull(), "INELIGIBLE").when(F.lit(now_us) < F.col("target_us") + tolerance * 1_000_000, "PENDING").when(F.col("future_us").isNull(), "DATA_UNAVAILABLE").otherwise("COMPLETE"),
     )
-    done = rows.where("status = 'COMPLETE'").select("decision_id", "horizon", "symbol", "anchor_us", "target_us", F.col("bid").alias("entry_bid"), F.col("ask").alias("entry_ask"))
-    path = in_ranges(done, seen, "symbol", "anchor_us", "target_us", "us", max(horizons) * 1_000_000)
-    path = path.groupBy("decision_id", "horizon").agg(F.max("bid").alias("hi_bid"), F.min("bid").alias("lo_bid"))
+    rows = stored(rows)  # the edges of ranges, the blocks between and the result read them
+    done = rows.where("status = 'COMPLETE'").select("decision_id", "horizon", "symbol", "anchor_us", (F.col("horizon").cast("bigint") * 1_000_000).alias("length"))
+    path = extremes(done, seen, ["decision_id", "horizon"], "symbol", "anchor_us", "length", tuple(h * 1_000_000 for h in horizons), "us", "bid")
+    path = path.select("decision_id", "horizon", F.col("most").alias("hi_bid"), F.col("least").alias("lo_bid"))
     rows = rows.join(path, ["decision_id", "horizon"], "left")
     complete = F.col("status") == "COMPLETE"
     buy, sell = (F.col("future_bid") - F.col("ask")) / F.col("point"), (F.col("bid") - F.col("future_ask")) / F.col("point")
